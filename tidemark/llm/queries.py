@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2,
+    "op10_near_dedup": near_dedup.op10,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }

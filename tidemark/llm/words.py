@@ -96,7 +96,7 @@ class Words:
         return mix((w * forward[: len(w)]).sum(dtype=np.uint64).reshape(1) + np.uint64(len(w)))[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches of about most text bytes, with their texts; a null text is empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
