@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import decontamination, near_dedup, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2,
+    "op6_decontamination": decontamination.op6,
     "op10_near_dedup": near_dedup.op10,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op6_decontamination": decontamination.OP6_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
 }
