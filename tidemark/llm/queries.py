@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, substring_dedup
+from . import binary_records, decontamination, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2,
+    "op5_best_fit_packing": packing.op5,
     "op6_decontamination": decontamination.op6,
+    "op8_binary_records": binary_records.op8,
     "op10_near_dedup": near_dedup.op10,
 }
 
