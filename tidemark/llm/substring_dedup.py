@@ -217,11 +217,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark, length = docs.sparkSession, window // 2
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     n_bytes = text_bytes(chosen)
-    n_buckets = tasks_for(spark, n_bytes, 16 << 20)
+    n_buckets = tasks_for(spark, n_bytes, 24 << 20)
     hits = chosen.mapInArrow(_probe(length, n_buckets), _PACKS).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_hits, _PLACES)
     hits = keep(hits.groupBy("doc_id").agg(F.collect_list("places").alias("hits")), "repeat-hits")
     texts = squeezed_texts(docs, id_col, text_col)
     near = texts.join(hits, "doc_id")
+    n_buckets = tasks_for(spark, n_bytes, 64 << 20)  # of the words near hits only
     packs = near.mapInArrow(_extend(length, window, n_buckets), _PACKS)
     removed = packs.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_repeats, _PLACES)
     removed = keep(removed.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("starts")), "repeat-windows")
