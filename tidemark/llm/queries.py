@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontamination, near_dedup, nearest, packing, quality, substring_dedup
+from . import binary_records, decontamination, html_extraction, near_dedup, nearest, packing, quality, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2,
     "op3_quality": quality.op3,
+    "op4_html_extraction": html_extraction.op4,
     "op5_best_fit_packing": packing.op5,
     "op6_decontamination": decontamination.op6,
     "op8_binary_records": binary_records.op8,
