@@ -3,10 +3,11 @@
 Method: one-permutation hashing. One hash of each shingle gives both its bin and its
 value, an empty bin takes the value of another by optimal densification, and bands of
 bins are bucket keys. Inside a bucket only a star is compared: every member with a hub.
-Members that the hub doesn't settle stay in the bucket for another round with further
-hubs (those with most links first, twice as many each round) until the rest of the
-bucket lies in one component or is used up. So a large group costs about one comparison
-a member, and no pair of a bucket is lost: pairs left out already share a component.
+So a large group costs about one comparison a member. Documents of buckets that then still
+reach into several components get an exact way: buckets by their rarest shingles (prefix
+filter), again compared by stars, with further hubs (those with most links first, eight times as
+many each round) until the rest of a bucket lies in one component or is used up. Pairs left
+out share a component already, so no link between components is lost.
 
 Documents with equal shingle sets are one node from the start. Each comparison is
 confirmed on the full sets, recomputed from the texts.
@@ -20,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import keep, table
 from .components import components
-from .packed import squeezed_texts, unsqueeze
+from .packed import opened, squeezed_texts, unsqueeze
 from .words import Words, mix, slices
 
 _TRIES = 1024
@@ -126,7 +128,53 @@ def _confirm(size: int, lower: bool, percent: int) -> Callable[[Iterator[pa.Reco
     return confirm
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = True, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _labelled(members: DataFrame, stars: DataFrame | None, links: DataFrame | None) -> DataFrame:
+    """Members with the component and the number of links each has so far."""
+    if stars is None:
+        return members.withColumn("label", F.col("id")).withColumn("links", F.lit(0).cast("long"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    return members.join(stars, "id", "left").join(degree, "id", "left").select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _unsettled(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Members that may have a partner, in the buckets that reach into more than one component.
+
+    A member has none if what it shares from its place on is too little for the smallest set there.
+    """
+    ranked = members.join(stars, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    least = ranked.groupBy("bucket").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    open_ = ranked.join(least.select("bucket", "least"), "bucket").filter((1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent)
+    mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    return open_.join(mixed, "bucket").select("bucket", "id", "n", "place")
+
+
+def _rare_buckets(texts: DataFrame, members: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
+    """Buckets by rare shingles for documents that a star left unsettled.
+
+    Two sets of the asked similarity share one of the n - ceil(n * percent / 100) + 1 shingles of
+    either that come first in any common order. The order is by how many of these documents have a
+    shingle, so a passage that many share makes no bucket unless a document has little else.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in opened(batch):
+                sets = shingle_sets(raw, size, lower)
+                n = np.array([len(x) for x in sets])
+                rows = pa.array(np.repeat(np.arange(len(sets)), n))
+                h = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), part.column("tkey").take(rows), pa.array(np.repeat(n, n)), pa.array(h)], names=["id", "tkey", "n", "bucket"])
+
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    rows = keep(texts.join(ids, "doc_id", "left_semi").mapInArrow(explode, "id long, tkey int, n long, bucket long"), "shingles")
+    often = rows.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
+    place = F.row_number().over(Window.partitionBy("id", "tkey").orderBy(F.coalesce("often", F.lit(1)), "bucket"))
+    ranked = rows.join(often, "bucket", "left").withColumn("place", place)
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)) + 1
+    return ranked.filter((F.col("place") <= first) & F.col("often").isNotNull()).select("bucket", "id", "n", "place").distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = True, bands: int = 40, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles (size of its set of distinct shingles),
     component_id (smallest id that links reach) and kept (doc_id = component_id).
 
@@ -145,37 +193,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     copies = sets.select("doc_id", "s1", "s2", "n_shingles").join(nodes.filter("node <> last").select("s1", "s2", "n_shingles", "node"), ["s1", "s2", "n_shingles"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     copies = keep(copies, "copies")
 
-    buckets = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    members = keep(buckets.join(shared.select("bucket"), "bucket"), "members")
-    texts = squeezed_texts(docs, id_col, text_col).select("doc_id", "z")
+    members = nodes.select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), F.lit(1).alias("place"), F.explode("bands").alias("bucket")).distinct()
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
+    members = keep(members.join(shared.select("bucket"), "bucket"), "members")
+    texts = squeezed_texts(docs, id_col, text_col)
     texts = keep(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "member-texts")
+    zs = texts.select("doc_id", "z")
 
     links: DataFrame | None = None
     stars: DataFrame | None = None
     tried: DataFrame | None = None
     hubs_a_bucket = 1
     while not members.isEmpty():
-        if stars is None:
-            ranked = members.withColumn("label", F.col("id")).withColumn("links", F.lit(0))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-            ranked = members.join(stars, "id", "left").join(degree, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-            mixed = ranked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-            ranked = keep(ranked.join(mixed, "bucket"), "unsettled")
+        ranked = _labelled(members, stars, links)
         part = F.pmod(F.xxhash64("id"), F.lit(hubs_a_bucket))
-        hubs = ranked.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("links")).alias("rank"), "id", "label")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
-        pairs = ranked.join(hubs, "bucket").filter("id <> hub and label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        hubs = ranked.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("links")).alias("rank"), "id", "label", "n", "place")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
+        # what two sets can share from this bucket's shingle on must be enough
+        enough = (1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
+        like = (F.col("id") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & enough
+        pairs = ranked.join(hubs, "bucket").filter(like).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
+        sides = pairs.join(zs.toDF("a", "za"), "a").join(zs.toDF("b", "zb"), "b")
         new = keep(sides.mapInArrow(_confirm(size, lower, percent), "a long, b long").distinct(), "links")
-        links = new if links is None else links.unionByName(new)
-        stars = keep(components(new if stars is None else new.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
-        members = keep(ranked.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "members")
-        hubs_a_bucket *= 2
+        first_round = links is None
+        links = new if first_round else links.unionByName(new)
+        if first_round or not new.isEmpty():
+            stars = keep(components(new if stars is None else new.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
+        rest = ranked.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "place")
+        members = keep(_unsettled(rest, stars, percent), "members")
+        if first_round and not members.isEmpty():
+            members = keep(_unsettled(_rare_buckets(texts, members, size, lower, percent), stars, percent), "rare-members")
+        hubs_a_bucket *= 8
 
     graph = copies if stars is None else copies.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = components(graph).withColumnRenamed("id", "doc_id")
@@ -184,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 85 % of their 3-word shingles in common."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, rows=8)
 
 
 OP10_SQL = r"""
