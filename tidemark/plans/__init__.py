@@ -1,0 +1,13 @@
+"""Registered queries; importing the modules registers them."""
+
+from __future__ import annotations
+
+import importlib
+
+_MODULES = ("window_queries",)
+for _m in _MODULES:
+    importlib.import_module(f"{__name__}.{_m}")
+
+from .registry import ORACLES, QUERIES  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES"]
