@@ -25,6 +25,8 @@ from .common import scratch_path, table
 TARGET = 64 << 20
 FAN_IN = 4
 LEAST = 256 << 10
+JOB_GROUPS = 64
+"""Groups that one Spark job merges."""
 
 
 @dataclass(frozen=True)
@@ -136,15 +138,15 @@ class ShardTable:
             groups = plan_merges(now, self.target, self.fan_in, self.least)
             if not groups:
                 return base
-            of = self.spark.createDataFrame([(s.path.rsplit("/", 2)[1] + "/" + s.path.rsplit("/", 1)[1], k) for k, g in enumerate(groups) for s in g], "_shard string, _group int")
             gone = {s.path for g in groups for s in g}
-            read = self.spark.read.parquet(*sorted(gone))
-            columns = read.columns
-            last = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "([^/]+/[^/]+)$", 1)
-            rows = read.select("*", last.alias("_shard")).join(of, "_shard")
             folder = f"{self.root}/data/merged-{uuid.uuid4().hex}"
-            dealt = rows.repartitionById(len(groups), F.col("_group")).sortWithinPartitions(order)
-            dealt.select(columns).write.option("compression", "zstd").parquet(folder)
+            for k in range(0, len(groups), JOB_GROUPS):
+                # a task a group: no shuffle, and no task reads more than the target
+                parts = [self.spark.read.parquet(*[s.path for s in g]).coalesce(1) for g in groups[k : k + JOB_GROUPS]]
+                merged = parts[0]
+                for p in parts[1:]:
+                    merged = merged.unionByName(p, allowMissingColumns=True)
+                merged.sortWithinPartitions(order).write.mode("append").option("compression", "zstd").parquet(folder)
             self.commit([s for s in now if s.path not in gone] + self._written(folder), base)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -158,8 +160,8 @@ def shard_documents(docs: DataFrame, root: str, arrivals: int = 8, order: str =
     gives a table with a manifest and no rows.
     """
     store = ShardTable(docs.sparkSession, root, **sizes)
-    if "_arrival" in docs.columns or "_shard" in docs.columns or "_group" in docs.columns:
-        raise ValueError("_arrival, _shard and _group are names of this operator")
+    if "_arrival" in docs.columns:
+        raise ValueError("_arrival is a name of this operator")
     store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64(order), F.lit(arrivals)).cast("int")), "_arrival")
     store.compact(order)
     return store
