@@ -95,11 +95,11 @@ def _(v):
     return rounded(O.position_cap(v("target"), 0.02).select("idx", "symbol", "target_w"), "target_w", n=10)
 
 
-for _name, _col, _rule in (("h02_new_risk", "w3", "new_risk"), ("h03_industry_cap", "w4", "industry"), ("h04_gross_and_concentration", "w5", "gross"), ("h05_turnover_limit", "w6", "turnover")):
+for _name, _col, _rule, _n in (("h02_new_risk", "w3", "new_risk", 15), ("h03_industry_cap", "w4", "industry", 9), ("h04_gross_and_concentration", "w5", "gross", 9), ("h05_turnover_limit", "w6", "turnover", 9)):
 
-    @query(_name, f"WITH {_CHAIN} SELECT idx, symbol, round({_col}, 9) AS target_w FROM z")
-    def _(v, rule=_rule):
-        return rounded(_chain(v).select("idx", "symbol", F.col(f"after_{rule}").alias("target_w")), "target_w", n=9)
+    @query(_name, f"WITH {_CHAIN} SELECT idx, symbol, round({_col}, {_n}) AS target_w FROM z")
+    def _(v, rule=_rule, n=_n):
+        return rounded(_chain(v).select("idx", "symbol", F.col(f"after_{rule}").alias("target_w")), "target_w", n=n)
 
 
 @query("h06_rule_chain", f"WITH {_CHAIN} SELECT idx, symbol, draft, round(w6, 10) AS target_w FROM z")
