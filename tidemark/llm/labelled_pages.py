@@ -18,6 +18,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzéèüñßо漢字"
 class _Page:
     def __init__(self, rng: random.Random):
         self.r, self.main = rng, []
+        self.ends = rng.choice([[".", ".", ".", ",", "!", "?"]] * 5 + [["***", "$$$", "!!", "", " |"]])
 
     def word(self) -> str:
         return "".join(self.r.choices(_LETTERS, k=self.r.randint(1, 9)))
@@ -29,7 +30,7 @@ class _Page:
         out, n = [], self.r.randint(lo, hi)
         while n > 0:
             k = min(n, self.r.randint(1, 16))
-            out.append(self.words(k, k) + self.r.choice([".", ".", ".", ",", "!", "?"]))
+            out.append(self.words(k, k) + self.r.choice(self.ends))
             n -= k
         return " ".join(out)
 
@@ -158,6 +159,9 @@ class _Page:
         return f"<div {self.attr('container', 'wrapper', 'page', 'row')}>{body}</div>" if self.r.random() < 0.25 else body
 
     def page(self) -> str:
+        if self.r.random() < 0.06:  # a fragment: main text and nothing else
+            body = "".join(self.block() for _ in range(self.r.randint(1, 8)))
+            return self.of(body, f"<html><body>{body}</body></html>")
         before = [f() for f in (self.head, self.menu) if self.r.random() < 0.8]
         before += [self.extra() for _ in range(self.r.choice([0, 0, 1, 1, 2]))]
         after = [self.extra() for _ in range(self.r.choice([0, 0, 1, 1, 2, 3]))]
