@@ -13,36 +13,40 @@ from functools import lru_cache
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-TABLE = 700_000
+TABLE = 1_100_000
 """Pieces kept by a worker; beyond it the table starts anew."""
+MARKS = ".,;:!?"
+JOIN = "\0"
+"""Starts a piece that follows the one before without a space."""
 
 
-def byte_level(text: str) -> list[str]:
-    """Pieces of a text for a byte-level rule that binds one space to what follows.
-
-    A piece stands for itself with a space before it; the first has none and is marked by a
-    space after it. Cuts are made at single spaces only: see Encoder.
-    """
-    pieces = text.split(" ")
-    pieces[0] += " "
-    return pieces
-
-
-def word_level(text: str) -> list[str]:
-    """Pieces of a text for a rule that drops white space and never joins across it."""
-    return text.replace("\n", " ").split(" ")
+def pieces_of(text: str, keep_space: bool) -> list[str]:
+    """Pieces of a text: words, marks and line breaks that follow them. A text must not hold JOIN."""
+    text = JOIN + text + " "
+    text = text.replace("\n", f" {JOIN}\n {JOIN}" if keep_space else " ")
+    if not any(m + m + " " in text for m in MARKS):  # a run of marks is one token
+        for m in MARKS:
+            text = text.replace(m + " ", f" {JOIN}{m} ")
+    out = text.split(" ")
+    out.pop()
+    return out
 
 
 class Encoder(dict):
-    """path: a tokenizer file; kind: byte_level or word_level."""
+    """Ids of texts by a tokenizer file. keep_space: byte-level rules, which bind a space to what
+    follows; else rules that drop white space and case. A dict from pieces to their numbers.
+
+    Cuts are safe at a single space between other characters, and before a mark or line break after
+    a letter or digit. A text with any other cut is encoded whole.
+    """
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, keep_space: bool):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.byte_level = byte_level
+        self.keep_space = keep_space
         self.clear()
 
     def clear(self) -> None:
@@ -50,97 +54,90 @@ class Encoder(dict):
         self.new: list[str] = []
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.unsafe: set[int] = set()
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        # unsafe at its ends; ends in a sign; a mark cut off the piece before
+        self.bad, self.tail, self.lead = (np.zeros(1 << 16, bool) for _ in range(3))
 
     def __missing__(self, piece: str) -> int:
         i = self[piece] = len(self)
         self.new.append(piece)
         return i
 
-    def _parts(self, piece: str) -> list[str] | None:
-        """A piece as simpler pieces, if the rule always cuts there."""
-        if self.byte_level:
-            lead = piece[-1:] == " "
-            body = piece[:-1] if lead else piece
-            if "\n" in body:
-                lines = body.split("\n")
-                if all(x and not any(c.isspace() for c in x) for x in lines):
-                    out = [lines[0] + " " * lead]
-                    for x in lines[1:]:
-                        out += ["\n ", x + " "]
-                    return out
-                return None
-            if len(body) > 1 and body[-1] in ".,;:!?" and body[-2].isalpha():
-                return [body[:-1] + " " * lead, body[-1] + " "]
-            return None
-        if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
-            return [piece[:-1], piece[-1]]
-        return [piece.lower()] if piece.isascii() and piece != piece.lower() else None
+    def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
     def _learn(self) -> None:
-        todo, parts, plain = self.new, {}, []
-        self.new = []
-        while todo:
-            for piece in todo:
-                p = self._parts(piece)
-                if p:
-                    parts[piece] = [self[x] for x in p]
-                else:
-                    plain.append(piece)
-            todo, self.new = self.new, []
-        n = len(self)
-        if n > len(self.size):
-            self.start = np.concatenate([self.start, np.zeros(max(n, len(self.start)), np.int64)])
-            self.size = np.concatenate([self.size, np.zeros(max(n, len(self.size)), np.int64)])
-        if self.byte_level:
-            texts = [p[:-1] if p[-1:] == " " else " " + p for p in plain]
-        else:
-            texts = plain
+        new, self.new = self.new, []
+        for name in ("start", "size", "bad", "tail", "lead"):
+            setattr(self, name, self._grown(getattr(self, name), len(self)))
+        first = len(self) - len(new)  # pieces are numbered as they come
+        plain = [k for k, p in enumerate(new, first) if p.isalpha()]
+        rest = [(k, p) for k, p in enumerate(new, first) if not p.isalpha()]
         for lo in range(0, len(plain), 4096):
-            found = self.tokenizer.encode_batch(texts[lo : lo + 4096], add_special_tokens=False)
-            for piece, e in zip(plain[lo : lo + 4096], found, strict=True):
-                self._put(self[piece], e.ids)
-        for piece, p in sorted(parts.items(), key=lambda x: len(x[0])):  # what it is made of comes first
-            self._put(self[piece], [x for i in p for x in self.ids[self.start[i] : self.start[i] + self.size[i]].tolist()])
-        if self.byte_level:
-            for piece in [*plain, *parts]:
-                body = piece[:-1] if piece[-1:] == " " else piece
-                if not body or body[0].isspace() or body[-1].isspace():
-                    self.unsafe.add(self[piece])
-
-    def _put(self, i: int, ids: list[int]) -> None:
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+            part = plain[lo : lo + 4096]
+            # letters alone are one word of the tokenizer each, so many can be encoded as one text
+            e = self.tokenizer.encode(" " + " ".join([new[k - first] for k in part]), add_special_tokens=False)
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            if len(size) == len(part) and size.all():
+                self._put(np.array(part), size, np.array(e.ids, np.uint32))
+            else:
+                rest += [(k, new[k - first]) for k in part]
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            texts = [p[1:] if p[:1] == JOIN else " " + p if self.keep_space else p for _, p in part]
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self._put(np.array([k for k, _ in part]), size, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum())))
+        for k, p in rest:
+            b, line = p[1:] if p[:1] == JOIN else p, p == JOIN + "\n"
+            if not b:
+                self.bad[k] = self.keep_space
+                continue
+            if not b[-1].isalnum():
+                self.tail[k] = True
+                self.lead[k] = p[:1] == JOIN and b in MARKS
+            if self.keep_space and not line and (b[0].isspace() or b[-1].isspace()):
+                self.bad[k] = True
+
+    def _put(self, at: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.ids = self._grown(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[i], self.size[i] = self.used, len(ids)
+        self.start[at], self.size[at] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
 
+    def _pieces(self, text: str) -> list[str] | None:
+        if JOIN in text:
+            return None
+        if not self.keep_space:
+            try:
+                text.encode("latin-1")  # where lower case is a character for a character
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return pieces_of(text, self.keep_space)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
         if len(self) > TABLE:
             self.clear()
-        cut = byte_level if self.byte_level else word_level
-        out = []
         places = []
         for text in texts:
-            pieces = cut(text)
-            places.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
-        self._learn()
-        unsafe = np.zeros(len(self.size), bool)
-        unsafe[list(self.unsafe)] = True
+            pieces = self._pieces(text)
+            places.append(None if pieces is None else np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
+        if self.new:
+            self._learn()
+        out = []
         for text, at in zip(texts, places, strict=True):
-            if len(at) > 1 and unsafe[at].any() or len(at) == 1 and unsafe[at[0]]:
+            if at is None or self.bad[at].any() or (self.tail[at[:-1]] & self.lead[at[1:]]).any():
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             size = self.size[at]
             ends = np.cumsum(size)
-            out.append(self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
+            out.append(self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])])
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, byte_level: bool) -> Encoder:
+def encoder(path: str, keep_space: bool) -> Encoder:
     """The worker's encoder of a file; its table serves all tasks of the worker."""
-    return Encoder(path, byte_level)
+    return Encoder(path, keep_space)
