@@ -127,9 +127,9 @@ def _(v):
     return rounded(O.grouped_ic(d, ["fold", "year"]), "mean_ic", "positive")
 
 
-@query("d16_coefficient_stability", f"WITH {_DAILY} SELECT feature_id, round(avg(ic), 8) AS mean, round(stddev_pop(ic), 8) AS sd, round(greatest(count(*) FILTER (ic > 0), count(*) FILTER (ic < 0), count(*) FILTER (ic = 0)) / count(*), 8) AS sign_share FROM d GROUP BY 1")
+@query("d16_coefficient_stability", f"WITH {_DAILY}, c AS (SELECT feature_id, round(ic, 10) AS ic FROM d) SELECT feature_id, round(avg(ic), 8) AS mean, round(stddev_pop(ic), 8) AS sd, round(greatest(count(*) FILTER (ic > 0), count(*) FILTER (ic < 0), count(*) FILTER (ic = 0)) / count(*), 8) AS sign_share FROM c GROUP BY 1")
 def _(v):
-    return rounded(O.coefficient_stability(O.daily_rank_ic(v("panel")).withColumnRenamed("ic", "coefficient")), "mean", "sd", "sign_share")
+    return rounded(O.coefficient_stability(O.daily_rank_ic(v("panel")).select("feature_id", F.round("ic", 10).alias("coefficient"))), "mean", "sd", "sign_share")
 
 
 @query("d17_verify_losses", "WITH p AS (SELECT idx % 4 AS fold, label, value AS prediction FROM panel WHERE feature_id = 'mom_3' AND value IS NOT NULL AND label IS NOT NULL), o AS (SELECT fold, avg(pow(label - prediction, 2)) AS loss FROM p GROUP BY 1), s AS (SELECT fold, CASE WHEN fold = 1 THEN loss * 1.01 ELSE loss END AS stated FROM o WHERE fold <> 2 UNION ALL SELECT 9, 1.0) SELECT coalesce(o.fold, s.fold) AS fold, round(loss, 8) AS loss, round(stated, 8) AS stated, coalesce(abs(loss - stated) <= 1e-9 * abs(stated), false) AS agrees FROM o FULL JOIN s ON o.fold = s.fold")
