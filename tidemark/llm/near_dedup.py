@@ -107,7 +107,7 @@ def _confirm(size: int, lower: bool, percent: int) -> Callable[[Iterator[pa.Reco
                 raw: list[bytes] = []
                 hi = lo
                 total = 0
-                while hi < len(a) and (total < 3 << 20 or hi == lo):
+                while hi < len(a) and (total < 2 << 20 or hi == lo):
                     for i, z in ((a[hi], za[hi]), (b[hi], zb[hi])):
                         if (i, z) not in texts:
                             texts[i, z] = len(raw)

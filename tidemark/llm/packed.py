@@ -38,7 +38,7 @@ def squeezed_texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str
     return chosen.mapInArrow(squeeze_all, schema)
 
 
-def opened(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def opened(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of a batch of squeezed texts with their texts, of about most bytes each."""
     z = zstandard.ZstdDecompressor()
     texts, lo, size = [], 0, 0

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-TABLE = 1_100_000
+TABLE = 600_000
 """Pieces kept by a worker; beyond it the table starts anew."""
 MARKS = ".,;:!?"
 JOIN = "\0"

@@ -28,7 +28,7 @@ def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i mod 2^64 for i < n."""
     have = _powers.get(kind)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         out = []
         for b in (_BASE[kind], pow(_BASE[kind], -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
@@ -69,7 +69,9 @@ class Words:
         self.first = np.searchsorted(self.starts, self.at)
         self.counts = np.diff(self.first)
         forward, back = _power("byte", len(self.buf) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.buf * forward[: len(self.buf)], dtype=np.uint64)])
+        total = np.zeros(len(self.buf) + 1, np.uint64)
+        np.multiply(self.buf, forward[: len(self.buf)], out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
         h = (total[self.ends] - total[self.starts]) * back[self.starts]
         self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
 
@@ -96,7 +98,7 @@ class Words:
         return mix((w * forward[: len(w)]).sum(dtype=np.uint64).reshape(1) + np.uint64(len(w)))[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches of about most text bytes, with their texts; a null text is empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
