@@ -284,3 +284,15 @@ def _(v):
         "ASSOCIATION": v("supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")),
         "PROSPECTUS": v("part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name")),
     })
+
+
+@query("a15_partitioned_publication", "SELECT feature_id, count(*) AS n, count(value) AS valued, round(sum(value), 4) AS total FROM feature GROUP BY 1")
+def _(v):
+    """The long feature table, published by feature and read back."""
+    from tidemark.sources.stores import publish
+
+    rows = v("feature")
+    spark = rows.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    back = spark.read.parquet(publish(rows, f"{root}/artifacts", "feature_id"))
+    return rounded(back.groupBy("feature_id").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total")), "total", n=4)
