@@ -27,6 +27,7 @@ from .packed import opened, squeeze, squeezed_texts, unsqueeze
 from .words import NULL, Words, longs, slices
 
 WINDOW = 50
+PASSES = 4
 _PACKS = "bucket int, doc_id long, tkey int, payload binary"
 _PLACES = "doc_id long, tkey int, places binary"
 
@@ -108,25 +109,37 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _hits(tab: pa.Table) -> pa.Table:
-    """Of one bucket: places whose window is a block of the grid somewhere and occurs in two documents."""
-    found, d, block, grid, h = [], [], [], [], []
+    """Of one bucket: places whose window is a block of the grid somewhere and occurs in two documents.
+
+    A bucket is sorted in PASSES parts, to hold less at a time.
+    """
+    found, where, payloads = [], ([], []), []
     for doc_id, n, payload in zip(tab["doc_id"].to_pylist(), tab["tkey"].to_pylist(), tab["payload"].to_pylist(), strict=True):
         if n is None:
             found.append((doc_id, None, payload))
-            continue
-        raw = unsqueeze(payload[: -4 * n])
-        h.append(np.frombuffer(payload[-4 * n :], np.uint32))
-        d.append(np.cumsum(np.frombuffer(raw[: 8 * n], np.int64)))
-        block.append(np.frombuffer(raw[8 * n : 12 * n], np.uint32))
-        grid.append(np.unpackbits(np.frombuffer(raw[12 * n :], np.uint8), count=n).astype(bool))
-    if h:
-        h, d, block, grid = map(np.concatenate, (h, d, block, grid))
+        else:
+            payloads.append((n, payload))
+    for k in range(PASSES if payloads else 0):
+        parts = []
+        for n, payload in payloads:
+            raw, h = unsqueeze(payload[: -4 * n]), np.frombuffer(payload[-4 * n :], np.uint32)
+            own = np.flatnonzero(h % PASSES == k)
+            d = np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))[own]
+            grid = np.unpackbits(np.frombuffer(raw[12 * n :], np.uint8), count=n).astype(bool)[own]
+            parts.append((h[own], d, np.frombuffer(raw[8 * n : 12 * n], np.uint32)[own], grid))
+        h, d, block, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         order = np.argsort(h, kind="stable")
         run = _edges(h[order])
-        ds = d[order]
-        hit = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) & np.logical_or.reduceat(grid[order], run)
-        j = order[np.repeat(hit, np.diff(np.append(run, len(h))))]
-        j = j[np.lexsort((block[j], d[j]))]
+        if len(run):
+            ds = d[order]
+            hit = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) & np.logical_or.reduceat(grid[order], run)
+            j = order[np.repeat(hit, np.diff(np.append(run, len(h))))]
+            where[0].append(d[j])
+            where[1].append(block[j])
+    if where[0]:
+        d, block = (np.concatenate(x) for x in where)
+        j = np.lexsort((block, d))
         found += [(t, None, p) for t, p in _by_document(d[j], block[j])]
     return _places(found)
 
