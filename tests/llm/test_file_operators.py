@@ -187,3 +187,19 @@ def test_packing_is_whole_and_gapless(spark):
 def test_records_of_nothing(spark, tmp_path):
     manifest = binary_records.write_records(frame(spark, []), str(tmp_path / "r"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     assert manifest.agg(F.sum("n_records")).first()[0] is None and binary_records.read_records(manifest).count() == 0
+
+
+MARKED = [(1, "end <|endoftext|> next"), (2, "plain text"), (3, "a<|startoftext|>b\nc"), (4, "end <|ENDOFTEXT|> next"), (5, "<|endoftext|>")]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_their_ids(spark, tmp_path, name):
+    path, byte_level = public_tokenizers.path(name), name.startswith("byte")
+    default = Tokenizer.from_file(path)
+    want = {i: [*default.encode(t, add_special_tokens=False).ids, 2] for i, t in MARKED}
+    assert want[1] == ([437, 220, 50256, 1306, 2] if byte_level else [806, 49407, 1131, 2])
+    if byte_level:
+        rows = binary_records.read_records(binary_records.write_records(frame(spark, MARKED), str(tmp_path / "r"), path, end_id=2))
+    else:
+        rows = packing.pack_documents(frame(spark, MARKED), path, end_id=2, with_ids=True)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows.collect()} == want

@@ -38,14 +38,18 @@ class Encoder(dict):
 
     Cuts are safe at a single space between other characters, and before a mark or line break after
     a letter or digit. A text with any other cut is encoded whole.
+
+    added: the file's added tokens have their ids, as by the library's own setting, and a text that
+    holds one is encoded whole; else they are split as plain text.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, added: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.keep_space = keep_space
         self.clear()
 
@@ -106,7 +110,7 @@ class Encoder(dict):
         self.used += len(ids)
 
     def _pieces(self, text: str) -> list[str] | None:
-        if JOIN in text:
+        if JOIN in text or any(t in text for t in self.added):
             return None
         if not self.keep_space:
             try:
@@ -114,6 +118,8 @@ class Encoder(dict):
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
+            if any(t in text for t in self.added):  # only in lower case, so it isn't the token
+                return None
         return pieces_of(text, self.keep_space)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -140,4 +146,4 @@ class Encoder(dict):
 @lru_cache(maxsize=4)
 def encoder(path: str, keep_space: bool) -> Encoder:
     """The worker's encoder of a file; its table serves all tasks of the worker."""
-    return Encoder(path, keep_space)
+    return Encoder(path, keep_space, added=True)
