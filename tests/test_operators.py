@@ -158,6 +158,17 @@ def test_stream_ingest_appends_once(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
 
 
+def test_stream_ingest_keeps_late_unseen_keys(spark, tmp_path):
+    from tidemark.streaming.ingest import ingest
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "2024-01-10"), (2, "2024-01-10")], [(2, "2024-01-10"), (3, "2024-01-12")], [(4, "2023-06-01"), (4, "2023-06-01")]):
+        spark.createDataFrame(rows, "k int, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, ts timestamp").parquet(source)
+        ingest(stream, target, "k", str(tmp_path / "c"), "ts").awaitTermination(60)
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4]
+
+
 def test_replay_check_names_what_is_wrong(spark):
     rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "snapshot_id int, row_ordinal int")
     m = spark.createDataFrame([(1, 2, "ACCEPTED"), (2, 3, "ACCEPTED"), (3, 0, "REJECTED")], "snapshot_id int, expected int, status string")

@@ -9,10 +9,10 @@ from tidemark.sources.stores import append_unseen
 
 
 def ingest(stream: DataFrame, path: str, key: str, checkpoint: str, clock: str, late: str = "1 day") -> StreamingQuery:
-    """Drops repeats within the watermark, then those already stored; starts once over what is there.
+    """Appends the rows of unseen keys of each batch, however old; starts once over what is there.
 
-    A batch that runs again after a failure appends nothing twice.
+    A batch that runs again after a failure appends nothing twice. `clock` and `late` drop nothing:
+    the stored table tells what is new, not the time of a row.
     """
-    rows = stream.withWatermark(clock, late).dropDuplicatesWithinWatermark([key])
-    writer = rows.writeStream.foreachBatch(lambda df, _: append_unseen(df, path, key)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, _: append_unseen(df, path, key)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
