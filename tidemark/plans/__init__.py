@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("window_queries", "factor_queries", "pit_queries", "portfolio_queries", "evidence_queries", "model_queries")
+_MODULES = ("window_queries", "factor_queries", "pit_queries", "portfolio_queries", "evidence_queries", "model_queries", "whole_queries")
 for _m in _MODULES:
     importlib.import_module(f"{__name__}.{_m}")
 

@@ -11,6 +11,8 @@ from tidemark.sources.views import oracle, view
 Views = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PARTS: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
+"""What each query was registered with: its function and SQL before views are put in."""
 
 
 def query(name: str, sql: str | None = None):
@@ -23,7 +25,7 @@ def query(name: str, sql: str | None = None):
         run.__name__, run.__doc__ = name, f.__doc__
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = run
+        QUERIES[name], PARTS[name] = run, (f, sql)
         if sql:
             ORACLES[name] = oracle(sql)
         return f

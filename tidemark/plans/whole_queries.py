@@ -1,0 +1,17 @@
+"""Queries over all rows, beside those whose SQL keeps a part of them."""
+
+from __future__ import annotations
+
+import re
+
+from .registry import PARTS, query
+
+
+def over(name: str, suffix: str, part: str, whole: str) -> None:
+    """Registers a query again under a suffix, with a whole view in place of a part of it."""
+    f, sql = PARTS[name]
+    query(f"{name}_{suffix}", sql and re.sub(rf"\b(FROM|JOIN) {part}\b", rf"\1 {whole}", sql))(lambda v: f(lambda n: v(whole if n == part else n)))
+
+
+for _name in ("e15_drawdown", "e21_breakers", "d30_equity_metrics", "d31_portfolio_metrics", "d32_annual_segments", "b35_promotion"):
+    over(_name, "all_runs", "equity", "run_equity")

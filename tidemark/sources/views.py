@@ -51,6 +51,7 @@ VIEWS: dict[str, str] = {
     "score": "SELECT symbol, idx, value AS score FROM feature WHERE feature_id = 'log_amount'",
     "equity": """
       SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0 WHERE symbol < 20""",
+    "run_equity": "SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0",
     "target": """
       SELECT b.idx, b.symbol, 1e0 / (3 + b.symbol % 7) / 10 AS target_w, (b.volume % 9) / 1e2 AS current_w, b.close AS score, b.open AS price, b.volume,
         CASE WHEN b.idx % 17 = 3 AND b.symbol % 11 = 0 THEN NULL ELSE v.industry END AS industry, NOT b.suspended AS eligible
