@@ -26,3 +26,12 @@ def test_every_symbol_is_a_run(spark, con, name):
     columns, rows = whole(spark, con, f"{name}_all_runs")
     at = columns.index("candidate" if "candidate" in columns else "run")
     assert {r[at] for r in rows} == {s for (s,) in con.execute("select distinct l_suppkey from lineitem").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["c04_as_of", "c05_replay_state", "c06_universe_panel"])
+def test_every_session_is_a_decision(spark, con, name):
+    columns, rows = whole(spark, con, f"{name}_all_sessions")
+    days, symbol = columns.index("day"), columns.index("symbol")
+    sessions = {28 * i for (i,) in con.execute("select distinct date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28 from lineitem").fetchall()}
+    assert {r[days] for r in rows} == sessions
+    assert len(rows) == len(sessions) * len({r[symbol] for r in rows})

@@ -228,8 +228,8 @@ def _(v):
 _GRID = "g AS (SELECT s.symbol, d.day FROM (SELECT DISTINCT symbol FROM bar) s CROSS JOIN (SELECT DISTINCT CAST(idx * 28 AS INTEGER) AS day FROM calendar WHERE idx % 6 = 0) d)"
 
 
-def _grid(v):
-    days = v("calendar").filter("idx % 6 = 0").select((F.col("idx") * 28).cast("int").alias("day")).distinct()
+def _grid(v, every=6):
+    days = v("calendar").filter(F.col("idx") % every == 0).select((F.col("idx") * 28).cast("int").alias("day")).distinct()
     return v("bar").select("symbol").distinct().join(days)
 
 

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import pit as P
+from tidemark.operators.windows import own
+
+from .pit_queries import _grid
 from .registry import PARTS, query
 
 
@@ -15,3 +21,17 @@ def over(name: str, suffix: str, part: str, whole: str) -> None:
 
 for _name in ("e15_drawdown", "e21_breakers", "d30_equity_metrics", "d31_portfolio_metrics", "d32_annual_segments", "b35_promotion"):
     over(_name, "all_runs", "equity", "run_equity")
+
+
+over("c04_as_of", "all_sessions", "decision", "every_decision")
+
+
+@query("c05_replay_state_all_sessions", PARTS["c05_replay_state"][1].replace(" WHERE idx % 6 = 0", ""))
+def _(v):
+    return P.replay_state(v("security_event"), _grid(v, 1))
+
+
+@query("c06_universe_panel_all_sessions", PARTS["c06_universe_panel"][1].replace(" WHERE idx % 6 = 0", ""))
+def _(v):
+    a = v("bar").select("symbol", (F.col("idx") * 28).cast("int").alias("day"), F.count("*").over(own().rangeBetween(-5, 0)).alias("active"))
+    return P.universe_panel(P.replay_state(v("security_event"), _grid(v, 1)), a)

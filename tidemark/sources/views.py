@@ -39,6 +39,7 @@ VIEWS: dict[str, str] = {
       SELECT o_custkey AS symbol, CAST(floor($day(o_orderdate) / 91) AS BIGINT) AS report_period, $day(o_orderdate) + CAST(o_orderkey % 60 AS INT) AS available,
         o_orderstatus = 'F' AS update_flag, o_orderkey AS event_id, o_totalprice AS metric FROM $orders""",
     "decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0 WHERE idx % 13 = 0) d",
+    "every_decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0) d",
     "feature": """
       SELECT symbol, idx, 'mom_6' AS feature_id, close / lag(close, 6) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS value FROM bar0
       UNION ALL SELECT symbol, idx, 'mom_3', close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY idx) - 1 FROM bar0
