@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, oracle_rows, rows_of
 from tidemark.plans import ORACLES, QUERIES
+from tidemark.plans.registry import PARTS
+from tidemark.sources.views import view
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +40,22 @@ def test_every_session_is_a_decision(spark, con, name):
     sessions = {28 * i for (i,) in con.execute("select distinct date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28 from lineitem").fetchall()}
     assert {r[days] for r in rows} == sessions
     assert len(rows) == len(sessions) * len({r[symbol] for r in rows})
+
+
+def by_hand(df):
+    hashes = [r.h for r in df.select(F.xxhash64(*df.columns).alias("h")).collect()]
+    return len(hashes), hashlib.sha256(f"{sum(hashes)}|{len(hashes)}".encode()).hexdigest()
+
+
+def test_digests_are_of_the_content(spark):
+    assert tuple(QUERIES["a13_content_digest"](spark, SF).first()) == by_hand(view(spark, SF, "bar"))
+    got = {r.frame: (r.rows, r.digest) for r in QUERIES["i05_frame_digests"](spark, SF).collect()}
+    assert got == {n: by_hand(view(spark, SF, n)) for n in ("feature", "label")}
+
+
+def test_a_digest_tells_tables_of_one_size_apart(spark):
+    f, bar = PARTS["a13_content_digest"][0], view(spark, SF, "bar")
+    one = f(lambda _: bar).first()
+    assert f(lambda _: bar.repartition(7).orderBy("close")).first() == one
+    other = f(lambda _: bar.withColumn("volume", F.col("volume") + F.when((F.col("symbol") == 1) & (F.col("idx") == 3), 1).otherwise(0))).first()
+    assert other.rows == one.rows and other.digest != one.digest

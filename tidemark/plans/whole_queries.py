@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import evidence as E
 from tidemark.operators import pit as P
 from tidemark.operators.windows import own
 
@@ -35,3 +36,14 @@ def _(v):
 def _(v):
     a = v("bar").select("symbol", (F.col("idx") * 28).cast("int").alias("day"), F.count("*").over(own().rangeBetween(-5, 0)).alias("active"))
     return P.universe_panel(P.replay_state(v("security_event"), _grid(v, 1)), a)
+
+
+@query("a13_content_digest")
+def _(v):
+    return E.table_digest(v("bar"))
+
+
+@query("i05_frame_digests")
+def _(v):
+    one = [E.table_digest(v(n)).select(F.lit(n).alias("frame"), "rows", "digest") for n in ("feature", "label")]
+    return one[0].unionByName(one[1])
