@@ -59,3 +59,19 @@ def test_a_digest_tells_tables_of_one_size_apart(spark):
     assert f(lambda _: bar.repartition(7).orderBy("close")).first() == one
     other = f(lambda _: bar.withColumn("volume", F.col("volume") + F.when((F.col("symbol") == 1) & (F.col("idx") == 3), 1).otherwise(0))).first()
     assert other.rows == one.rows and other.digest != one.digest
+
+
+def test_every_row_is_read(spark, con):
+    def one(sql):
+        return con.execute(sql).fetchone()[0]
+
+    _, days = whole(spark, con, "a10_open_calendar_all_rows")
+    assert 0 < len(days) < one("select count(distinct cast(l_shipdate as date)) from lineitem")
+    _, keys = whole(spark, con, "a17_completed_keys_all_rows")
+    assert len(keys) > len(rows_of(QUERIES["a17_completed_keys"](spark, SF))[1])
+    columns, batches = whole(spark, con, "d34_weight_batches_all_rows")
+    assert sum(r[columns.index("n")] for r in batches) == one("select count(*) from (select distinct l_suppkey, date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28 from lineitem)")
+    assert {w for r in batches for w in r[columns.index("violations")].split(",")} >= {"MIXED_INDEX", "MIXED_DATE", "WEIGHT_SUM", ""}
+    columns, cells = whole(spark, con, "d41_period_grid_all_rows")
+    assert len(cells) == 28 * one("select count(distinct o_custkey) from orders")
+    assert {r[columns.index("state")] for r in cells} == {"FOUND", "DUPLICATE", "MISSING"}

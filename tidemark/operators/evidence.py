@@ -196,12 +196,15 @@ def admission_report(selected: DataFrame, admitted: DataFrame) -> DataFrame:
     return rows.select("symbol", why.alias("state"))
 
 
-def period_grid(found: DataFrame, first: int, last: int, parts: int) -> DataFrame:
-    """Every (year, part): found, found twice, or missing."""
+def period_grid(found: DataFrame, first: int, last: int, parts: int, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Every (year, part), of each `by` that occurs: found, found twice, or missing."""
     spark = found.sparkSession
     grid = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"), F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("part"))
-    rows = grid.join(found.groupBy("year", "part").agg(F.count("*").alias("n")), ["year", "part"], "left")
-    return rows.select("year", "part", F.when(F.col("n").isNull(), "MISSING").when(F.col("n") > 1, "DUPLICATE").otherwise("FOUND").alias("state"))
+    if by:
+        grid = found.select(*by).distinct().join(F.broadcast(grid))
+    key = [*by, "year", "part"]
+    rows = grid.join(found.groupBy(*key).agg(F.count("*").alias("n")), key, "left")
+    return rows.select(*key, F.when(F.col("n").isNull(), "MISSING").when(F.col("n") > 1, "DUPLICATE").otherwise("FOUND").alias("state"))
 
 
 def discovery_counts(planned: DataFrame, observed: DataFrame) -> DataFrame:

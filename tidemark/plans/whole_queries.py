@@ -47,3 +47,26 @@ def _(v):
 def _(v):
     one = [E.table_digest(v(n)).select(F.lit(n).alias("frame"), "rows", "digest") for n in ("feature", "label")]
     return one[0].unionByName(one[1])
+
+
+@query("a10_open_calendar_all_rows", "SELECT day FROM (SELECT day, min(is_open) AS lo, max(is_open) AS hi FROM (SELECT CAST(l_shipdate AS DATE) AS day, CASE WHEN $day(l_shipdate) % 7 >= 5 THEN 0 WHEN $day(l_shipdate) % 29 = 0 AND l_linenumber = 1 THEN 0 ELSE 1 END AS is_open FROM lineitem) GROUP BY day) WHERE lo = hi AND hi = 1".replace("$day(l_shipdate)", "date_diff('day', DATE '1994-12-26', CAST(l_shipdate AS DATE))"))
+def _(v):
+    n = F.datediff("l_shipdate", F.lit("1994-12-26").cast("date"))
+    is_open = F.when((n % 7 >= 5) | ((n % 29 == 0) & (F.col("l_linenumber") == 1)), 0).otherwise(1)
+    return E.open_calendar(v("lineitem").select(F.to_date("l_shipdate").alias("day"), is_open.alias("is_open")))[0]
+
+
+@query("a17_completed_keys_all_rows", PARTS["a17_completed_keys"][1].replace(" AND s.snapshot_id % 97 = 0", ""))
+def _(v):
+    return E.completed_keys(v("snapshot"), v("lineage"), v("quality"), v("lineage").select("artifact_id"), "user_id")
+
+
+@query("d34_weight_batches_all_rows", "WITH w AS (SELECT b.idx * 50 + symbol % 50 AS batch, symbol % 100 AS code, b.idx - CASE WHEN symbol % 50 = 7 AND b.idx % 9 = 0 THEN symbol % 3 ELSE 0 END AS day, CAST(b.volume AS DOUBLE) AS weight FROM bar b), g AS (SELECT batch, count(DISTINCT code) AS codes, count(DISTINCT day) AS days, count(*) AS n, sum(weight) AS total FROM w GROUP BY batch) SELECT batch, n, total, concat_ws(',', CASE WHEN codes > 1 THEN 'MIXED_INDEX' END, CASE WHEN days > 1 THEN 'MIXED_DATE' END, CASE WHEN n >= 4 THEN 'ROW_CAP' END, CASE WHEN NOT total BETWEEN 95 AND 400 THEN 'WEIGHT_SUM' END) AS violations FROM g")
+def _(v):
+    rows = v("bar").selectExpr("idx * 50 + symbol % 50 as batch", "symbol % 100 as index_code", "idx - case when symbol % 50 = 7 and idx % 9 = 0 then symbol % 3 else 0 end as day", "cast(volume as double) as weight")
+    return P.weight_batches(rows, 4, 95, 400)
+
+
+@query("d41_period_grid_all_rows", "WITH f AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS part, count(*) AS n FROM orders GROUP BY 1, 2, 3), g AS (SELECT k.o_custkey, CAST(y AS INTEGER) AS year, CAST(p AS INTEGER) AS part FROM (SELECT DISTINCT o_custkey FROM orders) k, (SELECT unnest(generate_series(1995, 2001)) AS y), (SELECT unnest(generate_series(1, 4)) AS p)) SELECT g.o_custkey, g.year, g.part, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'FOUND' END AS state FROM g LEFT JOIN f USING (o_custkey, year, part)")
+def _(v):
+    return E.period_grid(v("orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("part")), 1995, 2001, 4, ["o_custkey"])
