@@ -173,3 +173,21 @@ def test_replay_check_names_what_is_wrong(spark):
     rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "snapshot_id int, row_ordinal int")
     m = spark.createDataFrame([(1, 2, "ACCEPTED"), (2, 3, "ACCEPTED"), (3, 0, "REJECTED")], "snapshot_id int, expected int, status string")
     assert dict(evidence.replay_violations(rows, m).collect()) == {2: "ROW_COUNT,ORDINALS", 3: "NOT_ACCEPTED"}
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        ("denominator", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_MISSING", "NON_POSITIVE_DENOMINATOR"]),
+        ("mean", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_MISSING", "SOURCE_VALUE_MISSING"]),
+        ("amount", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "NON_POSITIVE_AMOUNT", "NON_POSITIVE_AMOUNT"]),
+        ("share", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_MISSING", "SOURCE_VALUE_INVALID"]),
+        ("other", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_INVALID", "SOURCE_VALUE_INVALID"]),
+    ],
+)
+def test_null_reasons_in_the_order_of_the_reference(spark, rule, want):
+    rows = [(1, 9, 2, 0.5, 2.0), (2, 9, 2, None, 2.0), (3, 2, 2, None, None), (4, 9, 3, None, None), (5, 9, 3, None, -2.0)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "symbol int, idx int, calendar_sessions int, present int, f double, source double")
+    wide = df.withColumn("why", pit.null_reasons(df, 3, F.col("f"), F.col("source"), rule))
+    got = windows.factor_rows(df.select("symbol", "idx"), wide, ["f"], {"f": "why"})
+    assert values(got, "null_reason") == want

@@ -75,3 +75,9 @@ def test_every_row_is_read(spark, con):
     columns, cells = whole(spark, con, "d41_period_grid_all_rows")
     assert len(cells) == 28 * one("select count(distinct o_custkey) from orders")
     assert {r[columns.index("state")] for r in cells} == {"FOUND", "DUPLICATE", "MISSING"}
+
+
+def test_a_null_source_is_a_reason(spark, con):
+    got = QUERIES["b23_factor_reasons"](spark, SF).filter("feature_id = 'log_total_mv' and null_reason = 'SOURCE_VALUE_MISSING'")
+    poor = "select count(distinct (l_suppkey, date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28)) from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal <= 0"
+    assert got.count() == con.execute(poor).fetchone()[0] > 0

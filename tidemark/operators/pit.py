@@ -148,12 +148,20 @@ def safe_scalars(rows: DataFrame) -> DataFrame:
     return rows.withColumn("inverse", F.when(F.col("ratio") > 0, F.try_divide(F.lit(1.0), F.col("ratio")))).withColumn("share", F.col("percent") / 100).withColumn("log_value", F.when(F.col("value") > 0, F.ln(F.col("value") * 10000)))
 
 
-def null_reasons(rows: DataFrame, needed: int) -> Column:
-    """Why a factor is null: a missing session, too short a history, then source or denominator."""
-    return (
-        F.when(F.col("calendar_sessions") >= needed, F.when(F.col("present") < needed, "MISSING_TRADING_SESSION"))
-        .when(F.col("present") < needed, "INSUFFICIENT_HISTORY")
-    ).alias("window_reason")
+def null_reasons(rows: DataFrame, needed: int, value: Column | None = None, source: Column | None = None, rule: str = "other") -> Column:
+    """Why a factor is null: a missing session, too short a history, then source or denominator.
+
+    Without a value only the reasons of the window. rule: denominator (null or not positive), mean (a
+    source value is missing), amount (not positive), share (null or not valid), other (not valid).
+    """
+    window = F.when((F.col("calendar_sessions") >= needed) & (F.col("present") < needed), "MISSING_TRADING_SESSION").when(F.col("present") < needed, "INSUFFICIENT_HISTORY")
+    if value is None:
+        return window.alias("window_reason")
+    if rule in ("denominator", "share"):
+        other = F.when(source.isNull(), "SOURCE_VALUE_MISSING").otherwise({"denominator": "NON_POSITIVE_DENOMINATOR", "share": "SOURCE_VALUE_INVALID"}[rule])
+    else:
+        other = F.lit({"mean": "SOURCE_VALUE_MISSING", "amount": "NON_POSITIVE_AMOUNT", "other": "SOURCE_VALUE_INVALID"}[rule])
+    return F.when(value.isNull(), F.coalesce(window, other)).alias("null_reason")
 
 
 def fold_replays(rows: DataFrame, key: list[str], material: list[str], record: str) -> DataFrame:

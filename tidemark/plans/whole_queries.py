@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
 from tidemark.operators import pit as P
+from tidemark.operators import windows as W
 from tidemark.operators.windows import own
 
 from .pit_queries import _grid
 from .registry import PARTS, query
+from .window_queries import rounded
 
 
 def over(name: str, suffix: str, part: str, whole: str) -> None:
@@ -70,3 +72,18 @@ def _(v):
 @query("d41_period_grid_all_rows", "WITH f AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS part, count(*) AS n FROM orders GROUP BY 1, 2, 3), g AS (SELECT k.o_custkey, CAST(y AS INTEGER) AS year, CAST(p AS INTEGER) AS part FROM (SELECT DISTINCT o_custkey FROM orders) k, (SELECT unnest(generate_series(1995, 2001)) AS y), (SELECT unnest(generate_series(1, 4)) AS p)) SELECT g.o_custkey, g.year, g.part, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'FOUND' END AS state FROM g LEFT JOIN f USING (o_custkey, year, part)")
 def _(v):
     return E.period_grid(v("orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("part")), 1995, 2001, 4, ["o_custkey"])
+
+
+@query("b23_factor_reasons")
+def _(v):
+    bars = v("bar")
+    rows = bars.select("symbol", "idx", (F.col("idx") + 1).alias("calendar_sessions"), *[F.count("*").over(own().rangeBetween(1 - n, 0)).alias(f"present_{n}") for n in (1, 7)])
+    rows = rows.join(W.momentum(bars, 6).withColumnRenamed("value", "mom_6"), ["symbol", "idx"]).join(v("valuation"), ["symbol", "idx"], "left")
+    rows = rows.withColumns({"log_total_mv": F.when(F.col("total_mv") > 0, F.ln("total_mv")), "earnings_yield": F.when(F.col("pe") > 0, 1 / F.col("pe"))})
+    reasons = {}
+    for name, needed, source, rule in (("mom_6", 7, None, "other"), ("log_total_mv", 1, F.col("total_mv"), "denominator"), ("earnings_yield", 1, F.col("pe"), "denominator")):
+        reasons[name] = f"why_{name}"
+        rows = rows.withColumn("present", F.col(f"present_{needed}"))
+        rows = rows.withColumn(reasons[name], P.null_reasons(rows, needed, F.col(name), source, rule))
+    universe = bars.select("symbol").distinct().join(v("calendar").select("idx"))
+    return rounded(W.factor_rows(universe, rows, list(reasons), reasons), "value")
