@@ -51,6 +51,45 @@ def test_warc_reader_rejects_false_magic(tmp_path):
         assert [c for _, _, c in warc.records_in(f, 0, f.size())] == [b"payload"]
 
 
+class Counted:
+    """An open file that counts the bytes read."""
+
+    def __init__(self, data):
+        self.data, self.at, self.n = data, 0, 0
+
+    def size(self):
+        return len(self.data)
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.at += len(out)
+        self.n += len(out)
+        return out
+
+
+def test_an_archive_is_read_once():
+    rng = random.Random(4)
+    data = b"".join(warc.member("response", str(i), "u", "d", rng.randbytes(rng.randint(0, 900)), 0) for i in range(10_000))
+    file, found = Counted(data), []
+    for lo in range(0, len(data), 1 << 20):
+        found += [h["warc-record-id"] for _, h, _ in warc.records_in(file, lo, min(lo + (1 << 20), len(data)))]
+    assert found == [f"<urn:row:{i}>" for i in range(10_000)]
+    assert file.n < 2 * len(data)
+
+
+def test_records_across_every_chunk_border():
+    rng = random.Random(6)
+    payloads = [rng.randbytes(rng.randint(0, 300)) for _ in range(20)]
+    data = b"".join(warc.member("response", str(i), "u", "d", p, 0) for i, p in enumerate(payloads))
+    for chunk in (7, 64, 300, 1000):
+        for split in (50, 777, len(data)):
+            got = [c for lo in range(0, len(data), split) for _, _, c in warc.records_in(Counted(data), lo, min(lo + split, len(data)), chunk)]
+            assert got == payloads
+
+
 def test_warc_of_nothing(spark, tmp_path):
     archives = warc.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert archives.count() == 0 and warc.read_archives(archives).count() == 0
@@ -88,7 +127,6 @@ def test_shards_keep_every_row(spark, tmp_path):
 def test_cached_ids_are_the_tokenizers_ids(name, byte_level):
     own = Encoder(public_tokenizers.path(name), byte_level)
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     texts = [t or "" for _, t in odd_documents()]
     texts += ["", " ", "  ", " a", "a ", "a  b", "\n", "a\n", "\na", "a\n\nb", "Hello, world! don't\tx y", "foo \n bar", "x y", "it's, 's 'S", "É́ áb", "<|endoftext|> x", "\x1c a\x1cb", "a\r\nb", "ΑΣ Σ İ ß", "日本 語。テ", "…. a…"]
     rng = random.Random(5)
@@ -167,7 +205,6 @@ def test_packing_is_whole_and_gapless(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack_documents(frame(spark, rows), path, capacity=256, with_ids=True).collect()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = sorted(repr((i, k // 256, k, o)) for i, t in rows for ids in [plain.encode(t or "", add_special_tokens=False).ids + [0]] for k in range(0, len(ids), 256) for o in [ids[k : k + 256]])
     assert sorted(repr((r.doc_id, r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
     assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.length == len(r.ids) // 4 for r in got)

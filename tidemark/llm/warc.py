@@ -9,7 +9,6 @@ read in parallel, with no index.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, scratch_path, table
 from .files import new_file, reader
+from .workers import lean
 
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_FROM = 100
@@ -44,25 +44,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least 100 bytes the one with the smallest id is a response,
     the others are revisits of it; rows of that same id are all responses. Null html is an empty payload,
     a null url an empty URI. A row with a null id revisits a row with one; if all copies have null ids,
-    they are responses. An empty table writes no archive. Extra columns are ignored.
-    """
-    chosen = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
+    they are responses. An empty table writes no archive. Extra columns are ignored. One very long page
+    is one record, held whole by its task; beyond it a task holds one Arrow batch.
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (html or "").encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                rows.append((page_id, url or "", digest, len(payload), member("response", "null" if page_id is None else str(page_id), url or "", digest, payload, len(payload))))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "url", "digest", "payload_bytes", "record"])
-
-    records = keep(chosen.mapInArrow(made, "page_id long, url string, digest string, payload_bytes long, record binary"), "records")
-    big = records.filter(F.col("payload_bytes") >= REVISIT_FROM)
-    # a spread of copies is summed to one row before the join; AQE splits a crowded digest
-    first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    joined = records.join(first, "digest", "left")
+    Digests come first, so a payload is compressed only where it is stored. Pages meet the smallest
+    id of their digest in a join that AQE splits where a digest is crowded.
+    """
+    html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
+    digest, n = F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
+    chosen = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), html.alias("html"), digest, n)
+    first = chosen.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    joined = chosen.join(keep(first.select("digest", "first"), "copies"), "digest", "left")
+    stored = F.col("first").isNull() | (F.col("page_id") == F.col("first"))
+    # a revisit carries no payload; a null id too
+    rows = joined.select("page_id", "url", "digest", "payload_bytes", F.when(F.coalesce(stored, F.lit(False)), F.col("html")).alias("html"), "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, at = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
@@ -71,15 +66,19 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             return
         with new_file(uri) as out:
             while batch is not None:
-                for page_id, url, digest, n, record, target in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "payload_bytes", "record", "first")), strict=True):
-                    if target is not None and page_id != target:  # a null id too
-                        record = member("revisit", "null" if page_id is None else str(page_id), url, digest, b"", n, str(target))
+                for page_id, url, digest, n, html, target in zip(*batch.columns, strict=True):
+                    page_id, url, digest, n = page_id.as_py(), url.as_py(), digest.as_py(), n.as_py()
+                    name = "null" if page_id is None else str(page_id)
+                    if html.is_valid:
+                        record = member("response", name, url, digest, html.as_py().encode(), n)
+                    else:
+                        record = member("revisit", name, url, digest, b"", n, str(target.as_py()))
                     out.write(record)
                     at += len(record)
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [uri], "n_bytes": pa.array([at], pa.int64())})
 
-    return keep(joined.mapInArrow(write, "path string, n_bytes long"), "archives")
+    return keep(rows.mapInArrow(lean(write), "path string, n_bytes long"), "archives")
 
 
 def _header(head: bytes) -> dict[str, str]:
@@ -87,22 +86,37 @@ def _header(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def records_in(file, lo: int, hi: int, chunk: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(place, header, content) of the records that start in [lo, hi) of an open archive."""
-    size, at = file.size(), lo
+class _Window:
+    """Bytes of an open file by place, read ahead in chunks, so that reading on reads each byte once."""
 
-    def read(place: int, n: int) -> bytes:
-        file.seek(place)
-        return file.read(min(n, size - place))
+    def __init__(self, file, chunk: int):
+        self.file, self.chunk, self.size = file, chunk, file.size()
+        self.at, self.data = 0, b""
 
+    def view(self, place: int, least: int = 1) -> memoryview:
+        """What is held from place on; at least so many bytes, fewer only at the end of the file."""
+        lo = place - self.at
+        if lo < 0 or lo + least > len(self.data):
+            kept = self.data[lo:] if 0 <= lo < len(self.data) else b""
+            self.file.seek(place + len(kept))
+            self.data = kept + self.file.read(min(max(self.chunk, least - len(kept)), max(0, self.size - place - len(kept))))
+            self.at, lo = place, 0
+        return memoryview(self.data)[lo:]
+
+
+def records_in(file, lo: int, hi: int, chunk: int = 1 << 18) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(place, header, content) of the records that start in [lo, hi) of an open archive."""
+    window, at = _Window(file, chunk), lo
     while at < hi:
-        window = read(at, min(chunk, hi - at) + len(MAGIC) - 1)
-        k = window.find(MAGIC)
+        held = len(window.view(at, len(MAGIC)))
+        k = window.data.find(MAGIC, at - window.at)
         if k < 0:
-            at += max(1, len(window) - len(MAGIC) + 1)
+            at += max(1, held - len(MAGIC) + 1)
             continue
-        start = at + k
-        found = _member(read, start, size, chunk)
+        start = window.at + k
+        if start >= hi:
+            return
+        found = _member(window, start)
         if found is None:
             at = start + 1
             continue
@@ -111,13 +125,13 @@ def records_in(file, lo: int, hi: int, chunk: int = 1 << 20) -> Iterator[tuple[i
         at = start + used
 
 
-def _member(read, start: int, size: int, chunk: int) -> tuple[dict[str, str], bytes, int] | None:
+def _member(window: _Window, start: int, piece: int = 1 << 14) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose gzip member starts at a place, or None if there is none."""
     z, parts, place = zlib.decompressobj(wbits=31), [], start
     try:
         while not z.eof:
-            data = read(place, 4096 if place == start else chunk)
-            if not data:
+            data = window.view(place)[:piece]
+            if not len(data):
                 return None
             parts.append(z.decompress(data))
             place += len(data)
@@ -163,7 +177,7 @@ def read_archives(archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
                 yield _table(rows, types, names)
 
     n = 4 * archives.sparkSession.sparkContext.defaultParallelism
-    return splits.repartition(n, "path", "lo").mapInArrow(read, schema)
+    return splits.repartition(n, "path", "lo").mapInArrow(lean(read), schema)
 
 
 def _table(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:

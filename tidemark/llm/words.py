@@ -4,7 +4,10 @@ A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D)
 in the UTF-8 text; the white-space bytes never occur inside a multi-byte
 character, so bytes and characters give the same words. Hashes are polynomial
 sums mod 2^64 over prefix sums, then mixed; equal word sequences have equal
-hashes in every batch, and different ones collide with a chance near 2^-64.
+hashes in every batch. Two given different sequences collide with a chance near
+2^-64, unless words of over 1,000 letters were built to collide; among n windows
+the chance of any collision is about n^2 / 2^65. Where that is too much, windows
+are compared by a second hash with another base too.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ NULL = np.iinfo(np.int64).min
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
+_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93, "other": 0xA0761D6478BD642F}
 _MASK = (1 << 64) - 1
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -38,6 +41,11 @@ def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def forget_powers() -> None:
+    """Frees the tables of powers; they are made anew when needed."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -75,12 +83,12 @@ class Words:
         h = (total[self.ends] - total[self.starts]) * back[self.starts]
         self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start words of all windows of size words inside one text, and their hashes."""
+    def windows(self, size: int, kind: str = "word") -> tuple[np.ndarray, np.ndarray]:
+        """Start words of all windows of size words inside one text, and their hashes (kind "other": by another base)."""
         n = len(self.hashes)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        forward, back = _power("word", n + 1)
+        forward, back = _power(kind, n + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * forward[:n], dtype=np.uint64)])
         h = (total[size:] - total[:-size]) * back[: n - size + 1]
         last = np.repeat(self.first[1:], self.counts)[: n - size + 1]
