@@ -7,7 +7,8 @@ is CRC-32, masked by a rotation and a constant so that data which hold checksums
 don't check by chance. The index beside a shard holds one uint64 a record: its place.
 
 Documents are dealt by ranges of their id, so shards follow one another in id order and
-no task holds more than its range; ids that many rows share are dealt by text too.
+no task holds more than its range; ids that many rows share are dealt by text too. The ranges
+come from the ids alone, so texts are compressed and dealt once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from pyspark.sql.window import Window
 from .common import keep, scratch_path, table, tasks_for, text_bytes
 from .files import new_file, reader
 from .packed import opened, squeezed_texts
+from .words import NULL
+from .workers import lean
+
+MOST_SHARDS = 20_000
+"""Ranges of ids that are told apart; a larger corpus gets larger shards."""
 
 MASK = 0xA282EAD8
 
@@ -66,15 +72,23 @@ def records(file, places: np.ndarray | None = None) -> Iterator[bytes]:
         at, i = at + n + 16, i + 1
 
 
+def id_bounds(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[int]:
+    """Bounds of n ranges of ids with about equal numbers of rows; an id with many rows is several bounds."""
+    n = min(n, MOST_SHARDS)
+    ids = F.coalesce(docs[id_col].cast("long"), F.lit(NULL))
+    found = docs.agg(F.percentile_approx(ids, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+    return sorted(found or [])
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, byte_level: bool = True, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends end_id and writes shards below path in ascending id order.
 
     Returns the manifest: shard, path, n_records, n_tokens, n_bytes. Null and empty texts give
     the end id alone; null ids come first; rows of one id follow each other, equal ones too.
     An empty table writes no shard. Extra columns are ignored. width 2 needs ids below 65,536.
+    A very long text is held whole by one task, with about 50 bytes for each of its own.
     """
-    spark = docs.sparkSession
-    n = tasks_for(spark, text_bytes(docs, text_col), shard_bytes)
+    bounds = id_bounds(docs, tasks_for(docs.sparkSession, text_bytes(docs, text_col), shard_bytes), id_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
@@ -103,13 +117,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, width
                     places.append(at)
                     at += len(data)
                     n_tokens += len(ids)
+        own.shrink()
         with new_file(uri.removesuffix(".bin") + ".idx") as out:
             out.write(np.array(places, "<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [uri], "n_records": pa.array([len(places)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()), "n_bytes": pa.array([at], pa.int64())})
 
-    texts = squeezed_texts(docs, id_col, text_col)
-    dealt = texts.repartitionByRange(n, "doc_id", "tkey").sortWithinPartitions("doc_id", "tkey")
-    return keep(dealt.mapInArrow(write, "shard int, path string, n_records long, n_tokens long, n_bytes long"), "record-manifest")
+    texts = squeezed_texts(docs, id_col, text_col, bounds=bounds)
+    dealt = texts.repartitionById(len(bounds) + 1, "part").drop("part").sortWithinPartitions("doc_id", F.col("tkey").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return keep(dealt.mapInArrow(lean(write), "shard int, path string, n_records long, n_tokens long, n_bytes long"), "record-manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
@@ -133,7 +148,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 yield _ids(rows)
 
     n = 4 * manifest.sparkSession.sparkContext.defaultParallelism
-    return shards.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, ids binary")
+    return shards.repartition(n, "shard").mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def _ids(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:

@@ -11,7 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import slices
+from .words import longs, slices
+from .workers import lean
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -22,20 +23,30 @@ def unsqueeze(data: bytes) -> memoryview:
     return memoryview(zstandard.ZstdDecompressor().decompress(data))
 
 
-def squeezed_texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def squeezed_texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), bounds: list[int] | None = None) -> DataFrame:
     """(doc_id, tkey, z, then carry): z is the compressed UTF-8 text, tkey a hash of it
-    that tells rows of one id with different texts apart."""
+    that tells rows of one id with different texts apart.
+
+    bounds, sorted: adds part, the number of bounds below the id (a null one is the least). An id that
+    is several of the bounds is dealt to all its parts, in the order of tkey as an unsigned number.
+    """
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in carry])
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tkey", T.IntegerType()), T.StructField("z", T.BinaryType()), *chosen.schema.fields[2:]])
+    if bounds is not None:
+        schema.add("part", T.IntegerType())
 
     def squeeze_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for part, texts in slices(batches):
-            keys = pa.array(np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32).view(np.int32))
-            columns = [part.column(0), keys, pa.array([z.compress(t) for t in texts], pa.binary()), *part.columns[2:]]
+            keys = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32)
+            columns = [part.column(0), pa.array(keys.view(np.int32)), pa.array([z.compress(t) for t in texts], pa.binary()), *part.columns[2:]]
+            if bounds is not None:
+                ids = longs(part.column(0))
+                lo, hi = (np.searchsorted(np.array(bounds, np.int64), ids, side) for side in ("left", "right"))
+                columns.append(pa.array((lo + ((hi - lo + 1) * keys.astype(np.int64) >> 32)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return chosen.mapInArrow(squeeze_all, schema)
+    return chosen.mapInArrow(lean(squeeze_all), schema)
 
 
 def opened(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

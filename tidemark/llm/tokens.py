@@ -13,8 +13,10 @@ from functools import lru_cache
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-TABLE = 600_000
-"""Pieces kept by a worker; beyond it the table starts anew."""
+TABLE = 500_000
+"""Pieces kept by a worker; beyond it only those met again stay."""
+GROUP = 512
+"""New words that are encoded as one text."""
 MARKS = ".,;:!?"
 JOIN = "\0"
 """Starts a piece that follows the one before without a space."""
@@ -37,31 +39,49 @@ class Encoder(dict):
     follows; else rules that drop white space and case. A dict from pieces to their numbers.
 
     Cuts are safe at a single space between other characters, and before a mark or line break after
-    a letter or digit. A text with any other cut is encoded whole.
-
-    added: the file's added tokens have their ids, as by the library's own setting, and a text that
-    holds one is encoded whole; else they are split as plain text.
+    a letter or digit. A text with any other cut is encoded whole, and so is one that holds an added
+    token of the file.
     """
 
-    def __init__(self, path: str, keep_space: bool, added: bool = False):
+    def __init__(self, path: str, keep_space: bool):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep_space = keep_space
         self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.new: list[str] = []
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
         # unsafe at its ends; ends in a sign; a mark cut off the piece before
         self.bad, self.tail, self.lead = (np.zeros(1 << 16, bool) for _ in range(3))
 
+    def shrink(self, least: int = 3) -> None:
+        """Keeps the pieces met at least so often; in a corpus most pieces are met once."""
+        stay = np.flatnonzero(self.met[: len(self)] >= least)
+        if len(stay) > TABLE // 2:
+            self.clear()
+            return
+        names = list(self)
+        names = [names[i] for i in stay]
+        size = self.size[stay]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[stay] - (ends - size), size) + np.arange(size.sum())]
+        kept = {n: getattr(self, n)[stay] for n in ("met", "bad", "tail", "lead")}
+        self.clear()
+        self.update(zip(names, range(len(names)), strict=True))
+        for n, a in kept.items():
+            setattr(self, n, self._grown(getattr(self, n), len(stay)))
+            getattr(self, n)[: len(stay)] = a
+        self.start, self.size = (self._grown(a, len(stay)) for a in (self.start, self.size))
+        self._put(np.arange(len(stay)), size, ids)
+        self.met[: len(stay)] = 0
+
     def __missing__(self, piece: str) -> int:
         i = self[piece] = len(self)
         self.new.append(piece)
@@ -72,27 +92,28 @@ class Encoder(dict):
 
     def _learn(self) -> None:
         new, self.new = self.new, []
-        for name in ("start", "size", "bad", "tail", "lead"):
+        for name in ("start", "size", "met", "bad", "tail", "lead"):
             setattr(self, name, self._grown(getattr(self, name), len(self)))
         first = len(self) - len(new)  # pieces are numbered as they come
-        plain = [k for k, p in enumerate(new, first) if p.isalpha()]
-        rest = [(k, p) for k, p in enumerate(new, first) if not p.isalpha()]
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo : lo + 4096]
+        letters = np.fromiter(map(str.isalpha, new), bool, len(new))
+        plain, rest = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        for lo in range(0, len(plain), GROUP):
+            part = plain[lo : lo + GROUP]
             # letters alone are one word of the tokenizer each, so many can be encoded as one text
-            e = self.tokenizer.encode(" " + " ".join([new[k - first] for k in part]), add_special_tokens=False)
+            e = self.tokenizer.encode(" " + " ".join([new[k] for k in part]), add_special_tokens=False)
             size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
             if len(size) == len(part) and size.all():
-                self._put(np.array(part), size, np.array(e.ids, np.uint32))
+                self._put(np.array(part) + first, size, np.array(e.ids, np.uint32))
             else:
-                rest += [(k, new[k - first]) for k in part]
-        for lo in range(0, len(rest), 4096):
-            part = rest[lo : lo + 4096]
-            texts = [p[1:] if p[:1] == JOIN else " " + p if self.keep_space else p for _, p in part]
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                rest += part
+        for lo in range(0, len(rest), GROUP):
+            part = rest[lo : lo + GROUP]
+            texts = [p[1:] if p[:1] == JOIN else " " + p if self.keep_space else p for p in (new[k] for k in part)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            self._put(np.array([k for k, _ in part]), size, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum())))
-        for k, p in rest:
+            self._put(np.array(part) + first, size, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum())))
+        for i in rest:
+            p, k = new[i], first + i
             b, line = p[1:] if p[:1] == JOIN else p, p == JOIN + "\n"
             if not b:
                 self.bad[k] = self.keep_space
@@ -125,13 +146,16 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
         if len(self) > TABLE:
-            self.clear()
-        places = []
+            self.shrink()
+        places: list[np.ndarray | None] = []
         for text in texts:
             pieces = self._pieces(text)
             places.append(None if pieces is None else np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
         if self.new:
             self._learn()
+        some = [at for at in places if at is not None]
+        if some:
+            self.met[: len(self)] += np.bincount(np.concatenate(some), minlength=len(self))
         out = []
         for text, at in zip(texts, places, strict=True):
             if at is None or self.bad[at].any() or (self.tail[at[:-1]] & self.lead[at[1:]]).any():
@@ -146,4 +170,4 @@ class Encoder(dict):
 @lru_cache(maxsize=4)
 def encoder(path: str, keep_space: bool) -> Encoder:
     """The worker's encoder of a file; its table serves all tasks of the worker."""
-    return Encoder(path, keep_space, added=True)
+    return Encoder(path, keep_space)
