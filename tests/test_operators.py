@@ -71,10 +71,53 @@ def test_constant_side_has_no_correlation(spark):
     assert df.agg(factors.guarded_corr("a", "b").alias("c")).first().c is None
 
 
+def trials(spark, rejected=()):
+    return spark.createDataFrame([(f, k, k, f in rejected) for k, f in enumerate("abc", 1)], "feature_id string, simplicity int, place int, rejected boolean")
+
+
 def test_redundant_factor_goes_once(spark):
-    pairs = spark.createDataFrame([("m", "a", "b", 0.95), ("m", "b", "c", 0.9), ("m", "a", "c", 0.5)], "family string, a string, b string, correlation double")
-    simple = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "feature_id string, simplicity int")
-    assert [(r.dropped, r.kept) for r in factors.drop_redundant(pairs, simple).collect()] == [("b", "a")]
+    pairs = spark.createDataFrame([("m", "a", "b", 0.9), ("m", "b", "c", 0.95), ("m", "a", "c", 0.5)], "family string, a string, b string, correlation double")
+    assert [(r.dropped, r.kept) for r in factors.drop_redundant(pairs, trials(spark)).collect()] == [("b", "a")]
+
+
+def test_a_rejected_factor_knocks_none_out(spark):
+    pairs = spark.createDataFrame([("m", "a", "b", 0.95), ("m", "b", "c", 0.95)], "family string, a string, b string, correlation double")
+    assert [(r.dropped, r.kept) for r in factors.drop_redundant(pairs, trials(spark, ["a"])).collect()] == [("c", "b")]
+
+
+def panel(spark):
+    """Four sessions of ten symbols; the label falls with the value, and one value is infinite."""
+    rows = []
+    for idx in range(4):
+        for k in range(1, 11):
+            value = float("inf") if (idx, k) == (3, 10) else float(k if idx % 2 == 0 else 11 - k)
+            rows.append((k, idx, "f", value, -value / 100 + (0.001 if k % 2 else -0.001), math.log(k), "BANK" if k <= 5 else "TECH", "BULL" if idx < 2 else "BEAR"))
+    return spark.createDataFrame(rows, "symbol int, idx int, feature_id string, value double, label double, size double, industry string, regime string")
+
+
+def test_infinities_are_not_finite(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, -2.0, float("inf"), float("-inf"), float("nan"), None)], "x double")
+    assert [r.f for r in df.select(factors.finite("x").alias("f")).collect()] == [True, True, False, False, False, False]
+    r = factors.coverage(panel(spark).withColumn("label", F.abs("label"))).first()
+    assert (r.total, r.valid, r.missing_feature) == (40, 39, 1)
+
+
+def test_spread_pays_for_turnover_of_oriented_values(spark):
+    p = factors.oriented(panel(spark).filter("value < 100"), {"f": -1.0})
+    r = factors.quintile_report(p, 0.01).first()
+    assert r.gross > 0 and r.monotone == 1.0 and r.turnover == 1.0  # the top changes at each session
+    assert r.spread == pytest.approx(r.gross - 0.01)
+
+
+def test_diagnostics_and_decision(spark):
+    t = spark.createDataFrame([("f", "m", 1, 1)], "feature_id string, family string, simplicity int, place int")
+    r = factors.factor_report(panel(spark), t, F.floor(F.col("idx") / 2), {"f": -1.0}).first()
+    assert (r.total, r.valid, r.missing_feature) == (40, 39, 1) and r.coverage == 39 / 40
+    assert r.mean_ic == pytest.approx(-r.oriented_ic) and r.oriented_ic > 0.9 and r.positive == 1.0
+    assert r.autocorrelation < -0.9 and [y.segment for y in r.years] == ["0", "1"] and r.worst_year in ("0", "1")
+    assert [x.segment for x in r.regimes] == ["BEAR", "BULL"] and {x.segment for x in r.industrys} == {"BANK", "TECH"}
+    assert (r.decision, r.reasons, r.selected) == ("CANDIDATE", "", True)
+    assert factors.factor_report(panel(spark), t, F.floor(F.col("idx") / 2)).first().decision == "REJECTED"
 
 
 def test_as_of_prefers_newer_period_then_revision(spark):
@@ -91,8 +134,35 @@ def test_relisting_starts_a_new_spell(spark):
 
 
 def test_round14(spark):
-    df = spark.createDataFrame([(1 / 3,), (-12345.678901234567,)], "x double")
-    assert [r.y for r in df.select(pit.round14("x").alias("y")).collect()] == [float(format(x, ".14g")) for x in (1 / 3, -12345.678901234567)]
+    rng = np.random.default_rng(2)
+    x = [1 / 3, -12345.678901234567, 0.0, 899.840459770115, -899.840459770115, 1.00000000000005, 5e-320, 1e300, 0.1, 100.0]
+    x += [round(float(v), 14 - int(np.floor(np.log10(v))) - 1) + 5 * 10.0 ** (int(np.floor(np.log10(v))) - 14) for v in 10 ** rng.uniform(-7, 12, 400)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    assert [r.y for r in df.select(pit.round14("x").alias("y")).collect()] == [float(f"{v:.13e}") for v in x]
+
+
+def test_intervals_meet_as_all_pairs_do(spark):
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        out = [(int(rng.integers(3)), int(rng.integers(60)), int(rng.integers(12))) for _ in range(n)]
+        return [(k, s, None if e == 0 else s + e - 2) for k, s, e in out]
+
+    a, b = rows(60), rows(60)
+    df = [spark.createDataFrame(x, "k int, start int, end int") for x in (a, b)]
+    far = 10**9
+    want = sorted((k, str(s), str(e), str(t), str(f)) for k, s, e in a for j, t, f in b if k == j and s < (far if f is None else f) and t < (far if e is None else e))
+    got = sorted((r.k, str(r.a_start), str(r.a_end), str(r.b_start), str(r.b_end)) for r in pit.overlapping(*df, "k", 5).collect())
+    assert got == want
+    assert pit.overlapping(df[0].limit(0), df[1].limit(0), "k", 5).count() == 0
+
+
+def test_rows_are_numbered_across_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", int(v)) for v in rng.permutation(5000)] + [("b", 7)] * 30 + [("c", 1)]
+    got = windows.numbered(spark.createDataFrame(rows, "g string, k bigint"), "g", "k", parts=7).collect()
+    assert {r.n for r in got if r.g == "b"} == set(range(30))
+    assert all(r.n == r.k for r in got if r.g == "a") and [r.n for r in got if r.g == "c"] == [0]
 
 
 def test_fold_bounds(spark):
@@ -114,11 +184,105 @@ def test_ridge_is_the_closed_form(spark):
     assert (got["a"], got["b"], got["intercept"]) == pytest.approx((*w, y.mean() - x.mean(0) @ w))
 
 
+ORDER = "symbol int, seq int, day int, side string, shares int, price double"
+
+
 def test_fifo_takes_the_oldest_lot_of_an_earlier_day(spark):
-    o = spark.createDataFrame([(1, 1, 1, "BUY", 100, 1.0), (1, 2, 2, "BUY", 100, 2.0), (1, 3, 3, "SELL", 150, 9.0)], "symbol int, seq int, day int, side string, shares int, price double")
+    o = spark.createDataFrame([(1, 1, 1, "BUY", 100, 1.0), (1, 2, 2, "BUY", 100, 2.0), (1, 3, 3, "SELL", 150, 9.0)], ORDER)
     assert sorted((r.buy_seq, r.matched) for r in windows.fifo(o).collect()) == [(1, 100), (2, 50)]
 
 
+def test_fifo_leaves_a_lot_of_the_same_day(spark):
+    o = spark.createDataFrame([(1, 1, 1, "BUY", 100, 1.0), (1, 2, 1, "SELL", 100, 2.0), (1, 3, 2, "SELL", 100, 9.0)], ORDER)
+    assert [(r.sell_seq, r.buy_seq, r.matched) for r in windows.fifo(o).collect()] == [(3, 1, 100)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fifo_follows_the_ledger(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, day = [], 0
+    for seq in range(120):
+        day += int(rng.integers(2))
+        rows.append((seq % 3, seq, day, "BUY" if rng.random() < 0.5 else "SELL", int(rng.integers(1, 9)) * 10, 1.0))
+    want = []
+    for symbol in range(3):
+        lots = []
+        for _, seq, day, side, n, _ in (r for r in rows if r[0] == symbol):
+            if side == "BUY":
+                lots.append([seq, day, n])
+                continue
+            for lot in lots:
+                k = min(n, lot[2]) if lot[1] < day else 0
+                if k:
+                    want.append((symbol, seq, lot[0], k))
+                    lot[2] -= k
+                    n -= k
+    got = windows.fifo(spark.createDataFrame(rows, ORDER)).collect()
+    assert sorted((r.symbol, r.sell_seq, r.buy_seq, r.matched) for r in got) == sorted(want)
+
+
+def test_sizes_name_the_rule_that_binds(spark):
+    rows = spark.createDataFrame([(1, 1000, 1e6, 10.0, 1_000_000), (2, 9000, 1e6, 10.0, 1_000_000), (3, 9000, 1e6, 10.0, 900), (4, 900, 1e3, 10.0, 10_000)], "k int, requested int, equity double, price double, volume int")
+    got = {r.k: (r.shares, r.rule, r.action, r.observed, r.limit) for r in portfolios.sized(rows).collect()}
+    assert got == {1: (1000, None, None, None, None), 2: (5000, "MAX_POSITION_WEIGHT", "RESIZE", 9000.0, 0.05), 3: (0, "VOLUME_PARTICIPATION", "REJECT", 9000.0, 0.1), 4: (0, "MAX_POSITION_WEIGHT", "REJECT", 900.0, 0.05)}
+
+
+def test_metrics_count_trades_and_missing_benchmarks(spark):
+    equity = spark.createDataFrame([(1, i, e) for i, e in enumerate([100.0, 110.0, 99.0, 120.0])] + [(2, 0, 5.0)], "run int, idx int, equity double")
+    trades = spark.createDataFrame([(1, "BUY", None, 1.0), (1, "SELL", 5.0, 2.0), (1, "SELL", -1.0, 0.5)], "run int, side string, realized double, fee double")
+    m = {r.run: r for r in portfolios.equity_metrics(equity, trades).collect()}
+    r = np.diff([100, 110, 99, 120]) / np.array([100, 110, 99])
+    assert (m[1].win_rate, m[1].trade_count, m[1].total_fees) == (0.5, 3, 3.5) and m[1].volatility == pytest.approx(r.std(ddof=1) * math.sqrt(252))
+    assert m[1].max_drawdown == pytest.approx(-0.1) and (m[2].trade_count, m[2].total_return, m[2].sharpe) == (0, 0.0, 0.0)
+    bench = spark.createDataFrame([(0, 10.0), (1, 11.0), (3, 12.0)], "idx int, close double")
+    assert [tuple(x) for x in portfolios.benchmark_violations(equity, bench).collect()] == [(1, 2, "MISSING_BENCHMARK")]
+    orders = spark.createDataFrame([(1, 50.0, 1.0, 0.2, "FILLED"), (1, 50.0, 1.0, 0.4, "PENDING")], "run int, notional double, fee double, participation double, state string")
+    p = {x.run: x for x in portfolios.portfolio_metrics(equity, bench, orders, equity.filter("equity < 100")).collect()}
+    assert (p[1].violations, p[1].excess, p[1].pending, p[1].participation, p[1].events) == (1, None, 1, 0.4, 1)
+    assert p[1].turnover == pytest.approx(100 / np.mean([100, 110, 99, 120])) and (p[2].violations, p[2].excess) == (0, 0.0)
+
+
+def test_unknown_industry_blocks_though_no_weight_changes(spark):
+    t = spark.createDataFrame([(1, 1, 0.03, 0.0, 1.0, 10.0, 10_000_000, None, True), (1, 2, 0.08, 0.0, 2.0, 10.0, 10_000_000, "X", True), (1, 3, 0.03, 0.0, 0.5, 10.0, 10_000_000, "X", False)], "idx int, symbol int, target_w double, current_w double, score double, price double, volume int, industry string, eligible boolean")
+    got = {(r.symbol, r.rule): (r.action, r.observed, r.limit) for r in portfolios.risk_events(portfolios.rule_chain(t, 1e6), 1e6).collect()}
+    assert got[None, "INDUSTRY_EXPOSURE_UNAVAILABLE"] == ("BLOCK_VALIDATION", 1.0, 0.0)
+    assert got[2, "MAX_POSITION_WEIGHT"] == ("RESIZE", 0.08, 0.05)
+    assert got[3, "NEW_RISK_INELIGIBLE"] == ("REJECT", 0.03, 0.0)
+    assert set(got) == {(None, "INDUSTRY_EXPOSURE_UNAVAILABLE"), (2, "MAX_POSITION_WEIGHT"), (3, "NEW_RISK_INELIGIBLE")}
+
+
+def test_training_chooses_on_validation_and_scores_test_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2))
+    y = 0.7 * x[:, 0] - 0.2 * x[:, 1] + rng.normal(size=90) * 0.5
+    df = spark.createDataFrame([(1, i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [(1, 5, float("inf"), 0.0, 1.0)], "symbol int, idx int, a double, b double, label double")
+    folds = spark.createDataFrame([(f, i, "train" if i < 30 + 20 * f else "validation" if i < 40 + 20 * f else "test") for f in (0, 1) for i in range(50 + 20 * f)], "fold int, idx int, role string")
+    got = models.train(df, folds, ["a", "b"])
+
+    def fit(n, alpha):
+        c = x[:n] - x[:n].mean(0)
+        w = np.linalg.solve(c.T @ c + alpha * np.eye(2), c.T @ (y[:n] - y[:n].mean()))
+        return w, y[:n].mean() - x[:n].mean(0) @ w
+
+    loss = {a: np.mean([np.mean((y[n : n + 10] - x[n : n + 10] @ fit(n, a)[0] - fit(n, a)[1]) ** 2) for n in (30, 50)]) for a in (0.1, 1.0, 10.0, 100.0)}
+    best = min(loss, key=lambda a: (loss[a], a))
+    assert got.alpha.first().alpha == best
+    for r in got.predictions.collect():
+        w, b = fit(30 + 20 * r.fold, best)
+        assert r.prediction == pytest.approx(x[r.idx] @ w + b)
+    assert got.predictions.count() == 20 and got.test.count() == 2
+    frame, wrong = models.evaluation_frame(got.predictions.filter("idx <> 41"), got.predictions, ["fold", "symbol", "idx"])
+    assert frame.columns == ["fold", "symbol", "idx", "prediction", "label"]
+    assert [(r.idx, r.violation) for r in wrong.collect()] == [(41, "MISSING")]
+
+
+def test_development_ends(spark):
+    rows = spark.range(10).withColumnRenamed("id", "idx")
+    assert models.development_rows(rows, 5).count() == 6 and models.development_rows(rows, 5, asked=2).count() == 3
+    with pytest.raises(ValueError, match="sealed"):
+        models.development_rows(rows, 5, asked=6)
+
+
 def test_costs_have_a_least(spark):
     r = portfolios.costs(spark.createDataFrame([(1000.0, "SELL")], "notional double, side string")).first()
     assert (r.commission, r.stamp_duty) == (5.0, 0.5)
@@ -135,8 +299,13 @@ def test_artifact_is_written_once(spark, tmp_path):
     path = stores.publish(df, str(tmp_path))
     assert stores.publish(df.orderBy("b"), str(tmp_path)) == path
     assert stores.read_verified(spark, path, df.schema, ["a"]).count() == 2
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="nulls"):
         stores.read_verified(spark, path, df.schema, ["b"])
+    spark.createDataFrame([(3, "y")], "a int, b string").write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="content"):
+        stores.read_verified(spark, path, df.schema, ["a"])
+    with pytest.raises(ValueError, match="content"):
+        stores.publish(df, str(tmp_path))
 
 
 def test_append_is_idempotent(spark, tmp_path):
@@ -185,7 +354,7 @@ def test_replay_check_names_what_is_wrong(spark):
         ("other", [None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_INVALID", "SOURCE_VALUE_INVALID"]),
     ],
 )
-def test_null_reasons_in_the_order_of_the_reference(spark, rule, want):
+def test_null_reasons_have_an_order(spark, rule, want):
     rows = [(1, 9, 2, 0.5, 2.0), (2, 9, 2, None, 2.0), (3, 2, 2, None, None), (4, 9, 3, None, None), (5, 9, 3, None, -2.0)]
     df = spark.createDataFrame([(1, *r) for r in rows], "symbol int, idx int, calendar_sessions int, present int, f double, source double")
     wide = df.withColumn("why", pit.null_reasons(df, 3, F.col("f"), F.col("source"), rule))

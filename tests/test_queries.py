@@ -20,9 +20,8 @@ def test_matches_sql(spark, con, name):
     assert rows_of(QUERIES[name](spark, SF)) == oracle_rows(con, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_are_these():
+    assert set(QUERIES) - set(ORACLES) == {"a13_content_digest", "i05_frame_digests", "d28_ridge"}  # see test_whole_queries
 
 
 def test_entry_has_stable_columns(spark):

@@ -1,4 +1,4 @@
-"""Queries over all rows, on tables where the part that other queries keep is not the whole."""
+"""Queries hold whole tables; digests and fits against the same by hand."""
 
 from __future__ import annotations
 
@@ -28,14 +28,14 @@ def whole(spark, con, name):
 
 @pytest.mark.parametrize("name", ["e15_drawdown", "e21_breakers", "d30_equity_metrics", "d31_portfolio_metrics", "d32_annual_segments", "b35_promotion"])
 def test_every_symbol_is_a_run(spark, con, name):
-    columns, rows = whole(spark, con, f"{name}_all_runs")
+    columns, rows = whole(spark, con, name)
     at = columns.index("candidate" if "candidate" in columns else "run")
     assert {r[at] for r in rows} == {s for (s,) in con.execute("select distinct l_suppkey from lineitem").fetchall()}
 
 
 @pytest.mark.parametrize("name", ["c04_as_of", "c05_replay_state", "c06_universe_panel"])
 def test_every_session_is_a_decision(spark, con, name):
-    columns, rows = whole(spark, con, f"{name}_all_sessions")
+    columns, rows = whole(spark, con, name)
     days, symbol = columns.index("day"), columns.index("symbol")
     sessions = {28 * i for (i,) in con.execute("select distinct date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28 from lineitem").fetchall()}
     assert {r[days] for r in rows} == sessions
@@ -65,19 +65,35 @@ def test_every_row_is_read(spark, con):
     def one(sql):
         return con.execute(sql).fetchone()[0]
 
-    _, days = whole(spark, con, "a10_open_calendar_all_rows")
+    _, days = whole(spark, con, "a10_open_calendar")
     assert 0 < len(days) < one("select count(distinct cast(l_shipdate as date)) from lineitem")
-    _, keys = whole(spark, con, "a17_completed_keys_all_rows")
-    assert len(keys) > len(rows_of(QUERIES["a17_completed_keys"](spark, SF))[1])
-    columns, batches = whole(spark, con, "d34_weight_batches_all_rows")
+    columns, batches = whole(spark, con, "d34_weight_batches")
     assert sum(r[columns.index("n")] for r in batches) == one("select count(*) from (select distinct l_suppkey, date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28 from lineitem)")
     assert {w for r in batches for w in r[columns.index("violations")].split(",")} >= {"MIXED_INDEX", "MIXED_DATE", "WEIGHT_SUM", ""}
-    columns, cells = whole(spark, con, "d41_period_grid_all_rows")
+    columns, cells = whole(spark, con, "d41_period_grid")
     assert len(cells) == 28 * one("select count(distinct o_custkey) from orders")
     assert {r[columns.index("state")] for r in cells} == {"FOUND", "DUPLICATE", "MISSING"}
-
-
-def test_a_null_source_is_a_reason(spark, con):
-    got = QUERIES["b23_factor_reasons"](spark, SF).filter("feature_id = 'log_total_mv' and null_reason = 'SOURCE_VALUE_MISSING'")
-    poor = "select count(distinct (l_suppkey, date_diff('day', date '1994-12-26', cast(l_shipdate as date)) // 28)) from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal <= 0"
-    assert got.count() == con.execute(poor).fetchone()[0] > 0
+    columns, rows = whole(spark, con, "d40_admission_report")
+    assert {r[columns.index("state")] for r in rows} >= {"MISSING", "UNEXPECTED", "CONFLICTING", "ADMITTED"}
+
+
+def test_every_reason_is_met(spark, con):
+    columns, rows = whole(spark, con, "b23_factor_reasons")
+    assert {r[columns.index("null_reason")] for r in rows} == {None, "MISSING_TRADING_SESSION", "INSUFFICIENT_HISTORY", "SOURCE_VALUE_MISSING", "NON_POSITIVE_DENOMINATOR"}
+
+
+def test_ridge_of_three_features(spark):
+    import numpy as np
+
+    names = ["mom_3", "mom_6", "log_amount"]
+    rows = QUERIES["c09_training_matrix"](spark, SF).toPandas().dropna(subset=[*names, "label"])
+    folds = view(spark, SF, "fold").filter("role = 'train'").toPandas()
+    got = QUERIES["d28_ridge"](spark, SF).toPandas().pivot(index=["fold", "alpha"], columns="feature_id", values="coefficient")
+    assert len(got) == 16
+    for (fold, alpha), r in got.iterrows():
+        own = rows[rows.idx.isin(folds[folds.fold == fold].idx)]
+        x, y = own[names].to_numpy(), own.label.to_numpy()
+        c = x - x.mean(0)
+        w = np.linalg.solve(c.T @ c + alpha * np.eye(3), c.T @ (y - y.mean()))
+        assert r[names].to_numpy().astype(float) == pytest.approx(w, rel=1e-4, abs=1e-6)
+        assert r.intercept == pytest.approx(y.mean() - x.mean(0) @ w, rel=1e-4, abs=1e-5)

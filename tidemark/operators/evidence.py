@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import numbered
+
 VERSION = "^[0-9a-f]{40}$"
 
 
@@ -66,15 +68,24 @@ def outside(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     return rows.join(allowed.select(key).distinct(), key, "left_anti")
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """Rows and an order-insensitive digest of a table."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+def portable_hash(columns: list[str]) -> Column:
+    """A number from SHA-256 of a row's columns as text; other engines can compute it too."""
+    return F.conv(F.substring(row_digest(columns), 1, 15), 16, 10)
+
+
+def table_digest(df: DataFrame, row_hash: Column | None = None) -> DataFrame:
+    """Rows and an order-insensitive digest of a table, from the sum of its rows' hashes."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns]) if row_hash is None else row_hash
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.sum(h.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256).alias("digest"))
 
 
-def key_digest(df: DataFrame, by: str, key: str) -> DataFrame:
-    """Digest of the sorted keys of each group; for small sets of keys."""
-    return df.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(key)).cast("array<string>"), "|"), 256).alias("digest"))
+def key_digest(df: DataFrame, by: str, key: str, size: int = 10_000) -> DataFrame:
+    """Number and digest of the distinct numeric keys of each group: the digest of the digests of its
+    sorted keys in chunks of `size`. No group is gathered; what meets in one row is 65 bytes a chunk."""
+    keys = numbered(df.select(by, key).distinct(), by, key)
+    chunks = keys.groupBy(by, F.floor(F.col("n") / size).alias("chunk")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), "|"), 256).alias("d"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), "|")
+    return chunks.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
 
 
 def missing_required(df: DataFrame, required: list[str]) -> DataFrame:

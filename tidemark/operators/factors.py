@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import average_rank, quintile
+from .windows import average_rank, bucket_turnover, quintile
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -18,9 +18,10 @@ def guarded_corr(a: str, b: str) -> Column:
 
 
 def finite(*columns: str) -> Column:
+    """Neither null, NaN nor infinite (NaN counts as the largest number)."""
     c = F.lit(True)
     for x in columns:
-        c = c & F.col(x).isNotNull() & ~F.isnan(x)
+        c = c & F.col(x).isNotNull() & (F.abs(F.col(x)) < float("inf"))
     return c
 
 
@@ -54,13 +55,25 @@ def coverage(panel: DataFrame) -> DataFrame:
     return panel.groupBy("feature_id").agg(F.count("*").alias("total"), F.count_if(v & y).alias("valid"), F.count_if(~v).alias("missing_feature"), F.count_if(~y).alias("missing_label"))
 
 
+def oriented(panel: DataFrame, directions: dict[str, float] | None = None) -> DataFrame:
+    """Values times the direction expected of their factor, 1 where none is given."""
+    if not directions:
+        return panel
+    known = F.create_map(*[F.lit(x) for kv in directions.items() for x in kv])
+    return panel.withColumn("value", F.col("value") * F.coalesce(known[F.col("feature_id")], F.lit(1.0)))
+
+
 def quintile_report(panel: DataFrame, cost: float = 0.0015) -> DataFrame:
-    """Mean label of each quintile, share of steps that don't fall, spread less cost, by feature."""
+    """Mean label of each quintile of oriented values, share of steps that don't fall, spread,
+    turnover of the top quintile, and the spread less turnover times cost, by feature."""
     rows = quintile(panel.filter(finite("value", "label")), "value", ["feature_id", "idx"])
     means = [F.avg(F.when(F.col("quintile") == k, F.col("label"))).alias(f"q{k}") for k in range(1, 6)]
     q = rows.groupBy("feature_id").agg(*means)
     steps = sum((F.col(f"q{k + 1}") >= F.col(f"q{k}")).cast("int") for k in range(1, 5))
-    return q.withColumn("monotone", steps / 4).withColumn("spread", F.col("q5") - F.col("q1") - cost)
+    changes = bucket_turnover(rows).groupBy("feature_id").agg(F.avg("turnover").alias("turnover"))
+    q = q.join(changes, "feature_id", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
+    q = q.withColumn("monotone", steps / 4).withColumn("gross", F.col("q5") - F.col("q1"))
+    return q.withColumn("spread", F.col("gross") - F.col("turnover") * cost)
 
 
 def ic_segments(daily: DataFrame, segment: Column, name: str) -> DataFrame:
@@ -82,10 +95,12 @@ def size_exposure(panel: DataFrame, direction: float = 1.0) -> DataFrame:
 
 def pair_correlations(features: DataFrame, family: DataFrame) -> DataFrame:
     """Mean daily rank correlation of each two factors of a family, ranked on common rows."""
-    rows = features.filter(finite("value")).join(F.broadcast(family), "feature_id")  # a row for each factor
-    a = rows.select("family", "symbol", "idx", F.col("feature_id").alias("a"), F.col("value").alias("va"))
-    b = rows.select("family", "symbol", "idx", F.col("feature_id").alias("b"), F.col("value").alias("vb"))
-    both = a.join(b, ["family", "symbol", "idx"]).filter("a < b")
+    rows = features.filter(finite("value")).select("symbol", "idx", "feature_id", "value")
+    x, y = family.select("family", F.col("feature_id").alias("a")), family.select("family", F.col("feature_id").alias("b"))
+    asked = x.join(y, "family").filter("a < b")  # a row for each two factors of a family
+    a = rows.withColumnsRenamed({"feature_id": "a", "value": "va"}).join(F.broadcast(asked), "a")
+    b = rows.withColumnsRenamed({"feature_id": "b", "value": "vb"})
+    both = a.join(b, ["symbol", "idx", "b"])
     ranked = average_rank(average_rank(both, "va", ["a", "b", "idx"], "ra"), "vb", ["a", "b", "idx"], "rb")
     daily = ranked.groupBy("family", "a", "b", "idx").agg(guarded_corr("ra", "rb").alias("c")).filter("c is not null")
     return daily.groupBy("family", "a", "b").agg(F.avg("c").alias("correlation"), F.count("*").alias("dates"))
@@ -106,18 +121,21 @@ def select_factors(summary: DataFrame, cover: float = 0.6, q: float = 0.05, cons
     return summary.withColumn("reasons", F.array_join(r, ",")).withColumn("selected", F.size(r) == 0)
 
 
-def drop_redundant(pairs: DataFrame, simplicity: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Walk a family's pairs by falling correlation; of a pair above the limit with both
-    still in, drop the less simple. A family is a handful of factors."""
-    ranked = pairs.filter(F.abs("correlation") >= limit)
-    s = simplicity.select("feature_id", "simplicity")
-    rows = ranked.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+def drop_redundant(pairs: DataFrame, trials: DataFrame, limit: float = 0.8) -> DataFrame:
+    """Walk a family's pairs in the order of their trials; of a pair at or above the limit with both
+    still in, drop the less simple.
+
+    pairs: family, a, b, correlation. trials: feature_id, simplicity, place, and rejected, true where another
+    gate already rejects it; such a factor rejects none. A family is a handful of factors.
+    """
+    t = trials.select("feature_id", "simplicity", "place", "rejected")
+    rows = pairs.filter(F.abs("correlation") >= limit).join(t.toDF("a", "sa", "pa", "ra"), "a").join(t.toDF("b", "sb", "pb", "rb"), "b")
+    rows = rows.filter("not ra and not rb").select("family", "a", "b", "sa", "sb", F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("second"))
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str, str]] = []
         gone: set[str] = set()
-        p = p.assign(size=p.correlation.abs()).sort_values(["size", "a", "b"], ascending=[False, True, True])
-        for x in p.itertuples():
+        for x in p.sort_values(["first", "second"]).itertuples():
             if x.a in gone or x.b in gone:
                 continue
             loser, winner = (x.a, x.b) if (x.sa, x.a) > (x.sb, x.b) else (x.b, x.a)
@@ -128,12 +146,52 @@ def drop_redundant(pairs: DataFrame, simplicity: DataFrame, limit: float = 0.8)
     return rows.groupBy("family").applyInPandas(walk, "family string, dropped string, kept string")
 
 
-def factor_report(panel: DataFrame) -> DataFrame:
-    """One row for each factor: summary, coverage, quintiles and q, from one long table."""
-    daily = daily_rank_ic(panel)
-    rows = with_p(ic_summary(daily)).join(coverage(panel), "feature_id").join(quintile_report(panel), "feature_id")
-    rows = rows.withColumn("coverage", F.col("valid") / F.col("total")).withColumn("trial_id", F.col("feature_id"))
-    return select_factors(false_discovery(rows))
+def _worst(segments: DataFrame, name: str) -> DataFrame:
+    """Of each feature the segments as an array, and the one with the least mean correlation."""
+    one = F.struct(F.col(name).cast("string").alias("segment"), "observations", "mean_ic")
+    g = segments.groupBy("feature_id").agg(F.array_sort(F.collect_list(one)).alias(f"{name}s"), F.min_by(one, F.struct("mean_ic", F.col(name).cast("string"))).alias("w"))
+    return g.select("feature_id", f"{name}s", F.col("w.segment").alias(f"worst_{name}"), F.col("w.mean_ic").alias(f"worst_{name}_ic"))
+
+
+def diagnostics(panel: DataFrame, year: Column, directions: dict[str, float] | None = None, least: int = 5) -> DataFrame:
+    """D14, first part: one row for each factor with every diagnostic, all factors in one long table.
+
+    Counts and coverage, raw and oriented mean correlation, its ratio, consistency and p, quintiles and
+    spreads, turnover, rank autocorrelation, size exposure, and year, regime and industry segments
+    (arrays) with the worst year and industry.
+    """
+    rows = oriented(panel, directions)
+    valid = rows.filter(finite("value", "label"))
+    daily = daily_rank_ic(rows, least=least)
+    sign = F.create_map(*[F.lit(x) for kv in (directions or {"": 1.0}).items() for x in kv])[F.col("feature_id")]
+    regimes = valid.select("feature_id", "idx", "regime").distinct()
+    autocorrelation = prior_rank_correlation(valid).filter("autocorrelation is not null").groupBy("feature_id").agg(F.avg("autocorrelation").alias("autocorrelation"))
+    out = with_p(ic_summary(daily)).withColumn("mean_ic", F.col("oriented_ic") * F.coalesce(sign, F.lit(1.0)))
+    out = out.withColumns({"icir": F.coalesce("icir", F.lit(0.0))}).join(coverage(rows), "feature_id").withColumn("coverage", F.col("valid") / F.col("total"))
+    for part in (quintile_report(rows), autocorrelation, size_exposure(valid)):
+        out = out.join(part, "feature_id", "left")
+    years = ic_segments(daily.withColumn("year", year), F.col("year"), "year")
+    by_regime = ic_segments(daily.join(regimes, ["feature_id", "idx"]), F.col("regime"), "regime")
+    for segments, name in ((years, "year"), (by_regime, "regime"), (industry_segments(rows.filter("industry is not null"), least), "industry")):
+        out = out.join(_worst(segments, name), "feature_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("autocorrelation", "exposure")}).drop("worst_regime", "worst_regime_ic")
+
+
+def factor_report(panel: DataFrame, trials: DataFrame, year: Column, directions: dict[str, float] | None = None, q: float = 0.1, limit: float = 0.8, least: int = 5, **gates: float) -> DataFrame:
+    """Every trial with its diagnostics, q value, pair correlations and one decision.
+
+    trials: feature_id, family, simplicity, place. A trial is REJECTED for its coverage, significance,
+    direction or as redundant beside a simpler one of its family, else CANDIDATE; none is left out.
+    """
+    rows = diagnostics(panel, year, directions, least).withColumn("trial_id", F.col("feature_id"))
+    rows = select_factors(false_discovery(rows), q=q, **gates).join(trials, "feature_id")
+    pairs = pair_correlations(oriented(panel, directions), trials.select("feature_id", "family"))
+    dropped = drop_redundant(pairs, rows.withColumn("rejected", ~F.col("selected")), limit)
+    each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("feature_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("feature_id"), F.col("a").alias("other")))).alias("e"), "correlation")
+    near = each.groupBy("e.feature_id").agg(F.array_sort(F.collect_list(F.struct("e.other", "correlation"))).alias("pairs"))
+    rows = rows.join(near, "feature_id", "left").join(dropped.select(F.col("dropped").alias("feature_id"), F.col("kept").alias("redundant_to")), "feature_id", "left")
+    reasons = F.when(F.col("redundant_to").isNotNull(), "REDUNDANT").otherwise(F.col("reasons"))
+    return rows.withColumn("reasons", reasons).withColumn("selected", F.col("reasons") == "").withColumn("decision", F.when(F.col("selected"), "CANDIDATE").otherwise("REJECTED"))
 
 
 def grouped_ic(daily: DataFrame, by: list[str]) -> DataFrame:
@@ -172,9 +230,13 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("rule", "action").agg(F.count("*").alias("events"), F.count_distinct("symbol").alias("symbols"))
 
 
-def annual_gap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Difference of two portfolios' annual returns; a year that one lacks is flagged, not dropped."""
-    both = a.select("year", F.col("annual").alias("a")).join(b.select("year", F.col("annual").alias("b")), "year", "full_outer")
+def annual_gap(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Difference of two portfolios' annual returns; a year that one lacks is flagged, not dropped.
+
+    by: keys of the pair, where many pairs are compared at once.
+    """
+    key = [*(by or []), "year"]
+    both = a.select(*key, F.col("annual").alias("a")).join(b.select(*key, F.col("annual").alias("b")), key, "full_outer")
     return both.withColumn("gap", F.col("a") - F.col("b")).withColumn("complete", F.col("a").isNotNull() & F.col("b").isNotNull())
 
 

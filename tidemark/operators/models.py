@@ -5,6 +5,8 @@ fold tables: (fold, idx, role). Statistics are fitted on training rows only.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +16,25 @@ from .factors import finite
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, role: str) -> DataFrame:
-    """C11: rows of the sessions that a fold gives a role. A session lies in many folds."""
+    """C11: rows of the sessions that a fold gives a role. A session lies in many folds.
+
+    What is broadcast has a row for each fold and session of a calendar: thousands, whatever the rows.
+    """
     return rows.join(F.broadcast(folds.filter(F.col("role") == role).select("fold", "idx")), "idx")  # a row a fold and session
 
 
+def version_scan(versions: DataFrame, cutoff: Column | int, clock: str = "available") -> DataFrame:
+    """All versions that are known by the cutoff; the filter reaches the scan."""
+    return versions.filter(F.col(clock) <= cutoff)
+
+
+def development_rows(rows: DataFrame, end: int, clock: str = "idx", asked: int | None = None) -> DataFrame:
+    """Rows up to the end of development, or up to `asked`; asking beyond the end is an error."""
+    if asked is not None and asked > end:
+        raise ValueError(f"{asked} is sealed: development ends at {end}")
+    return rows.filter(F.col(clock) <= (end if asked is None else asked))
+
+
 def clean(column: str) -> Column:
     return F.when(finite(column), F.col(column))
 
@@ -53,8 +70,17 @@ def training_matrix(universe: DataFrame, features: DataFrame, labels: DataFrame,
     return universe.join(wide, ["symbol", "idx"], "left").join(labels, ["symbol", "idx"], "left")
 
 
+def feature_matrix(matrix: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """The keys, then each feature as a double with what isn't finite as 0, and a flag for it, in the order of names."""
+    cells = [e for n in names for e in (F.when(finite(n), F.col(n).cast("double")).otherwise(0.0).alias(n), (~finite(n)).cast("int").alias(f"{n}_missing"))]
+    return matrix.select(*keys, *cells)
+
+
 def join_violations(universe: DataFrame, features: DataFrame, decided: Column) -> DataFrame:
-    """Keys without a feature row, with several, or with a row from after the decision."""
+    """Keys without a feature row, with several, or with a row from after the decision.
+
+    Names of features are a short list, so each key is paired with all of them.
+    """
     g = features.withColumn("late", decided).groupBy("symbol", "idx", "feature_id").agg(F.count("*").alias("n"), F.bool_or("late").alias("late"))
     ids = features.select("feature_id").distinct()
     rows = universe.select("symbol", "idx").join(F.broadcast(ids)).join(g, ["symbol", "idx", "feature_id"], "left")
@@ -103,13 +129,16 @@ def ridge(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "
 
 
 def predict(rows: DataFrame, folds: DataFrame, coefficients: DataFrame, features: list[str], role: str = "test", by: list[str] | None = None) -> DataFrame:
-    """Rows of each fold scored with that fold's coefficients (and penalty, if by has it)."""
+    """Rows of each fold scored with that fold's coefficients (and penalty, if by has it).
+
+    What is broadcast has a row for each fold and penalty.
+    """
     keys = ["fold", *(by or [])]
     wide = coefficients.groupBy(*keys).pivot("feature_id", ["intercept", *features]).agg(F.first("coefficient"))
-    wide = wide.select(*keys, F.col("intercept").alias("b"), F.array(*[F.col(f) for f in features]).alias("w"))
+    wide = wide.select(*keys, F.col("intercept").alias("_intercept"), F.array(*[F.col(f) for f in features]).alias("_weights"))
     x = F.array(*[F.col(f) for f in features])
-    dot = F.aggregate(F.zip_with(x, "w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return fold_rows(rows, folds, role).join(F.broadcast(wide), "fold").withColumn("prediction", dot + F.col("b")).drop("b", "w")
+    dot = F.aggregate(F.zip_with(x, "_weights", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return fold_rows(rows, folds, role).join(F.broadcast(wide), "fold").withColumn("prediction", dot + F.col("_intercept")).drop("_intercept", "_weights")
 
 
 def best_alpha(losses: DataFrame) -> DataFrame:
@@ -118,6 +147,46 @@ def best_alpha(losses: DataFrame) -> DataFrame:
     return g.agg(F.min_by("alpha", F.struct("loss", "alpha")).alias("alpha"))
 
 
+def losses(predictions: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """Mean squared error and rows of predictions by `by`."""
+    return predictions.groupBy(*by).agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)).alias("loss"), F.count("*").alias("n"))
+
+
+class Trained(NamedTuple):
+    """What a training run leaves; every part is a DataFrame."""
+
+    validation: DataFrame
+    """fold, alpha, loss, n of every penalty on validation rows."""
+    alpha: DataFrame
+    """The penalty chosen: one row."""
+    coefficients: DataFrame
+    """fold, feature_id, coefficient of the chosen penalty."""
+    predictions: DataFrame
+    """Test rows with their fold's prediction."""
+    test: DataFrame
+    """fold, loss, n of the chosen penalty on test rows."""
+
+
+def train(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "label", alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> Trained:
+    """Fits every penalty on each fold's training rows, chooses the one with the least mean
+    loss on validation rows (the smaller of equals), and scores each fold's test rows with it."""
+    fine = rows.filter(finite(*features, label))
+    fits = ridge(fine, folds, features, label, alphas)
+    validation = losses(predict(fine, folds, fits, features, "validation", ["alpha"]), ["fold", "alpha"], label)
+    alpha = best_alpha(validation)
+    chosen = fits.join(alpha, "alpha", "left_semi").select("fold", "feature_id", "coefficient")
+    predictions = predict(fine, folds, chosen, features, "test")
+    return Trained(validation, alpha, chosen, predictions, losses(predictions, ["fold"], label))
+
+
+def evaluation_frame(predictions: DataFrame, keys: DataFrame, by: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Predictions with their labels by key, and the keys that are wrong: predicted twice, not predicted,
+    or not asked for. keys: the observations that each fold must predict."""
+    n = predictions.groupBy(*by).agg(F.count("*").alias("n")).join(keys.select(*by, F.lit(True).alias("asked")).distinct(), by, "full_outer")
+    why = F.when(F.col("n").isNull(), "MISSING").when(F.col("asked").isNull(), "UNKNOWN").when(F.col("n") > 1, "DUPLICATE")
+    return predictions.select(*by, "prediction", label), n.select(*by, why.alias("violation")).filter("violation is not null")
+
+
 def equal_weight_loss(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Mean squared error of the plain mean of the features."""
     mean = F.aggregate(F.array(*[F.col(f) for f in features]), F.lit(0.0), lambda a, v: a + v) / len(features)

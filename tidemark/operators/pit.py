@@ -6,12 +6,12 @@ isn't later. Checks return violations; the caller decides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import numbered
+
 # The named availability policies.
 OBSERVED = ("observed_master_snapshot", "observed_membership_snapshot")
 MIDNIGHT_OBSERVED = ("observed_calendar_snapshot", "source_snapshot_observed_at")
@@ -125,22 +125,46 @@ def date_precision(millis: Column, zone: str = "Asia/Shanghai") -> Column:
 
 
 def id_chunks(ids: DataFrame, column: str, by: str, size: int = 1000) -> DataFrame:
-    """Sorted ids of each `by` in chunks of `size`, with a digest of each chunk."""
-    rn = F.row_number().over(Window.partitionBy(by).orderBy(column))
-    rows = ids.select(by, column).distinct().withColumn("chunk", F.floor((rn - 1) / size))
+    """Sorted distinct numeric ids of each `by` in chunks of `size`, with a digest of each chunk."""
+    rows = numbered(ids.select(by, column).distinct(), by, column).withColumn("chunk", F.floor(F.col("n") / size))
     joined = F.array_join(F.sort_array(F.collect_list(F.col(column).cast("bigint"))).cast("array<string>"), "|")
     return rows.groupBy(by, "chunk").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("digest"))
 
 
 def field_lineage(frame: DataFrame, sources: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row for each output field: the upstream field it comes from and how."""
-    rows = [(c, *sources[c]) for c in frame.columns if c in sources]
-    return frame.sparkSession.createDataFrame(rows, "field string, upstream string, transformation string")
+    """One row for each output field that has a source: the upstream field, how it is derived, and how many
+    rows and values it has; a field that the frame lacks is an error."""
+    absent = [c for c in sources if c not in frame.columns]
+    if absent:
+        raise ValueError(f"no such fields: {absent}")
+    counts = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(u).alias("upstream"), F.lit(t).alias("transformation"), F.count("*").alias("rows"), F.count(c).alias("valued")) for c, (u, t) in sources.items()])
+    return frame.agg(counts.alias("f")).select(F.explode("f").alias("f")).select("f.*")
 
 
 def round14(c: str) -> Column:
-    """A double with 14 significant digits."""
-    return F.format_string("%.13e", F.col(c)).cast("double")
+    """A double with 14 significant digits, by its exact binary value.
+
+    Formatting rounds the shortest decimal text of a double, which is wrong where that text has 15 digits and
+    ends in 5: the double lies a little beside it. There the error of x * 10^p is computed exactly (Dekker's
+    product), for magnitudes of 1e-8 to 1e13.
+    """
+    x = F.abs(F.col(c))
+    p = F.lit(14.0) - F.floor(F.log10(x))
+    y = F.pow(F.lit(10.0), p)
+    near = F.round(x * y)  # 15 digits
+    tie = p.between(1, 22) & (near % 10 == 5) & (F.try_divide(near, y) == x)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        big = v * 134217729.0
+        return big - (big - v), v - (big - (big - v))
+
+    (xh, xl), (yh, yl) = halves(x), halves(y)
+    rest = ((xh * yh - x * y) + xh * yl + xl * yh) + xl * yl
+    beside = (near - x * y) - rest  # positive where x is below the text
+    even = F.when((near - 5) % 20 == 0, near - 5).otherwise(near + 5)
+    tens = F.when(beside > 0, near - 5).when(beside < 0, near + 5).otherwise(even)
+    exact = F.signum(c) * F.try_divide(tens / 10, F.pow(F.lit(10.0), p - 1))
+    return F.when(tie, exact).otherwise(F.format_string("%.13e", F.col(c)).cast("double"))
 
 
 def safe_scalars(rows: DataFrame) -> DataFrame:
@@ -191,27 +215,34 @@ def as_of(versions: DataFrame, keys: DataFrame, order: list[str], payload: list[
 PRIORITY = {"LISTED": 0, "NAME_STATUS": 1, "DELISTED": 2}
 
 
-def replay_state(events: DataFrame, decisions: DataFrame) -> DataFrame:
-    """State of each symbol at each decision, from events that are effective and known by then.
-
-    (symbol, day, listed_at, delisted, is_st). A listing after a delisting starts a new spell, whose
-    first listing is listed_at. Both clocks are tested, so each decision sees its own events; events
-    of a symbol are few.
-    """
+def _state_at(events: DataFrame, points: DataFrame) -> DataFrame:
+    """State of each symbol at each of a few points in time, from its events that are effective and known by then."""
     priority = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in PRIORITY.items()])
-    seen = decisions.join(events, "symbol").filter("effective <= day and available <= day").withColumn("priority", priority)
+    seen = points.join(events, "symbol").filter("effective <= point and available <= point").withColumn("priority", priority)
     order = F.struct("effective", "priority", "available", "event_id")
     listing = F.col("kind") != "NAME_STATUS"
-    own = Window.partitionBy("symbol", "day")
+    own = Window.partitionBy("symbol", "point")
     rows = seen.withColumn("order", order).withColumn("last_listed", F.max(F.when(F.col("kind") == "LISTED", F.col("order"))).over(own))
     rows = rows.withColumn("last_end", F.max(F.when((F.col("kind") == "DELISTED") & (F.col("order") < F.col("last_listed")), F.col("order"))).over(own))
     in_spell = (F.col("kind") == "LISTED") & (F.col("last_end").isNull() | (F.col("order") > F.col("last_end")))
-    g = rows.groupBy("symbol", "day").agg(
-        F.min(F.when(in_spell, F.col("effective"))).alias("spell"),
+    g = rows.groupBy("symbol", "point").agg(
+        F.min(F.when(in_spell, F.col("effective"))).alias("listed_at"),
         F.max_by("kind", F.when(listing, F.col("order"))).alias("last"),
         F.max_by("is_st", F.when(F.col("kind") == "NAME_STATUS", F.col("order"))).alias("is_st"),
     )
-    return decisions.join(g, ["symbol", "day"], "left").select("symbol", "day", F.col("spell").alias("listed_at"), F.coalesce(F.col("last") == "DELISTED", F.lit(False)).alias("delisted"), "is_st")
+    return g.select("symbol", "point", "listed_at", F.coalesce(F.col("last") == "DELISTED", F.lit(False)).alias("delisted"), "is_st")
+
+
+def replay_state(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """State of each symbol at each decision, from events that are effective and known by then.
+
+    (symbol, day, listed_at, delisted, is_st). A listing after a delisting starts a new spell, whose
+    first listing is listed_at. A state changes only when an event becomes visible, so states are made
+    for those points, a few for each symbol, and each decision takes the last point before it.
+    """
+    points = events.select("symbol", F.greatest("effective", "available").alias("point")).distinct()
+    rows = as_of(_state_at(events, points), decisions, ["point"], ["listed_at", "delisted", "is_st"], clock="point")
+    return rows.select("symbol", "day", "listed_at", F.coalesce("delisted", F.lit(False)).alias("delisted"), "is_st")
 
 
 def universe_panel(state: DataFrame, admission: DataFrame) -> DataFrame:
@@ -295,12 +326,27 @@ def admission_clock(rows: DataFrame, opens: DataFrame) -> DataFrame:
     return r.withColumn("usable_from", F.greatest(source, F.col("listed_day")))
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Pairs of half-open intervals [start, end) of one key that intersect; an open end never ends."""
-    x = a.select(by, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    y = b.select(by, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    far = F.lit(1 << 30)
-    return x.join(y, by).filter((F.col("a_start") < F.coalesce("b_end", far)) & (F.col("b_start") < F.coalesce("a_end", far)))
+def range_overlap(snapshots: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows whose closed range [start, end] meets the asked one; both bounds reach the scan."""
+    return snapshots.filter((F.col("start") <= end) & (F.col("end") >= start))
+
+
+def overlapping(a: DataFrame, b: DataFrame, by: str, width: int) -> DataFrame:
+    """C20: pairs of half-open intervals [start, end) of one key that intersect; an open end never ends.
+
+    Intervals meet by key and slice of `width`, about the usual length, so a key with many intervals is spread
+    over its slices and only intervals near each other are compared. A pair counts in the first slice of both.
+    """
+    last = a.select("start", "end").unionByName(b.select("start", "end")).agg(F.max(F.greatest("start", "end"))).first()[0] or 0
+
+    def sliced(df: DataFrame, p: str) -> DataFrame:
+        lo = F.floor(F.col("start") / width)
+        hi = F.greatest(lo, F.floor(F.coalesce(F.col("end") - 1, F.lit(last)) / width))
+        return df.select(by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(lo, hi)).alias("_slice"))
+
+    pairs = sliced(a, "a").join(sliced(b, "b"), [by, "_slice"])
+    meet = (F.col("b_end").isNull() | (F.col("a_start") < F.col("b_end"))) & (F.col("a_end").isNull() | (F.col("b_start") < F.col("a_end")))
+    return pairs.filter(meet & (F.col("_slice") == F.floor(F.greatest("a_start", "b_start") / width))).drop("_slice")
 
 
 def resolve_sources(base: DataFrame, supplement: DataFrame, registry: DataFrame) -> DataFrame:
@@ -316,8 +362,3 @@ def resolve_sources(base: DataFrame, supplement: DataFrame, registry: DataFrame)
 def first_trade_fallback(bars: DataFrame, listed: DataFrame) -> DataFrame:
     """C17: symbols that trade and were never listed, with their earliest bar."""
     return bars.join(listed.select("symbol").distinct(), "symbol", "left_anti").groupBy("symbol").agg(F.min("idx").alias("first_idx"), F.min_by("open", "idx").alias("open"))
-
-
-def projected(kind: str, projectors: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFrame) -> DataFrame:
-    """The transform of an endpoint, by name."""
-    return projectors[kind](rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import drawdown
+from .windows import drawdown, numbered
 
 
 def composite_scores(scores: DataFrame, candidates: int) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +50,7 @@ def stratified_sample(rows: DataFrame, seats: DataFrame, version: str) -> DataFr
 
 def shard_plan(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """the sorted rows of each group cut in shards of a fixed size, with the first and last key and a digest."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    g = rows.select(by, key).withColumn("shard", F.floor((n - 1) / size)).groupBy(by, "shard")
+    g = numbered(rows.select(by, key), by, key).withColumn("shard", F.floor(F.col("n") / size)).groupBy(by, "shard")
     return g.agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"), F.sha2(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), "|"), 256).alias("digest"))
 
 
@@ -111,12 +110,57 @@ def rule_chain(rows: DataFrame, equity: float, most: int = 30) -> DataFrame:
 
 
 def rule_events(chained: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Events of a rule chain: one row where a rule changed a weight."""
+    """Changes of a rule chain: one row where a rule changed a weight."""
     names = [c for c in chained.columns if c.startswith("after_")]
     e = [F.when(F.abs(F.col(a) - F.col(b)) > tolerance, F.struct(F.lit(b.removeprefix("after_")).alias("rule"), F.col(a).alias("before"), F.col(b).alias("after"))) for a, b in zip(names, names[1:], strict=False)]
     return chained.select("idx", "symbol", F.explode(F.array_compact(F.array(*e))).alias("e")).select("idx", "symbol", "e.*")
 
 
+def risk_events(chained: DataFrame, equity: float, most: int = 30, position: float = 0.05, lot: int = 100, share: float = 0.05, industry: float = 0.2, gross: float = 0.95, concentration: float = 0.05, turnover: float = 0.25) -> DataFrame:
+    """What each rule of a chain did: idx, symbol (null for a whole session), rule, action, observed, limit.
+
+    The limits are those that the chain was run with. A session that holds a name of unknown industry gets an
+    event that blocks validation, though no weight changes.
+    """
+
+    def event(when: Column, rule: str, action: str, observed: Column, limit: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"), observed.cast("double").alias("observed"), limit.cast("double").alias("limit")))
+
+    def exploded(df: DataFrame, *events: Column) -> DataFrame:
+        return df.select("idx", "symbol", F.explode(F.array_compact(F.array(*events))).alias("e")).select("idx", "symbol", "e.*")
+
+    more = F.col("after_position") - F.col("current_w")
+    wanted, capacity = more * equity / F.col("price"), F.col("volume") * share
+    lots = F.floor(F.least(wanted, capacity) / lot)
+    open_, allowed = (more > 0) & F.col("eligible"), lots * lot * F.col("price") / equity
+    own = exploded(
+        chained,
+        event(F.col("after_holdings") > position, "MAX_POSITION_WEIGHT", "RESIZE", F.col("after_holdings"), F.lit(position)),
+        event((more > 0) & ~F.col("eligible"), "NEW_RISK_INELIGIBLE", "REJECT", more, F.lit(0.0)),
+        event(open_ & (lots == 0), "VOLUME_PARTICIPATION", "REJECT", wanted, capacity),
+        event(open_ & (lots > 0) & (allowed < more), "VOLUME_PARTICIPATION", "RESIZE", wanted, capacity),
+    )
+    w = F.col("after_industry")
+    session = chained.groupBy("idx").agg(
+        F.count_if(F.col("after_start") > 0).alias("held"), F.count_if(F.col("industry").isNull() & (F.col("after_new_risk") > 0)).alias("unknown"),
+        F.sum(w).alias("gross"), F.sum(w * w).alias("squares"), (F.sum(F.abs(F.col("after_gross") - F.col("current_w"))) / 2).alias("moved"),
+    ).withColumn("symbol", F.lit(None).cast(chained.schema["symbol"].dataType))
+    scale = F.when(F.col("gross") > gross, F.try_divide(F.lit(gross), F.col("gross"))).otherwise(1.0)
+    squares = F.col("squares") * scale * scale
+    whole = exploded(
+        session,
+        event(F.col("held") > most, "MAX_HOLDINGS", "REJECT", F.col("held"), F.lit(most)),
+        event(F.col("unknown") > 0, "INDUSTRY_EXPOSURE_UNAVAILABLE", "BLOCK_VALIDATION", F.col("unknown"), F.lit(0.0)),
+        event(F.col("gross") > gross, "MINIMUM_CASH_WEIGHT", "RESIZE", 1 - F.col("gross"), F.lit(1 - gross)),
+        event(squares > concentration, "CONCENTRATION", "RESIZE", squares, F.lit(concentration)),
+        event(F.col("moved") > turnover, "MAX_TURNOVER", "RESIZE", F.col("moved"), F.lit(turnover)),
+    )
+    groups = chained.filter("not draft and industry is not null and after_new_risk > 0").groupBy("idx", "industry").agg(F.sum("after_new_risk").alias("exposure"))
+    groups = groups.withColumn("symbol", F.lit(None).cast(chained.schema["symbol"].dataType))
+    groups = exploded(groups, event(F.col("exposure") > industry, "MAX_INDUSTRY_WEIGHT", "RESIZE", F.col("exposure"), F.lit(industry)))
+    return own.unionByName(whole).unionByName(groups)
+
+
 def rebalance_orders(targets: DataFrame, holdings: DataFrame, equity: float, lot: int = 100) -> DataFrame:
     """Deltas from held to desired whole lots; what is held and no longer wanted is sold."""
     rows = targets.join(holdings, ["idx", "symbol"], "full_outer")
@@ -142,14 +186,23 @@ def block_reason(side: Column, open_: Column, suspended: Column, up: Column, dow
     return F.when(suspended, "SUSPENDED").when(open_.isNull(), "MISSING_BAR").when((side == "BUY") & (open_ >= up - eps), "LIMIT_UP").when((side == "SELL") & (open_ <= down + eps), "LIMIT_DOWN")
 
 
-def sized(rows: DataFrame, lot: int = 100, share: float = 0.1) -> DataFrame:
-    """Shares in whole lots under the position, cash and volume caps, and which cap binds."""
+def sized(rows: DataFrame, lot: int = 100, position: float = 0.05, cash: float = 0.05, participation: float = 0.1) -> DataFrame:
+    """Of each requested buy the shares in whole lots under the position, cash and volume caps, and the event.
+
+    rows: requested, equity, price, volume. Cash is what equity leaves above its floor. Where the least cap is
+    below the request, rule names it (the first of equals), action is RESIZE, or REJECT if nothing is left,
+    observed is the request and limit the rule's limit; else these are null.
+    """
+
     def lots(x: Column) -> Column:
         return (F.floor(x / lot) * lot).cast("bigint")
 
-    caps = F.array(*[F.struct(lots(c).alias("cap"), F.lit(i).alias("order"), F.lit(n).alias("rule")) for i, (n, c) in enumerate((("POSITION", F.col("notional") / F.col("price")), ("CASH", F.col("cash") / F.col("price")), ("VOLUME", F.col("volume") * share)))])
-    m = F.array_min(caps)
-    return rows.withColumn("shares", m["cap"]).withColumn("binding", m["rule"])
+    rules = (("MAX_POSITION_WEIGHT", F.col("equity") * position / F.col("price"), position), ("MINIMUM_CASH_WEIGHT", F.col("equity") * (1 - cash) / F.col("price"), cash), ("VOLUME_PARTICIPATION", F.col("volume") * participation, participation))
+    caps = F.array(*[F.struct(lots(c).alias("cap"), F.lit(i).alias("order"), F.lit(n).alias("rule"), F.lit(x).alias("limit")) for i, (n, c, x) in enumerate(rules)])
+    rows = rows.withColumn("_m", F.array_min(caps)).withColumn("shares", F.least(F.col("requested").cast("bigint"), "_m.cap"))
+    less = F.col("shares") < F.col("requested")
+    action = F.when(less, F.when(F.col("shares") == 0, "REJECT").otherwise("RESIZE"))
+    return rows.withColumns({"rule": F.when(less, F.col("_m.rule")), "action": action, "observed": F.when(less, F.col("requested").cast("double")), "limit": F.when(less, F.col("_m.limit"))}).drop("_m")
 
 
 def fills(rows: DataFrame, participation: float = 0.1, lot: int = 100) -> DataFrame:
@@ -161,20 +214,56 @@ def fills(rows: DataFrame, participation: float = 0.1, lot: int = 100) -> DataFr
     return rows.withColumn("state", F.when(F.col("filled") == F.col("requested"), "FILLED").when(F.col("filled") > 0, "PARTIAL").otherwise("PENDING")).withColumn("reason", why).drop("_room", "_afford")
 
 
-def equity_metrics(equity: DataFrame, sessions: int = 252) -> DataFrame:
-    """Total and annual return, volatility, Sharpe ratio, worst drawdown, share of gaining sessions, by run."""
+def _curve(equity: DataFrame, sessions: int) -> DataFrame:
+    """First and last equity, annual volatility, Sharpe ratio, worst drawdown and mean equity, by run."""
     w = Window.partitionBy("run").orderBy("idx")
     rows = drawdown(equity).withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1)
-    g = rows.groupBy("run").agg(F.max_by("equity", "idx").alias("last"), F.min_by("equity", "idx").alias("first"), F.count("r").alias("n"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"), F.min("drawdown").alias("max_drawdown"), F.try_divide(F.count_if(F.col("r") > 0), F.count("r")).alias("win_rate"))
+    year = F.sqrt(F.lit(float(sessions)))
+    g = rows.groupBy("run").agg(F.max_by("equity", "idx").alias("last"), F.min_by("equity", "idx").alias("first"), F.count("r").alias("n"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd"), F.avg("r").alias("mean"), F.min("drawdown").alias("max_drawdown"), F.avg("equity").alias("average"))
+    return g.withColumn("volatility", F.col("sd") * year).withColumn("sharpe", F.when(F.col("sd") > 0, F.try_divide(F.col("mean"), F.col("sd")) * year).otherwise(0.0))
+
+
+def equity_metrics(equity: DataFrame, trades: DataFrame, sessions: int = 252) -> DataFrame:
+    """Total and annual return, volatility, Sharpe ratio, worst drawdown, win rate, trades and fees, by run.
+
+    trades: run, side, realized (profit of a sell), fee. The win rate is the share of sells with a realized
+    profit, 0 without sells. A run without trades has 0 trades and fees.
+    """
+    sells = F.count_if(F.col("side") == "SELL")
+    t = trades.groupBy("run").agg(F.count("*").alias("trade_count"), F.sum("fee").alias("total_fees"), F.coalesce(F.try_divide(F.count_if((F.col("side") == "SELL") & (F.col("realized") > 0)), sells), F.lit(0.0)).alias("win_rate"))
+    g = _curve(equity, sessions).join(t, "run", "left").fillna(0, ["trade_count", "total_fees", "win_rate"])
+    growth = F.col("last") / F.col("first")
+    return g.select("run", (growth - 1).alias("total_return"), (F.pow(growth, F.lit(float(sessions)) / F.greatest("n", F.lit(1))) - 1).alias("annual_return"), "volatility", "sharpe", "max_drawdown", "win_rate", "trade_count", "total_fees")
+
+
+def benchmark_violations(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Of each run the sessions that the benchmark lacks, those between its first and last that only the
+    benchmark has, and benchmark values that aren't finite and positive."""
+    spans = equity.groupBy("run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    b = benchmark.select("idx", F.col("close").alias("bench"))
+    asked = spans.select("run", F.explode(F.sequence("lo", "hi")).alias("idx")).join(b, "idx")
+    rows = equity.select("run", "idx", F.lit(True).alias("held")).join(asked, ["run", "idx"], "full_outer")
+    fine = (F.col("bench") > 0) & (F.col("bench") < float("inf"))
+    why = F.when(F.col("held").isNull(), "MISSING_SESSION").when(F.col("bench").isNull(), "MISSING_BENCHMARK").when(~fine, "BAD_BENCHMARK")
+    return rows.select("run", "idx", why.alias("violation")).filter("violation is not null")
+
+
+def portfolio_metrics(equity: DataFrame, benchmark: DataFrame, orders: DataFrame, events: DataFrame, sessions: int = 252) -> DataFrame:
+    """Net return, benchmark return and excess, volatility, Sharpe ratio, worst drawdown, turnover, fees,
+    largest share of a volume, orders that aren't filled, risk events and benchmark violations, by run.
+
+    orders: run, notional, fee, participation, state. events: run. A run with violations has no benchmark
+    return and no excess, as its sessions don't match.
+    """
+    o = orders.groupBy("run").agg(F.sum("notional").alias("notional"), F.sum("fee").alias("total_fees"), F.max("participation").alias("participation"), F.count_if(F.col("state") != "FILLED").alias("pending"))
+    e = events.groupBy("run").agg(F.count("*").alias("events"))
+    bad = benchmark_violations(equity, benchmark).groupBy("run").agg(F.count("*").alias("violations"))
+    b = equity.select("run", "idx").join(benchmark.select("idx", "close"), "idx").groupBy("run").agg((F.max_by("close", "idx") / F.min_by("close", "idx") - 1).alias("b"))
+    g = _curve(equity, sessions).join(o, "run", "left").join(e, "run", "left").join(bad, "run", "left").join(b, "run", "left")
+    g = g.fillna(0, ["notional", "total_fees", "participation", "pending", "events", "violations"])
+    bench = F.when(F.col("violations") == 0, F.col("b"))
     total = F.col("last") / F.col("first") - 1
-    return g.select("run", total.alias("total_return"), (F.exp(F.ln(1 + total) * sessions / F.col("n")) - 1).alias("annual_return"), (F.col("sd") * F.sqrt(F.lit(float(sessions)))).alias("volatility"), (F.try_divide(F.col("mean"), F.col("sd")) * F.sqrt(F.lit(float(sessions)))).alias("sharpe"), "max_drawdown", "win_rate")
-
-
-def portfolio_metrics(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Return, excess over a benchmark of the same sessions, turnover, by run."""
-    rows = equity.join(benchmark.select("idx", F.col("close").alias("bench")), "idx")
-    g = rows.groupBy("run").agg((F.max_by("equity", "idx") / F.min_by("equity", "idx") - 1).alias("total"), (F.max_by("bench", "idx") / F.min_by("bench", "idx") - 1).alias("bench"), (F.sum("notional") / F.avg("equity")).alias("turnover"))
-    return g.withColumn("excess", F.col("total") - F.col("bench"))
+    return g.select("run", total.alias("total"), bench.alias("bench"), (total - bench).alias("excess"), "volatility", "sharpe", "max_drawdown", (F.col("notional") / F.col("average")).alias("turnover"), "total_fees", "participation", "pending", "events", "violations")
 
 
 def annual_segments(equity: DataFrame, year: Column) -> DataFrame:
@@ -183,12 +272,11 @@ def annual_segments(equity: DataFrame, year: Column) -> DataFrame:
     return g.withColumn("annual", F.col("last") / F.col("first") - 1)
 
 
-def compare_runs(equity: DataFrame, a: int, b: int) -> DataFrame:
-    """Two runs' returns and drawdowns side by side."""
-    m = drawdown(equity.filter(F.col("run").isin(a, b)))
-    g = m.groupBy("run").agg((F.max_by("equity", "idx") / F.min_by("equity", "idx") - 1).alias("total"), F.min("drawdown").alias("worst"), F.min(F.when(F.col("drawdown") < -0.2, F.col("idx"))).alias("first_halt"))
-    x, y = (g.filter(F.col("run") == r).select(F.lit(1).alias("k"), *[F.col(c).alias(f"{c}_{s}") for c in ("total", "worst", "first_halt")]) for r, s in ((a, "a"), (b, "b")))
-    return x.join(y, "k", "full_outer").drop("k").withColumn("gap", F.col("total_a") - F.col("total_b"))
+def compare_runs(equity: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Two runs' returns and drawdowns side by side, for each pair (a, b); a run that isn't there has nulls."""
+    g = drawdown(equity).groupBy("run").agg((F.max_by("equity", "idx") / F.min_by("equity", "idx") - 1).alias("total"), F.min("drawdown").alias("worst"), F.min(F.when(F.col("drawdown") < -0.2, F.col("idx"))).alias("first_halt"))
+    x, y = (g.toDF(s, f"total_{s}", f"worst_{s}", f"first_halt_{s}") for s in ("a", "b"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").withColumn("gap", F.col("total_a") - F.col("total_b"))
 
 
 def breadth(bars: DataFrame) -> DataFrame:

@@ -104,8 +104,9 @@ def incremental(rows: DataFrame, since: int, lookback: int, transform) -> DataFr
 
 def average_rank(rows: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
     """Rank in a group, ties sharing their mean rank."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    w = Window.partitionBy(*by).orderBy(value)
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))  # one sort serves both
+    return rows.withColumn(name, F.rank().over(w) + (ties - 1) / 2)
 
 
 def percentile_rank(rows: DataFrame, value: str, by: list[str], name: str = "target") -> DataFrame:
@@ -195,17 +196,48 @@ def breakers(equity: DataFrame, worst_position: str = "position", total: float =
 
 
 def fifo(orders: DataFrame) -> DataFrame:
-    """Which bought lots each sell consumes, oldest first; a lot bought that day doesn't count.
+    """Which bought lots each sell consumes, oldest first; a lot bought that day stays untouched.
 
-    orders: symbol, seq, day, side, shares, price. Lots and sells are ranges of running quantity;
-    a sell takes the overlap. Sells beyond what was bought find no lot.
+    orders: symbol, seq, day, side, shares, price; seq rises with the day. A sell takes at most what was
+    bought on earlier days and isn't sold yet; the rest of it finds no lot.
+
+    With Q the running sum of sells and B what was bought before a sell's day, the sum of what sells
+    could take is Q + min(0, least B - Q so far). So lots and sells are both ranges of one running
+    quantity; their ends, sorted, cut it into pieces of one lot and one sell. No pairs are made.
+    """
+    w = Window.partitionBy("symbol").orderBy("day", "seq")
+    far = w.rowsBetween(Window.unboundedPreceding, 0)
+    bought, sold = (F.when(F.col("side") == x, F.col("shares")).otherwise(0) for x in ("BUY", "SELL"))
+    rows = orders.withColumn("_b", F.sum(bought).over(far)).withColumn("_q", F.sum(sold).over(far))
+    earlier = Window.partitionBy("symbol").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_room", F.when(F.col("side") == "SELL", F.coalesce(F.sum(bought).over(earlier), F.lit(0)) - F.col("_q")))
+    taken = F.col("_q") + F.least(F.lit(0), F.min("_room").over(far))
+    lot, sell = F.struct(F.col("seq").alias("buy_seq"), F.col("price").alias("buy_price")), F.struct(F.col("seq").alias("sell_seq"))
+    is_lot = F.col("side") == "BUY"
+    ends = rows.select("symbol", F.when(is_lot, F.col("_b")).otherwise(taken).alias("end"), "side", "seq", F.when(is_lot, lot).alias("lot"), F.when(~is_lot, sell).alias("sell"))
+    by_end = Window.partitionBy("symbol").orderBy("end", "side", "seq")
+    rest = by_end.rowsBetween(0, Window.unboundedFollowing)
+    # a piece ends at each end; its lot and sell are the next that reach so far
+    pieces = ends.withColumn("matched", F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0)))
+    pieces = pieces.withColumn("lot", F.first("lot", ignorenulls=True).over(rest)).withColumn("sell", F.first("sell", ignorenulls=True).over(rest))
+    hit = pieces.filter((F.col("matched") > 0) & F.col("lot").isNotNull() & F.col("sell").isNotNull())
+    return hit.select("symbol", "sell.sell_seq", "lot.buy_seq", "matched", "lot.buy_price")
+
+
+def numbered(rows: DataFrame, by: str, key: str, parts: int = 200) -> DataFrame:
+    """rows with n, their place from 0 among the rows of their group by a numeric key; ties are in any order.
+
+    Groups may be few and large, so each is cut at `parts` quantiles of its key: rows are numbered within a
+    part and the counts of the parts before are added. No task sorts a whole group.
     """
-    w = Window.partitionBy("symbol", "side").orderBy("seq")
-    rows = orders.withColumn("to", F.sum("shares").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("shares"))
-    buy = rows.filter("side = 'BUY'").select("symbol", F.col("seq").alias("buy_seq"), F.col("day").alias("buy_day"), F.col("price").alias("buy_price"), F.col("from").alias("b0"), F.col("to").alias("b1"))
-    sell = rows.filter("side = 'SELL'").select("symbol", F.col("seq").alias("sell_seq"), F.col("day").alias("sell_day"), F.col("from").alias("s0"), F.col("to").alias("s1"))
-    hit = sell.join(buy, "symbol").filter("b0 < s1 and s0 < b1 and buy_day < sell_day")
-    return hit.select("symbol", "sell_seq", "buy_seq", (F.least("b1", "s1") - F.greatest("b0", "s0")).alias("matched"), "buy_price")
+    cuts = rows.groupBy(by).agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(key))), F.lit(0)).alias("_part")
+    cut = rows.join(cuts, by, "left").select(rows.columns + [part])
+    counts = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(key)) - 1
+    joined = cut.withColumn("_own", own).join(counts.select(by, "_part", before.alias("_before")), [by, "_part"])
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("n"))
 
 
 def signal_changes(signals: DataFrame) -> DataFrame:

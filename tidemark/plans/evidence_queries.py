@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
 from tidemark.operators import pit as P
+from tidemark.operators.models import version_scan
 
 from .registry import query
 from .window_queries import rounded
@@ -53,13 +54,11 @@ def _(v):
     return E.typed_scan(v("bar"), v("calendar").filter("idx % 4 = 0"), "idx", ["symbol", "idx", "volume"], [1, 2, 3])
 
 
-@query("a08_range_overlap_scan", "SELECT o_orderkey AS snapshot_id FROM orders WHERE o_orderkey % 500 <= 120 AND o_orderkey % 500 + 30 > 100")
+@query("a08_range_overlap_scan", "SELECT o_orderkey AS snapshot_id FROM orders WHERE o_orderkey % 500 <= 120 AND o_orderkey % 500 + 30 >= 100")
 def _(v):
     k = F.col("o_orderkey")
-    s = v("orders").select(F.lit(1).alias("k"), (k % 500).cast("int").alias("start"), (k % 500 + 30).cast("int").alias("end"), k.alias("snapshot_id"))
-    asked = s.limit(1).select("k", F.lit(100).alias("start"), F.lit(121).alias("end"))
-    hit = P.overlapping(s, asked, "k").select(F.col("a_start").alias("start")).distinct()
-    return s.join(hit, "start", "left_semi").select("snapshot_id")
+    s = v("orders").select((k % 500).cast("int").alias("start"), (k % 500 + 30).cast("int").alias("end"), k.alias("snapshot_id"))
+    return P.range_overlap(s, 100, 120).select("snapshot_id")
 
 
 @query("a09_benchmark_opens", "SELECT idx, round(open, 8) AS open FROM benchmark_bar WHERE idx BETWEEN 10 AND 40")
@@ -68,9 +67,11 @@ def _(v):
     return rounded(P.fold_replays(b.unionAll(b).withColumn("id", F.monotonically_increasing_id()), ["idx"], ["open"], "id").filter("idx between 10 and 40 and not conflict").select("idx", "open"), "open")
 
 
-@query("a10_open_calendar", "SELECT day FROM (SELECT CAST(l_shipdate AS DATE) AS day, min(l_linenumber % 2) AS lo, max(l_linenumber % 2) AS hi FROM lineitem WHERE l_suppkey < 3 GROUP BY 1) WHERE lo = hi AND hi = 1")
+@query("a10_open_calendar", "SELECT day FROM (SELECT day, min(is_open) AS lo, max(is_open) AS hi FROM (SELECT CAST(l_shipdate AS DATE) AS day, CASE WHEN $day(l_shipdate) % 7 >= 5 THEN 0 WHEN $day(l_shipdate) % 29 = 0 AND l_linenumber = 1 THEN 0 ELSE 1 END AS is_open FROM lineitem) GROUP BY day) WHERE lo = hi AND hi = 1".replace("$day(l_shipdate)", "date_diff('day', DATE '1994-12-26', CAST(l_shipdate AS DATE))"))
 def _(v):
-    return E.open_calendar(v("lineitem").filter("l_suppkey < 3").select(F.to_date("l_shipdate").alias("day"), (F.col("l_linenumber") % 2).alias("is_open")))[0]
+    n = F.datediff("l_shipdate", F.lit("1994-12-26").cast("date"))
+    is_open = F.when((n % 7 >= 5) | ((n % 29 == 0) & (F.col("l_linenumber") == 1)), 0).otherwise(1)
+    return E.open_calendar(v("lineitem").select(F.to_date("l_shipdate").alias("day"), is_open.alias("is_open")))[0]
 
 
 @query("a11_bound_calendar", "SELECT idx FROM calendar WHERE idx >= 80")
@@ -80,12 +81,22 @@ def _(v):
 
 @query("a12_version_scan", "SELECT event_id, metric FROM financial_version WHERE available <= 800")
 def _(v):
-    return v("financial_version").filter(F.col("available") <= F.lit(800)).select("event_id", "metric")
+    return version_scan(v("financial_version"), 800).select("event_id", "metric")
 
 
-@query("a13_table_digest", "SELECT count(*) AS rows FROM bar")
+_BAR_ROW = "concat_ws('|', symbol, idx, CAST(round(open * 1e6) AS BIGINT), CAST(round(close * 1e6) AS BIGINT), volume, amount)"
+
+
+@query("a13_table_digest", f"SELECT count(*) AS rows, sha256(CAST(sum(CAST('0x' || substr(sha256({_BAR_ROW}), 1, 15) AS BIGINT)) AS VARCHAR) || '|' || count(*)) AS digest FROM bar")
+def _(v):
+    """Prices in millionths."""
+    rows = v("bar").select("symbol", "idx", *[F.round(F.col(c) * 1e6).cast("bigint").alias(c) for c in ("open", "close")], "volume", "amount")
+    return E.table_digest(rows, E.portable_hash(rows.columns))
+
+
+@query("a13_content_digest")
 def _(v):
-    return E.table_digest(v("bar")).select("rows")
+    return E.table_digest(v("bar"))
 
 
 @query("a14_missing_required", "SELECT 'previous_close' AS field, count(*) FILTER (previous_close IS NULL) AS nulls FROM bar UNION ALL SELECT 'close', count(*) FILTER (close IS NULL) FROM bar")
@@ -98,10 +109,9 @@ def _(v):
     return E.completed_days(v("snapshot"), v("lineage"), v("quality"), 5).select(F.col("day").cast("string").alias("day"))
 
 
-@query("a17_completed_keys", "SELECT DISTINCT user_id FROM snapshot s JOIN lineage l USING (snapshot_id) JOIN quality q ON q.artifact_id = l.artifact_id AND q.passed WHERE status = 'ACCEPTED' AND s.snapshot_id % 97 = 0")
+@query("a17_completed_keys", "SELECT DISTINCT user_id FROM snapshot s JOIN lineage l USING (snapshot_id) JOIN quality q ON q.artifact_id = l.artifact_id AND q.passed WHERE status = 'ACCEPTED'")
 def _(v):
-    b = v("lineage").filter("snapshot_id % 97 = 0").select("artifact_id")
-    return E.completed_keys(v("snapshot"), v("lineage"), v("quality"), b, "user_id")
+    return E.completed_keys(v("snapshot"), v("lineage"), v("quality"), v("lineage").select("artifact_id"), "user_id")
 
 
 @query("a18_pending_days", "SELECT idx AS day FROM calendar WHERE idx % 3 > 0 ORDER BY idx LIMIT 12")
@@ -127,7 +137,10 @@ def _(v):
     return g.withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
 
 
-@query("b37_key_digest", "SELECT o_orderstatus, sha256(string_agg(CAST(k AS VARCHAR), '|' ORDER BY k)) AS digest FROM (SELECT DISTINCT o_orderstatus, o_custkey AS k FROM orders) GROUP BY 1")
+_KEYS = "WITH r AS (SELECT {by}, floor((row_number() OVER (PARTITION BY {by} ORDER BY k) - 1) / 10000) AS c, k FROM (SELECT DISTINCT {by}, {key} AS k FROM {t})), d AS (SELECT {by}, c, count(*) AS n, sha256(string_agg(CAST(k AS VARCHAR), '|' ORDER BY k)) AS d FROM r GROUP BY 1, 2) SELECT {by}, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '|' ORDER BY c)) AS digest FROM d GROUP BY 1"
+
+
+@query("b37_key_digest", _KEYS.format(by="o_orderstatus", key="o_custkey", t="orders"))
 def _(v):
     return E.key_digest(v("orders"), "o_orderstatus", "o_custkey")
 
@@ -174,10 +187,9 @@ def _(v):
     return E.qualification(s)
 
 
-@query("d24_input_manifest", "SELECT event_type, count(DISTINCT user_id) AS n, sha256(string_agg(DISTINCT CAST(user_id AS VARCHAR), '|' ORDER BY CAST(user_id AS VARCHAR))) AS digest FROM events GROUP BY 1")
+@query("d24_input_manifest", _KEYS.format(by="event_type", key="user_id", t="events"))
 def _(v):
-    e = v("events").select("event_type", F.col("user_id").cast("string").alias("u"))
-    return E.key_digest(e, "event_type", "u").join(e.groupBy("event_type").agg(F.count_distinct("u").alias("n")), "event_type")
+    return E.key_digest(v("events"), "event_type", "user_id")
 
 
 @query("d25_date_bounds", "SELECT symbol, min(available) AS first, max(available) AS last FROM financial_version GROUP BY 1")
@@ -213,19 +225,23 @@ def _(v):
     return E.consistency(o)
 
 
-@query("d40_admission_report", "WITH s AS (SELECT c_custkey AS symbol FROM customer WHERE c_custkey % 2 = 0), a AS (SELECT o_custkey AS symbol, count(*) AS n, count(DISTINCT o_orderstatus) AS c FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1) SELECT coalesce(s.symbol, a.symbol) AS symbol, CASE WHEN n IS NULL THEN 'MISSING' WHEN s.symbol IS NULL THEN 'UNEXPECTED' WHEN c > 1 THEN 'CONFLICTING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'ADMITTED' END AS state FROM s FULL JOIN a ON s.symbol = a.symbol")
+# what was found: large orders of high priority
+_FOUND = "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 300000"
+
+
+@query("d40_admission_report", f"WITH s AS (SELECT c_custkey AS symbol FROM customer WHERE c_acctbal >= 0), a AS (SELECT o_custkey AS symbol, count(*) AS n, count(DISTINCT o_orderstatus) AS c FROM orders WHERE {_FOUND} GROUP BY 1) SELECT coalesce(s.symbol, a.symbol) AS symbol, CASE WHEN n IS NULL THEN 'MISSING' WHEN s.symbol IS NULL THEN 'UNEXPECTED' WHEN c > 1 THEN 'CONFLICTING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'ADMITTED' END AS state FROM s FULL JOIN a ON s.symbol = a.symbol")
 def _(v):
-    return E.admission_report(v("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("symbol")), v("orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("symbol"), F.col("o_orderstatus").alias("code")))
+    return E.admission_report(v("customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("symbol")), v("orders").filter(_FOUND).select(F.col("o_custkey").alias("symbol"), F.col("o_orderstatus").alias("code")))
 
 
-@query("d41_period_grid", "WITH f AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS part, count(*) AS n FROM orders WHERE o_orderkey % 1500 = 0 GROUP BY 1, 2), g AS (SELECT CAST(y AS INTEGER) AS year, CAST(p AS INTEGER) AS part FROM (SELECT unnest(generate_series(1995, 2001)) AS y), (SELECT unnest(generate_series(1, 4)) AS p)) SELECT g.year, g.part, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'FOUND' END AS state FROM g LEFT JOIN f USING (year, part)")
+@query("d41_period_grid", "WITH f AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS part, count(*) AS n FROM orders GROUP BY 1, 2, 3), g AS (SELECT k.o_custkey, CAST(y AS INTEGER) AS year, CAST(p AS INTEGER) AS part FROM (SELECT DISTINCT o_custkey FROM orders) k, (SELECT unnest(generate_series(1995, 2001)) AS y), (SELECT unnest(generate_series(1, 4)) AS p)) SELECT g.o_custkey, g.year, g.part, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'DUPLICATE' ELSE 'FOUND' END AS state FROM g LEFT JOIN f USING (o_custkey, year, part)")
 def _(v):
-    return E.period_grid(v("orders").filter("o_orderkey % 1500 = 0").select(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("part")), 1995, 2001, 4)
+    return E.period_grid(v("orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("part")), 1995, 2001, 4, ["o_custkey"])
 
 
-@query("d42_discovery_counts", "SELECT c_nationkey AS shard, count(*) AS planned, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)) AS observed, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)) AS missing FROM customer GROUP BY 1")
+@query("d42_discovery_counts", f"SELECT c_nationkey AS shard, count(*) AS planned, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE {_FOUND})) AS observed, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_FOUND})) AS missing FROM customer GROUP BY 1")
 def _(v):
-    return E.discovery_counts(v("customer").select(F.col("c_nationkey").alias("shard"), F.col("c_custkey").alias("key")), v("orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("key")))
+    return E.discovery_counts(v("customer").select(F.col("c_nationkey").alias("shard"), F.col("c_custkey").alias("key")), v("orders").filter(_FOUND).select(F.col("o_custkey").alias("key")))
 
 
 @query("d44_bar_violations", "WITH b AS (SELECT symbol, idx, CASE WHEN symbol = 3 AND idx % 5 = 0 THEN low * 0.5 ELSE high END AS high, low, open, close, CASE WHEN symbol = 4 THEN -volume ELSE volume END AS volume, limit_up, limit_down, idx * 28 + CASE WHEN symbol = 5 AND idx % 7 = 0 THEN 40 ELSE 10 END AS available FROM bar), x AS (SELECT symbol, idx, concat_ws(',', CASE WHEN NOT (high >= greatest(open, close, low) AND low <= least(open, close, high)) THEN 'GEOMETRY' END, CASE WHEN volume < 0 THEN 'VOLUME' END, CASE WHEN available > lead(idx) OVER (PARTITION BY symbol ORDER BY idx) * 28 THEN 'LATE' END) AS violations FROM b) SELECT * FROM x WHERE violations <> ''")
@@ -259,9 +275,9 @@ def _(v):
     return E.key_difference(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"), ["k"])
 
 
-@query("g03_set_difference", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+@query("g03_set_difference", f"SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_FOUND})")
 def _(v):
-    return v("customer").select(F.col("c_custkey").alias("symbol")).subtract(v("orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("symbol")))
+    return v("customer").select(F.col("c_custkey").alias("symbol")).subtract(v("orders").filter(_FOUND).select(F.col("o_custkey").alias("symbol")))
 
 
 @query("g04_shared_lineage", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
@@ -293,6 +309,6 @@ def _(v):
 
     rows = v("feature")
     spark = rows.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir").rstrip("/")
     back = spark.read.parquet(publish(rows, f"{root}/artifacts", "feature_id"))
     return rounded(back.groupBy("feature_id").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total")), "total", n=4)

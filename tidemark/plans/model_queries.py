@@ -84,23 +84,57 @@ def _(v):
     return rounded(M.equal_weight_loss(_matrix(v), NAMES), "loss", n=6)
 
 
-_LIN = _MATRIX + ", p AS (SELECT f.fold, x.symbol, x.idx, x.label, 0.1e0 * f.fold + 0.5e0 * mom_3 - 0.2e0 * mom_6 + 0.01e0 * log_amount AS prediction FROM x JOIN fold f ON f.idx = x.idx AND f.role = 'test' WHERE mom_3 IS NOT NULL AND mom_6 IS NOT NULL AND label IS NOT NULL)"
+# ridge of two features in closed form, for every fold and penalty
+PAIR = ["mom_3", "mom_6"]
+_RIDGE = _MATRIX + """, c AS (SELECT * FROM x WHERE mom_3 IS NOT NULL AND mom_6 IS NOT NULL AND label IS NOT NULL),
+  mo AS (SELECT f.fold, count(*) AS n, avg(mom_3) AS m1, avg(mom_6) AS m2, avg(label) AS my, count(*) * var_pop(mom_3) AS s11, count(*) * var_pop(mom_6) AS s22, count(*) * covar_pop(mom_3, mom_6) AS s12, count(*) * covar_pop(mom_3, label) AS s1y, count(*) * covar_pop(mom_6, label) AS s2y FROM c JOIN fold f ON f.idx = c.idx AND f.role = 'train' GROUP BY 1),
+  rg AS (SELECT fold, alpha, ((s22 + alpha) * s1y - s12 * s2y) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1, ((s11 + alpha) * s2y - s12 * s1y) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2, m1, m2, my FROM mo, (SELECT unnest([0.1e0, 1e0, 10e0, 100e0]) AS alpha)),
+  rf AS (SELECT fold, alpha, w1, w2, my - w1 * m1 - w2 * m2 AS b FROM rg),
+  va AS (SELECT rf.fold, alpha, avg(pow(label - (b + w1 * mom_3 + w2 * mom_6), 2)) AS loss, count(*) AS n FROM c JOIN fold f ON f.idx = c.idx AND f.role = 'validation' JOIN rf ON rf.fold = f.fold GROUP BY 1, 2),
+  al AS (SELECT alpha FROM (SELECT alpha, avg(loss) AS loss FROM va GROUP BY 1) ORDER BY loss, alpha LIMIT 1),
+  pr AS (SELECT f.fold, c.symbol, c.idx, c.label, b + w1 * mom_3 + w2 * mom_6 AS prediction FROM c JOIN fold f ON f.idx = c.idx AND f.role = 'test' JOIN rf ON rf.fold = f.fold AND alpha = (SELECT alpha FROM al))"""
 
 
-def _coefficients(v):
-    w = F.array(*[F.struct(F.lit(n).alias("feature_id"), (F.lit(c) if n != "intercept" else F.col("fold") * 0.1).alias("coefficient")) for n, c in (("intercept", 0.0), ("mom_3", 0.5), ("mom_6", -0.2), ("log_amount", 0.01))])
-    return v("fold").select("fold").distinct().select("fold", F.explode(w).alias("w")).select("fold", "w.*")
+def _trained(v):
+    return M.train(_matrix(v), v("fold"), PAIR)
 
 
-@query("i03_predict", f"WITH {_LIN} SELECT fold, symbol, idx, round(prediction, 8) AS prediction FROM p")
+@query("d28_ridge_pair", f"WITH {_RIDGE} SELECT fold, alpha, round(w1, 8) AS mom_3, round(w2, 8) AS mom_6, round(b, 8) AS intercept FROM rf")
 def _(v):
-    return rounded(M.predict(_complete(v), v("fold"), _coefficients(v), NAMES).select("fold", "symbol", "idx", "prediction"), "prediction")
+    wide = M.ridge(_matrix(v), v("fold"), PAIR).groupBy("fold", "alpha").pivot("feature_id", ["intercept", *PAIR]).agg(F.first("coefficient"))
+    return rounded(wide, *PAIR, "intercept")
 
 
-@query("i04_evaluation_frame", f"WITH {_LIN} SELECT fold, count(*) AS n, round(avg(pow(label - prediction, 2)), 8) AS loss FROM p GROUP BY 1")
+@query("d28_validation_losses", f"WITH {_RIDGE} SELECT fold, alpha, round(loss, 8) AS loss, n FROM va")
 def _(v):
-    p = M.predict(_complete(v), v("fold"), _coefficients(v), NAMES)
-    return rounded(p.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("label") - F.col("prediction"), 2)).alias("loss")), "loss")
+    return rounded(_trained(v).validation, "loss")
+
+
+@query("f07_best_alpha", f"WITH {_RIDGE} SELECT alpha FROM al")
+def _(v):
+    return _trained(v).alpha
+
+
+@query("i03_predict", f"WITH {_RIDGE} SELECT fold, symbol, idx, round(prediction, 8) AS prediction FROM pr")
+def _(v):
+    return rounded(_trained(v).predictions.select("fold", "symbol", "idx", "prediction"), "prediction")
+
+
+@query("i04_evaluation_frame", f"WITH {_RIDGE} SELECT fold, symbol, idx, round(prediction, 8) AS prediction, round(label, 8) AS label FROM pr")
+def _(v):
+    p = _trained(v).predictions
+    return rounded(M.evaluation_frame(p, p, ["fold", "symbol", "idx"])[0], "prediction", "label")
+
+
+@query("i04_test_losses", f"WITH {_RIDGE} SELECT fold, count(*) AS n, round(avg(pow(label - prediction, 2)), 8) AS loss FROM pr GROUP BY 1")
+def _(v):
+    return rounded(_trained(v).test, "loss")
+
+
+@query("i04_key_violations", f"WITH {_RIDGE} SELECT f.fold, bar.symbol, bar.idx, 'MISSING' AS violation FROM bar JOIN fold f ON f.idx = bar.idx AND f.role = 'test' LEFT JOIN pr ON pr.fold = f.fold AND pr.symbol = bar.symbol AND pr.idx = bar.idx WHERE pr.fold IS NULL")
+def _(v):
+    """Bars of test sessions that get no prediction: suspended ones, and those without features or label."""
+    return M.evaluation_frame(_trained(v).predictions, M.fold_rows(v("bar").select("symbol", "idx"), v("fold"), "test"), ["fold", "symbol", "idx"])[1]
 
 
 @query("i01_finite_target", "WITH r AS (SELECT symbol, idx, rank() OVER (PARTITION BY idx ORDER BY label) + (count(*) OVER (PARTITION BY idx, label) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY idx) AS n FROM label WHERE label IS NOT NULL) SELECT symbol, idx, round(CAST(CASE WHEN n > 1 THEN (r - 1) / (n - 1) ELSE 0.5 END AS DOUBLE), 8) AS target FROM r")
@@ -114,35 +148,48 @@ def _(v):
 
 @query("i02_feature_matrix", f"WITH {_MATRIX} SELECT symbol, idx, round(coalesce(mom_3, 0), 8) AS mom_3, CAST(mom_3 IS NULL AS INTEGER) AS mom_3_missing, round(coalesce(mom_6, 0), 8) AS mom_6, CAST(mom_6 IS NULL AS INTEGER) AS mom_6_missing FROM x")
 def _(v):
-    m = _matrix(v)
-    return m.select("symbol", "idx", *[e for n in ("mom_3", "mom_6") for e in (F.round(F.coalesce(n, F.lit(0.0)), 8).alias(n), F.col(n).isNull().cast("int").alias(f"{n}_missing"))])
+    return rounded(M.feature_matrix(_matrix(v), ["mom_3", "mom_6"], ["symbol", "idx"]), "mom_3", "mom_6")
 
 
-@query("i05_frame_evidence", "SELECT 'feature' AS frame, count(*) AS rows FROM feature UNION ALL SELECT 'label', count(*) FROM label")
+_FRAME = "SELECT '{n}' AS frame, count(*) AS rows, sha256(CAST(sum(CAST('0x' || substr(sha256({t}), 1, 15) AS BIGINT)) AS VARCHAR) || '|' || count(*)) AS digest FROM {n}"
+_LABEL_ROW = "concat_ws('|', symbol, idx, coalesce(CAST(CAST(round(label * 1e6) AS BIGINT) AS VARCHAR), ''))"
+_FEATURE_ROW = "concat_ws('|', symbol, idx, feature_id, coalesce(CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR), ''))"
+
+
+@query("i05_frame_evidence", f"{_FRAME.format(n='feature', t=_FEATURE_ROW)} UNION ALL {_FRAME.format(n='label', t=_LABEL_ROW)}")
 def _(v):
-    from tidemark.operators.evidence import table_digest
+    """Digests of both frames, their values in millionths."""
+    from tidemark.operators.evidence import portable_hash, table_digest
 
-    one = [table_digest(v(n)).select(F.lit(n).alias("frame"), "rows") for n in ("feature", "label")]
-    return one[0].unionByName(one[1])
+    out = []
+    for n, keys, value in (("feature", ["symbol", "idx", "feature_id"], "value"), ("label", ["symbol", "idx"], "label")):
+        rows = v(n).select(*keys, F.round(F.col(value) * 1e6).cast("bigint").alias(value))
+        out.append(table_digest(rows, portable_hash(rows.columns)).select(F.lit(n).alias("frame"), "rows", "digest"))
+    return out[0].unionByName(out[1])
 
 
-@query("f07_best_alpha", "WITH l AS (SELECT o_custkey % 4 AS fold, CAST(o_orderkey % 5 AS DOUBLE) AS alpha, avg(o_totalprice) AS loss FROM orders GROUP BY 1, 2), g AS (SELECT alpha, avg(loss) AS loss FROM l GROUP BY 1) SELECT alpha FROM g ORDER BY loss, alpha LIMIT 1")
+@query("i05_frame_digests")
 def _(v):
-    losses = v("orders").groupBy((F.col("o_custkey") % 4).alias("fold"), (F.col("o_orderkey") % 5).cast("double").alias("alpha")).agg(F.avg("o_totalprice").alias("loss"))
-    return M.best_alpha(losses)
+    from tidemark.operators.evidence import table_digest
+
+    one = [table_digest(v(n)).select(F.lit(n).alias("frame"), "rows", "digest") for n in ("feature", "label")]
+    return one[0].unionByName(one[1])
 
 
 @query("b34_development_rows", "SELECT symbol, idx FROM bar WHERE idx <= 60")
 def _(v):
-    return v("bar").filter(F.col("idx") <= 60).select("symbol", "idx")
+    return M.development_rows(v("bar"), 60).select("symbol", "idx")
+
+
+_MAIL = r"WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g'), '([a-z]+@[a-z]+\.[a-z]+)', 1)) AS v FROM documents) SELECT doc_id, CASE WHEN len(v) = 1 THEN v[1] END AS value, CASE WHEN len(v) = 0 THEN 'MISSING' WHEN len(v) > 1 THEN 'CONFLICTING' ELSE 'FOUND' END AS state FROM m"
 
 
-@query("b30_disclosures", r"WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g'), '([a-z]+@[a-z]+\.[a-z]+)', 1)) AS v FROM documents) SELECT doc_id, CASE WHEN len(v) = 1 THEN v[1] END AS value, CASE WHEN len(v) = 0 THEN 'MISSING' WHEN len(v) > 1 THEN 'CONFLICTING' ELSE 'FOUND' END AS state FROM m")
+@query("b30_disclosures", _MAIL)
 def _(v):
     return X.disclosures(v("documents"), r"([a-z]+@[a-z]+\.[a-z]+)", normalize=False)
 
 
-@query("b30_normalized_disclosures")
+@query("b30_normalized_disclosures", _MAIL)  # no text of the table holds compatibility forms in an address
 def _(v):
     return X.disclosures(v("documents"), r"([a-z]+@[a-z]+\.[a-z]+)")
 

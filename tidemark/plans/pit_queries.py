@@ -146,13 +146,12 @@ def _(v):
     return P.id_chunks(v("orders"), "o_orderkey", "o_orderstatus")
 
 
-@query("b20_field_lineage", "SELECT 'open' AS field, 'trade.price' AS upstream, 'first' AS transformation, count(*) AS rows FROM bar UNION ALL SELECT 'volume', 'trade.qty', 'sum', count(*) FROM bar")
+@query("b20_field_lineage", "SELECT unnest(['open', 'volume', 'previous_close']) AS field, unnest(['trade.price', 'trade.qty', 'bar.close']) AS upstream, unnest(['first', 'sum', 'lag']) AS transformation, unnest([count(*), count(*), count(*)]) AS rows, unnest([count(open), count(volume), count(previous_close)]) AS valued FROM bar")
 def _(v):
-    bars = v("bar")
-    return P.field_lineage(bars, {"open": ("trade.price", "first"), "volume": ("trade.qty", "sum")}).join(bars.agg(F.count("*").alias("rows")))
+    return P.field_lineage(v("bar"), {"open": ("trade.price", "first"), "volume": ("trade.qty", "sum"), "previous_close": ("bar.close", "lag")})
 
 
-@query("b21_round14")
+@query("b21_round14", "SELECT symbol, idx, CAST(printf('%.13e', close / 3) AS DOUBLE) AS x14 FROM bar")
 def _(v):
     return v("bar").withColumn("x", F.col("close") / 3).select("symbol", "idx", P.round14("x").alias("x14"))
 
@@ -225,11 +224,11 @@ def _(v):
     return rows.drop("update_flag")
 
 
-_GRID = "g AS (SELECT s.symbol, d.day FROM (SELECT DISTINCT symbol FROM bar) s CROSS JOIN (SELECT DISTINCT CAST(idx * 28 AS INTEGER) AS day FROM calendar WHERE idx % 6 = 0) d)"
+_GRID = "g AS (SELECT s.symbol, d.day FROM (SELECT DISTINCT symbol FROM bar) s CROSS JOIN (SELECT DISTINCT CAST(idx * 28 AS INTEGER) AS day FROM calendar ) d)"
 
 
-def _grid(v, every=6):
-    days = v("calendar").filter(F.col("idx") % every == 0).select((F.col("idx") * 28).cast("int").alias("day")).distinct()
+def _grid(v):
+    days = v("calendar").select((F.col("idx") * 28).cast("int").alias("day")).distinct()
     return v("bar").select("symbol").distinct().join(days)
 
 
@@ -288,7 +287,7 @@ def _intervals(v, status):
 
 @query("c20_overlapping", f"WITH {_IV} SELECT a.k, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM i a JOIN i b ON a.k = b.k AND a.st = 'F' AND b.st = 'P' AND (b.e IS NULL OR a.s < b.e) AND (a.e IS NULL OR b.s < a.e)")
 def _(v):
-    return P.overlapping(_intervals(v, "F"), _intervals(v, "P"), "k")
+    return P.overlapping(_intervals(v, "F"), _intervals(v, "P"), "k", 30)
 
 
 @query("c21_resolve_sources", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'BASE' WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'SUPPLEMENT' WHEN c_custkey % 5 < 2 THEN 'REGISTRY' ELSE 'NONE' END AS source, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 5 < 2 THEN 'r' || c_nationkey END AS value FROM customer")
@@ -308,7 +307,31 @@ def _(v):
     return P.fold_replays(v("financial_version"), ["symbol", "report_period"], ["metric"], "event_id")
 
 
-@query("d34_weight_batches", "WITH w AS (SELECT b.idx AS batch, symbol % 50 AS code, b.idx - CASE WHEN symbol = 7 AND b.idx % 9 = 0 THEN 1 ELSE 0 END AS day, CAST(b.volume AS DOUBLE) AS weight FROM bar b WHERE symbol < 2 OR symbol % 50 = 0 OR symbol = 7), g AS (SELECT batch, count(DISTINCT code) AS codes, count(DISTINCT day) AS days, count(*) AS n, sum(weight) AS total FROM w GROUP BY batch) SELECT batch, n, total, concat_ws(',', CASE WHEN codes > 1 THEN 'MIXED_INDEX' END, CASE WHEN days > 1 THEN 'MIXED_DATE' END, CASE WHEN n >= 4 THEN 'ROW_CAP' END, CASE WHEN NOT total BETWEEN 95 AND 400 THEN 'WEIGHT_SUM' END) AS violations FROM g")
+@query("d34_weight_batches", "WITH w AS (SELECT b.idx * 50 + symbol % 50 AS batch, symbol % 100 AS code, b.idx - CASE WHEN symbol % 50 = 7 AND b.idx % 9 = 0 THEN symbol % 3 ELSE 0 END AS day, CAST(b.volume AS DOUBLE) AS weight FROM bar b), g AS (SELECT batch, count(DISTINCT code) AS codes, count(DISTINCT day) AS days, count(*) AS n, sum(weight) AS total FROM w GROUP BY batch) SELECT batch, n, total, concat_ws(',', CASE WHEN codes > 1 THEN 'MIXED_INDEX' END, CASE WHEN days > 1 THEN 'MIXED_DATE' END, CASE WHEN n >= 4 THEN 'ROW_CAP' END, CASE WHEN NOT total BETWEEN 95 AND 400 THEN 'WEIGHT_SUM' END) AS violations FROM g")
 def _(v):
-    rows = v("bar").filter("symbol < 2 or symbol % 50 = 0 or symbol = 7").selectExpr("idx as batch", "symbol % 50 as index_code", "idx - case when symbol = 7 and idx % 9 = 0 then 1 else 0 end as day", "cast(volume as double) as weight")
+    rows = v("bar").selectExpr("idx * 50 + symbol % 50 as batch", "symbol % 100 as index_code", "idx - case when symbol % 50 = 7 and idx % 9 = 0 then symbol % 3 else 0 end as day", "cast(volume as double) as weight")
     return P.weight_batches(rows, 4, 95, 400)
+
+
+@query("b23_factor_reasons", """WITH u AS (SELECT s.symbol, c.idx FROM (SELECT DISTINCT symbol FROM bar) s CROSS JOIN calendar c),
+  x AS (SELECT b.symbol, b.idx, b.idx + 1 AS sessions, count(*) OVER (PARTITION BY b.symbol ORDER BY b.idx RANGE 6 PRECEDING) AS present, CASE WHEN b.idx - lag(b.idx, 6) OVER w = 6 THEN b.close * adj / lag(b.close * adj, 6) OVER w - 1 END AS mom_6, v.total_mv, v.pe, s.s_acctbal AS ratio, true AS bar
+    FROM bar b JOIN valuation v ON v.symbol = b.symbol AND v.idx = b.idx JOIN supplier s ON s.s_suppkey = b.symbol WINDOW w AS (PARTITION BY b.symbol ORDER BY b.idx)),
+  y AS (SELECT u.symbol, u.idx, x.* EXCLUDE (symbol, idx) FROM u LEFT JOIN x ON x.symbol = u.symbol AND x.idx = u.idx)
+  SELECT symbol, idx, 'mom_6' AS feature_id, round(mom_6, 8) AS value, CASE WHEN bar IS NULL THEN 'MISSING_TRADING_SESSION' WHEN mom_6 IS NULL THEN CASE WHEN present < 7 THEN CASE WHEN sessions >= 7 THEN 'MISSING_TRADING_SESSION' ELSE 'INSUFFICIENT_HISTORY' END ELSE 'SOURCE_VALUE_INVALID' END END AS null_reason FROM y
+  UNION ALL SELECT symbol, idx, 'log_total_mv', round(ln(total_mv), 8), CASE WHEN bar IS NULL THEN 'MISSING_TRADING_SESSION' WHEN total_mv IS NULL THEN 'SOURCE_VALUE_MISSING' END FROM y
+  UNION ALL SELECT symbol, idx, 'earnings_yield', round(CASE WHEN ratio > 0 THEN 1 / ratio END, 8), CASE WHEN bar IS NULL THEN 'MISSING_TRADING_SESSION' WHEN ratio <= 0 THEN 'NON_POSITIVE_DENOMINATOR' END FROM y""")
+def _(v):
+    """Momentum, log of market value, and the inverse of a ratio that may be negative (the account balance)."""
+    from tidemark.operators import windows as W
+
+    bars = v("bar")
+    rows = bars.select("symbol", "idx", (F.col("idx") + 1).alias("calendar_sessions"), *[F.count("*").over(W.own().rangeBetween(1 - n, 0)).alias(f"present_{n}") for n in (1, 7)])
+    rows = rows.join(W.momentum(bars, 6).withColumnRenamed("value", "mom_6"), ["symbol", "idx"]).join(v("valuation"), ["symbol", "idx"]).join(v("supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_acctbal").alias("ratio")), "symbol")
+    rows = rows.withColumns({"log_total_mv": F.when(F.col("total_mv") > 0, F.ln("total_mv")), "earnings_yield": F.when(F.col("ratio") > 0, 1 / F.col("ratio"))})
+    reasons = {}
+    for name, needed, source, rule in (("mom_6", 7, None, "other"), ("log_total_mv", 1, F.col("total_mv"), "denominator"), ("earnings_yield", 1, F.col("ratio"), "denominator")):
+        reasons[name] = f"why_{name}"
+        rows = rows.withColumn("present", F.col(f"present_{needed}"))
+        rows = rows.withColumn(reasons[name], P.null_reasons(rows, needed, F.col(name), source, rule))
+    universe = bars.select("symbol").distinct().join(v("calendar").select("idx"))
+    return rounded(W.factor_rows(universe, rows, list(reasons), reasons), "value")

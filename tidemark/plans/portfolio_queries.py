@@ -112,6 +112,23 @@ def _(v):
     return O.rule_events(_chain(v), 1e-10).groupBy("rule").agg(F.count("*").alias("events"))
 
 
+_EVENTS = _CHAIN + """, ev AS (
+  SELECT idx, symbol, 'MAX_POSITION_WEIGHT' AS rule, 'RESIZE' AS action, w1 AS observed, 0.05e0 AS lim FROM z WHERE w1 > 0.05e0
+  UNION ALL SELECT idx, symbol, 'NEW_RISK_INELIGIBLE', 'REJECT', w2 - current_w, 0e0 FROM z WHERE w2 > current_w AND NOT eligible
+  UNION ALL SELECT idx, symbol, 'VOLUME_PARTICIPATION', CASE WHEN lots = 0 THEN 'REJECT' ELSE 'RESIZE' END, wanted, cap FROM (SELECT *, (w2 - current_w) * 1e7 / price AS wanted, volume * 0.05e0 AS cap, floor(least((w2 - current_w) * 1e7 / price, volume * 0.05e0) / 2) AS lots FROM z WHERE w2 > current_w AND eligible) WHERE lots = 0 OR lots * 2 * price / 1e7 < w2 - current_w
+  UNION ALL SELECT idx, NULL, 'MAX_HOLDINGS', 'REJECT', count(*), 30e0 FROM z WHERE target_w > 0 GROUP BY idx HAVING count(*) > 30
+  UNION ALL SELECT idx, NULL, 'INDUSTRY_EXPOSURE_UNAVAILABLE', 'BLOCK_VALIDATION', count(*), 0e0 FROM z WHERE industry IS NULL AND w3 > 0 GROUP BY idx
+  UNION ALL SELECT idx, NULL, 'MAX_INDUSTRY_WEIGHT', 'RESIZE', sum(w3), 0.2e0 FROM z WHERE NOT draft AND industry IS NOT NULL AND w3 > 0 GROUP BY idx, industry HAVING sum(w3) > 0.2e0
+  UNION ALL SELECT idx, NULL, 'MINIMUM_CASH_WEIGHT', 'RESIZE', 1 - max(gt), 1 - 0.95e0 FROM z GROUP BY idx HAVING max(gt) > 0.95e0
+  UNION ALL SELECT idx, NULL, 'CONCENTRATION', 'RESIZE', max(hh), 0.05e0 FROM z GROUP BY idx HAVING max(hh) > 0.05e0
+  UNION ALL SELECT idx, NULL, 'MAX_TURNOVER', 'RESIZE', max(tt), 0.25e0 FROM z GROUP BY idx HAVING max(tt) > 0.25e0)"""
+
+
+@query("h06_risk_events", f"WITH {_EVENTS} SELECT idx, symbol, rule, action, round(observed, 6) AS observed, round(lim, 6) AS \"limit\" FROM ev")
+def _(v):
+    return rounded(O.risk_events(_chain(v), 1e7, lot=2), "observed", "limit", n=6)
+
+
 @query("h07_rebalance_orders", "WITH h AS (SELECT idx, symbol, CAST(volume % 7 * 100 AS BIGINT) AS shares FROM bar WHERE symbol % 3 > 0), t AS (SELECT idx, symbol, target_w, price FROM target WHERE symbol % 4 > 0), x AS (SELECT coalesce(t.idx, h.idx) AS idx, coalesce(t.symbol, h.symbol) AS symbol, CAST(coalesce(floor(target_w * 1e8 / price / 100) * 100, 0) - coalesce(shares, 0) AS BIGINT) AS delta FROM t FULL JOIN h ON t.idx = h.idx AND t.symbol = h.symbol) SELECT *, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side FROM x WHERE delta <> 0")
 def _(v):
     h = v("bar").filter("symbol % 3 > 0").select("idx", "symbol", (F.col("volume") % 7 * 100).alias("shares"))
@@ -137,10 +154,10 @@ def _(v):
     return v("bar").select("symbol", "idx", O.block_reason(side, F.col("open"), F.col("suspended"), F.col("limit_up"), F.col("limit_down")).alias("reason"))
 
 
-@query("b29_sized_orders", "WITH x AS (SELECT symbol, idx, floor(3e6 / open / 10) * 10 AS p, floor((2e6 + idx * 1e4) / open / 10) * 10 AS c, floor(volume * 10 * 0.1e0 / 10) * 10 AS q FROM bar) SELECT symbol, idx, CAST(least(p, c, q) AS BIGINT) AS shares, CASE WHEN p <= c AND p <= q THEN 'POSITION' WHEN c <= q THEN 'CASH' ELSE 'VOLUME' END AS binding FROM x")
+@query("b29_sized_orders", "WITH x AS (SELECT symbol, idx, CAST(volume % 97 * 40 AS BIGINT) AS requested, floor((2e7 + idx * 1e5) * 0.05e0 / open / 10) * 10 AS p, floor((2e7 + idx * 1e5) * (1 - 0.97e0) / open / 10) * 10 AS c, floor(volume * 10 * 0.1e0 / 10) * 10 AS q FROM bar), y AS (SELECT *, CAST(least(requested, p, c, q) AS BIGINT) AS shares FROM x) SELECT symbol, idx, shares, CASE WHEN shares < requested THEN CASE WHEN p <= c AND p <= q THEN 'MAX_POSITION_WEIGHT' WHEN c <= q THEN 'MINIMUM_CASH_WEIGHT' ELSE 'VOLUME_PARTICIPATION' END END AS rule, CASE WHEN shares < requested THEN CASE WHEN shares = 0 THEN 'REJECT' ELSE 'RESIZE' END END AS action, CASE WHEN shares < requested THEN CAST(requested AS DOUBLE) END AS observed, CASE WHEN shares < requested THEN CASE WHEN p <= c AND p <= q THEN 0.05e0 WHEN c <= q THEN 0.97e0 ELSE 0.1e0 END END AS \"limit\" FROM y")
 def _(v):
-    r = v("bar").select("symbol", "idx", F.lit(3e6).alias("notional"), (F.lit(2e6) + F.col("idx") * 1e4).alias("cash"), F.col("open").alias("price"), (F.col("volume") * 10).alias("volume"))
-    return O.sized(r, lot=10).select("symbol", "idx", "shares", "binding")
+    r = v("bar").select("symbol", "idx", (F.col("volume") % 97 * 40).alias("requested"), (F.lit(2e7) + F.col("idx") * 1e5).alias("equity"), F.col("open").alias("price"), (F.col("volume") * 10).alias("volume"))
+    return O.sized(r, lot=10, cash=0.97).select("symbol", "idx", "shares", "rule", "action", "observed", "limit")
 
 
 @query("b36_fills", "WITH x AS (SELECT symbol, seq, side, shares, CAST(floor(shares * 8 * 0.1e0 / 100) * 100 AS BIGINT) AS room, CASE WHEN side = 'BUY' THEN CAST(floor(cash / price / 100) * 100 AS BIGINT) ELSE sellable END AS afford FROM order_row), f AS (SELECT *, greatest(0, least(shares, room, afford)) AS filled FROM x) SELECT symbol, seq, filled, CASE WHEN filled = shares THEN 'FILLED' WHEN filled > 0 THEN 'PARTIAL' ELSE 'PENDING' END AS state, CASE WHEN filled = shares THEN NULL WHEN room <= afford THEN 'VOLUME_CAPACITY' WHEN side = 'BUY' THEN 'INSUFFICIENT_CASH' ELSE 'T_PLUS_ONE' END AS reason FROM f")
@@ -149,19 +166,35 @@ def _(v):
     return O.fills(r).select("symbol", "seq", F.col("filled").cast("bigint").alias("filled"), "state", "reason")
 
 
-_EQ = "x AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, equity / max(equity) OVER w - 1 AS dd FROM equity WINDOW w AS (PARTITION BY run ORDER BY idx)), g AS (SELECT run, max_by(equity, idx) / min_by(equity, idx) - 1 AS tot, count(r) AS n, stddev_samp(r) AS sd, avg(r) AS m, min(dd) AS mdd, count(*) FILTER (r > 0) / count(r) AS win FROM x GROUP BY run)"
+_EQ = "x AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, equity / max(equity) OVER w - 1 AS dd FROM equity WINDOW w AS (PARTITION BY run ORDER BY idx)), g0 AS (SELECT run, max_by(equity, idx) / min_by(equity, idx) AS growth, count(r) AS n, coalesce(stddev_samp(r), 0) AS sd, avg(r) AS m, min(dd) AS mdd, avg(equity) AS average FROM x GROUP BY run), st AS (SELECT run, count(*) AS trades, sum(fee) AS fees, coalesce(count(*) FILTER (side = 'SELL' AND realized > 0) / nullif(count(*) FILTER (side = 'SELL'), 0), 0) AS win, sum(notional) AS notional, max(participation) AS participation, count(*) FILTER (state <> 'FILLED') AS pending FROM run_trade GROUP BY run), g AS (SELECT g0.*, growth - 1 AS tot, sd * sqrt(252) AS vol, CASE WHEN sd > 0 THEN m / sd * sqrt(252) ELSE 0 END AS sharpe, coalesce(trades, 0) AS trades, coalesce(fees, 0) AS fees, coalesce(win, 0) AS win, coalesce(notional, 0) AS notional, coalesce(participation, 0) AS participation, coalesce(pending, 0) AS pending FROM g0 LEFT JOIN st ON st.run = g0.run)"
 
 
-@query("d30_equity_metrics", f"WITH {_EQ} SELECT run, round(tot, 8) AS total_return, round(exp(ln(1 + tot) * 252 / n) - 1, 6) AS annual_return, round(sd * sqrt(252), 8) AS volatility, round(m / sd * sqrt(252), 8) AS sharpe, round(mdd, 8) AS max_drawdown, round(win, 8) AS win_rate FROM g")
+@query("d30_equity_metrics", f"WITH {_EQ} SELECT run, round(tot, 8) AS total_return, round(pow(growth, 252e0 / greatest(n, 1)) - 1, 6) AS annual_return, round(vol, 8) AS volatility, round(sharpe, 8) AS sharpe, round(mdd, 8) AS max_drawdown, round(win, 8) AS win_rate, trades AS trade_count, round(fees, 4) AS total_fees FROM g")
 def _(v):
-    m = O.equity_metrics(v("equity"))
-    return rounded(rounded(m, "total_return", "volatility", "sharpe", "max_drawdown", "win_rate"), "annual_return", n=6)
+    m = O.equity_metrics(v("equity"), v("run_trade"))
+    return rounded(rounded(rounded(m, "total_return", "volatility", "sharpe", "max_drawdown", "win_rate"), "annual_return", n=6), "total_fees", n=4)
+
+
+# the benchmark of every thirtieth session is missing, and one value isn't positive
+_BENCH = "bm AS (SELECT idx, CASE WHEN idx = 41 THEN -close ELSE close END AS close FROM benchmark_bar WHERE idx % 30 <> 29), sp AS (SELECT run, min(idx) AS lo, max(idx) AS hi FROM equity GROUP BY run), vi AS (SELECT e.run, e.idx, CASE WHEN b.idx IS NULL THEN 'MISSING_BENCHMARK' ELSE 'BAD_BENCHMARK' END AS violation FROM equity e LEFT JOIN bm b ON b.idx = e.idx WHERE b.idx IS NULL OR b.close <= 0 UNION ALL SELECT sp.run, b.idx, 'MISSING_SESSION' FROM sp JOIN bm b ON b.idx BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM equity e WHERE e.run = sp.run AND e.idx = b.idx))"
 
 
-@query("d31_portfolio_metrics", "WITH j AS (SELECT e.*, b.close AS bench FROM equity e JOIN benchmark_bar b USING (idx)), g AS (SELECT run, max_by(equity, idx) / min_by(equity, idx) - 1 AS total, max_by(bench, idx) / min_by(bench, idx) - 1 AS bench, sum(notional) / avg(equity) AS turnover FROM j GROUP BY run) SELECT run, round(total, 8) AS total, round(bench, 8) AS bench, round(turnover, 6) AS turnover, round(total - bench, 8) AS excess FROM g")
+def _benchmark(v):
+    return v("benchmark_bar").filter("idx % 30 <> 29").withColumn("close", F.when(F.col("idx") == 41, -F.col("close")).otherwise(F.col("close")))
+
+
+@query("d31_benchmark_violations", f"WITH {_BENCH} SELECT run, idx, violation FROM vi")
+def _(v):
+    return O.benchmark_violations(v("equity"), _benchmark(v))
+
+
+@query("d31_portfolio_metrics", f"WITH {_EQ}, {_BENCH.replace(' WHERE idx % 30 <> 29', '').replace('CASE WHEN idx = 41 THEN -close ELSE close END AS close', 'close')}, vn AS (SELECT run, count(*) AS violations FROM vi GROUP BY run), be AS (SELECT run, max_by(b.close, e.idx) / min_by(b.close, e.idx) - 1 AS b FROM equity e JOIN bm b ON b.idx = e.idx GROUP BY run), en AS (SELECT run, count(*) AS events FROM x WHERE dd <= -0.2 GROUP BY run) SELECT g.run, round(tot, 8) AS total, round(CASE WHEN violations IS NULL THEN b END, 8) AS bench, round(CASE WHEN violations IS NULL THEN tot - b END, 8) AS excess, round(vol, 8) AS volatility, round(sharpe, 8) AS sharpe, round(mdd, 8) AS max_drawdown, round(notional / average, 6) AS turnover, round(fees, 4) AS total_fees, round(participation, 8) AS participation, pending, coalesce(events, 0) AS events, coalesce(violations, 0) AS violations FROM g LEFT JOIN vn ON vn.run = g.run LEFT JOIN be ON be.run = g.run LEFT JOIN en ON en.run = g.run")
 def _(v):
-    m = O.portfolio_metrics(v("equity"), v("benchmark_bar"))
-    return rounded(rounded(m, "total", "bench", "excess"), "turnover", n=6)
+    """A run with a gap in its sessions has violations, so no excess; a session 20 % below the peak is an event."""
+    from tidemark.operators.windows import drawdown
+
+    m = O.portfolio_metrics(v("equity"), v("benchmark_bar"), v("run_trade"), drawdown(v("equity")).filter("drawdown <= -0.2"))
+    return rounded(rounded(rounded(m, "total", "bench", "excess", "volatility", "sharpe", "max_drawdown", "participation"), "turnover", n=6), "total_fees", n=4)
 
 
 @query("d32_annual_segments", "SELECT run, CAST(year(date) AS INTEGER) AS year, round(min_by(equity, idx), 8) AS first, round(max_by(equity, idx), 8) AS last, round(max_by(equity, idx) / min_by(equity, idx) - 1, 8) AS annual FROM equity GROUP BY 1, 2")
@@ -169,9 +202,11 @@ def _(v):
     return rounded(O.annual_segments(v("equity"), F.year("date")), "first", "last", "annual")
 
 
-@query("d21_compare_runs", "WITH x AS (SELECT *, equity / max(equity) OVER (PARTITION BY run ORDER BY idx) - 1 AS dd FROM equity WHERE run IN (3, 4)), g AS (SELECT run, max_by(equity, idx) / min_by(equity, idx) - 1 AS total, min(dd) AS worst, min(CASE WHEN dd < -0.2 THEN idx END) AS h FROM x GROUP BY run) SELECT round(a.total, 8) AS total_a, round(a.worst, 8) AS worst_a, a.h AS first_halt_a, round(b.total, 8) AS total_b, round(b.worst, 8) AS worst_b, b.h AS first_halt_b, round(a.total - b.total, 8) AS gap FROM g a JOIN g b ON a.run = 3 AND b.run = 4")
+@query("d21_compare_runs", "WITH x AS (SELECT *, equity / max(equity) OVER (PARTITION BY run ORDER BY idx) - 1 AS dd FROM equity), g AS (SELECT run, max_by(equity, idx) / min_by(equity, idx) - 1 AS total, min(dd) AS worst, min(CASE WHEN dd < -0.2 THEN idx END) AS h FROM x GROUP BY run) SELECT a.run AS a, a.run + 1 AS b, round(a.total, 8) AS total_a, round(a.worst, 8) AS worst_a, a.h AS first_halt_a, round(b.total, 8) AS total_b, round(b.worst, 8) AS worst_b, b.h AS first_halt_b, round(a.total - b.total, 8) AS gap FROM g a LEFT JOIN g b ON b.run = a.run + 1")
 def _(v):
-    return rounded(O.compare_runs(v("equity"), 3, 4), "total_a", "worst_a", "total_b", "worst_b", "gap")
+    """Every run beside the one after it."""
+    pairs = v("equity").select(F.col("run").alias("a"), (F.col("run") + 1).alias("b")).distinct()
+    return rounded(O.compare_runs(v("equity"), pairs), "total_a", "worst_a", "total_b", "worst_b", "gap")
 
 
 @query("d33_breadth", "WITH x AS (SELECT idx, close - lag(close) OVER w AS c, close / first_value(close) OVER w AS k FROM bar WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT idx, count(*) FILTER (c > 0) AS advancing, count(*) FILTER (c < 0) AS declining, count(*) FILTER (c = 0) AS unchanged, round(avg(k) * 100, 6) AS curve FROM x GROUP BY idx")
@@ -197,5 +232,5 @@ def _(v):
 
 @query("b35_promotion", f"WITH {_EQ}, s AS (SELECT run, tot, mdd, win FROM g), l AS (SELECT run AS candidate, 'total_return' AS gate, tot AS observed, 0e0 AS requirement, tot >= 0 AS passed FROM s UNION ALL SELECT run, 'max_drawdown', mdd, -0.9e0, mdd >= -0.9 FROM s UNION ALL SELECT run, 'win_rate', win, 0.6e0, win <= 0.6 FROM s) SELECT candidate, gate, round(observed, 8) AS observed, requirement, passed, bool_and(passed) OVER (PARTITION BY candidate) AS decision FROM l")
 def _(v):
-    m = O.equity_metrics(v("equity")).withColumnRenamed("run", "candidate")
+    m = O.equity_metrics(v("equity"), v("run_trade")).withColumnRenamed("run", "candidate")
     return rounded(O.promotion(m, {"total_return": (">=", 0.0), "max_drawdown": (">=", -0.9), "win_rate": ("<=", 0.6)}), "observed")

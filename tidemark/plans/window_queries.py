@@ -10,7 +10,8 @@ from .registry import query
 
 
 def rounded(df, *names, n=8):
-    return df.withColumns({c: F.round(c, n) for c in names})
+    """Columns rounded to n places; + 0.0 makes a negative zero a plain one."""
+    return df.withColumns({c: F.round(c, n) + F.lit(0.0) for c in names})
 
 
 _GAP = "CASE WHEN idx - lag(idx, {k}) OVER w = {k} THEN {x} END"
@@ -140,7 +141,15 @@ def _(v):
     return W.breakers(v("equity").withColumn("position", -(F.col("notional") - F.floor(F.col("notional") / 100) * 100) / 300))
 
 
-@query("e22_fifo", "WITH r AS (SELECT *, sum(shares) OVER (PARTITION BY symbol, side ORDER BY seq) AS t FROM order_row) SELECT s.symbol, s.seq AS sell_seq, b.seq AS buy_seq, CAST(least(b.t, s.t) - greatest(b.t - b.shares, s.t - s.shares) AS BIGINT) AS matched, round(b.price, 8) AS buy_price FROM r s JOIN r b ON s.symbol = b.symbol AND s.side = 'SELL' AND b.side = 'BUY' AND b.t - b.shares < s.t AND s.t - s.shares < b.t AND b.day < s.day")
+# units of 100 shares, matched one by one; what sells could take is followed order by order
+_FIFO = """WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day, seq) AS k, coalesce(sum(CASE WHEN side = 'BUY' THEN shares ELSE 0 END) OVER (PARTITION BY symbol ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room, sum(CASE WHEN side = 'BUY' THEN shares ELSE 0 END) OVER (PARTITION BY symbol ORDER BY day, seq) AS b1 FROM order_row),
+  f AS (SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS before, CAST(0 AS HUGEINT) AS taken FROM (SELECT DISTINCT symbol FROM n) UNION ALL SELECT n.symbol, n.k, f.taken, f.taken + CASE WHEN n.side = 'SELL' THEN least(n.shares, n.room - f.taken) ELSE 0 END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1),
+  s AS (SELECT n.symbol, n.seq, unnest(range(CAST(before // 100 AS BIGINT), CAST(taken // 100 AS BIGINT))) AS u FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k WHERE side = 'SELL'),
+  b AS (SELECT symbol, seq, price, unnest(range(CAST((b1 - shares) // 100 AS BIGINT), CAST(b1 // 100 AS BIGINT))) AS u FROM n WHERE side = 'BUY')
+  SELECT s.symbol, s.seq AS sell_seq, b.seq AS buy_seq, count(*) * 100 AS matched, round(max(b.price), 8) AS buy_price FROM s JOIN b ON b.symbol = s.symbol AND b.u = s.u GROUP BY 1, 2, 3"""
+
+
+@query("e22_fifo", _FIFO)
 def _(v):
     return rounded(W.fifo(v("order_row")), "buy_price")
 

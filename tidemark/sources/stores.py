@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +14,10 @@ from tidemark.operators.evidence import table_digest, unseen
 
 def artifact_id(df: DataFrame) -> str:
     """An id from the schema and an order-insensitive digest of the rows."""
-    row = table_digest(df).first()
-    return f"artifact_{row.digest[:40]}"
+    names = sorted(df.columns)
+    row = table_digest(df.select(*names)).first()
+    schema = "|".join(f"{n}:{df.schema[n].dataType.simpleString()}" for n in names)
+    return f"artifact_{hashlib.sha256(f'{schema}|{row.digest}'.encode()).hexdigest()[:40]}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -20,15 +25,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _verified(df: DataFrame, path: str) -> DataFrame:
+    if artifact_id(df) != path.rstrip("/").rsplit("/", 1)[1]:
+        raise ValueError(f"content differs from {path}")
+    return df
+
+
 def publish(df: DataFrame, root: str, partition: str | None = None) -> str:
     """Writes zstd Parquet under the content's id, by partition if asked; the same content again is a no-op.
 
-    The folder appears by one rename when it is whole. Returns its path.
+    The folder appears by one rename when it is whole; one that is there must hold that content. Returns its path.
     """
     spark = df.sparkSession
     path = f"{root}/{artifact_id(df)}"
-    if not _exists(spark, path):
-        draft = f"{path}.draft"
+    if _exists(spark, path):
+        _verified(spark.read.schema(df.schema).parquet(path), path)
+    else:
+        draft = f"{path}.draft-{uuid.uuid4().hex}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(partition) if partition else writer).parquet(draft)
         p = spark._jvm.org.apache.hadoop.fs.Path(draft)
@@ -37,11 +50,13 @@ def publish(df: DataFrame, root: str, partition: str | None = None) -> str:
 
 
 def read_verified(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
-    """A published table; an error if its schema differs or a required field has nulls."""
+    """A published table; an error if its schema differs, its content isn't what its id says, or a required
+    field has nulls."""
     df = spark.read.parquet(path)
     have = [(f.name, f.dataType) for f in df.schema.fields]
     if have != [(f.name, f.dataType) for f in schema.fields]:
         raise ValueError(f"schema differs: {df.schema.simpleString()}")
+    _verified(df, path)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first() if required else ()
     if any(nulls):
         raise ValueError(f"nulls in required fields: {nulls}")

@@ -1,7 +1,7 @@
 """Domain views over the supplied tables, as one SQL text for Spark and for the oracle.
 
-Macros: $day(x) days since 1994-12-26, $date(n) that many days later as a date; $table names
-are base tables. A view may use views that stand before it.
+Macros: $day(x) days since 1994-12-26, $date(n) that many days later as a date, $stack(a b) a row
+for each of the columns as feature_id and value; $table names are base tables. A view may use views that stand before it.
 """
 
 from __future__ import annotations
@@ -38,21 +38,21 @@ VIEWS: dict[str, str] = {
     "financial_version": """
       SELECT o_custkey AS symbol, CAST(floor($day(o_orderdate) / 91) AS BIGINT) AS report_period, $day(o_orderdate) + CAST(o_orderkey % 60 AS INT) AS available,
         o_orderstatus = 'F' AS update_flag, o_orderkey AS event_id, o_totalprice AS metric FROM $orders""",
-    "decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0 WHERE idx % 13 = 0) d",
-    "every_decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0) d",
-    "feature": """
-      SELECT symbol, idx, 'mom_6' AS feature_id, close / lag(close, 6) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS value FROM bar0
-      UNION ALL SELECT symbol, idx, 'mom_3', close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY idx) - 1 FROM bar0
-      UNION ALL SELECT symbol, idx, 'log_amount', ln(amount / 1e2) FROM bar0
-      UNION ALL SELECT symbol, idx, 'range', CASE WHEN volume > 150 THEN round((high - low) / close, 2) END FROM bar0""",
-    "label": "SELECT symbol, idx, lead(open, 3) OVER (PARTITION BY symbol ORDER BY idx) / lead(open, 1) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS label FROM bar0",
+    "decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0) d",
+    "wide": """
+      SELECT symbol, idx, close, close / lag(close, 6) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS mom_6, close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS mom_3,
+        ln(amount / 1e2) AS log_amount, CASE WHEN volume > 150 THEN round((high - low) / close, 2) END AS range,
+        lead(open, 3) OVER (PARTITION BY symbol ORDER BY idx) / lead(open, 1) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS label FROM bar0""",
+    "feature": "SELECT symbol, idx, $stack(mom_6 mom_3 log_amount range) FROM wide",
+    "label": "SELECT symbol, idx, label FROM wide",
     "panel": """
-      SELECT f.symbol, f.idx, f.feature_id, f.value, l.label, ln(v.total_mv) AS size, v.industry, CASE WHEN f.idx % 2 = 0 THEN 'BULL' ELSE 'BEAR' END AS regime
-      FROM feature f JOIN label l ON l.symbol = f.symbol AND l.idx = f.idx JOIN valuation v ON v.symbol = f.symbol AND v.idx = f.idx""",
+      SELECT w.symbol, w.idx, $stack(mom_6 mom_3 log_amount range), w.label, CASE WHEN s.s_acctbal > 0 THEN ln(s.s_acctbal * w.close) END AS size, s.s_nationkey AS industry,
+        CASE WHEN w.idx % 2 = 0 THEN 'BULL' ELSE 'BEAR' END AS regime FROM wide w JOIN $supplier s ON s.s_suppkey = w.symbol""",
     "score": "SELECT symbol, idx, value AS score FROM feature WHERE feature_id = 'log_amount'",
-    "equity": """
-      SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0 WHERE symbol < 20""",
-    "run_equity": "SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0",
+    "equity": "SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0",
+    "run_trade": """
+      SELECT symbol AS run, idx, seq, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, (price - lag(price) OVER (PARTITION BY symbol ORDER BY seq)) * qty AS realized, cents / 1e2 AS notional,
+        cents * 3e-6 AS fee, qty * 1e0 / sum(qty) OVER (PARTITION BY symbol, idx) AS participation, CASE WHEN qty > 45 THEN 'PENDING' ELSE 'FILLED' END AS state FROM trade""",
     "target": """
       SELECT b.idx, b.symbol, 1e0 / (3 + b.symbol % 7) / 10 AS target_w, (b.volume % 9) / 1e2 AS current_w, b.close AS score, b.open AS price, b.volume,
         CASE WHEN b.idx % 17 = 3 AND b.symbol % 11 = 0 THEN NULL ELSE v.industry END AS industry, NOT b.suspended AS eligible
@@ -84,8 +84,16 @@ def _needed(names: list[str]) -> list[str]:
     return [v for v in VIEWS if v in seen]
 
 
+def _stacked(names: str, spark: bool) -> str:
+    each = names.split()
+    if spark:
+        return f"stack({len(each)}, {', '.join(f"'{n}', {n}" for n in each)}) AS (feature_id, value)"
+    return f"unnest([{', '.join(f"'{n}'" for n in each)}]) AS feature_id, unnest([{', '.join(each)}]) AS value"
+
+
 def _text(names: list[str], spark: bool) -> str:
     body = ", ".join(f"{n} AS ({VIEWS[n]})" for n in _needed(names))
+    body = re.sub(r"\$stack\(([^()]*)\)", lambda m: _stacked(m[1], spark), body)
     if spark:
         body = re.sub(r"\$day\(([^()]*)\)", r"datediff(\1, DATE'1994-12-26')", body)
         return re.sub(r"\$date\(([^()]*)\)", r"date_add(DATE'1994-12-26', CAST(\1 AS INT))", body)
@@ -111,6 +119,8 @@ def oracle(body: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"
