@@ -7,7 +7,8 @@ at most. A table's state is a manifest, a list of shards under a version number;
 appears by a rename that fails if that version exists. Readers of a version are never
 disturbed: its shards stay until someone expires them.
 
-Rows only move by Spark's reads, shuffles and writes; the driver sees names and sizes.
+Rows only move by Spark's reads, shuffles and writes; the driver sees names and sizes, about
+200 bytes a shard: for a table of 100 TB choose a target of some GB.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch_path, table
 
@@ -27,6 +29,8 @@ FAN_IN = 4
 LEAST = 256 << 10
 JOB_GROUPS = 64
 """Groups that one Spark job merges."""
+TRIES = 20
+"""Commits that an append tries while others write."""
 
 
 @dataclass(frozen=True)
@@ -84,26 +88,43 @@ class ShardTable:
         version = self.version() if version is None else version
         if not version:
             return []
-        stream = self.fs.open(self._path(f"{self.root}/manifests/v{version:010d}.json"))
-        try:
-            text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return [Shard(**json.loads(x)) for x in text.splitlines()]
+        return [Shard(**json.loads(x)) for x in self._text(f"{self.root}/manifests/v{version:010d}.json").splitlines()]
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Makes shards the state after version base; an error if another writer was first."""
-        name = f"{self.root}/manifests/v{base + 1:010d}.json"
-        draft = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+    def _create(self, name: str, text: str) -> None:
+        """A file that appears whole by a rename; an error if there is one of that name."""
+        draft = self._path(f"{self.root}/.{uuid.uuid4().hex}")
         stream = self.fs.create(draft, False)
-        stream.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards).encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
+        self.fs.mkdirs(self._path(name).getParent())
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
         context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(self._path(name)), options)
+
+    def _text(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def commit(self, shards: list[Shard], base: int) -> int:
+        """Makes shards the state after version base; an error if another writer was first."""
+        self._create(f"{self.root}/manifests/v{base + 1:010d}.json", "".join(json.dumps(asdict(s)) + "\n" for s in shards))
         return base + 1
 
+    def add(self, shards: list[Shard]) -> int:
+        """Commits the latest state with shards added; after a lost race, on what the winner left."""
+        for attempt in range(TRIES):
+            base = self.version()
+            try:
+                return self.commit(self.shards(base) + shards, base)
+            except Exception:
+                if attempt + 1 == TRIES or self.version() == base:
+                    raise
+        raise AssertionError
+
     def _written(self, folder: str) -> list[Shard]:
         found, todo = [], [folder]
         while todo:
@@ -117,17 +138,19 @@ class ShardTable:
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
         """Adds rows as new shards; with by, one version for each value of that column, in its order.
 
-        The column isn't stored. Returns the latest version.
+        The column isn't stored. No rows add a version with no new shard. The first arrival's schema
+        is that of the table. Returns the latest version.
         """
+        if not self.fs.exists(self._path(f"{self.root}/schema.json")):
+            self._create(f"{self.root}/schema.json", T.StructType([f for f in arrivals.schema.fields if f.name != by]).json())
         folder = f"{self.root}/data/arrival-{uuid.uuid4().hex}"
         writer = arrivals.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(folder)
         parts: dict[str, list[Shard]] = {}
         for s in self._written(folder):
             parts.setdefault(s.path.rsplit("/", 1)[0], []).append(s)
-        for name in sorted(parts, key=lambda n: (len(n), n)):
-            base = self.version()
-            self.commit(self.shards(base) + parts[name], base)
+        for name in sorted(parts, key=lambda n: (len(n), n)) or [""]:
+            self.add(parts.get(name, []))
         return self.version()
 
     def compact(self, order: str) -> int:
@@ -150,14 +173,18 @@ class ShardTable:
             self.commit([s for s in now if s.path not in gone] + self._written(folder), base)
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(*[s.path for s in self.shards(version)])
+        """The rows of a version, the latest by default; none for a table with no shards."""
+        paths = [s.path for s in self.shards(version)]
+        if paths:
+            return self.spark.read.parquet(*paths)
+        return self.spark.createDataFrame([], T.StructType.fromJson(json.loads(self._text(f"{self.root}/schema.json"))))
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 8, order: str = "doc_id", **sizes) -> ShardTable:
     """A compacted table of docs that came in `arrivals` batches, dealt by a hash of order.
 
-    All columns are kept as they are; nulls, empty texts and repeated rows too. An empty table
-    gives a table with a manifest and no rows.
+    All columns are kept as they are; nulls, null ids, empty and very long texts and repeated rows too.
+    An empty table gives a table with a manifest and no rows. A column named _arrival is an error.
     """
     store = ShardTable(docs.sparkSession, root, **sizes)
     if "_arrival" in docs.columns:
@@ -171,7 +198,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as read back from the compacted shards: where it lies, and a digest of its text."""
     docs = table(spark, sf_dir, "documents")
     store = shard_documents(docs, scratch_path(spark, "shards"))
-    if not store.version():
+    if not store.shards():
         return docs.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("n_bytes"), F.lit("").alias("text_sha256")).limit(0)
     back = store.read()
     return back.select("doc_id", F.regexp_extract("_metadata.file_name", "^(.*)$", 1).alias("shard"), F.col("_metadata.row_index").alias("row"), F.lit(store.version()).alias("version"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
