@@ -2,7 +2,9 @@
 
 A forgiving scan: tags that open or close a block end the running leaf; missing end tags are
 supplied as browsers do for paragraphs, list items and table parts; scripts, styles and other
-raw elements have no text. Nothing is dropped for its length.
+raw elements have no text, nor have drawings, objects, templates and what stands in for scripts.
+Those end with their parent if they lack an end tag; drawings also where a block starts, or at />.
+Nothing is dropped for its length.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from typing import NamedTuple
 # Element names of the HTML standard.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg object".split())
+RAW = frozenset("script style iframe textarea title".split())
+HIDDEN = frozenset("svg math object template noscript".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -44,7 +47,7 @@ def blocks(page: str) -> list[Block]:
     path: tuple[str, ...] | None = None
     text: list[str] = []
     linked: list[str] = []
-    links = at = 0
+    links = hidden = at = 0
 
     def flush() -> None:
         nonlocal path
@@ -59,15 +62,16 @@ def blocks(page: str) -> list[Block]:
         path = None
 
     def pop_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         for e in open_[k:]:
             links -= e[0] == "a"
+            hidden -= e[0] in HIDDEN
         del open_[k:]
 
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at:
+        if m.start() > at and not hidden:
             part = page[at : m.start()]
             text.append(part)
             if links:
@@ -78,15 +82,20 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         closing = m[1] or m[4]
-        if tag in BLOCK:
-            flush()
-        elif tag == "br":
+        if tag == "br":
             text.append(" ")
         if closing:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
+                    if tag in BLOCK and not any(e[0] in HIDDEN for e in open_[:k]):
+                        flush()
                     pop_to(k)
                     break
+                if tag == "p" and open_[k][0] in HIDDEN:
+                    break
+            else:
+                if tag in BLOCK and not hidden:
+                    flush()
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -98,6 +107,17 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             for k in range(len(open_) - 1, -1, -1):
                 name = open_[k][0]
+                if name in ("svg", "math"):
+                    pop_to(k)
+                    break
+                if name in HIDDEN or name in BLOCK:
+                    break
+            if not hidden:
+                flush()
+            for k in range(len(open_) - 1, -1, -1):
+                name = open_[k][0]
+                if name in HIDDEN:
+                    break
                 if name == "p" or name in CLOSES.get(tag, ()):
                     pop_to(k)
                     if name == "p":
@@ -106,6 +126,7 @@ def blocks(page: str) -> list[Block]:
                     break
         open_.append(_element(tag, attributes))
         links += tag == "a"
-    text.append(page[at:] if at < len(page) else "")
+        hidden += tag in HIDDEN
+    text.append(page[at:] if at < len(page) and not hidden else "")
     flush()
     return out
