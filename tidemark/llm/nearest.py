@@ -8,8 +8,8 @@ the estimator; candidates whose lower bound is below the upper bound of the k-th
 reranked by exact distance on the original vectors.
 
 Centroids are fitted on a bounded sample; every vector is indexed. A cell is cut into blocks
-of bounded size, so a crowded cell is many tasks, and a block hands on its k best for each
-query before they meet.
+of vectors and slots of queries, both of bounded size, so a crowded cell is many tasks, and a
+block hands on its k best for each query before they meet.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, table
+from .workers import lean
 
 EPSILON = 3.0
-SAMPLE = 20_000
+SAMPLE = 40_000
 """Vectors that centroids are fitted on, at most."""
 
 
@@ -49,6 +50,8 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7
 def _order(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centers of each row, nearest first."""
     d = (centers**2).sum(1)[None] - 2 * x @ centers.T
+    if n == 1:
+        return d.argmin(axis=1)[:, None]
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
@@ -93,15 +96,15 @@ def bounds(codes: np.ndarray, length: np.ndarray, inner: np.ndarray, q: np.ndarr
     return base - scale * (guess + error), base - scale * (guess - error)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, cells: int | None = None, block: int = 20_000) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, cells: int | None = None, block: int = 20_000, slot: int = 2_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors of index found, by Euclidean
     distance in double precision, ties to the smaller vec_id; a query's own vec_id is no candidate.
 
     index and queries have columns vec_id and embedding. Vectors that are null, zero or hold null or
     non-finite components, null ids and vectors of another length than most take no part. With fewer
     than k candidates all are returned. Rows of one id are candidates each. Searches as many of the cells
-    as held the share `recall` of true neighbours in the sample; with few vectors, all of them. Other
-    columns are ignored.
+    as held the share `recall` of true neighbours in the sample, at every size, and more until they hold
+    k candidates. Other columns are ignored. An empty table gives no rows.
     """
     spark = index.sparkSession
 
@@ -120,27 +123,38 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.
     share = min(1.0, SAMPLE / total)
     sample = index.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE).select("embedding").toArrow()
     sample = _matrix(sample["embedding"].combine_chunks(), d)
-    centers = fit_centroids(sample, cells or int(min(1024, max(1, total**0.5 / 4))))
-    probes = len(centers) if total < SAMPLE // 10 else calibrate(sample, centers, k, recall)
+    centers = fit_centroids(sample, cells or int(min(SAMPLE / 20, max(1, total**0.5 / 4))))
+    probes = calibrate(sample, centers, k, recall)
     rotate = rotation(d)
     place = F.pmod(F.xxhash64("vec_id", F.col("embedding")), F.lit(1 << 20))
 
-    def assign(n: int):
+    def assign(n: int, counts: np.ndarray | None = None):
+        """Each vector with its n nearest cells; with counts, with more until these hold over k vectors."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _matrix(batch.column("embedding"), d)
-                near = _order(x, centers, n).astype(np.int32)
-                rows = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *[c.take(pa.array(rows)) for c in batch.columns]], names=["cell", *batch.schema.names])
+                near = _order(_matrix(batch.column("embedding"), d), centers, n if counts is None else len(centers)).astype(np.int32)
+                most = np.full(len(near), n)
+                if counts is not None:
+                    most = np.clip((np.cumsum(counts[near], axis=1) <= k).sum(axis=1) + 1, n, len(centers))
+                taken = np.arange(near.shape[1])[None] < most[:, None]
+                rows = pa.array(np.repeat(np.arange(len(near)), most))
+                yield pa.RecordBatch.from_arrays([pa.array(near[taken]), *[c.take(rows) for c in batch.columns]], names=["cell", *batch.schema.names])
 
-        return run
+        return lean(run)
 
     indexed = index.withColumn("place", place.cast("int")).mapInArrow(assign(1), "cell int, vec_id long, embedding array<double>, place int")
     indexed = keep(indexed, "cells")
-    sizes = keep(indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cell-blocks")  # at most `cells` rows
-    coded = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.col("place"), "blocks")).select("cell", "block", "vec_id", "embedding")
-    asked = queries.mapInArrow(assign(probes), "cell int, vec_id long, embedding array<double>")
-    asked = asked.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding")
+    sizes = indexed.groupBy("cell").count().collect()  # at most `cells` rows
+    counts = np.zeros(len(centers), np.int64)
+    counts[[r[0] for r in sizes]] = [r[1] for r in sizes]
+    asked = keep(queries.mapInArrow(assign(probes, counts), "cell int, vec_id long, embedding array<double>"), "asked")
+    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    slots = asked.groupBy("cell").agg(F.ceil(F.count("*") / slot).cast("int").alias("slots"))
+    sizes = keep(blocks.join(slots, "cell"), "cell-sizes")  # at most `cells` rows
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    coded = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.col("place"), "blocks")).select("cell", "block", each("slots").alias("slot"), "vec_id", "embedding")
+    asked = asked.join(F.broadcast(sizes), "cell").select("cell", each("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), "slots").cast("int").alias("slot"), "vec_id", "embedding")
 
     def best(key, vectors: pa.Table, wanted: pa.Table) -> pa.Table:
         rows: tuple[list, ...] = ([], [], [])
@@ -165,7 +179,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.
         joined = [np.concatenate(r) if r else np.zeros(0) for r in rows]
         return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec_id": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2].astype(np.float64))})
 
-    found = coded.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(best, "query_id long, vec_id long, score double")
+    found = coded.groupBy("cell", "block", "slot").cogroup(asked.groupBy("cell", "block", "slot")).applyInArrow(best, "query_id long, vec_id long, score double")
     # at most k rows come from each of a query's blocks
     top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), "hit.vec_id", "hit.score")
