@@ -123,6 +123,50 @@ def test_shards_keep_every_row(spark, tmp_path):
     assert store.version() == last
 
 
+def test_an_empty_table_has_a_manifest_and_columns(spark, tmp_path):
+    docs = frame(spark, [])
+    store = sharding.shard_documents(docs, str(tmp_path / "e"))
+    assert store.version() == 1 and store.shards() == [] and store.read().count() == 0
+    assert store.read().columns == docs.columns
+    store.append(frame(spark, [(None, None), (1, "x")]))
+    assert store.read().count() == 2 and store.read(1).count() == 0
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert sharding.op7(spark, str(tmp_path / "sf")).collect() == []
+
+
+def test_an_append_that_loses_a_race_is_tried_again(spark, tmp_path):
+    store = sharding.ShardTable(spark, str(tmp_path / "r"))
+    store.append(frame(spark, [(1, "a")]))
+    rival, commit = sharding.ShardTable(spark, str(tmp_path / "r")), store.commit
+
+    def late(shards, base):
+        store.commit = commit
+        rival.append(frame(spark, [(2, "b")]))
+        return commit(shards, base)
+
+    store.commit = late
+    store.append(frame(spark, [(3, "c")]))
+    assert store.version() == 3 and sorted(r.doc_id for r in store.read().collect()) == [1, 2, 3]
+
+
+def test_a_clashing_name_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="_arrival"):
+        sharding.shard_documents(frame(spark, []).withColumnRenamed("score", "_arrival"), str(tmp_path / "c"))
+
+
+def test_op7_tells_each_row_and_its_place(spark, tmp_path):
+    rows = [*odd_documents(), (None, "null id")]
+    frame(spark, rows).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    got = sharding.op7(spark, str(tmp_path / "sf")).collect()
+    digest = lambda t: (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest())
+    assert sorted((repr(r.doc_id), r.n_bytes, r.text_sha256) for r in got) == sorted((repr(i), *digest(t)) for i, t in rows)
+    assert len({(r.shard, r.row) for r in got}) == len(rows) and len({r.version for r in got}) == 1
+    for shard in {r.shard for r in got}:
+        own = sorted((r for r in got if r.shard == shard), key=lambda r: r.row)
+        assert [r.row for r in own] == list(range(len(own)))
+        assert [r.doc_id or -1 for r in own] == sorted(r.doc_id or -1 for r in own)
+
+
 @pytest.mark.parametrize(("name", "byte_level"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_ids_are_the_tokenizers_ids(name, byte_level):
     own = Encoder(public_tokenizers.path(name), byte_level)

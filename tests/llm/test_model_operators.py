@@ -71,6 +71,26 @@ def test_extraction_text_rules(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("inner", "want"), [
+    ('<svg class="i"/>', []),
+    ('<svg><path d="x"/><text>no</text></svg>', []),
+    ("<svg><g><text>no</text>", []),
+    ('<p>in <svg viewBox="0"><use href="#a"/></svg> line</p>', ["in line"]),
+    ("<noscript>no<p>no</p></noscript>", []),
+    ("<div>a<noscript>no</div>", ["a"]),
+    ('<div><object data="x"><p>no</p></div>', []),
+    ("<template><div>no</div></template>", []),
+    ("<p>a<noscript><p>no</p></noscript>b</p>", ["ab"]),
+    ("<textarea>no<p>no</textarea>", []),
+    ("<p>1 < 2<p>x</b></p></p>", ["1 < 2", "x"]),
+])
+def test_elements_without_text_take_no_more_than_their_own(inner, want):
+    from tidemark.llm.html_blocks import blocks
+
+    got = [b.text for b in blocks(f"<article><p>One</p>{inner}<p>Two two</p><p>Three</p></article><p>After</p>")]
+    assert got == ["One", *want, "Two two", "Three", "After"]
+
+
 def test_pages_of_the_table(spark):
     import html as h
     import re

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, scratch_path, table, tasks_for, text_bytes
+from .common import keep, scratch_path, small_batches, table, tasks_for, text_bytes
 from .files import new_file, reader
 from .packed import opened, squeezed_texts
 from .words import NULL
@@ -88,6 +88,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, width
     An empty table writes no shard. Extra columns are ignored. width 2 needs ids below 65,536.
     A very long text is held whole by one task, with about 50 bytes for each of its own.
     """
+    small_batches(docs.sparkSession)
     bounds = id_bounds(docs, tasks_for(docs.sparkSession, text_bytes(docs, text_col), shard_bytes), id_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,16 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+"""Bytes of an Arrow batch; a longer row is a batch of its own."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES, and leaves it so.
+
+    Rows of texts are of any length, and a batch is held by the executor and by its Python worker.
+    """
+    if int(spark.conf.get(BATCH, "64m").rstrip("bkmg") or 0) != BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset only a local session gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +67,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, stats: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with stats by key. stats: a written table, one row for each key, with n, its number of rows.
+
+    total: the number of all rows, or more. Keys with over a thousandth of it, under 1,000 keys, are
+    broadcast, so a crowded key stays spread over as many tasks as before.
+    """
+    most = max(1, total // 1000)
+    crowded = F.broadcast(stats.filter(F.col("n") > most).drop("n"))
+    rest = rows.join(crowded.select(key), key, "left_anti").join(stats.filter(F.col("n") <= most).drop("n"), key)
+    return rows.join(crowded, key).unionByName(rest)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, to size buckets by."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

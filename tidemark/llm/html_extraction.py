@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 from .html_blocks import Block, blocks
 from .labelled_pages import labelled_pages
+from .words import slices
+from .workers import lean
 
 PAGES = 700
 """Labelled pages to train on."""
+SLICE = 4 << 20
 
 
 @lru_cache(maxsize=50_000)
@@ -158,17 +161,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars (code points) of every row.
 
     Null and empty html, and pages without main text, give an empty text. Null ids and urls are
-    passed on; repeated rows are extracted each; other columns are ignored.
+    passed on; repeated rows are extracted each; other columns are ignored. A very long page is held
+    whole by its task, with its blocks; results go out SLICE bytes of pages at a time.
     """
+    small_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(trained())
     chosen = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h, model.value) if h else "" for h in (x.as_py() for x in batch.column("html"))]
+        for batch, pages_ in slices(batches, "html", SLICE):
+            texts = [main_text(h.decode(), model.value) if h else "" for h in pages_]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return chosen.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, table
+from .common import keep, meet, small_batches, table
 from .components import components
 from .packed import opened, squeezed_texts, unsqueeze
 from .words import Words, mix, slices
+from .workers import lean
 
 _TRIES = 1024
+HUB_MEMBERS = 2000
+"""Members of a hub that one task compares, about."""
 
 
 def shingle_sets(texts: list[bytes], size: int, lower: bool) -> list[np.ndarray]:
@@ -128,6 +131,23 @@ def _confirm(size: int, lower: bool, percent: int) -> Callable[[Iterator[pa.Reco
     return confirm
 
 
+def _confirmed(pairs: DataFrame, zs: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
+    """The pairs (a, b, hub: one of both) that are linked.
+
+    A pair takes its member's text first, then its hub's: what is dealt by hub holds that text
+    once for each part of a crowded hub, not once for each member.
+    """
+    member = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
+    crowded = keep(pairs.groupBy("hub").agg((F.count("*") / HUB_MEMBERS).cast("int").alias("parts")).filter("parts > 0"), "crowded-hubs")
+    part = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(0)) + 1).cast("int").alias("part")
+    dealt = pairs.select("hub", member.alias("member")).join(crowded, "hub", "left").select("hub", part, "member").join(zs.toDF("member", "zb"), "member")
+    hubs = zs.toDF("hub", "za").join(pairs.select("hub").distinct(), "hub").join(crowded, "hub", "left")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"), "za")
+    sides = dealt.join(hubs, ["hub", "part"]).select(F.col("hub").alias("a"), F.col("member").alias("b"), "za", "zb")
+    found = sides.mapInArrow(lean(_confirm(size, lower, percent)), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _labelled(members: DataFrame, stars: DataFrame | None, links: DataFrame | None) -> DataFrame:
     """Members with the component and the number of links each has so far."""
     if stars is None:
@@ -141,11 +161,14 @@ def _unsettled(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
     A member has none if what it shares from its place on is too little for the smallest set there.
     """
-    ranked = members.join(stars, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    least = ranked.groupBy("bucket").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_ = ranked.join(least.select("bucket", "least"), "bucket").filter((1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent)
-    mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    return open_.join(mixed, "bucket").select("bucket", "id", "n", "place")
+    ranked = keep(members.join(stars, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "ranked")
+    total = ranked.count()
+    mixed = F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    least = keep(ranked.groupBy("bucket").agg(*mixed, F.min("n").alias("least")).filter("lo <> hi").select("bucket", "n", "least"), "mixed")
+    open_ = meet(ranked, least, "bucket", total).filter((1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent)
+    open_ = keep(open_.select("bucket", "id", "n", "place", "label"), "open")
+    still = keep(open_.groupBy("bucket").agg(*mixed).filter("lo <> hi").select("bucket", "n"), "mixed")
+    return meet(open_.drop("label"), still, "bucket", total)
 
 
 def _rare_buckets(texts: DataFrame, members: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
@@ -166,7 +189,7 @@ def _rare_buckets(texts: DataFrame, members: DataFrame, size: int, lower: bool,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), part.column("tkey").take(rows), pa.array(np.repeat(n, n)), pa.array(h)], names=["id", "tkey", "n", "bucket"])
 
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    rows = keep(texts.join(ids, "doc_id", "left_semi").mapInArrow(explode, "id long, tkey int, n long, bucket long"), "shingles")
+    rows = keep(texts.join(ids, "doc_id", "left_semi").mapInArrow(lean(explode), "id long, tkey int, n long, bucket long"), "shingles")
     often = rows.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
     place = F.row_number().over(Window.partitionBy("id", "tkey").orderBy(F.coalesce("often", F.lit(1)), "bucket"))
     ranked = rows.join(often, "bucket", "left").withColumn("place", place)
@@ -184,8 +207,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     Rows of one id are one node, so all of them get the same component. Extra columns are ignored.
     A pair of exactly the threshold is missed with a chance of (1 - (percent/100)^rows)^bands.
     """
+    small_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    signed = keep(chosen.mapInArrow(_signed(size, lower, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
+    signed = keep(chosen.mapInArrow(lean(_signed(size, lower, bands, rows)), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     first = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.min_by("bands", "doc_id").alias("bands"))
     nodes = keep(first, "nodes")
@@ -207,17 +231,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     while not members.isEmpty():
         ranked = _labelled(members, stars, links)
         part = F.pmod(F.xxhash64("id"), F.lit(hubs_a_bucket))
+        # a minimum for each bucket, so no bucket is gathered
         hubs = ranked.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("links")).alias("rank"), "id", "label", "n", "place")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
         # what two sets can share from this bucket's shingle on must be enough
         enough = (1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
         like = (F.col("id") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & enough
-        pairs = ranked.join(hubs, "bucket").filter(like).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = ranked.join(hubs, "bucket").filter(like).groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        sides = pairs.join(zs.toDF("a", "za"), "a").join(zs.toDF("b", "zb"), "b")
-        new = keep(sides.mapInArrow(_confirm(size, lower, percent), "a long, b long").distinct(), "links")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        new = keep(_confirmed(pairs, zs, size, lower, percent), "links")
         first_round = links is None
         links = new if first_round else links.unionByName(new)
         if first_round or not new.isEmpty():

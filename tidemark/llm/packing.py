@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, table
+from .common import keep, small_batches, table
 from .words import slices
+from .workers import lean
 
 CAPACITY = 2048
 
@@ -98,7 +99,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))  # bounded by the patterns
     names = [c for c in pieces.columns if c not in ("task", "rank")]
-    ranked = pieces.join(counts.select("task", "length", "before"), ["task", "length"]).select(*names, (F.col("before") + F.col("rank")).alias("rank"))
+    # counts grow with the tasks, so they are never broadcast
+    ranked = pieces.join(counts.select("task", "length", "before").hint("merge"), ["task", "length"]).select(*names, (F.col("before") + F.col("rank")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slots.value
@@ -120,6 +122,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool, ca
 
     A document is its ids and then end_id; longer ones are cut every `capacity` ids.
     """
+    small_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * with_ids
 
@@ -141,8 +144,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool, ca
             columns = list(zip(*rows, strict=True)) if rows else [()] * (7 + with_ids)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *["ids"] * with_ids])
+        own.shrink()
 
-    return keep(chosen.mapInArrow(cut, schema), "pieces")
+    return keep(chosen.mapInArrow(lean(cut), schema), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, byte_level: bool = False, capacity: int = CAPACITY, with_ids: bool = False, **columns) -> DataFrame:

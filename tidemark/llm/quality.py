@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, small_batches, table
 from .words import Words, slices
+from .workers import lean
 
 FEATURES = 384
 RIDGE = 1e-3
@@ -179,6 +180,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     are scored too. An empty table gives no rows. Extra columns of either table are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = [f"c{i}" for i in range(len(carry))]
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
@@ -190,7 +192,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     carried = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
     if carry:
         chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(n) for n, c in zip(names, carry, strict=True)])
-    measured = chosen.mapInArrow(measure, f"doc_id long, x array<double>{carried}")
+    measured = chosen.mapInArrow(lean(measure), f"doc_id long, x array<double>{carried}")
     measured = keep(measured, "statistics")
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("double").alias("y")).filter("doc_id is not null and y is not null")
     known = known.filter(~held_out(F.col("doc_id")))

@@ -4,13 +4,14 @@ Method: fixed-block anchors. A window of W words holds at least one whole block
 of the fixed grid of L = W // 2 words, so it is enough to index each document's
 non-overlapping L-word blocks and to probe them with every rolling L-word window.
 Places that are hit are then extended to the maximal exact repeats: every W-word
-window around a hit is compared by its full word sequence, and runs of windows
-that start in an earlier document are removed as one passage.
+window around a hit is compared by two hashes of its word sequence, 128 bits in all,
+and runs of windows that start in an earlier document are removed as one passage.
 
 Every step is dealt by window hash, so one passage in many documents is spread
-over as many buckets as it has windows. A task sends one entry for each distinct
-window of its batch, not one for each copy; the other copies are decided where
-they are read.
+over as many buckets as it has windows, and a task holds one bucket of bounded size.
+A task sends one entry for each distinct window that it meets, not one for each copy;
+the other copies are decided where they are read. So the entries of the commonest
+window are as many as the tasks that read it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, tasks_for, text_bytes
+from .common import keep, small_batches, table, tasks_for, text_bytes
 from .packed import opened, squeeze, squeezed_texts, unsqueeze
-from .words import NULL, Words, longs, slices
+from .words import NULL, Words, longs
+from .workers import lean
 
 WINDOW = 50
 PASSES = 4
+BUCKET = 6 << 20
+"""Bytes of compressed text that a bucket stands for."""
+KNOWN = 1 << 20
+"""Windows that a task remembers having sent."""
 _PACKS = "bucket int, doc_id long, tkey int, payload binary"
 _PLACES = "doc_id long, tkey int, places binary"
 
@@ -61,11 +67,40 @@ def _places(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"doc_id": pa.array(d, pa.int64()), "tkey": pa.array(k, pa.int32()), "places": pa.array(p, pa.binary())})
 
 
+class _Met:
+    """Windows that a task has sent: hash, second hash and least id of each; KNOWN of them at most.
+
+    What is forgotten is sent again, so the bound changes no result.
+    """
+
+    def __init__(self):
+        self.h, self.other, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows are known, and their least ids (any where they aren't)."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return (self.h[k] == h) & (self.other[k] == other), self.least[k]
+
+    def add(self, h: np.ndarray, other: np.ndarray, least: np.ndarray) -> None:
+        """Notes windows of ascending h; the later of equal h stays."""
+        some = np.append(h[1:] != h[:-1], True) if len(h) else np.zeros(0, bool)
+        h, other, least = h[some], other[some], least[some]
+        if len(self.h) + len(h) > KNOWN:
+            self.__init__()
+        old = ~np.isin(self.h, h, assume_unique=True)
+        both = [np.concatenate(x) for x in ((self.h[old], h), (self.other[old], other), (self.least[old], least))]
+        order = np.argsort(both[0], kind="stable")
+        self.h, self.other, self.least = (x[order] for x in both)
+
+
 def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks and rolling windows of each batch, one pack for each bucket."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        met = _Met()  # windows of two documents, with a block of the grid: a hit wherever they are
+        for part, texts in (x for batch in batches for x in opened(batch)):
             ids, words = longs(part.column("doc_id")), Words(texts)
             at, h = words.windows(length)
             text = words.text_of()[at]
@@ -83,15 +118,19 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
             group = np.repeat(np.arange(len(run)), size)
             mixed = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) if len(run) else np.zeros(0, bool)
             grid = np.logical_or.reduceat(anchor[order], run) if len(run) else mixed
-            here = np.zeros(len(h), bool)  # repeats inside this batch
+            known, _ = met.find(hs[run], hs[run])
+            mixed |= known
+            here = np.zeros(len(h), bool)  # repeats inside this batch, or of what the task has sent
             here[order] = mixed[group]
             lead = np.ones(len(order), bool)
             lead[mixed[group]] = False
-            lead[run] = True
+            lead[run] = ~known
             sent = np.zeros(len(h), bool)
             sent[order[lead]] = True
             on_grid = anchor.copy()
             on_grid[order[run]] |= grid & mixed
+            new = hs[run][grid & mixed & ~known]
+            met.add(new, new, np.zeros(len(new), np.int64))
             i = np.flatnonzero(sent)
             bucket = _bucket(h[i], n_buckets)
             by_bucket = np.argsort(bucket.astype(np.uint32), kind="stable")
@@ -108,6 +147,17 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     return probe
 
 
+def _bucketed(packs: DataFrame, n_buckets: int, f: Callable[[pa.Table], pa.Table], out: str) -> DataFrame:
+    """f of all packs of each bucket; a task holds one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return packs.repartitionById(n_buckets, "bucket").mapInArrow(lean(run), out)
+
+
 def _hits(tab: pa.Table) -> pa.Table:
     """Of one bucket: places whose window is a block of the grid somewhere and occurs in two documents.
 
@@ -148,10 +198,12 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
     """All full windows around the hits of each document, one pack for each bucket."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for batch in batches:
             for part, texts in opened(batch):
                 ids, keys, words = longs(part.column("doc_id")), longs(part.column("tkey")), Words(texts)
                 at, h = words.windows(window)
+                other = words.windows(window, "other")[1]
                 text = words.text_of()[at]
                 start = at - words.first[text]
                 near = np.zeros(len(words.hashes) // length + 2 * len(texts) + 2, bool)
@@ -163,10 +215,14 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
                         near[b] = True
                         near[b - 1] = True
                 i = np.flatnonzero(near[base[text] + start // length])
-                h, text, start = h[i], text[i], start[i]
-                order = np.argsort(h, kind="stable")
-                run = _edges(h[order])
+                h, other, text, start = h[i], other[i], text[i], start[i]
+                order = np.lexsort((other, h))
+                hs, os = h[order], other[order]
+                run = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])])) if len(h) else order
                 least = np.minimum.reduceat(ids[text[order]], run) if len(run) else ids[:0]
+                known, before = met.find(hs[run], os[run])
+                least = np.where(known, np.minimum(before, least), least)
+                met.add(hs[run], os[run], least)
                 first = np.empty(len(h), np.int64)
                 first[order] = np.repeat(least, np.diff(np.append(run, len(h))))
                 own = ids[text] == first
@@ -180,7 +236,7 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
                     k = j[lo:hi]
                     seen = _edges(text[k])
                     docs = text[k][seen]
-                    rows.append((int(bucket[lo]), None, len(k), len(docs).to_bytes(4, "little") + squeeze(ids[docs], keys[docs].astype(np.int32), np.diff(np.append(seen, len(k))).astype(np.uint32), start[k].astype(np.uint32)) + h[k].tobytes()))
+                    rows.append((int(bucket[lo]), None, len(k), len(docs).to_bytes(4, "little") + squeeze(ids[docs], keys[docs].astype(np.int32), np.diff(np.append(seen, len(k))).astype(np.uint32), start[k].astype(np.uint32)) + h[k].tobytes() + other[k].tobytes()))
                 yield _packs(rows)
 
     return extend
@@ -188,22 +244,21 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
 
 def _repeats(tab: pa.Table) -> pa.Table:
     """Of one bucket: windows that start in a document with a smaller id too."""
-    found, d, key, start, h = [], [], [], [], []
+    found, parts = [], []
     for doc_id, n, payload in zip(tab["doc_id"].to_pylist(), tab["tkey"].to_pylist(), tab["payload"].to_pylist(), strict=True):
         if doc_id is not None:
             found.append((doc_id, n, payload))
             continue
         m = int.from_bytes(payload[:4], "little")
-        raw = unsqueeze(payload[4 : -8 * n])
-        h.append(np.frombuffer(payload[-8 * n :], np.uint64))
+        raw, hashes = unsqueeze(payload[4 : -16 * n]), np.frombuffer(payload[-16 * n :], np.uint64)
         size = np.frombuffer(raw[12 * m : 16 * m], np.uint32)
-        d.append(np.repeat(np.frombuffer(raw[: 8 * m], np.int64), size))
-        key.append(np.repeat(np.frombuffer(raw[8 * m : 12 * m], np.int32), size))
-        start.append(np.frombuffer(raw[16 * m :], np.uint32))
-    if h:
-        h, d, key, start = map(np.concatenate, (h, d, key, start))
-        order = np.argsort(h, kind="stable")
-        run = _edges(h[order])
+        d, key = np.frombuffer(raw[: 8 * m], np.int64), np.frombuffer(raw[8 * m : 12 * m], np.int32)
+        parts.append((hashes[:n], hashes[n:], np.repeat(d, size), np.repeat(key, size), np.frombuffer(raw[16 * m :], np.uint32)))
+    if parts:
+        h, other, d, key, start = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((other, h))
+        new = (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
+        run = np.flatnonzero(np.concatenate([[True], new]))
         least = np.repeat(np.minimum.reduceat(d[order], run), np.diff(np.append(run, len(h))))
         j = order[d[order] > least]
         j = j[np.lexsort((start[j], key[j], d[j]))]
@@ -223,28 +278,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Null and empty texts have no words; kept is then empty, or with keep_space the text as
     it is. A null id takes part in nothing and keeps its text. Rows of equal id count as one
     document: none removes words from another. An empty table gives an empty result.
-    Windows are compared by 64-bit hashes of word hashes (module words).
+    Windows are removed by two 64-bit hashes of different bases (module words). A very long text
+    is held whole by one task, with about 50 bytes for each of its own.
     """
     if window < 2:
         raise ValueError("window must be at least 2 words")
     spark, length = docs.sparkSession, window // 2
-    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    n_bytes = text_bytes(chosen)
-    n_buckets = tasks_for(spark, n_bytes, 24 << 20)
-    hits = chosen.mapInArrow(_probe(length, n_buckets), _PACKS).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_hits, _PLACES)
+    small_batches(spark)
+    names = [f"c{i}" for i in range(len(carry))]
+    texts = keep(squeezed_texts(docs, id_col, text_col, carry).toDF("doc_id", "tkey", "z", *names), "texts")
+    n_bytes = text_bytes(texts, "z")
+    n_buckets = tasks_for(spark, n_bytes, BUCKET)
+    own = texts.select("doc_id", "tkey", "z")
+    hits = _bucketed(own.mapInArrow(lean(_probe(length, n_buckets)), _PACKS), n_buckets, _hits, _PLACES)
     hits = keep(hits.groupBy("doc_id").agg(F.collect_list("places").alias("hits")), "repeat-hits")
-    texts = squeezed_texts(docs, id_col, text_col)
-    near = texts.join(hits, "doc_id")
-    n_buckets = tasks_for(spark, n_bytes, 64 << 20)  # of the words near hits only
-    packs = near.mapInArrow(_extend(length, window, n_buckets), _PACKS)
-    removed = packs.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_repeats, _PLACES)
+    near = own.join(hits, "doc_id")
+    n_buckets = tasks_for(spark, n_bytes, 2 * BUCKET)  # of the words near hits only
+    packs = near.mapInArrow(lean(_extend(length, window, n_buckets)), _PACKS)
+    removed = _bucketed(packs, n_buckets, _repeats, _PLACES)
     removed = keep(removed.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("starts")), "repeat-windows")
-    whole = squeezed_texts(docs, id_col, text_col, carry)
-    names = [f"c{i}" for i in range(len(carry))]
-    whole = whole.toDF("doc_id", "tkey", "z", *names)
-    joined = whole.join(removed, ["doc_id", "tkey"], "left")
+    joined = texts.join(removed, ["doc_id", "tkey"], "left")
     out = f"doc_id long, n_words long, n_removed long, kept string{''.join(f', {n} {t.simpleString()}' for n, t in zip(names, (docs.schema[c].dataType for c in carry), strict=True))}"
-    kept = joined.mapInArrow(_cut(window, names, keep_space), out)
+    kept = joined.mapInArrow(lean(_cut(window, names, keep_space)), out)
     return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, scratch_path, table
+from .common import keep, scratch_path, small_batches, table
 from .files import new_file, reader
 from .workers import lean
 
@@ -50,6 +50,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Digests come first, so a payload is compressed only where it is stored. Pages meet the smallest
     id of their digest in a join that AQE splits where a digest is crowded.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     digest, n = F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
     chosen = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), html.alias("html"), digest, n)
