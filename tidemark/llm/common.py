@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_ROWS = 200_000
+"""Rows of a few numbers, counted, that are broadcast at most."""
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES, and leaves it so.
 
@@ -64,15 +68,37 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with _dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes kept tables that nothing reads any more: all that was made from them is kept itself."""
+    for t in tables:
+        path = getattr(t, "kept_at", None)
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """keep, and the number of rows, seen while writing."""
+    seen = Observation()
+    out = keep(df.observe(seen, F.count("*").alias("n")), name)
+    return out, seen.get["n"]
 
 
-def meet(rows: DataFrame, stats: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with stats by key. stats: a written table, one row for each key, with n, its number of rows.
+def meet(rows: DataFrame, stats: DataFrame, n_stats: int, key: str, total: int) -> DataFrame:
+    """rows joined with stats by key. stats: a written table of n_stats rows, one for each key, with n, its number of rows.
 
-    total: the number of all rows, or more. Keys with over a thousandth of it, under 1,000 keys, are
-    broadcast, so a crowded key stays spread over as many tasks as before.
+    total: the number of all rows, or more. A small table of stats is broadcast. Of a larger one the keys with over
+    a thousandth of all rows, under 1,000 keys, are broadcast, so a crowded key stays spread over as many tasks as
+    before, and the rest meets by a shuffle.
     """
+    if n_stats <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stats.drop("n")), key)
     most = max(1, total // 1000)
     crowded = F.broadcast(stats.filter(F.col("n") > most).drop("n"))
     rest = rows.join(crowded.select(key), key, "left_anti").join(stats.filter(F.col("n") <= most).drop("n"), key)

@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from .common import keep, table
 
-BROADCAST_ROWS = 1_000_000
-"""Tables of at most so many rows of numbers or short texts are broadcast; larger ones are joined by a shuffle."""
+BROADCAST_BYTES = 48 << 20
+"""Tables of at most so many bytes, counted, are broadcast; larger ones are joined by a shuffle."""
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -45,9 +45,13 @@ def _text(size: int) -> Column:
     return F.concat_ws(" ", *[F.col("words")[F.col("i") + k] for k in range(size)])
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if a count shows that it is small. df is a written table."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows and texts, counted, are small. df is a written table."""
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, t in df.dtypes if t == "string"]
+    size = F.lit(16 * len(df.columns) + 32)
+    for t in texts:
+        size = size + t
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def contaminations(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "text") -> DataFrame:

@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, meet, small_batches, table
+from .common import BROADCAST_ROWS, drop, keep, keep_counted, meet, small_batches, table
 from .components import components
 from .packed import opened, squeezed_texts, unsqueeze
 from .words import Words, mix, slices
 from .workers import lean
 
 _TRIES = 1024
-HUB_MEMBERS = 2000
-"""Members of a hub that one task compares, about."""
 
 
 def shingle_sets(texts: list[bytes], size: int, lower: bool) -> list[np.ndarray]:
@@ -134,41 +132,35 @@ def _confirm(size: int, lower: bool, percent: int) -> Callable[[Iterator[pa.Reco
 def _confirmed(pairs: DataFrame, zs: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (a, b, hub: one of both) that are linked.
 
-    A pair takes its member's text first, then its hub's: what is dealt by hub holds that text
-    once for each part of a crowded hub, not once for each member.
+    A pair takes its member's text first and its hub's last: a hub's text is never shuffled once for each
+    member, and AQE splits the members of a crowded hub, as nothing after that join asks for its partitions.
     """
     member = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
-    crowded = keep(pairs.groupBy("hub").agg((F.count("*") / HUB_MEMBERS).cast("int").alias("parts")).filter("parts > 0"), "crowded-hubs")
-    part = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(0)) + 1).cast("int").alias("part")
-    dealt = pairs.select("hub", member.alias("member")).join(crowded, "hub", "left").select("hub", part, "member").join(zs.toDF("member", "zb"), "member")
-    hubs = zs.toDF("hub", "za").join(pairs.select("hub").distinct(), "hub").join(crowded, "hub", "left")
-    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"), "za")
-    sides = dealt.join(hubs, ["hub", "part"]).select(F.col("hub").alias("a"), F.col("member").alias("b"), "za", "zb")
+    with_member = pairs.select("hub", member.alias("member")).join(zs.toDF("member", "zb"), "member")
+    sides = with_member.join(zs.toDF("hub", "za"), "hub").select(F.col("hub").alias("a"), F.col("member").alias("b"), "za", "zb")
     found = sides.mapInArrow(lean(_confirm(size, lower, percent)), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, stars: DataFrame | None, links: DataFrame | None) -> DataFrame:
-    """Members with the component and the number of links each has so far."""
-    if stars is None:
-        return members.withColumn("label", F.col("id")).withColumn("links", F.lit(0).cast("long"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    return members.join(stars, "id", "left").join(degree, "id", "left").select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-
+def _unsettled(members: DataFrame, stars: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame | None, int]:
+    """Members that may have a partner, in the buckets that reach into more than one component, with the component
+    and the number of links that each has so far; and how many they are.
 
-def _unsettled(members: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Members that may have a partner, in the buckets that reach into more than one component.
-
-    A member has none if what it shares from its place on is too little for the smallest set there.
+    A member has no partner if what it shares from its place on is too little for the smallest set there.
     """
-    ranked = keep(members.join(stars, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "ranked")
-    total = ranked.count()
-    mixed = F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    least = keep(ranked.groupBy("bucket").agg(*mixed, F.min("n").alias("least")).filter("lo <> hi").select("bucket", "n", "least"), "mixed")
-    open_ = meet(ranked, least, "bucket", total).filter((1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent)
-    open_ = keep(open_.select("bucket", "id", "n", "place", "label"), "open")
-    still = keep(open_.groupBy("bucket").agg(*mixed).filter("lo <> hi").select("bucket", "n"), "mixed")
-    return meet(open_.drop("label"), still, "bucket", total)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    ranked = members.select("bucket", "id", "n", "place").join(stars, "id", "left").join(degree, "id", "left")
+    ranked = ranked.select("bucket", "id", "n", "place", F.coalesce("component", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    ranked, total = keep_counted(ranked, "ranked")
+    least = ranked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("bucket", "n", "least")
+    least, mixed = keep_counted(least, "mixed")
+    if not mixed:
+        drop(ranked, least)
+        return None, 0
+    rest = meet(ranked, least, mixed, "bucket", total).filter((1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent)
+    out, n = keep_counted(rest.drop("least"), "members")
+    drop(ranked, least)
+    return out, n
 
 
 def _rare_buckets(texts: DataFrame, members: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
@@ -219,7 +211,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
 
     members = nodes.select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), F.lit(1).alias("place"), F.explode("bands").alias("bucket")).distinct()
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    members = keep(members.join(shared.select("bucket"), "bucket"), "members")
+    members, n_members = keep_counted(members.join(shared.select("bucket"), "bucket"), "members")
     texts = squeezed_texts(docs, id_col, text_col)
     texts = keep(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "member-texts")
     zs = texts.select("doc_id", "z")
@@ -227,33 +219,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     links: DataFrame | None = None
     stars: DataFrame | None = None
     tried: DataFrame | None = None
-    hubs_a_bucket = 1
-    while not members.isEmpty():
-        ranked = _labelled(members, stars, links)
+    hubs_a_bucket, used = 1, []
+    used.append(members)
+    members = members.withColumn("label", F.col("id")).withColumn("links", F.lit(0).cast("long"))
+    while n_members:
         part = F.pmod(F.xxhash64("id"), F.lit(hubs_a_bucket))
         # a minimum for each bucket, so no bucket is gathered
-        hubs = ranked.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("links")).alias("rank"), "id", "label", "n", "place")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
+        hubs = members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("links")).alias("rank"), "id", "label", "n", "place")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
+        hubs, n_hubs = keep_counted(hubs, "hubs")
+        small = F.broadcast(hubs) if n_hubs <= BROADCAST_ROWS else hubs
         # what two sets can share from this bucket's shingle on must be enough
         enough = (1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
         like = (F.col("id") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & enough
-        pairs = ranked.join(hubs, "bucket").filter(like).groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+        pairs = members.join(small, "bucket").filter(like).groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.min("hub").alias("hub"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
+        pairs, n_pairs = keep_counted(pairs, "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        new = keep(_confirmed(pairs, zs, size, lower, percent), "links")
-        first_round = links is None
-        links = new if first_round else links.unionByName(new)
-        if first_round or not new.isEmpty():
-            stars = keep(components(new if stars is None else new.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
-        rest = ranked.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "place")
-        members = keep(_unsettled(rest, stars, percent), "members")
-        if first_round and not members.isEmpty():
-            members = keep(_unsettled(_rare_buckets(texts, members, size, lower, percent), stars, percent), "rare-members")
+        first_round, old = links is None, None
+        if n_pairs or first_round:
+            new, n_new = keep_counted(_confirmed(pairs, zs, size, lower, percent), "links")
+            links = new if first_round else links.unionByName(new)
+            used.append(new)
+            if n_new or first_round:
+                old, stars = stars, components(new if stars is None else new.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        used.append(pairs)
+        rest = members.join(small.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        before = members
+        members, n_members = _unsettled(rest, stars, links, percent)
+        drop(before, hubs, old)
+        if first_round and n_members:
+            before, rare = members, keep(_rare_buckets(texts, members, size, lower, percent), "rare-buckets")
+            members, n_members = _unsettled(rare, stars, links, percent)
+            drop(before, rare)
         hubs_a_bucket *= 8
 
     graph = copies if stars is None else copies.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = components(graph).withColumnRenamed("id", "doc_id")
+    drop(nodes, copies, texts, stars, *used)
     return signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table, tasks_for, text_bytes
+from .common import drop, keep, small_batches, table, tasks_for, text_bytes
 from .packed import opened, squeeze, squeezed_texts, unsqueeze
 from .words import NULL, Words, longs
 from .workers import lean
@@ -297,6 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     packs = near.mapInArrow(lean(_extend(length, window, n_buckets)), _PACKS)
     removed = _bucketed(packs, n_buckets, _repeats, _PLACES)
     removed = keep(removed.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("starts")), "repeat-windows")
+    drop(hits)
     joined = texts.join(removed, ["doc_id", "tkey"], "left")
     out = f"doc_id long, n_words long, n_removed long, kept string{''.join(f', {n} {t.simpleString()}' for n, t in zip(names, (docs.schema[c].dataType for c in carry), strict=True))}"
     kept = joined.mapInArrow(lean(_cut(window, names, keep_space)), out)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, scratch_path, small_batches, table
+from .common import drop, keep, scratch_path, small_batches, table
 from .files import new_file, reader
 from .workers import lean
 
@@ -55,7 +55,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digest, n = F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
     chosen = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), html.alias("html"), digest, n)
     first = chosen.filter(F.col("payload_bytes") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = chosen.join(keep(first.select("digest", "first"), "copies"), "digest", "left")
+    copies = keep(first.select("digest", "first"), "copies")
+    joined = chosen.join(copies, "digest", "left")
     stored = F.col("first").isNull() | (F.col("page_id") == F.col("first"))
     # a revisit carries no payload; a null id too
     rows = joined.select("page_id", "url", "digest", "payload_bytes", F.when(F.coalesce(stored, F.lit(False)), F.col("html")).alias("html"), "first")
@@ -79,7 +80,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [uri], "n_bytes": pa.array([at], pa.int64())})
 
-    return keep(rows.mapInArrow(lean(write), "path string, n_bytes long"), "archives")
+    archives = keep(rows.mapInArrow(lean(write), "path string, n_bytes long"), "archives")
+    drop(copies)
+    return archives
 
 
 def _header(head: bytes) -> dict[str, str]:
