@@ -16,31 +16,53 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on labels, accepts."""
+    """Documents that the quality classifier, trained on labels, accepts.
+
+    Null and empty texts are scored as texts without words; rows with null or repeated ids are scored
+    each for itself; an empty table stays empty; columns that documents don't have go.
+    """
     scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Null and empty texts are like nothing and stay, as do rows with a null id. Rows of one id are one
+    document and stay or go together; of equal rows of an id one stays. An empty table stays empty.
+    """
     groups = near_dedup.near_duplicates(docs, size=5, percent=80)
     others = groups.filter("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    rest = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.filter("doc_id is not null").isEmpty():
+        return rest
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words or more that an earlier document has; a null text becomes empty."""
+    """Documents without passages of 50 words or more that an earlier document has.
+
+    A null text becomes empty, a document that loses all its words too; rows with a null id keep their
+    text; rows of one id take nothing from each other. n_chars is that of what is left.
+    """
     cut = substring_dedup.remove_repeats(docs, carry=("lang", "source"), keep_space=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts and rows with a null id stay; rows of one id go together; without items all stay.
+    """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one end id; null and repeated ids are packed each for itself.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
