@@ -107,11 +107,11 @@ def moments(rows: DataFrame, by: list[str], features: list[str], label: str) ->
 def ridge(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "label", alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
     """Coefficients by fold and penalty from one pass of sums; the intercept is free.
 
-    (fold, alpha, feature_id, coefficient), the intercept under its own name. The sums of a fold are
-    a small matrix, whatever the rows.
+    (fold, alpha, feature_id, coefficient), the intercept under its own name. Rows are summed once by
+    session; a fold adds up its sessions. The sums of a fold are a small matrix, whatever the rows.
     """
-    fine = rows.filter(finite(*features, label))
-    sums = moments(fold_rows(fine, folds, "train"), ["fold"], features, label).collect()  # folds x features^2
+    sessions = moments(rows.filter(finite(*features, label)), ["idx"], features, label)
+    sums = fold_rows(sessions, folds, "train").groupBy("fold", "i", "j").agg(F.sum("total").alias("total")).collect()  # folds x features^2
     n, out = len(features), []
     for fold in sorted({r.fold for r in sums}):
         s = np.zeros((n + 2, n + 2))

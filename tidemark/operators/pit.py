@@ -172,6 +172,7 @@ def safe_scalars(rows: DataFrame) -> DataFrame:
     return rows.withColumn("inverse", F.when(F.col("ratio") > 0, F.try_divide(F.lit(1.0), F.col("ratio")))).withColumn("share", F.col("percent") / 100).withColumn("log_value", F.when(F.col("value") > 0, F.ln(F.col("value") * 10000)))
 
 
+# Reasons why a factor is null, here and in factor_rows.
 def null_reasons(rows: DataFrame, needed: int, value: Column | None = None, source: Column | None = None, rule: str = "other") -> Column:
     """Why a factor is null: a missing session, too short a history, then source or denominator.
 
@@ -278,6 +279,7 @@ def offset_sessions(calendar: DataFrame, entry: int = 1, exit_: int = 21) -> Dat
     return n.join(e, "k", "left").join(x, "k", "left").select("idx", "entry", "exit")
 
 
+# Reasons why there is no label.
 def forward_labels(bars: DataFrame, benchmark: DataFrame, sessions: DataFrame) -> DataFrame:
     """Excess open-to-open return from entry to exit, or the first reason that there is none."""
     b = bars.select("symbol", F.col("idx"), "open", "suspended", "limit_up", "limit_down")

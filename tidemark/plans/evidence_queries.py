@@ -305,10 +305,9 @@ def _(v):
 @query("a15_partitioned_publication", "SELECT feature_id, count(*) AS n, count(value) AS valued, round(sum(value), 4) AS total FROM feature GROUP BY 1")
 def _(v):
     """The long feature table, published by feature and read back."""
-    from tidemark.sources.stores import publish
+    from tidemark.sources.stores import publish, scratch_root
 
     rows = v("feature")
     spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    back = spark.read.parquet(publish(rows, f"{root}/artifacts", "feature_id"))
+    back = spark.read.parquet(publish(rows, f"{scratch_root(spark)}/artifacts", "feature_id"))
     return rounded(back.groupBy("feature_id").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total")), "total", n=4)

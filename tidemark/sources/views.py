@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
     "financial_version": """
       SELECT o_custkey AS symbol, CAST(floor($day(o_orderdate) / 91) AS BIGINT) AS report_period, $day(o_orderdate) + CAST(o_orderkey % 60 AS INT) AS available,
         o_orderstatus = 'F' AS update_flag, o_orderkey AS event_id, o_totalprice AS metric FROM $orders""",
-    "decision": "SELECT DISTINCT o_custkey AS symbol, d.day FROM $orders CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0) d",
+    "decision": "SELECT s.symbol, d.day FROM (SELECT DISTINCT o_custkey AS symbol FROM $orders) s CROSS JOIN (SELECT DISTINCT idx * 28 AS day FROM bar0) d",
     "wide": """
       SELECT symbol, idx, close, close / lag(close, 6) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS mom_6, close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS mom_3,
         ln(amount / 1e2) AS log_amount, CASE WHEN volume > 150 THEN round((high - low) / close, 2) END AS range,
