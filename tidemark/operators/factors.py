@@ -17,6 +17,21 @@ def guarded_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def rank_corr(a: str, b: str) -> Column:
+    """Correlation of average ranks; null where a side is constant.
+
+    Twice a rank is a whole number, so the sums are exact in any order of rows and no correlation of 0 turns
+    into a tiny positive one. For groups of up to a million rows.
+    """
+    x, y = ((2 * F.col(c)).cast("bigint") for c in (a, b))
+    n = F.count(x * y).cast("decimal(18,0)")
+
+    def spread(u: Column, v: Column) -> Column:
+        return (n * F.sum(u * v).cast("decimal(20,0)") - F.sum(u).cast("decimal(19,0)") * F.sum(v).cast("decimal(19,0)")).cast("double")
+
+    return F.when((spread(x, x) > 0) & (spread(y, y) > 0), F.try_divide(spread(x, y), F.sqrt(spread(x, x)) * F.sqrt(spread(y, y))))
+
+
 def finite(*columns: str) -> Column:
     """Neither null, NaN nor infinite (NaN counts as the largest number)."""
     c = F.lit(True)
@@ -30,7 +45,7 @@ def daily_rank_ic(panel: DataFrame, by: list[str] | None = None, least: int = 5)
     keys = ["feature_id", "idx", *(by or [])]
     rows = panel.filter(finite("value", "label"))
     rows = average_rank(average_rank(rows, "value", keys, "rv"), "label", keys, "rl")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("rv", "rl").alias("ic")).filter((F.col("n") >= least) & F.col("ic").isNotNull())
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), rank_corr("rv", "rl").alias("ic")).filter((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def two_sided_p(z: pd.Series) -> pd.Series:
@@ -102,7 +117,7 @@ def pair_correlations(features: DataFrame, family: DataFrame) -> DataFrame:
     b = rows.withColumnsRenamed({"feature_id": "b", "value": "vb"})
     both = a.join(b, ["symbol", "idx", "b"])
     ranked = average_rank(average_rank(both, "va", ["a", "b", "idx"], "ra"), "vb", ["a", "b", "idx"], "rb")
-    daily = ranked.groupBy("family", "a", "b", "idx").agg(guarded_corr("ra", "rb").alias("c")).filter("c is not null")
+    daily = ranked.groupBy("family", "a", "b", "idx").agg(rank_corr("ra", "rb").alias("c")).filter("c is not null")
     return daily.groupBy("family", "a", "b").agg(F.avg("c").alias("correlation"), F.count("*").alias("dates"))
 
 
@@ -247,4 +262,4 @@ def prior_rank_correlation(features: DataFrame) -> DataFrame:
     dates = rows.select("feature_id", "idx").distinct().withColumn("previous", F.lag("idx").over(w)).filter("previous is not null")
     before = rows.select("feature_id", F.col("idx").alias("previous"), "symbol", F.col("r").alias("rp"))
     both = rows.join(dates, ["feature_id", "idx"]).join(before, ["feature_id", "previous", "symbol"])
-    return both.groupBy("feature_id", "idx").agg(guarded_corr("r", "rp").alias("autocorrelation"), F.count("*").alias("n"))
+    return both.groupBy("feature_id", "idx").agg(rank_corr("r", "rp").alias("autocorrelation"), F.count("*").alias("n"))

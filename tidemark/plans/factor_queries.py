@@ -12,7 +12,7 @@ from .window_queries import rounded
 
 _RANKED = """r AS (SELECT *, rank() OVER (PARTITION BY feature_id, idx ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, idx, value) - 1) / 2.0 AS rv,
   rank() OVER (PARTITION BY feature_id, idx ORDER BY label) + (count(*) OVER (PARTITION BY feature_id, idx, label) - 1) / 2.0 AS rl FROM panel WHERE value IS NOT NULL AND label IS NOT NULL)"""
-_DAILY = _RANKED + """, d0 AS (SELECT feature_id, idx, count(*) AS n, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rl) > 0 THEN covar_pop(rv, rl) / (stddev_pop(rv) * stddev_pop(rl)) END AS ic, any_value(regime) AS regime FROM r GROUP BY feature_id, idx),
+_DAILY = _RANKED + """, d0 AS (SELECT feature_id, idx, count(*) AS n, $rank_corr(rv rl) AS ic, any_value(regime) AS regime FROM r GROUP BY feature_id, idx),
   d AS (SELECT * FROM d0 WHERE n >= 5 AND ic IS NOT NULL)"""
 _SUMMARY = _DAILY + ", s AS (SELECT feature_id, avg(ic) AS mean_ic, avg(ic) AS oriented_ic, stddev_pop(ic) AS sd, avg(CAST(ic > 0 AS DOUBLE)) AS positive, count(*) AS dates FROM d GROUP BY feature_id)"
 _QUINT = _RANKED + ", q AS (SELECT symbol, feature_id, idx, label, least(5, greatest(1, floor((rv - 1) * 5 / count(*) OVER (PARTITION BY feature_id, idx)) + 1)) AS k FROM r), qm AS (SELECT feature_id, " + ", ".join(f"avg(CASE WHEN k = {k} THEN label END) AS q{k}" for k in range(1, 6)) + " FROM q GROUP BY feature_id)"
@@ -71,7 +71,7 @@ def _(v):
 
 @query("d08_industry_segments", """WITH r AS (SELECT *, rank() OVER (PARTITION BY feature_id, idx, industry ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, idx, industry, value) - 1) / 2.0 AS rv,
   rank() OVER (PARTITION BY feature_id, idx, industry ORDER BY label) + (count(*) OVER (PARTITION BY feature_id, idx, industry, label) - 1) / 2.0 AS rl FROM panel WHERE value IS NOT NULL AND label IS NOT NULL),
-  d AS (SELECT feature_id, idx, industry, count(*) AS n, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rl) > 0 THEN covar_pop(rv, rl) / (stddev_pop(rv) * stddev_pop(rl)) END AS ic FROM r GROUP BY 1, 2, 3)
+  d AS (SELECT feature_id, idx, industry, count(*) AS n, $rank_corr(rv rl) AS ic FROM r GROUP BY 1, 2, 3)
   SELECT feature_id, industry, CAST(sum(n) AS BIGINT) AS observations, round(avg(ic), 8) AS mean_ic FROM d WHERE n >= 3 AND ic IS NOT NULL GROUP BY 1, 2""")
 def _(v):
     return rounded(O.industry_segments(v("panel")), "mean_ic")
@@ -89,7 +89,7 @@ def _family(features):
 _PAIRS = """f AS (SELECT *, CASE WHEN feature_id LIKE 'mom%' THEN 'momentum' ELSE 'size' END AS family FROM feature WHERE value IS NOT NULL),
   b AS (SELECT x.family, x.feature_id AS a, y.feature_id AS b, x.idx, x.value AS va, y.value AS vb FROM f x JOIN f y ON x.family = y.family AND x.symbol = y.symbol AND x.idx = y.idx AND x.feature_id < y.feature_id),
   k AS (SELECT *, rank() OVER (PARTITION BY a, b, idx ORDER BY va) + (count(*) OVER (PARTITION BY a, b, idx, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b, idx ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, idx, vb) - 1) / 2.0 AS rb FROM b),
-  c AS (SELECT family, a, b, idx, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS c FROM k GROUP BY 1, 2, 3, 4)"""
+  c AS (SELECT family, a, b, idx, $rank_corr(ra rb) AS c FROM k GROUP BY 1, 2, 3, 4)"""
 
 
 @query("d10_pair_correlations", f"WITH {_PAIRS} SELECT family, a, b, round(avg(c), 8) AS correlation, count(*) AS dates FROM c WHERE c IS NOT NULL GROUP BY 1, 2, 3")
@@ -143,14 +143,14 @@ def _(v):
 _DIAGNOSTICS = f"""{_SUMMARY.replace("n >= 5", "n >= 3")}, {_QUINT.removeprefix(_RANKED + ", ")}, {_TURN},
   cv AS (SELECT feature_id, count(*) AS total, count(*) FILTER (value IS NOT NULL AND label IS NOT NULL) AS valid, count(*) FILTER (value IS NULL) AS missing_feature, count(*) FILTER (label IS NULL) AS missing_label FROM panel GROUP BY 1),
   ad AS (SELECT feature_id, idx, lag(idx) OVER (PARTITION BY feature_id ORDER BY idx) AS previous FROM (SELECT DISTINCT feature_id, idx FROM r)),
-  ae AS (SELECT x.feature_id, x.idx, CASE WHEN stddev_pop(x.rv) > 0 AND stddev_pop(p.rv) > 0 THEN covar_pop(x.rv, p.rv) / (stddev_pop(x.rv) * stddev_pop(p.rv)) END AS c FROM r x JOIN ad ON ad.feature_id = x.feature_id AND ad.idx = x.idx JOIN r p ON p.feature_id = x.feature_id AND p.idx = ad.previous AND p.symbol = x.symbol GROUP BY 1, 2),
+  ae AS (SELECT x.feature_id, x.idx, $rank_corr(x.rv p.rv) AS c FROM r x JOIN ad ON ad.feature_id = x.feature_id AND ad.idx = x.idx JOIN r p ON p.feature_id = x.feature_id AND p.idx = ad.previous AND p.symbol = x.symbol GROUP BY 1, 2),
   ac AS (SELECT feature_id, avg(c) AS autocorrelation FROM ae GROUP BY 1),
   se AS (SELECT feature_id, idx, CASE WHEN stddev_pop(value) > 0 AND stddev_pop(size) > 0 THEN covar_pop(value, size) / (stddev_pop(value) * stddev_pop(size)) END AS c FROM r WHERE size IS NOT NULL GROUP BY 1, 2),
   sx AS (SELECT feature_id, greatest(-1, least(1, avg(c))) AS exposure FROM se GROUP BY 1),
   yy AS (SELECT feature_id, CAST(floor(idx / 13) AS BIGINT) AS year, sum(n) AS observations, avg(ic) AS m FROM d GROUP BY 1, 2), yw AS (SELECT feature_id, count(*) AS years, arg_min(CAST(year AS VARCHAR), row(m, CAST(year AS VARCHAR))) AS worst_year, min(m) AS worst_year_ic FROM yy GROUP BY 1),
   gg AS (SELECT feature_id, count(DISTINCT regime) AS regimes FROM d GROUP BY 1),
   ir AS (SELECT *, rank() OVER (PARTITION BY feature_id, idx, industry ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, idx, industry, value) - 1) / 2.0 AS iv, rank() OVER (PARTITION BY feature_id, idx, industry ORDER BY label) + (count(*) OVER (PARTITION BY feature_id, idx, industry, label) - 1) / 2.0 AS il FROM panel WHERE value IS NOT NULL AND label IS NOT NULL AND industry IS NOT NULL),
-  id AS (SELECT feature_id, idx, industry, count(*) AS n, CASE WHEN stddev_pop(iv) > 0 AND stddev_pop(il) > 0 THEN covar_pop(iv, il) / (stddev_pop(iv) * stddev_pop(il)) END AS ic FROM ir GROUP BY 1, 2, 3),
+  id AS (SELECT feature_id, idx, industry, count(*) AS n, $rank_corr(iv il) AS ic FROM ir GROUP BY 1, 2, 3),
   ii AS (SELECT feature_id, industry, round(avg(ic), 10) AS m FROM id WHERE n >= 3 AND ic IS NOT NULL GROUP BY 1, 2), iw AS (SELECT feature_id, count(*) AS industries, arg_min(CAST(industry AS VARCHAR), row(m, CAST(industry AS VARCHAR))) AS worst_industry, min(m) AS worst_industry_ic FROM ii GROUP BY 1),
   dg AS (SELECT s.feature_id, total, valid, missing_feature, missing_label, valid / total AS coverage, mean_ic, oriented_ic, sd, dates, CASE WHEN sd = 0 THEN 0 ELSE oriented_ic / sd END AS icir, positive, {_P} AS p_value, q1, q2, q3, q4, q5, {_MONO} AS monotone, q5 - q1 AS gross, coalesce(turnover, 0) AS turnover, q5 - q1 - coalesce(turnover, 0) * 0.0015 AS spread, coalesce(autocorrelation, 0) AS autocorrelation, coalesce(exposure, 0) AS exposure, years, regimes, coalesce(industries, 0) AS industries, worst_year, worst_year_ic, worst_industry, worst_industry_ic
     FROM s JOIN cv USING (feature_id) JOIN qm USING (feature_id) LEFT JOIN tm USING (feature_id) LEFT JOIN ac USING (feature_id) LEFT JOIN sx USING (feature_id) LEFT JOIN yw USING (feature_id) LEFT JOIN gg USING (feature_id) LEFT JOIN iw USING (feature_id))"""
@@ -221,6 +221,6 @@ def _(v):
     return rounded(O.annual_gap(y.withColumnRenamed("run", "pair"), y.filter("year > 0").select((F.col("run") + 1).alias("pair"), "year", "annual"), ["pair"]), "a", "b", "gap")
 
 
-@query("c22_prior_rank_correlation", "WITH k AS (SELECT *, rank() OVER (PARTITION BY feature_id, idx ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, idx, value) - 1) / 2.0 AS r FROM feature WHERE value IS NOT NULL), d AS (SELECT feature_id, idx, lag(idx) OVER (PARTITION BY feature_id ORDER BY idx) AS previous FROM (SELECT DISTINCT feature_id, idx FROM k)) SELECT k.feature_id, k.idx, round(CASE WHEN stddev_pop(k.r) > 0 AND stddev_pop(p.r) > 0 THEN covar_pop(k.r, p.r) / (stddev_pop(k.r) * stddev_pop(p.r)) END, 8) + 0e0 AS autocorrelation, count(*) AS n FROM k JOIN d ON d.feature_id = k.feature_id AND d.idx = k.idx JOIN k p ON p.feature_id = k.feature_id AND p.idx = d.previous AND p.symbol = k.symbol GROUP BY 1, 2")
+@query("c22_prior_rank_correlation", "WITH k AS (SELECT *, rank() OVER (PARTITION BY feature_id, idx ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, idx, value) - 1) / 2.0 AS r FROM feature WHERE value IS NOT NULL), d AS (SELECT feature_id, idx, lag(idx) OVER (PARTITION BY feature_id ORDER BY idx) AS previous FROM (SELECT DISTINCT feature_id, idx FROM k)) SELECT k.feature_id, k.idx, round($rank_corr(k.r p.r), 8) + 0e0 AS autocorrelation, count(*) AS n FROM k JOIN d ON d.feature_id = k.feature_id AND d.idx = k.idx JOIN k p ON p.feature_id = k.feature_id AND p.idx = d.previous AND p.symbol = k.symbol GROUP BY 1, 2")
 def _(v):
     return rounded(O.prior_rank_correlation(v("feature")), "autocorrelation")

@@ -112,8 +112,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
+def _rank_corr(a: str, b: str) -> str:
+    """Correlation of average ranks from exact sums, as SQL of the oracle."""
+    x, y = (f"CAST(2 * {c} AS HUGEINT)" for c in (a, b))
+
+    def spread(u: str, v: str) -> str:
+        return f"CAST(count(*) * sum({u} * {v}) - sum({u}) * sum({v}) AS DOUBLE)"
+
+    return f"CASE WHEN {spread(x, x)} > 0 AND {spread(y, y)} > 0 THEN {spread(x, y)} / (sqrt({spread(x, x)}) * sqrt({spread(y, y)})) END"
+
+
 def oracle(body: str) -> str:
-    """An oracle query over the views that it names."""
+    """An oracle query over the views that it names; $rank_corr(a b) is a correlation of ranks."""
+    body = re.sub(r"\$rank_corr\(([\w.]+) ([\w.]+)\)", lambda m: _rank_corr(m[1], m[2]), body)
     names = [v for v in VIEWS if re.search(rf"(?:FROM|JOIN|,) {v}\b", body)]
     head = _text(names, False).replace("$", "") if names else ""
     body = body.strip()
