@@ -117,6 +117,13 @@ def test_shards_keep_every_row(spark, tmp_path):
     assert key(store.read()) == key(docs)
     last, before = store.version(), store.shards(1)
     assert last >= 7 and len(store.shards()) < 6 * 4
+    small = sharding.ShardTable(spark, str(tmp_path / "s"), target=15_000, fan_in=3, least=1 << 10)
+    for k in range(12):
+        small.append(spark.range(k * 500, k * 500 + 500).selectExpr("id as doc_id", "hash(id) as h").coalesce(1))
+    sizes = [s.n_bytes for s in small.shards()]
+    small.compact("doc_id")
+    merged = [s.n_bytes for s in small.shards()]
+    assert 1 < len(merged) < len(sizes) and max(merged) < 20_000 and small.read().count() == 6000
     assert store.read(1).count() <= docs.count() and store.shards(1) == before
     with pytest.raises(Exception, match="(?i)exist"):
         store.commit([], last - 1)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.stores import scratch_root
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 """Rows of a few numbers, counted, that are broadcast at most."""
 
 
@@ -33,29 +34,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset only a local session gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_held: dict[str, tuple[int, str | None]] = {}
+_lock = threading.Lock()
+
+
 @contextmanager
-def _dropping_shuffles(spark: SparkSession):
-    """Within it, a finished write drops the shuffle files that only it needed."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting within a block; the last of blocks that overlap restores what was before the first."""
+    with _lock:
+        n, before = _held.get(key) or (0, spark.conf.get(key, None))
+        _held[key] = (n + 1, before)
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            n, before = _held.pop(key)
+            if n > 1:
+                _held[key] = (n - 1, before)
+            elif before:
+                spark.conf.set(key, before)
+            else:
+                spark.conf.unset(key)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +70,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _dropping_shuffles(spark):
+    with setting(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table
+from .common import drop, keep, small_batches, table
 from .words import Words, slices
 from .workers import lean
 
@@ -198,8 +198,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = known.filter(~held_out(F.col("doc_id")))
     share = min(1.0, MAX_LABELLED / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = keep(measured.select("doc_id", "x").join(known, "doc_id").select("x", "y").repartition(PARTS), "labelled").coalesce(PARTS)
-    model = spark.sparkContext.broadcast(fit(labelled))
+    labelled = keep(measured.select("doc_id", "x").join(known, "doc_id").select("x", "y").repartition(PARTS), "labelled")
+    model = spark.sparkContext.broadcast(fit(labelled.coalesce(PARTS)))
+    drop(labelled)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, table
+from .common import scratch_path, setting, table
 
 TARGET = 64 << 20
 FAN_IN = 4
 LEAST = 256 << 10
 JOB_GROUPS = 64
 """Groups that one Spark job merges."""
+UNION = "spark.sql.unionOutputPartitioning"
 TRIES = 20
 """Commits that an append tries while others write."""
 
@@ -169,7 +170,8 @@ class ShardTable:
                 merged = parts[0]
                 for p in parts[1:]:
                     merged = merged.unionByName(p, allowMissingColumns=True)
-                merged.sortWithinPartitions(order).write.mode("append").option("compression", "zstd").parquet(folder)
+                with setting(self.spark, UNION, "false"):  # else the groups' single partitions become one
+                    merged.sortWithinPartitions(order).write.mode("append").option("compression", "zstd").parquet(folder)
             self.commit([s for s in now if s.path not in gone] + self._written(folder), base)
 
     def read(self, version: int | None = None) -> DataFrame:

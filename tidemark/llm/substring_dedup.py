@@ -4,7 +4,7 @@ Method: fixed-block anchors. A window of W words holds at least one whole block
 of the fixed grid of L = W // 2 words, so it is enough to index each document's
 non-overlapping L-word blocks and to probe them with every rolling L-word window.
 Places that are hit are then extended to the maximal exact repeats: every W-word
-window around a hit is compared by two hashes of its word sequence, 128 bits in all,
+window around a hit is compared by two hashes of its word sequence, 96 bits in all,
 and runs of windows that start in an earlier document are removed as one passage.
 
 Every step is dealt by window hash, so one passage in many documents is spread
@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import drop, keep, small_batches, table, tasks_for, text_bytes
 from .packed import opened, squeeze, squeezed_texts, unsqueeze
-from .words import NULL, Words, longs
+from .words import NULL, Words, longs, slices
 from .workers import lean
 
 WINDOW = 50
 PASSES = 4
-BUCKET = 6 << 20
-"""Bytes of compressed text that a bucket stands for."""
+BUCKET = 16 << 20
+"""Bytes of text that a bucket stands for."""
 KNOWN = 1 << 20
 """Windows that a task remembers having sent."""
-_PACKS = "bucket int, doc_id long, tkey int, payload binary"
+_PACKS = "bucket int, dealt boolean, n int, payload binary"
 _PLACES = "doc_id long, tkey int, places binary"
 
 
@@ -51,19 +51,39 @@ def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     return zip(starts, np.append(starts[1:], n)[: len(starts)], strict=True)
 
 
-def _by_document(text: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Places (sorted by text) as one compressed array for each text."""
-    for lo, hi in _spans(_edges(text), len(text)):
-        yield int(text[lo]), squeeze(places[lo:hi].astype(np.uint32))
-
-
-def _packs(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    b, d, k, p = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "doc_id", "tkey", "payload"])
-
-
-def _places(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    d, k, p = zip(*rows, strict=True) if rows else ((), (), ())
+def _packs(rows: list[tuple[int, int | None, int, bytes]]) -> pa.RecordBatch:
+    """Packs of windows (dealt null) for their bucket, and of places (dealt true) for their part of the documents."""
+    b, d, n, p = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.bool_()), pa.array(n, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "dealt", "n", "payload"])
+
+
+def _deal(doc: np.ndarray, key: np.ndarray, place: np.ndarray, n_parts: int) -> list[tuple[int, bool, int, bytes]]:
+    """Places of documents as one pack for each part of the documents, however many documents they are of."""
+    part = np.mod(doc, n_parts)
+    order = np.lexsort((place, key, doc, part))
+    part, doc, key, place = (x[order] for x in (part, doc.astype(np.int64), key.astype(np.int32), place.astype(np.int32)))
+    if len(doc):  # many windows of one block
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+        part, doc, key, place = part[new], doc[new], key[new], place[new]
+    rows = []
+    for lo, hi in _spans(_edges(part), len(part)):
+        d, k, p = doc[lo:hi], key[lo:hi], place[lo:hi]
+        rows.append((int(part[lo]), True, len(d), squeeze(np.diff(d, prepend=0), k, np.diff(p, prepend=0).astype(np.int32))))
+    return rows
+
+
+def _gather(tab: pa.Table) -> pa.Table:
+    """Of one part of the documents: the places of each document as one compressed array."""
+    parts = []
+    for n, payload in zip(tab["n"].to_pylist(), tab["payload"].to_pylist(), strict=True):
+        raw = unsqueeze(payload)
+        parts.append((np.cumsum(np.frombuffer(raw[: 8 * n], np.int64)), np.frombuffer(raw[8 * n : 12 * n], np.int32), np.cumsum(np.frombuffer(raw[12 * n :], np.int32)).astype(np.uint32)))
+    doc, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, key, doc))
+    doc, key, place = doc[order], key[order], place[order]
+    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    rows = [(int(doc[lo]), int(key[lo]), squeeze(np.unique(place[lo:hi]))) for lo, hi in _spans(starts, len(doc))]
+    d, k, p = zip(*rows, strict=True)
     return pa.table({"doc_id": pa.array(d, pa.int64()), "tkey": pa.array(k, pa.int32()), "places": pa.array(p, pa.binary())})
 
 
@@ -74,7 +94,7 @@ class _Met:
     """
 
     def __init__(self):
-        self.h, self.other, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.h, self.other, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def find(self, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which windows are known, and their least ids (any where they aren't)."""
@@ -100,7 +120,7 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()  # windows of two documents, with a block of the grid: a hit wherever they are
-        for part, texts in (x for batch in batches for x in opened(batch)):
+        for part, texts in slices(batches):
             ids, words = longs(part.column("doc_id")), Words(texts)
             at, h = words.windows(length)
             text = words.text_of()[at]
@@ -118,7 +138,7 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
             group = np.repeat(np.arange(len(run)), size)
             mixed = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) if len(run) else np.zeros(0, bool)
             grid = np.logical_or.reduceat(anchor[order], run) if len(run) else mixed
-            known, _ = met.find(hs[run], hs[run])
+            known, _ = met.find(hs[run], hs[run].astype(np.uint32))
             mixed |= known
             here = np.zeros(len(h), bool)  # repeats inside this batch, or of what the task has sent
             here[order] = mixed[group]
@@ -130,7 +150,7 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
             on_grid = anchor.copy()
             on_grid[order[run]] |= grid & mixed
             new = hs[run][grid & mixed & ~known]
-            met.add(new, new, np.zeros(len(new), np.int64))
+            met.add(new, new.astype(np.uint32), np.zeros(len(new), np.int64))
             i = np.flatnonzero(sent)
             bucket = _bucket(h[i], n_buckets)
             by_bucket = np.argsort(bucket.astype(np.uint32), kind="stable")
@@ -141,57 +161,62 @@ def _probe(length: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 d = ids[text[j]]
                 rows.append((int(bucket[lo]), None, len(j), squeeze(np.diff(d, prepend=0), block[j].astype(np.uint32), np.packbits(on_grid[j])) + h[j].astype(np.uint32).tobytes()))
             j = np.flatnonzero(here)
-            rows += [(int(ids[t]) % n_buckets, int(ids[t]), None, p) for t, p in _by_document(text[j], block[j])]
-            yield _packs(rows)
+            yield _packs(rows + _deal(ids[text[j]], np.zeros(len(j)), block[j], n_buckets))
 
     return probe
 
 
-def _bucketed(packs: DataFrame, n_buckets: int, f: Callable[[pa.Table], pa.Table], out: str) -> DataFrame:
+def _bucketed(packs: DataFrame, n_buckets: int, f: Callable[[pa.Table], pa.Table | pa.RecordBatch], out: str) -> DataFrame:
     """f of all packs of each bucket; a task holds one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            yield from f(pa.Table.from_batches(held)).to_batches()
+            found = f(pa.Table.from_batches(held))
+            yield from [found] if isinstance(found, pa.RecordBatch) else found.to_batches()
 
     return packs.repartitionById(n_buckets, "bucket").mapInArrow(lean(run), out)
 
 
-def _hits(tab: pa.Table) -> pa.Table:
+def _gathered(packs: DataFrame, n_buckets: int, f: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """(doc_id, tkey, places) of what f finds in each bucket."""
+    return _bucketed(_bucketed(packs, n_buckets, f, _PACKS), n_buckets, _gather, _PLACES)
+
+
+def _read(tab: pa.Table) -> tuple[list, list]:
+    """Dealt packs as rows, to be handed on, and (n, payload) of the packs of windows."""
+    rows = list(zip(*(tab[c].to_pylist() for c in ("bucket", "dealt", "n", "payload")), strict=True))
+    return [r for r in rows if r[1]], [(r[2], r[3]) for r in rows if not r[1]]
+
+
+def _hits(n_buckets: int) -> Callable[[pa.Table], pa.RecordBatch]:
     """Of one bucket: places whose window is a block of the grid somewhere and occurs in two documents.
 
     A bucket is sorted in PASSES parts, to hold less at a time.
     """
-    found, where, payloads = [], ([], []), []
-    for doc_id, n, payload in zip(tab["doc_id"].to_pylist(), tab["tkey"].to_pylist(), tab["payload"].to_pylist(), strict=True):
-        if n is None:
-            found.append((doc_id, None, payload))
-        else:
-            payloads.append((n, payload))
-    for k in range(PASSES if payloads else 0):
-        parts = []
-        for n, payload in payloads:
-            raw, h = unsqueeze(payload[: -4 * n]), np.frombuffer(payload[-4 * n :], np.uint32)
-            own = np.flatnonzero(h % PASSES == k)
-            d = np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))[own]
-            grid = np.unpackbits(np.frombuffer(raw[12 * n :], np.uint8), count=n).astype(bool)[own]
-            parts.append((h[own], d, np.frombuffer(raw[8 * n : 12 * n], np.uint32)[own], grid))
-        h, d, block, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(h, kind="stable")
-        run = _edges(h[order])
-        if len(run):
-            ds = d[order]
-            hit = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) & np.logical_or.reduceat(grid[order], run)
-            j = order[np.repeat(hit, np.diff(np.append(run, len(h))))]
-            where[0].append(d[j])
-            where[1].append(block[j])
-    if where[0]:
-        d, block = (np.concatenate(x) for x in where)
-        j = np.lexsort((block, d))
-        found += [(t, None, p) for t, p in _by_document(d[j], block[j])]
-    return _places(found)
+
+    def hits(tab: pa.Table) -> pa.RecordBatch:
+        found, payloads = _read(tab)
+        for k in range(PASSES if payloads else 0):
+            parts = []
+            for n, payload in payloads:
+                raw, h = unsqueeze(payload[: -4 * n]), np.frombuffer(payload[-4 * n :], np.uint32)
+                own = np.flatnonzero(h % PASSES == k)
+                d = np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))[own]
+                grid = np.unpackbits(np.frombuffer(raw[12 * n :], np.uint8), count=n).astype(bool)[own]
+                parts.append((h[own], d, np.frombuffer(raw[8 * n : 12 * n], np.uint32)[own], grid))
+            h, d, block, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.argsort(h, kind="stable")
+            run = _edges(h[order])
+            if len(run):
+                ds = d[order]
+                hit = (np.maximum.reduceat(ds, run) != np.minimum.reduceat(ds, run)) & np.logical_or.reduceat(grid[order], run)
+                j = order[np.repeat(hit, np.diff(np.append(run, len(h))))]
+                found += _deal(d[j], np.zeros(len(j)), block[j], n_buckets)
+        return _packs(found)
+
+    return hits
 
 
 def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,17 +228,16 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
             for part, texts in opened(batch):
                 ids, keys, words = longs(part.column("doc_id")), longs(part.column("tkey")), Words(texts)
                 at, h = words.windows(window)
-                other = words.windows(window, "other")[1]
+                other = words.windows(window, "other")[1].astype(np.uint32)
                 text = words.text_of()[at]
                 start = at - words.first[text]
                 near = np.zeros(len(words.hashes) // length + 2 * len(texts) + 2, bool)
                 base = words.first[:-1] // length + 2 * np.arange(len(texts)) + 1
-                for t, marks in enumerate(part.column("hits").to_pylist()):
-                    for m in marks:
-                        b = base[t] + np.frombuffer(unsqueeze(m), np.uint32).astype(np.int64)
-                        b = b[b < base[t] + words.counts[t] // length + 1]
-                        near[b] = True
-                        near[b - 1] = True
+                for t, hits in enumerate(part.column("hits").to_pylist()):
+                    b = base[t] + np.frombuffer(unsqueeze(hits), np.uint32).astype(np.int64)
+                    b = b[b < base[t] + words.counts[t] // length + 1]
+                    near[b] = True
+                    near[b - 1] = True
                 i = np.flatnonzero(near[base[text] + start // length])
                 h, other, text, start = h[i], other[i], text[i], start[i]
                 order = np.lexsort((other, h))
@@ -227,7 +251,7 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
                 first[order] = np.repeat(least, np.diff(np.append(run, len(h))))
                 own = ids[text] == first
                 j = np.flatnonzero(~own)  # decided here
-                rows = [(int(ids[t]) % n_buckets, int(ids[t]), int(keys[t]), p) for t, p in _by_document(text[j], start[j])]
+                rows = _deal(ids[text[j]], keys[text[j]], start[j], n_buckets)
                 j = np.flatnonzero(own)
                 bucket = _bucket(h[j], n_buckets)
                 by_bucket = np.argsort(bucket.astype(np.uint32), kind="stable")
@@ -242,30 +266,30 @@ def _extend(length: int, window: int, n_buckets: int) -> Callable[[Iterator[pa.R
     return extend
 
 
-def _repeats(tab: pa.Table) -> pa.Table:
+def _repeats(n_buckets: int) -> Callable[[pa.Table], pa.RecordBatch]:
     """Of one bucket: windows that start in a document with a smaller id too."""
-    found, parts = [], []
-    for doc_id, n, payload in zip(tab["doc_id"].to_pylist(), tab["tkey"].to_pylist(), tab["payload"].to_pylist(), strict=True):
-        if doc_id is not None:
-            found.append((doc_id, n, payload))
-            continue
-        m = int.from_bytes(payload[:4], "little")
-        raw, hashes = unsqueeze(payload[4 : -16 * n]), np.frombuffer(payload[-16 * n :], np.uint64)
-        size = np.frombuffer(raw[12 * m : 16 * m], np.uint32)
-        d, key = np.frombuffer(raw[: 8 * m], np.int64), np.frombuffer(raw[8 * m : 12 * m], np.int32)
-        parts.append((hashes[:n], hashes[n:], np.repeat(d, size), np.repeat(key, size), np.frombuffer(raw[16 * m :], np.uint32)))
-    if parts:
-        h, other, d, key, start = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((other, h))
-        new = (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
-        run = np.flatnonzero(np.concatenate([[True], new]))
-        least = np.repeat(np.minimum.reduceat(d[order], run), np.diff(np.append(run, len(h))))
-        j = order[d[order] > least]
-        j = j[np.lexsort((start[j], key[j], d[j]))]
-        at = np.flatnonzero(np.concatenate([[True], (d[j][1:] != d[j][:-1]) | (key[j][1:] != key[j][:-1])])) if len(j) else j
-        for lo, hi in _spans(at, len(j)):
-            found.append((int(d[j[lo]]), int(key[j[lo]]), squeeze(start[j[lo:hi]])))
-    return _places(found)
+
+    def repeats(tab: pa.Table) -> pa.RecordBatch:
+        found, payloads = _read(tab)
+        parts = []
+        for n, payload in payloads:
+            m = int.from_bytes(payload[:4], "little")
+            raw = unsqueeze(payload[4 : -12 * n])
+            first, second = np.frombuffer(payload[-12 * n : -4 * n], np.uint64), np.frombuffer(payload[-4 * n :], np.uint32)
+            size = np.frombuffer(raw[12 * m : 16 * m], np.uint32)
+            d, key = np.frombuffer(raw[: 8 * m], np.int64), np.frombuffer(raw[8 * m : 12 * m], np.int32)
+            parts.append((first, second, np.repeat(d, size), np.repeat(key, size), np.frombuffer(raw[16 * m :], np.uint32)))
+        if parts:
+            h, other, d, key, start = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((other, h))
+            new = (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
+            run = np.flatnonzero(np.concatenate([[True], new]))
+            least = np.repeat(np.minimum.reduceat(d[order], run), np.diff(np.append(run, len(h))))
+            j = order[d[order] > least]
+            found += _deal(d[j], key[j], start[j], n_buckets)
+        return _packs(found)
+
+    return repeats
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_space: bool = False) -> DataFrame:
@@ -278,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Null and empty texts have no words; kept is then empty, or with keep_space the text as
     it is. A null id takes part in nothing and keeps its text. Rows of equal id count as one
     document: none removes words from another. An empty table gives an empty result.
-    Windows are removed by two 64-bit hashes of different bases (module words). A very long text
+    Windows are removed by hashes of 64 and 32 bits with different bases (module words). A very long text
     is held whole by one task, with about 50 bytes for each of its own.
     """
     if window < 2:
@@ -286,19 +310,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark, length = docs.sparkSession, window // 2
     small_batches(spark)
     names = [f"c{i}" for i in range(len(carry))]
-    texts = keep(squeezed_texts(docs, id_col, text_col, carry).toDF("doc_id", "tkey", "z", *names), "texts")
-    n_bytes = text_bytes(texts, "z")
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    n_bytes = text_bytes(chosen)
     n_buckets = tasks_for(spark, n_bytes, BUCKET)
-    own = texts.select("doc_id", "tkey", "z")
-    hits = _bucketed(own.mapInArrow(lean(_probe(length, n_buckets)), _PACKS), n_buckets, _hits, _PLACES)
-    hits = keep(hits.groupBy("doc_id").agg(F.collect_list("places").alias("hits")), "repeat-hits")
-    near = own.join(hits, "doc_id")
+    hits = _gathered(chosen.mapInArrow(lean(_probe(length, n_buckets)), _PACKS), n_buckets, _hits(n_buckets))
+    hits = keep(hits.select("doc_id", F.col("places").alias("hits")), "repeat-hits")
+    near = squeezed_texts(docs, id_col, text_col).join(hits, "doc_id")
     n_buckets = tasks_for(spark, n_bytes, 2 * BUCKET)  # of the words near hits only
     packs = near.mapInArrow(lean(_extend(length, window, n_buckets)), _PACKS)
-    removed = _bucketed(packs, n_buckets, _repeats, _PLACES)
-    removed = keep(removed.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("starts")), "repeat-windows")
+    removed = keep(_gathered(packs, n_buckets, _repeats(n_buckets)).withColumnRenamed("places", "starts"), "repeat-windows")
     drop(hits)
-    joined = texts.join(removed, ["doc_id", "tkey"], "left")
+    joined = squeezed_texts(docs, id_col, text_col, carry).toDF("doc_id", "tkey", "z", *names).join(removed, ["doc_id", "tkey"], "left")
     out = f"doc_id long, n_words long, n_removed long, kept string{''.join(f', {n} {t.simpleString()}' for n, t in zip(names, (docs.schema[c].dataType for c in carry), strict=True))}"
     kept = joined.mapInArrow(lean(_cut(window, names, keep_space)), out)
     return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
@@ -311,8 +333,8 @@ def _cut(window: int, names: list[str], keep_space: bool) -> Callable[[Iterator[
                 words = Words(texts)
                 cover = np.zeros(len(words.hashes) + 1, np.int64)
                 for t, starts in enumerate(part.column("starts").to_pylist()):
-                    for s in starts or ():
-                        s = words.first[t] + np.frombuffer(unsqueeze(s), np.uint32).astype(np.int64)
+                    if starts is not None:
+                        s = words.first[t] + np.frombuffer(unsqueeze(starts), np.uint32).astype(np.int64)
                         np.add.at(cover, s, 1)
                         np.add.at(cover, np.minimum(s + window, words.first[t + 1]), -1)
                 gone = np.cumsum(cover)[:-1] > 0
