@@ -215,11 +215,12 @@ def fifo(orders: DataFrame) -> DataFrame:
     lot, sell = F.struct(F.col("seq").alias("buy_seq"), F.col("price").alias("buy_price")), F.struct(F.col("seq").alias("sell_seq"))
     is_lot = F.col("side") == "BUY"
     ends = rows.select("symbol", F.when(is_lot, F.col("_b")).otherwise(taken).alias("end"), "side", "seq", F.when(is_lot, lot).alias("lot"), F.when(~is_lot, sell).alias("sell"))
-    by_end = Window.partitionBy("symbol").orderBy("end", "side", "seq")
-    rest = by_end.rowsBetween(0, Window.unboundedFollowing)
+    # from the last end down, as a frame that only grows costs one step a row
+    down = Window.partitionBy("symbol").orderBy(F.desc("end"), F.desc("side"), F.desc("seq"))
+    beyond = down.rowsBetween(Window.unboundedPreceding, 0)
     # a piece ends at each end; its lot and sell are the next that reach so far
-    pieces = ends.withColumn("matched", F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0)))
-    pieces = pieces.withColumn("lot", F.first("lot", ignorenulls=True).over(rest)).withColumn("sell", F.first("sell", ignorenulls=True).over(rest))
+    pieces = ends.withColumn("matched", F.col("end") - F.coalesce(F.lead("end").over(down), F.lit(0)))
+    pieces = pieces.withColumn("lot", F.last("lot", ignorenulls=True).over(beyond)).withColumn("sell", F.last("sell", ignorenulls=True).over(beyond))
     hit = pieces.filter((F.col("matched") > 0) & F.col("lot").isNotNull() & F.col("sell").isNotNull())
     return hit.select("symbol", "sell.sell_seq", "lot.buy_seq", "matched", "lot.buy_price")
 
@@ -228,11 +229,12 @@ def numbered(rows: DataFrame, by: str, key: str, parts: int = 200) -> DataFrame:
     """rows with n, their place from 0 among the rows of their group by a numeric key; ties are in any order.
 
     Groups may be few and large, so each is cut at `parts` quantiles of its key: rows are numbered within a
-    part and the counts of the parts before are added. No task sorts a whole group.
+    part and the counts of the parts before are added. No task sorts a whole group. What is broadcast has a row
+    of `parts` numbers for each group: for up to some 10,000 groups; of more, a plain row number does.
     """
     cuts = rows.groupBy(by).agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("_cuts"))
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(key))), F.lit(0)).alias("_part")
-    cut = rows.join(cuts, by, "left").select(rows.columns + [part])
+    cut = rows.join(F.broadcast(cuts), by, "left").select(rows.columns + [part])
     counts = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
     own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(key)) - 1
