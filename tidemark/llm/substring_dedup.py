@@ -315,12 +315,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n_buckets = tasks_for(spark, n_bytes, BUCKET)
     hits = _gathered(chosen.mapInArrow(lean(_probe(length, n_buckets)), _PACKS), n_buckets, _hits(n_buckets))
     hits = keep(hits.select("doc_id", F.col("places").alias("hits")), "repeat-hits")
-    near = squeezed_texts(docs, id_col, text_col).join(hits, "doc_id")
+    # what is found grows with the documents, so it is never broadcast
+    near = squeezed_texts(docs, id_col, text_col).join(hits.hint("merge"), "doc_id")
     n_buckets = tasks_for(spark, n_bytes, 2 * BUCKET)  # of the words near hits only
     packs = near.mapInArrow(lean(_extend(length, window, n_buckets)), _PACKS)
     removed = keep(_gathered(packs, n_buckets, _repeats(n_buckets)).withColumnRenamed("places", "starts"), "repeat-windows")
     drop(hits)
-    joined = squeezed_texts(docs, id_col, text_col, carry).toDF("doc_id", "tkey", "z", *names).join(removed, ["doc_id", "tkey"], "left")
+    joined = squeezed_texts(docs, id_col, text_col, carry).toDF("doc_id", "tkey", "z", *names).join(removed.hint("merge"), ["doc_id", "tkey"], "left")
     out = f"doc_id long, n_words long, n_removed long, kept string{''.join(f', {n} {t.simpleString()}' for n, t in zip(names, (docs.schema[c].dataType for c in carry), strict=True))}"
     kept = joined.mapInArrow(lean(_cut(window, names, keep_space)), out)
     return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
