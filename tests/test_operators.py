@@ -158,11 +158,24 @@ def test_intervals_meet_as_all_pairs_do(spark):
 
 
 def test_rows_are_numbered_across_parts(spark):
-    rng = np.random.default_rng(4)
-    rows = [("a", int(v)) for v in rng.permutation(5000)] + [("b", 7)] * 30 + [("c", 1)]
-    got = windows.numbered(spark.createDataFrame(rows, "g string, k bigint"), "g", "k", parts=7).collect()
-    assert {r.n for r in got if r.g == "b"} == set(range(30))
-    assert all(r.n == r.k for r in got if r.g == "a") and [r.n for r in got if r.g == "c"] == [0]
+    """A huge group, many small ones, nulls, ties; nothing is broadcast."""
+    rows = [("big", i * 7919 % 5000) for i in range(5000)] + [(f"g{i}", -i) for i in range(3000)] + [("tied", 3)] * 9 + [(None, 5), (None, None), (None, 4)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = windows.numbered(spark.createDataFrame(rows, "g string, k bigint"), ["g"], ["k"])
+        got = df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(rows)
+    own: dict = {}
+    for r in got:
+        own.setdefault(r.g, []).append((r.n, r.k))
+    for g, places in own.items():
+        places.sort()
+        assert [n for n, _ in places] == list(range(len(places)))
+        keys = [k for _, k in places]
+        assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)), g
 
 
 def test_fold_bounds(spark):

@@ -82,7 +82,7 @@ def table_digest(df: DataFrame, row_hash: Column | None = None) -> DataFrame:
 def key_digest(df: DataFrame, by: str, key: str, size: int = 10_000) -> DataFrame:
     """Number and digest of the distinct numeric keys of each group: the digest of the digests of its
     sorted keys in chunks of `size`. No group is gathered; what meets in one row is 65 bytes a chunk."""
-    keys = numbered(df.select(by, key).distinct(), by, key)
+    keys = numbered(df.select(by, key).distinct(), [by], [key])
     chunks = keys.groupBy(by, F.floor(F.col("n") / size).alias("chunk")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), "|"), 256).alias("d"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), "|")
     return chunks.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))

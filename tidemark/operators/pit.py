@@ -126,7 +126,7 @@ def date_precision(millis: Column, zone: str = "Asia/Shanghai") -> Column:
 
 def id_chunks(ids: DataFrame, column: str, by: str, size: int = 1000) -> DataFrame:
     """Sorted distinct numeric ids of each `by` in chunks of `size`, with a digest of each chunk."""
-    rows = numbered(ids.select(by, column).distinct(), by, column).withColumn("chunk", F.floor(F.col("n") / size))
+    rows = numbered(ids.select(by, column).distinct(), [by], [column]).withColumn("chunk", F.floor(F.col("n") / size))
     joined = F.array_join(F.sort_array(F.collect_list(F.col(column).cast("bigint"))).cast("array<string>"), "|")
     return rows.groupBy(by, "chunk").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("digest"))
 

@@ -50,7 +50,7 @@ def stratified_sample(rows: DataFrame, seats: DataFrame, version: str) -> DataFr
 
 def shard_plan(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """the sorted rows of each group cut in shards of a fixed size, with the first and last key and a digest."""
-    g = numbered(rows.select(by, key), by, key).withColumn("shard", F.floor(F.col("n") / size)).groupBy(by, "shard")
+    g = numbered(rows.select(by, key), [by], [key]).withColumn("shard", F.floor(F.col("n") / size)).groupBy(by, "shard")
     return g.agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"), F.sha2(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), "|"), 256).alias("digest"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.scratch import written
+
 
 def own(*by: str):
     """A symbol's sessions in order."""
@@ -225,21 +227,22 @@ def fifo(orders: DataFrame) -> DataFrame:
     return hit.select("symbol", "sell.sell_seq", "lot.buy_seq", "matched", "lot.buy_price")
 
 
-def numbered(rows: DataFrame, by: str, key: str, parts: int = 200) -> DataFrame:
-    """rows with n, their place from 0 among the rows of their group by a numeric key; ties are in any order.
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """rows with n, their place from 0 among the rows of their group in a given order; ties are in any order.
 
-    Groups may be few and large, so each is cut at `parts` quantiles of its key: rows are numbered within a
-    part and the counts of the parts before are added. No task sorts a whole group. What is broadcast has a row
-    of `parts` numbers for each group: for up to some 10,000 groups; of more, a plain row number does.
+    Rows are dealt by ranges of (group, order), so a huge group lies in many parts and many small ones share one.
+    A row's place is its place within its part and group, and the counts of that group's earlier parts. No task
+    sorts a whole group and nothing is broadcast: a group has one count a part, and rows meet them by a shuffle.
+    Parts are fixed by a written table, for ranges that a second run samples may differ.
     """
-    cuts = rows.groupBy(by).agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("_cuts"))
-    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(key))), F.lit(0)).alias("_part")
-    cut = rows.join(F.broadcast(cuts), by, "left").select(rows.columns + [part])
-    counts = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
-    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(key)) - 1
-    joined = cut.withColumn("_own", own).join(counts.select(by, "_part", before.alias("_before")), [by, "_part"])
-    return joined.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("n"))
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    joined = dealt.join(starts, [F.col("_part") == F.col("_p"), *same])
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_start")).alias("n"))
 
 
 def signal_changes(signals: DataFrame) -> DataFrame:

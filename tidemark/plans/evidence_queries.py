@@ -305,7 +305,8 @@ def _(v):
 @query("a15_partitioned_publication", "SELECT feature_id, count(*) AS n, count(value) AS valued, round(sum(value), 4) AS total FROM feature GROUP BY 1")
 def _(v):
     """The long feature table, published by feature and read back."""
-    from tidemark.sources.stores import publish, scratch_root
+    from tidemark.sources.scratch import scratch_root
+    from tidemark.sources.stores import publish
 
     rows = v("feature")
     spark = rows.sparkSession

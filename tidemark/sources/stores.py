@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +12,6 @@ from pyspark.sql import types as T
 from tidemark.operators.evidence import table_digest, unseen
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset only a local session gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return root.rstrip("/")
-
-
 def artifact_id(df: DataFrame) -> str:
     """An id from the schema and an order-insensitive digest of the rows."""
     names = sorted(df.columns)
