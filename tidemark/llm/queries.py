@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontamination, html_extraction, near_dedup, nearest, packing, quality, sharding, substring_dedup, warc
+from . import binary_records, decontamination, html_extraction, near_dedup, nearest, packing, prefix_trie, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_binary_records": binary_records.op8,
     "op9_nearest": nearest.op9,
     "op10_near_dedup": near_dedup.op10,
+    "op11_prefix_trie": prefix_trie.op11,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
