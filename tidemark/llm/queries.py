@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontamination, html_extraction, near_dedup, nearest, packing, prefix_trie, quality, sharding, substring_dedup, warc
+from . import alignment, binary_records, decontamination, html_extraction, near_dedup, nearest, packing, prefix_trie, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nearest": nearest.op9,
     "op10_near_dedup": near_dedup.op10,
     "op11_prefix_trie": prefix_trie.op11,
+    "op12_alignment": alignment.op12,
 }
 
 ORACLE_SQL = {

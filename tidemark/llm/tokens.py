@@ -40,14 +40,17 @@ class Encoder(dict):
 
     Cuts are safe at a single space between other characters, and before a mark or line break after
     a letter or digit. A text with any other cut is encoded whole, and so is one that holds an added
-    token of the file.
+    token of the file. plain: added tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    most = TABLE
+
+    def __init__(self, path: str, keep_space: bool, plain: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep_space = keep_space
         self.clear()
@@ -64,7 +67,7 @@ class Encoder(dict):
     def shrink(self, least: int = 3) -> None:
         """Keeps the pieces met at least so often; in a corpus most pieces are met once."""
         stay = np.flatnonzero(self.met[: len(self)] >= least)
-        if len(stay) > TABLE // 2:
+        if len(stay) > self.most // 2:
             self.clear()
             return
         names = list(self)
@@ -143,9 +146,12 @@ class Encoder(dict):
                 return None
         return pieces_of(text, self.keep_space)
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
-        if len(self) > TABLE:
+        if len(self) > self.most:
             self.shrink()
         places: list[np.ndarray | None] = []
         for text in texts:
@@ -159,7 +165,7 @@ class Encoder(dict):
         out = []
         for text, at in zip(texts, places, strict=True):
             if at is None or self.bad[at].any() or (self.tail[at[:-1]] & self.lead[at[1:]]).any():
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self._whole(text), np.uint32))
                 continue
             size = self.size[at]
             ends = np.cumsum(size)
@@ -167,7 +173,50 @@ class Encoder(dict):
         return out
 
 
+class PieceEncoder(Encoder):
+    """Ids of texts by a sentencepiece model whose merges never cross a space or a line break.
+
+    That holds where no piece has a space after another character, nor a line break at all; it is checked.
+    Other texts, and those that hold U+2581 or spaces that follow each other or end a text, are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        dict.__init__(self)
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.cuts = not any("\n" in n or "\u2581" in n.lstrip("\u2581") for n in names)
+        self.added = []
+        self.clear()
+
+    def _learn(self) -> None:
+        new, self.new = self.new, []
+        for name in ("start", "size", "met", "bad", "tail", "lead"):
+            setattr(self, name, self._grown(getattr(self, name), len(self)))
+        first = len(self) - len(new)
+        # a line break follows without the space that the model puts before a text
+        found = [e[1:] if w[0] == "\n" else e for w, e in zip(new, self.model.encode(new, num_threads=1), strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._put(np.arange(len(new)) + first, size, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum())))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        pieces = text.replace("\n", " \n").split(" ")
+        return None if not self.cuts or "" in pieces or "\u2581" in text else pieces
+
+    def _whole(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, keep_space: bool) -> Encoder:
     """The worker's encoder of a file; its table serves all tasks of the worker."""
     return Encoder(path, keep_space)
+
+
+@lru_cache(maxsize=2)
+def plain_encoders(byte_level: str, pieces: str, most: int) -> tuple[Encoder, PieceEncoder]:
+    """The worker's encoders of a byte-level file, added tokens as ordinary text, and of a sentencepiece model."""
+    a, b = Encoder(byte_level, True, plain=True), PieceEncoder(pieces)
+    a.most = b.most = most
+    return a, b
