@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, binary_records, decontamination, html_extraction, near_dedup, nearest, packing, prefix_trie, quality, sharding, substring_dedup, warc
+from . import alignment, binary_records, decontamination, html_extraction, near_dedup, nearest, packing, prefix_trie, private_data, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10,
     "op11_prefix_trie": prefix_trie.op11,
     "op12_alignment": alignment.op12,
+    "op13_private_data": private_data.op13,
 }
 
 ORACLE_SQL = {
