@@ -152,9 +152,45 @@ def test_intervals_meet_as_all_pairs_do(spark):
     df = [spark.createDataFrame(x, "k int, start int, end int") for x in (a, b)]
     far = 10**9
     want = sorted((k, str(s), str(e), str(t), str(f)) for k, s, e in a for j, t, f in b if k == j and s < (far if f is None else f) and t < (far if e is None else e))
-    got = sorted((r.k, str(r.a_start), str(r.a_end), str(r.b_start), str(r.b_end)) for r in pit.overlapping(*df, "k", 5).collect())
+    got = sorted((r.k, str(r.a_start), str(r.a_end), str(r.b_start), str(r.b_end)) for r in pit.overlapping(*df, "k").collect())
     assert got == want
-    assert pit.overlapping(df[0].limit(0), df[1].limit(0), "k", 5).count() == 0
+    assert pit.overlapping(df[0].limit(0), df[1].limit(0), "k").count() == 0
+
+
+def test_open_and_very_long_intervals_are_few_nodes(spark):
+    a = [(1, 0, None), (1, 10**9, None), (1, 5, 10**9 + 7), (2, 3, 4), (2, -(10**8), None)]
+    b = [(1, 10**9 + 6, 10**9 + 7), (1, -(10**6), 1), (2, 3, 3), (1, 999, 1000)]
+    df = [spark.createDataFrame(x, "k int, start bigint, end bigint") for x in (a, b)]
+    out = pit.overlapping(*df, "k")
+    far = 10**12
+    want = sorted(repr((k, s, e, t, f)) for k, s, e in a for j, t, f in b if k == j and s < (far if f is None else f) and t < (far if e is None else e))
+    assert sorted(repr((r.k, r.a_start, r.a_end, r.b_start, r.b_end)) for r in out.collect()) == want
+    lo, hi = F.col("lo"), F.col("hi")
+    cases = [(3, 4), (0, 2**40), (1, 2**40 - 1), (5, 5), (7, 3), (0, 0), (2**39 + 1, 2**40), (12345, 987654321)]
+    for r in spark.createDataFrame(cases, "lo bigint, hi bigint").select("lo", "hi", pit._cover(lo, hi, F.lit(40)).alias("n")).collect():
+        assert len(r.n) <= 80
+        parts = sorted((int(x.node) << x.level, (int(x.node) + 1) << x.level) for x in r.n)
+        assert sum(e - s for s, e in parts) == max(0, r.hi - r.lo)
+        assert all(r.lo <= s and e <= r.hi for s, e in parts) and all(x[1] <= y[0] for x, y in zip(parts[:-1], parts[1:], strict=True))
+
+
+def test_exact_quantiles_are_those_of_whole_groups(spark):
+    from tidemark.operators.quantiles import between, exact_quantiles
+
+    rng = np.random.default_rng(6)
+    groups = {
+        "normal": rng.normal(size=20_000), "ties": rng.integers(0, 5, 9000).astype(float), "same": np.full(5000, 3.5), "one": np.array([7.0]), "two": np.array([1.0, 2.0]),
+        "skewed": np.exp(rng.normal(size=7000) * 4), "odd": rng.normal(size=101), None: np.arange(1000.0),
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("none", None), ("normal", None)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    out = exact_quantiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", shares, accuracy=100)
+    got = {r.g: r for r in out.select("g", "n", *[between(F.col("q")[i]).alias(f"q{i}") for i in range(len(shares))]).collect()}
+    assert got.pop("none").asDict() == {"g": "none", "n": 0, **{f"q{i}": None for i in range(6)}}
+    assert set(got) == set(groups)
+    for g, r in got.items():
+        assert r.n == len(groups[g]) and [r[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile(groups[g], shares).tolist(), rel=1e-12)
+    assert exact_quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", shares).count() == 0
 
 
 def test_rows_are_numbered_across_parts(spark):

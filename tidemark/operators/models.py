@@ -8,11 +8,12 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .factors import finite
+from .quantiles import between, exact_quantiles
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, role: str) -> DataFrame:
@@ -40,11 +41,15 @@ def clean(column: str) -> Column:
 
 
 def fit_bounds(features: DataFrame, folds: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Linear quantiles of finite training values and the median of the clipped values, by fold and feature."""
-    rows = fold_rows(features, folds, "train").withColumn("x", clean("value"))
-    q = rows.groupBy("fold", "feature_id").agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q")).select("fold", "feature_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    clipped = rows.join(F.broadcast(q), ["fold", "feature_id"]).withColumn("c", F.when(F.col("x").isNotNull(), F.greatest("low", F.least("high", "x"))))
-    return clipped.groupBy("fold", "feature_id").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.median("c").alias("median"))
+    """Linear quantiles of finite training values and the median of the clipped values, by fold and feature.
+
+    Clipping keeps the order, so the median of the clipped values is between the clipped middle ones: one selection
+    of three exact quantiles gives all, and no task holds the values of a group.
+    """
+    rows = fold_rows(features, folds, "train").select("fold", "feature_id", clean("value").alias("x"))
+    found = exact_quantiles(rows, ["fold", "feature_id"], "x", [low, 0.5, high])
+    found = found.select("fold", "feature_id", between(F.col("q")[0]).alias("low"), between(F.col("q")[2]).alias("high"), F.col("q")[1].alias("middle"))
+    return found.select("fold", "feature_id", "low", "high", between(F.col("middle"), lambda v: F.greatest("low", F.least("high", v))).alias("median"))
 
 
 def neutral_fit(rows: DataFrame, by: list[str], x: str = "size", y: str = "value") -> DataFrame:
@@ -104,28 +109,51 @@ def moments(rows: DataFrame, by: list[str], features: list[str], label: str) ->
     return g.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
 
 
+def _matrices(rows: DataFrame, folds: DataFrame, features: list[str], label: str) -> dict[tuple[int, str], np.ndarray]:
+    """Of each fold and role the sums of products of 1, features and label over its sessions.
+
+    Rows are summed once by session, and sessions by fold and role, whatever number of folds a session lies in:
+    one scan of the rows. The driver gets folds x roles x features^2 numbers.
+    """
+    sessions = moments(rows.filter(finite(*features, label)), ["idx"], features, label)
+    roles = F.broadcast(folds.select("fold", "idx", "role"))  # a row a fold and session
+    sums = sessions.join(roles, "idx").groupBy("fold", "role", "i", "j").agg(F.sum("total").alias("total")).collect()
+    out: dict[tuple[int, str], np.ndarray] = {}
+    for r in sums:
+        s = out.setdefault((r.fold, r.role), np.zeros((len(features) + 2,) * 2))
+        s[r.i, r.j] = s[r.j, r.i] = r.total
+    return out
+
+
+def _solved(sums: np.ndarray, alpha: float) -> np.ndarray:
+    """Intercept and coefficients of the ridge fit to the rows of some sums; the intercept is free."""
+    mean = sums[0] / sums[0, 0]
+    centred = sums - sums[0, 0] * np.outer(mean, mean)
+    w = np.linalg.solve(centred[1:-1, 1:-1] + alpha * np.eye(len(mean) - 2), centred[1:-1, -1])
+    return np.concatenate([[mean[-1] - mean[1:-1] @ w], w])
+
+
+def _loss(sums: np.ndarray, w: np.ndarray) -> float:
+    """Mean squared error of a fit on the rows of some sums, as a quadratic form in them."""
+    v = np.append(-w, 1.0)
+    return float(v @ sums @ v / sums[0, 0])
+
+
+def _fits(matrices: dict[tuple[int, str], np.ndarray], alphas: tuple[float, ...]) -> dict[tuple[int, float], np.ndarray]:
+    return {(fold, a): _solved(s, a) for (fold, role), s in sorted(matrices.items()) if role == "train" for a in alphas}
+
+
+def _coefficients(spark: SparkSession, fits: dict[tuple[int, float], np.ndarray], features: list[str]) -> DataFrame:
+    out = [(fold, a, f, float(c)) for (fold, a), w in fits.items() for f, c in zip(["intercept", *features], w, strict=True)]
+    return spark.createDataFrame(out, "fold int, alpha double, feature_id string, coefficient double")
+
+
 def ridge(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "label", alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
     """Coefficients by fold and penalty from one pass of sums; the intercept is free.
 
-    (fold, alpha, feature_id, coefficient), the intercept under its own name. Rows are summed once by
-    session; a fold adds up its sessions. The sums of a fold are a small matrix, whatever the rows.
+    (fold, alpha, feature_id, coefficient), the intercept under its own name.
     """
-    sessions = moments(rows.filter(finite(*features, label)), ["idx"], features, label)
-    sums = fold_rows(sessions, folds, "train").groupBy("fold", "i", "j").agg(F.sum("total").alias("total")).collect()  # folds x features^2
-    n, out = len(features), []
-    for fold in sorted({r.fold for r in sums}):
-        s = np.zeros((n + 2, n + 2))
-        for r in sums:
-            if r.fold == fold:
-                s[r.i, r.j] = s[r.j, r.i] = r.total
-        mean = s[0] / s[0, 0]
-        xx = s[1:-1, 1:-1] - s[0, 0] * np.outer(mean[1:-1], mean[1:-1])
-        xy = s[1:-1, -1] - s[0, 0] * mean[1:-1] * mean[-1]
-        for a in alphas:
-            w = np.linalg.solve(xx + a * np.eye(n), xy)
-            out += [(fold, a, f, float(c)) for f, c in zip(features, w, strict=True)]
-            out.append((fold, a, "intercept", float(mean[-1] - mean[1:-1] @ w)))
-    return rows.sparkSession.createDataFrame(out, "fold int, alpha double, feature_id string, coefficient double")
+    return _coefficients(rows.sparkSession, _fits(_matrices(rows, folds, features, label), alphas), features)
 
 
 def predict(rows: DataFrame, folds: DataFrame, coefficients: DataFrame, features: list[str], role: str = "test", by: list[str] | None = None) -> DataFrame:
@@ -142,7 +170,7 @@ def predict(rows: DataFrame, folds: DataFrame, coefficients: DataFrame, features
 
 
 def best_alpha(losses: DataFrame) -> DataFrame:
-    """of each group the penalty with the least mean loss, the smaller one of equals."""
+    """the penalty with the least mean loss over folds, the smaller one of equals."""
     g = losses.groupBy("alpha").agg(F.avg("loss").alias("loss"))
     return g.agg(F.min_by("alpha", F.struct("loss", "alpha")).alias("alpha"))
 
@@ -169,14 +197,26 @@ class Trained(NamedTuple):
 
 def train(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "label", alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> Trained:
     """Fits every penalty on each fold's training rows, chooses the one with the least mean
-    loss on validation rows (the smaller of equals), and scores each fold's test rows with it."""
-    fine = rows.filter(finite(*features, label))
-    fits = ridge(fine, folds, features, label, alphas)
-    validation = losses(predict(fine, folds, fits, features, "validation", ["alpha"]), ["fold", "alpha"], label)
+    loss on validation rows (the smaller of equals), and scores each fold's test rows with it.
+
+    Fits and all losses come from the sums of one scan, as losses are quadratic forms in them; only predictions
+    read rows again. A fold without validation rows has no say in the choice, one without test rows no test loss.
+    """
+    spark = rows.sparkSession
+    matrices = _matrices(rows, folds, features, label)
+    fits = _fits(matrices, alphas)
+
+    def measured(role: str, of: dict[tuple[int, float], np.ndarray]) -> list[tuple[int, float, float, int]]:
+        return [(fold, a, _loss(matrices[fold, role], w), round(matrices[fold, role][0, 0])) for (fold, a), w in of.items() if (fold, role) in matrices]
+
+    validation = spark.createDataFrame(measured("validation", fits), "fold int, alpha double, loss double, n bigint")
     alpha = best_alpha(validation)
-    chosen = fits.join(alpha, "alpha", "left_semi").select("fold", "feature_id", "coefficient")
-    predictions = predict(fine, folds, chosen, features, "test")
-    return Trained(validation, alpha, chosen, predictions, losses(predictions, ["fold"], label))
+    best = alpha.first()[0]  # of a few numbers that the driver has
+    chosen = {k: w for k, w in fits.items() if k[1] == best}
+    coefficients = _coefficients(spark, chosen, features).drop("alpha")
+    predictions = predict(rows.filter(finite(*features, label)), folds, coefficients, features, "test")
+    test = spark.createDataFrame(measured("test", chosen), "fold int, alpha double, loss double, n bigint").drop("alpha")
+    return Trained(validation, alpha, coefficients, predictions, test)
 
 
 def evaluation_frame(predictions: DataFrame, keys: DataFrame, by: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:

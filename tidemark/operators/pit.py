@@ -234,15 +234,27 @@ def _state_at(events: DataFrame, points: DataFrame) -> DataFrame:
     return g.select("symbol", "point", "listed_at", F.coalesce(F.col("last") == "DELISTED", F.lit(False)).alias("delisted"), "is_st")
 
 
+def state_intervals(events: DataFrame) -> DataFrame:
+    """The states of each symbol over time: (symbol, day_from, day_to, listed_at, delisted, is_st), day_to null for the last.
+
+    A state changes only when an event becomes visible, so states are made for those few points of a symbol, and
+    points that change nothing are left out; before its first point a symbol has no state. A listing after a delisting
+    starts a new spell, whose first listing is listed_at.
+    """
+    points = events.select("symbol", F.greatest("effective", "available").alias("point")).distinct()
+    own = Window.partitionBy("symbol").orderBy("point")
+    state = F.struct("listed_at", "delisted", "is_st")
+    rows = _state_at(events, points).withColumn("new", F.lag("point").over(own).isNull() | ~state.eqNullSafe(F.lag(state).over(own))).filter("new")
+    return rows.select("symbol", F.col("point").alias("day_from"), F.lead("point").over(own).alias("day_to"), "listed_at", "delisted", "is_st")
+
+
 def replay_state(events: DataFrame, decisions: DataFrame) -> DataFrame:
     """State of each symbol at each decision, from events that are effective and known by then.
 
-    (symbol, day, listed_at, delisted, is_st). A listing after a delisting starts a new spell, whose
-    first listing is listed_at. A state changes only when an event becomes visible, so states are made
-    for those points, a few for each symbol, and each decision takes the last point before it.
+    (symbol, day, listed_at, delisted, is_st). Each decision takes the last change of state before it, by an as-of
+    merge: no pairs of decisions and events.
     """
-    points = events.select("symbol", F.greatest("effective", "available").alias("point")).distinct()
-    rows = as_of(_state_at(events, points), decisions, ["point"], ["listed_at", "delisted", "is_st"], clock="point")
+    rows = as_of(state_intervals(events), decisions, ["day_from"], ["listed_at", "delisted", "is_st"], clock="day_from")
     return rows.select("symbol", "day", "listed_at", F.coalesce("delisted", F.lit(False)).alias("delisted"), "is_st")
 
 
@@ -333,22 +345,43 @@ def range_overlap(snapshots: DataFrame, start: int, end: int) -> DataFrame:
     return snapshots.filter((F.col("start") <= end) & (F.col("end") >= start))
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: str, width: int) -> DataFrame:
-    """C20: pairs of half-open intervals [start, end) of one key that intersect; an open end never ends.
+def _cover(lo: Column, hi: Column, levels: Column) -> Column:
+    """The fewest dyadic nodes (level, place) that make up [lo, hi) of 0 to 2^levels: at most two a level."""
 
-    Intervals meet by key and slice of `width`, about the usual length, so a key with many intervals is spread
-    over its slices and only intervals near each other are compared. A pair counts in the first slice of both.
-    """
-    last = a.select("start", "end").unionByName(b.select("start", "end")).agg(F.max(F.greatest("start", "end"))).first()[0] or 0
+    def at(j: Column) -> Column:
+        step = F.pow(F.lit(2.0), j)
+        left, right = F.ceil(lo / step), F.floor(hi / step)
+        some = left < right
+        return F.array(F.when(some & (left % 2 == 1), F.struct(j.alias("level"), left.alias("node"))), F.when(some & (right % 2 == 1), F.struct(j.alias("level"), (right - 1).alias("node"))))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), levels), at)))
 
-    def sliced(df: DataFrame, p: str) -> DataFrame:
-        lo = F.floor(F.col("start") / width)
-        hi = F.greatest(lo, F.floor(F.coalesce(F.col("end") - 1, F.lit(last)) / width))
-        return df.select(by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(lo, hi)).alias("_slice"))
 
-    pairs = sliced(a, "a").join(sliced(b, "b"), [by, "_slice"])
-    meet = (F.col("b_end").isNull() | (F.col("a_start") < F.col("b_end"))) & (F.col("a_end").isNull() | (F.col("b_start") < F.col("a_end")))
-    return pairs.filter(meet & (F.col("_slice") == F.floor(F.greatest("a_start", "b_start") / width))).drop("_slice")
+def overlapping(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """C20: pairs of half-open intervals [start, end) of one key that intersect; a null end never ends.
+
+    Of two that intersect the later start lies in the other. So starts meet intervals, once each way: an interval
+    is cut in dyadic nodes, at most 2 log n, an open end included, and a start lies in one node of each of log n
+    levels. A start and an interval share one node at most, so pairs come once, and a key with many intervals is
+    spread over its nodes. Starts and ends are whole numbers; n is the span of all starts.
+    """
+    starts = a.select("start").unionByName(b.select("start"))
+    span = starts.agg(F.min("start").alias("_least"), F.max("start").alias("_most"))
+    span = F.broadcast(span.select("_least", "_most", F.ceil(F.log2(F.col("_most") - F.col("_least") + 2)).cast("int").alias("_levels")))  # one row
+
+    def sides(points: DataFrame, p: str, intervals: DataFrame, q: str, after: int) -> DataFrame:
+        x = points.select(by, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end")).join(span)
+        at = F.col(f"{p}_start") - F.col("_least")
+        x = x.select(by, f"{p}_start", f"{p}_end", F.explode(F.transform(F.sequence(F.lit(0), F.col("_levels")), lambda j: F.struct(j.alias("level"), F.floor(at / F.pow(F.lit(2.0), j)).alias("node")))).alias("_n"))
+        y = intervals.select(by, F.col("start").alias(f"{q}_start"), F.col("end").alias(f"{q}_end")).join(span)
+        last = F.col("_most") + 1
+        lo, hi = F.col(f"{q}_start") + after - F.col("_least"), F.coalesce(F.least(F.col(f"{q}_end"), last), last) - F.col("_least")
+        y = y.select(by, f"{q}_start", f"{q}_end", F.explode(_cover(lo, hi, F.col("_levels"))).alias("_n"))
+        met = x.select(by, "_n.level", "_n.node", f"{p}_start", f"{p}_end").join(y.select(by, "_n.level", "_n.node", f"{q}_start", f"{q}_end"), [by, "level", "node"])
+        return met.select(by, "a_start", "a_end", "b_start", "b_end")
+
+    pairs = sides(a, "a", b, "b", 0).unionByName(sides(b, "b", a, "a", 1))
+    return pairs.filter((F.col("b_end").isNull() | (F.col("a_start") < F.col("b_end"))) & (F.col("a_end").isNull() | (F.col("b_start") < F.col("a_end"))))
 
 
 def resolve_sources(base: DataFrame, supplement: DataFrame, registry: DataFrame) -> DataFrame:

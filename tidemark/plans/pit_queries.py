@@ -232,13 +232,16 @@ def _grid(v):
     return v("bar").select("symbol").distinct().join(days)
 
 
-_STATE = _GRID + """, e AS (SELECT g.symbol, g.day, e.*, CASE kind WHEN 'LISTED' THEN 0 WHEN 'NAME_STATUS' THEN 1 ELSE 2 END AS pr FROM g JOIN security_event e ON e.symbol = g.symbol AND effective <= g.day AND available <= g.day),
-  ll AS (SELECT symbol, day, max(row(effective, pr, available, event_id)) AS l FROM e WHERE kind = 'LISTED' GROUP BY 1, 2),
-  le AS (SELECT e.symbol, e.day, max(row(effective, pr, available, event_id)) AS d FROM e JOIN ll ON ll.symbol = e.symbol AND ll.day = e.day WHERE kind = 'DELISTED' AND row(effective, pr, available, event_id) < l GROUP BY 1, 2),
-  sp AS (SELECT e.symbol, e.day, min(effective) AS listed_at FROM e LEFT JOIN le ON le.symbol = e.symbol AND le.day = e.day WHERE kind = 'LISTED' AND (d IS NULL OR row(effective, pr, available, event_id) > d) GROUP BY 1, 2),
-  la AS (SELECT symbol, day, arg_max(kind, row(effective, pr, available, event_id)) FILTER (kind <> 'NAME_STATUS') AS last, arg_max(is_st, row(effective, pr, available, event_id)) FILTER (kind = 'NAME_STATUS') AS is_st FROM (SELECT symbol, day, kind, is_st, effective, pr, available, event_id FROM e) GROUP BY 1, 2),
-  st AS (SELECT g.symbol, g.day, sp.listed_at, coalesce(la.last = 'DELISTED', false) AS delisted, la.is_st FROM g LEFT JOIN sp ON sp.symbol = g.symbol AND sp.day = g.day LEFT JOIN la ON la.symbol = g.symbol AND la.day = g.day)"""
-_STATE = _STATE.replace("SELECT g.symbol, g.day, e.*, CASE", "SELECT g.symbol, g.day, e.kind, e.effective, e.available, e.is_st, e.event_id, CASE")
+_STATE = _GRID + """,
+  ev AS MATERIALIZED (SELECT *, CASE kind WHEN 'LISTED' THEN 0 WHEN 'NAME_STATUS' THEN 1 ELSE 2 END AS pr FROM security_event),
+  pt AS (SELECT DISTINCT symbol, greatest(effective, available) AS point FROM ev),
+  e AS MATERIALIZED (SELECT pt.symbol, point, kind, effective, is_st, row(effective, pr, available, event_id) AS o FROM pt JOIN ev ON ev.symbol = pt.symbol AND effective <= point AND available <= point),
+  ll AS (SELECT symbol, point, max(o) AS l FROM e WHERE kind = 'LISTED' GROUP BY 1, 2),
+  le AS (SELECT e.symbol, e.point, max(o) AS d FROM e JOIN ll ON ll.symbol = e.symbol AND ll.point = e.point WHERE kind = 'DELISTED' AND o < l GROUP BY 1, 2),
+  sp AS (SELECT e.symbol, e.point, min(effective) AS listed_at FROM e LEFT JOIN le ON le.symbol = e.symbol AND le.point = e.point WHERE kind = 'LISTED' AND (d IS NULL OR o > d) GROUP BY 1, 2),
+  la AS (SELECT symbol, point, arg_max(kind, o) FILTER (kind <> 'NAME_STATUS') AS last, arg_max(is_st, o) FILTER (kind = 'NAME_STATUS') AS is_st FROM e GROUP BY 1, 2),
+  ch AS MATERIALIZED (SELECT la.symbol, la.point, sp.listed_at, coalesce(la.last = 'DELISTED', false) AS delisted, la.is_st FROM la LEFT JOIN sp ON sp.symbol = la.symbol AND sp.point = la.point),
+  st AS (SELECT g.symbol, g.day, ch.listed_at, coalesce(ch.delisted, false) AS delisted, ch.is_st FROM g ASOF LEFT JOIN ch ON ch.symbol = g.symbol AND g.day >= ch.point)"""
 
 
 @query("c05_replay_state", f"WITH {_STATE} SELECT symbol, day, listed_at, delisted, is_st FROM st")
@@ -246,6 +249,11 @@ def _(v):
     return P.replay_state(v("security_event"), _grid(v))
 
 
+@query("c05_state_intervals", f"WITH {_STATE}, w AS (SELECT *, row(listed_at, delisted, is_st) IS DISTINCT FROM lag(row(listed_at, delisted, is_st)) OVER o OR lag(point) OVER o IS NULL AS new FROM ch WINDOW o AS (PARTITION BY symbol ORDER BY point)) SELECT symbol, point AS day_from, lead(point) OVER (PARTITION BY symbol ORDER BY point) AS day_to, listed_at, delisted, is_st FROM w WHERE new")
+def _(v):
+    return P.state_intervals(v("security_event"))
+
+
 @query("c06_universe_panel", f"WITH {_STATE}, a AS (SELECT symbol, CAST(idx * 28 AS INTEGER) AS day, count(*) OVER (PARTITION BY symbol ORDER BY idx RANGE 5 PRECEDING) AS active FROM bar) SELECT st.symbol, st.day, concat_ws(',', CASE WHEN listed_at IS NULL THEN 'NOT_LISTED' END, CASE WHEN delisted THEN 'DELISTED' END, CASE WHEN is_st IS NULL THEN 'UNKNOWN_STATUS' END, CASE WHEN is_st THEN 'SPECIAL_TREATMENT' END, CASE WHEN coalesce(active, 0) < 5 THEN 'RARELY_TRADED' END) AS reasons, (listed_at IS NOT NULL AND NOT delisted AND is_st IS NOT NULL AND NOT is_st AND coalesce(active, 0) >= 5) AS eligible FROM st LEFT JOIN a ON a.symbol = st.symbol AND a.day = st.day")
 def _(v):
     from tidemark.operators.windows import own
@@ -280,14 +288,14 @@ def _(v):
 _IV = "i AS (SELECT o_custkey AS k, CAST(o_orderkey % 500 AS INTEGER) AS s, CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_orderkey % 500 + 30 AS INTEGER) END AS e, o_orderstatus AS st FROM orders)"
 
 
-def _intervals(v, status):
+def _intervals(v, which):
     k = F.col("o_orderkey")
-    return v("orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"), (k % 500).cast("int").alias("start"), F.when(k % 6 > 0, (k % 500 + 30).cast("int")).alias("end"))
+    return v("orders").filter(which).select(F.col("o_custkey").alias("k"), (k % 500).cast("int").alias("start"), F.when(k % 6 > 0, (k % 500 + 30).cast("int")).alias("end"))
 
 
-@query("c20_overlapping", f"WITH {_IV} SELECT a.k, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM i a JOIN i b ON a.k = b.k AND a.st = 'F' AND b.st = 'P' AND (b.e IS NULL OR a.s < b.e) AND (a.e IS NULL OR b.s < a.e)")
+@query("c20_overlapping", f"WITH {_IV} SELECT a.k, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM i a JOIN i b ON a.k = b.k AND a.st = 'F' AND b.st <> 'F' AND (b.e IS NULL OR a.s < b.e) AND (a.e IS NULL OR b.s < a.e)")
 def _(v):
-    return P.overlapping(_intervals(v, "F"), _intervals(v, "P"), "k", 30)
+    return P.overlapping(_intervals(v, "o_orderstatus = 'F'"), _intervals(v, "o_orderstatus <> 'F'"), "k")
 
 
 @query("c21_resolve_sources", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'BASE' WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'SUPPLEMENT' WHEN c_custkey % 5 < 2 THEN 'REGISTRY' ELSE 'NONE' END AS source, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 5 < 2 THEN 'r' || c_nationkey END AS value FROM customer")
