@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -277,7 +281,7 @@ def test_sizes_name_the_rule_that_binds(spark):
 
 
 def test_metrics_count_trades_and_missing_benchmarks(spark):
-    equity = spark.createDataFrame([(1, i, e) for i, e in enumerate([100.0, 110.0, 99.0, 120.0])] + [(2, 0, 5.0)], "run int, idx int, equity double")
+    equity = spark.createDataFrame([(1, i, e, date(2020 + i // 2, 1, 1 + i)) for i, e in enumerate([100.0, 110.0, 99.0, 120.0])] + [(2, 0, 5.0, date(2020, 1, 1))], "run int, idx int, equity double, date date")
     trades = spark.createDataFrame([(1, "BUY", None, 1.0), (1, "SELL", 5.0, 2.0), (1, "SELL", -1.0, 0.5)], "run int, side string, realized double, fee double")
     m = {r.run: r for r in portfolios.equity_metrics(equity, trades).collect()}
     r = np.diff([100, 110, 99, 120]) / np.array([100, 110, 99])
@@ -286,9 +290,15 @@ def test_metrics_count_trades_and_missing_benchmarks(spark):
     bench = spark.createDataFrame([(0, 10.0), (1, 11.0), (3, 12.0)], "idx int, close double")
     assert [tuple(x) for x in portfolios.benchmark_violations(equity, bench).collect()] == [(1, 2, "MISSING_BENCHMARK")]
     orders = spark.createDataFrame([(1, 50.0, 1.0, 0.2, "FILLED"), (1, 50.0, 1.0, 0.4, "PENDING")], "run int, notional double, fee double, participation double, state string")
-    p = {x.run: x for x in portfolios.portfolio_metrics(equity, bench, orders, equity.filter("equity < 100")).collect()}
+    p = {x.run: x for x in portfolios.portfolio_metrics(equity, bench, orders, equity.filter("equity < 100"), spark.createDataFrame([(1, 125.0), (2, 5.0)], "run int, cash double")).collect()}
     assert (p[1].violations, p[1].excess, p[1].pending, p[1].participation, p[1].events) == (1, None, 1, 0.4, 1)
     assert p[1].turnover == pytest.approx(100 / np.mean([100, 110, 99, 120])) and (p[2].violations, p[2].excess) == (0, 0.0)
+    assert p[1].total == pytest.approx(120 / 125 - 1)  # what the first session cost counts
+    assert [(y.year, y.portfolio, y.benchmark) for y in p[1].annual] == [(2020, pytest.approx(0.1), None), (2021, pytest.approx(120 / 99 - 1), None)]
+    whole = spark.createDataFrame([(i, 10.0 + i) for i in range(4)], "idx int, close double")
+    q = {x.run: x for x in portfolios.portfolio_metrics(equity, whole, orders, equity.limit(0), spark.createDataFrame([(1, 125.0)], "run int, cash double")).collect()}
+    assert q[1].excess == pytest.approx(120 / 125 - 13 / 10) and q[2].total is None
+    assert [y.excess for y in q[1].annual] == pytest.approx([0.1 - 0.1, 120 / 99 - 13 / 12])
 
 
 def test_unknown_industry_blocks_though_no_weight_changes(spark):
@@ -320,6 +330,13 @@ def test_training_chooses_on_validation_and_scores_test_rows(spark):
         w, b = fit(30 + 20 * r.fold, best)
         assert r.prediction == pytest.approx(x[r.idx] @ w + b)
     assert got.predictions.count() == 20 and got.test.count() == 2
+    n_fit = lambda f: 30 + 20 * f
+    for r in got.validation.collect():
+        w, b = fit(n_fit(r.fold), r.alpha)
+        rows = slice(n_fit(r.fold), n_fit(r.fold) + 10)
+        assert r.n == 10 and r.loss == pytest.approx(np.mean((y[rows] - x[rows] @ w - b) ** 2))
+    for part in (got.validation, got.alpha, got.coefficients, got.test):  # all from the sums of one scan
+        assert "Scan ExistingRDD[symbol" not in part._jdf.queryExecution().toString()
     frame, wrong = models.evaluation_frame(got.predictions.filter("idx <> 41"), got.predictions, ["fold", "symbol", "idx"])
     assert frame.columns == ["fold", "symbol", "idx", "prediction", "label"]
     assert [(r.idx, r.violation) for r in wrong.collect()] == [(41, "MISSING")]
@@ -346,23 +363,71 @@ def test_quotas_fill_all_seats(spark):
 def test_artifact_is_written_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     path = stores.publish(df, str(tmp_path))
-    assert stores.publish(df.orderBy("b"), str(tmp_path)) == path
+    assert stores.publish(df.orderBy("b"), str(tmp_path)) == path and len(list((tmp_path / "data").iterdir())) == 1
+    assert stores.publish(df.limit(1), str(tmp_path)) != path
     assert stores.read_verified(spark, path, df.schema, ["a"]).count() == 2
     with pytest.raises(ValueError, match="nulls"):
         stores.read_verified(spark, path, df.schema, ["b"])
-    spark.createDataFrame([(3, "y")], "a int, b string").write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="schema"):
+        stores.read_verified(spark, path, df.select("b", "a").schema, ["a"])
+    spark.createDataFrame([(3, "y")], "a int, b string").write.mode("append").parquet(f"{tmp_path}/{json.loads(Path(path).read_text())['folder']}")
     with pytest.raises(ValueError, match="content"):
         stores.read_verified(spark, path, df.schema, ["a"])
     with pytest.raises(ValueError, match="content"):
         stores.publish(df, str(tmp_path))
 
 
+def test_publishers_at_once_leave_one_table(spark, tmp_path):
+    """Three threads publish one content, by partition; the rows are computed once for each, while they are written."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).selectExpr("id", "id % 3 as g").mapInArrow(counted, "id long, g long")
+    with ThreadPoolExecutor(3) as pool:
+        paths = set(pool.map(lambda _: stores.publish(df, str(tmp_path), "g"), range(3)))
+    assert len(paths) == 1 and len(list((tmp_path / "data").iterdir())) == 1 and runs.value == 300
+    (path,) = paths
+    back = stores.read_verified(spark, path, df.schema, ["id", "g"])
+    assert back.columns == ["id", "g"] and back.count() == 100
+    assert stores.publish(df.limit(0), str(tmp_path)) not in paths
+
+
 def test_append_is_idempotent(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "w"), (None, "u")], "k int, v string")
     path = str(tmp_path / "t")
-    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "k int, v string")
-    assert stores.append_unseen(df, path, "k") == 2
+    table = stores.KeyedTable(spark, path, "k")
+    assert table.read(df.schema).count() == 0
+    assert stores.append_unseen(df, path, "k") == 3
     assert stores.append_unseen(df.unionAll(spark.createDataFrame([(3, "z")], "k int, v string")), path, "k") == 1
-    assert spark.read.parquet(path).count() == 3
+    assert stores.append_unseen(df, path, "k") == 0 and stores.append_unseen(df.limit(0), path, "k") == 0
+    assert sorted(r.k or 0 for r in table.read(df.schema).collect()) == [0, 1, 2, 3] and table.read(df.schema).columns == ["k", "v"]
+
+
+def test_new_keys_read_no_old_file(spark, tmp_path):
+    """Keys outside all ranges and keys between stored ones; stored ones are found in every append."""
+    table = stores.KeyedTable(spark, str(tmp_path / "t"), "k")
+    for batch in range(3):
+        assert table.append(spark.range(2000).selectExpr(f"id * 30 + {batch} as k", "'v' as v")) == 2000
+    own = table.appends()
+    assert table.may_hold(spark.range(500).selectExpr("id + 1000000 as k"), own) == []
+    # one in 4,000 passes a filter, so of 30 keys between the stored ones hardly any file is read
+    assert len(table.may_hold(spark.range(30).selectExpr("id * 30 + 17 as k"), own)) <= 1
+    for batch in range(3):
+        held = table.may_hold(spark.range(2000).selectExpr(f"id * 30 + {batch} as k"), own)
+        assert {h for h in held if own[batch].name in h} == {f"data/_append={own[batch].name}/_bucket={b}" for b in range(stores.BUCKETS)}
+    assert table.append(spark.range(60).selectExpr("id as k", "'v' as v")) == 54
+
+
+def test_writers_at_once_leave_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with ThreadPoolExecutor(3) as pool:
+        added = list(pool.map(lambda i: stores.append_unseen(spark.range(40 * i, 40 * i + 100).selectExpr("id as k", f"{i} as writer"), path, "k"), range(3)))
+    rows = stores.KeyedTable(spark, path, "k").read().collect()
+    assert sum(added) == len(rows) == 180 == len({r.k for r in rows})
 
 
 def test_stream_ingest_appends_once(spark, tmp_path):
@@ -371,9 +436,9 @@ def test_stream_ingest_appends_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1,), (1,), (2,)], "k int").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(source)
     stream = spark.readStream.schema("k int, ts timestamp").parquet(source)
-    ingest(stream, target, "k", str(tmp_path / "c1"), "ts").awaitTermination(60)
-    ingest(stream, target, "k", str(tmp_path / "c2"), "ts").awaitTermination(60)
-    assert spark.read.parquet(target).count() == 2
+    ingest(stream, target, "k", str(tmp_path / "c1")).awaitTermination(60)
+    ingest(stream, target, "k", str(tmp_path / "c2")).awaitTermination(60)
+    assert stores.KeyedTable(spark, target, "k").read().count() == 2
 
 
 def test_stream_ingest_keeps_late_unseen_keys(spark, tmp_path):
@@ -383,8 +448,8 @@ def test_stream_ingest_keeps_late_unseen_keys(spark, tmp_path):
     for rows in ([(1, "2024-01-10"), (2, "2024-01-10")], [(2, "2024-01-10"), (3, "2024-01-12")], [(4, "2023-06-01"), (4, "2023-06-01")]):
         spark.createDataFrame(rows, "k int, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(source)
         stream = spark.readStream.schema("k int, ts timestamp").parquet(source)
-        ingest(stream, target, "k", str(tmp_path / "c"), "ts").awaitTermination(60)
-    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4]
+        ingest(stream, target, "k", str(tmp_path / "c")).awaitTermination(60)
+    assert sorted(r.k for r in stores.KeyedTable(spark, target, "k").read().collect()) == [1, 2, 3, 4]
 
 
 def test_replay_check_names_what_is_wrong(spark):

@@ -248,22 +248,29 @@ def benchmark_violations(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.select("run", "idx", why.alias("violation")).filter("violation is not null")
 
 
-def portfolio_metrics(equity: DataFrame, benchmark: DataFrame, orders: DataFrame, events: DataFrame, sessions: int = 252) -> DataFrame:
+def portfolio_metrics(equity: DataFrame, benchmark: DataFrame, orders: DataFrame, events: DataFrame, cash: DataFrame, sessions: int = 252) -> DataFrame:
     """Net return, benchmark return and excess, volatility, Sharpe ratio, worst drawdown, turnover, fees,
-    largest share of a volume, orders that aren't filled, risk events and benchmark violations, by run.
+    largest share of a volume, orders that aren't filled, risk events, benchmark violations and years, by run.
 
-    orders: run, notional, fee, participation, state. events: run. A run with violations has no benchmark
-    return and no excess, as its sessions don't match.
+    equity: run, idx, date, equity. orders: run, notional, fee, participation, state. events: run. cash: run and the
+    cash it began with, which the net return is measured by, so costs of the first session count. annual has (year,
+    portfolio, benchmark, excess) in order of years. A run with violations has no benchmark return and no excess, in no
+    year, as its sessions don't match.
     """
     o = orders.groupBy("run").agg(F.sum("notional").alias("notional"), F.sum("fee").alias("total_fees"), F.max("participation").alias("participation"), F.count_if(F.col("state") != "FILLED").alias("pending"))
     e = events.groupBy("run").agg(F.count("*").alias("events"))
     bad = benchmark_violations(equity, benchmark).groupBy("run").agg(F.count("*").alias("violations"))
-    b = equity.select("run", "idx").join(benchmark.select("idx", "close"), "idx").groupBy("run").agg((F.max_by("close", "idx") / F.min_by("close", "idx") - 1).alias("b"))
-    g = _curve(equity, sessions).join(o, "run", "left").join(e, "run", "left").join(bad, "run", "left").join(b, "run", "left")
+    both = equity.select("run", "idx", F.year("date").alias("year"), "equity").join(benchmark.select("idx", "close"), "idx", "left")
+    ends = [F.struct("idx", c).alias(f"_{c}") for c in ("equity", "close")]
+    years = both.select("run", "year", *ends).groupBy("run", "year").agg(*[f(c)[c[1:]].alias(n) for c, n in (("_equity", "e"), ("_close", "b")) for f, n in ((F.min, f"{n}0"), (F.max, f"{n}1"))])
+    year = F.struct("year", (F.col("e1") / F.col("e0") - 1).alias("portfolio"), (F.col("b1") / F.col("b0") - 1).alias("benchmark"))
+    spans = years.groupBy("run").agg(F.sort_array(F.collect_list(year)).alias("annual"), (F.max(F.struct("year", "b1"))["b1"] / F.min(F.struct("year", "b0"))["b0"] - 1).alias("b"))  # an entry a year
+    g = _curve(equity, sessions).join(o, "run", "left").join(e, "run", "left").join(bad, "run", "left").join(spans, "run", "left").join(cash.select("run", "cash"), "run", "left")
     g = g.fillna(0, ["notional", "total_fees", "participation", "pending", "events", "violations"])
-    bench = F.when(F.col("violations") == 0, F.col("b"))
-    total = F.col("last") / F.col("first") - 1
-    return g.select("run", total.alias("total"), bench.alias("bench"), (total - bench).alias("excess"), "volatility", "sharpe", "max_drawdown", (F.col("notional") / F.col("average")).alias("turnover"), "total_fees", "participation", "pending", "events", "violations")
+    fine = F.col("violations") == 0
+    bench, total = F.when(fine, F.col("b")), F.col("last") / F.col("cash") - 1
+    annual = F.transform("annual", lambda y: F.struct(y["year"], y["portfolio"], F.when(fine, y["benchmark"]).alias("benchmark"), F.when(fine, y["portfolio"] - y["benchmark"]).alias("excess")))
+    return g.select("run", total.alias("total"), bench.alias("bench"), (total - bench).alias("excess"), "volatility", "sharpe", "max_drawdown", (F.col("notional") / F.col("average")).alias("turnover"), "total_fees", "participation", "pending", "events", "violations", annual.alias("annual"))
 
 
 def annual_segments(equity: DataFrame, year: Column) -> DataFrame:

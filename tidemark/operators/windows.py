@@ -86,15 +86,15 @@ def window_gaps(bars: DataFrame, n: int) -> DataFrame:
     return bars.select("symbol", "idx", F.when(first.isNull(), "INSUFFICIENT_HISTORY").when(F.col("idx") - first > n - 1, "MISSING_TRADING_SESSION").otherwise("COMPLETE").alias("state"))
 
 
-def factor_rows(universe: DataFrame, wide: DataFrame, names: list[str], reasons: dict[str, str] | None = None) -> DataFrame:
-    """One row for each universe key and factor; a key without a bar has nulls and a reason.
+def factor_rows(universe: DataFrame, wide: DataFrame, reasons: dict[str, str]) -> DataFrame:
+    """One row for each universe key and factor; a key without a bar has nulls and MISSING_TRADING_SESSION.
 
-    reasons: of a factor, the column of `wide` that tells why it is null (B23); else its history is too short.
+    reasons: the factors, each with the column of `wide` that tells why it is null (B23): a gap in its window first,
+    then too short a history, then its source.
     """
-    reasons = reasons or {}
     joined = universe.join(wide.withColumn("_bar", F.lit(True)), ["symbol", "idx"], "left")
-    long = joined.unpivot(["symbol", "idx", "_bar", *reasons.values()], names, "feature_id", "value")
-    why = F.coalesce(*[F.when(F.col("feature_id") == n, F.col(c)) for n, c in reasons.items()], F.lit("INSUFFICIENT_HISTORY"))
+    long = joined.unpivot(["symbol", "idx", "_bar", *reasons.values()], list(reasons), "feature_id", "value")
+    why = F.coalesce(*[F.when(F.col("feature_id") == n, F.col(c)) for n, c in reasons.items()])
     reason = F.when(F.col("_bar").isNull(), "MISSING_TRADING_SESSION").when(F.col("value").isNull(), why)
     return long.select("symbol", "idx", "feature_id", "value", reason.alias("null_reason"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
@@ -24,6 +26,19 @@ def _(v):
     return E.unseen(e.unionAll(e), e.filter("event_id % 3 = 0"), "event_id")
 
 
+@query("a02_appended_keys", "SELECT event_id % 4 AS k, count(*) AS n, min(event_id) AS least, max(event_id) AS greatest FROM events GROUP BY 1")
+def _(v):
+    """Events arrive in three overlapping batches, the last twice; the table holds each once."""
+    from tidemark.sources.scratch import scratch_root
+    from tidemark.sources.stores import KeyedTable
+
+    e = v("events").select("event_id", "event_type", "value")
+    table = KeyedTable(e.sparkSession, f"{scratch_root(e.sparkSession)}/keyed-{uuid.uuid4().hex}", "event_id")
+    for batch in ("event_id % 3 = 0", "event_id % 3 < 2", "event_id % 3 > 0", "event_id % 3 > 0"):
+        table.append(e.filter(batch))
+    return table.read(e.schema).groupBy((F.col("event_id") % 4).alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("greatest"))
+
+
 @query("a03_replay_keys", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
 def _(v):
     o = v("orders").select("o_orderkey")
@@ -306,9 +321,9 @@ def _(v):
 def _(v):
     """The long feature table, published by feature and read back."""
     from tidemark.sources.scratch import scratch_root
-    from tidemark.sources.stores import publish
+    from tidemark.sources.stores import publish, read_published
 
     rows = v("feature")
     spark = rows.sparkSession
-    back = spark.read.parquet(publish(rows, f"{scratch_root(spark)}/artifacts", "feature_id"))
+    back = read_published(spark, publish(rows, f"{scratch_root(spark)}/artifacts", "feature_id"))
     return rounded(back.groupBy("feature_id").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total")), "total", n=4)

@@ -342,4 +342,4 @@ def _(v):
         rows = rows.withColumn("present", F.col(f"present_{needed}"))
         rows = rows.withColumn(reasons[name], P.null_reasons(rows, needed, F.col(name), source, rule))
     universe = bars.select("symbol").distinct().join(v("calendar").select("idx"))
-    return rounded(W.factor_rows(universe, rows, list(reasons), reasons), "value")
+    return rounded(W.factor_rows(universe, rows, reasons), "value")

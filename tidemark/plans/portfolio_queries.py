@@ -188,13 +188,24 @@ def _(v):
     return O.benchmark_violations(v("equity"), _benchmark(v))
 
 
-@query("d31_portfolio_metrics", f"WITH {_EQ}, {_BENCH.replace(' WHERE idx % 30 <> 29', '').replace('CASE WHEN idx = 41 THEN -close ELSE close END AS close', 'close')}, vn AS (SELECT run, count(*) AS violations FROM vi GROUP BY run), be AS (SELECT run, max_by(b.close, e.idx) / min_by(b.close, e.idx) - 1 AS b FROM equity e JOIN bm b ON b.idx = e.idx GROUP BY run), en AS (SELECT run, count(*) AS events FROM x WHERE dd <= -0.2 GROUP BY run) SELECT g.run, round(tot, 8) AS total, round(CASE WHEN violations IS NULL THEN b END, 8) AS bench, round(CASE WHEN violations IS NULL THEN tot - b END, 8) AS excess, round(vol, 8) AS volatility, round(sharpe, 8) AS sharpe, round(mdd, 8) AS max_drawdown, round(notional / average, 6) AS turnover, round(fees, 4) AS total_fees, round(participation, 8) AS participation, pending, coalesce(events, 0) AS events, coalesce(violations, 0) AS violations FROM g LEFT JOIN vn ON vn.run = g.run LEFT JOIN be ON be.run = g.run LEFT JOIN en ON en.run = g.run")
-def _(v):
-    """A run with a gap in its sessions has violations, so no excess; a session 20 % below the peak is an event."""
+def _metrics(v):
     from tidemark.operators.windows import drawdown
 
-    m = O.portfolio_metrics(v("equity"), v("benchmark_bar"), v("run_trade"), drawdown(v("equity")).filter("drawdown <= -0.2"))
-    return rounded(rounded(rounded(m, "total", "bench", "excess", "volatility", "sharpe", "max_drawdown", "participation"), "turnover", n=6), "total_fees", n=4)
+    cash = v("bar0").groupBy(F.col("symbol").alias("run")).agg(F.min_by("open", "idx").alias("cash"))
+    return O.portfolio_metrics(v("equity"), v("benchmark_bar"), v("run_trade"), drawdown(v("equity")).filter("drawdown <= -0.2"), cash)
+
+
+@query("d31_portfolio_metrics", f"WITH {_EQ}, {_BENCH.replace(' WHERE idx % 30 <> 29', '').replace('CASE WHEN idx = 41 THEN -close ELSE close END AS close', 'close')}, vn AS (SELECT run, count(*) AS violations FROM vi GROUP BY run), be AS (SELECT run, max_by(b.close, e.idx) / min_by(b.close, e.idx) - 1 AS b FROM equity e JOIN bm b ON b.idx = e.idx GROUP BY run), ca AS (SELECT q.run, max_by(q.equity, q.idx) / min_by(o.open, o.idx) - 1 AS net FROM equity q JOIN bar0 o ON o.symbol = q.run AND o.idx = q.idx GROUP BY q.run), en AS (SELECT run, count(*) AS events FROM x WHERE dd <= -0.2 GROUP BY run) SELECT g.run, round(net, 8) AS total, round(CASE WHEN violations IS NULL THEN b END, 8) AS bench, round(CASE WHEN violations IS NULL THEN net - b END, 8) AS excess, round(vol, 8) AS volatility, round(sharpe, 8) AS sharpe, round(mdd, 8) AS max_drawdown, round(notional / average, 6) AS turnover, round(fees, 4) AS total_fees, round(participation, 8) AS participation, pending, coalesce(events, 0) AS events, coalesce(violations, 0) AS violations FROM g JOIN ca ON ca.run = g.run LEFT JOIN vn ON vn.run = g.run LEFT JOIN be ON be.run = g.run LEFT JOIN en ON en.run = g.run")
+def _(v):
+    """A run begins with the price of its first trade; one with a gap in its sessions has violations, so no excess; a
+    session 20 % below the peak is an event."""
+    return rounded(rounded(rounded(_metrics(v).drop("annual"), "total", "bench", "excess", "volatility", "sharpe", "max_drawdown", "participation"), "turnover", n=6), "total_fees", n=4)
+
+
+@query("d31_annual_metrics", "WITH sp AS (SELECT run, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM equity GROUP BY run), ok AS (SELECT run, n = (SELECT count(*) FROM benchmark_bar b WHERE b.idx BETWEEN lo AND hi) AS whole FROM sp), y AS (SELECT e.run, CAST(year(date) AS INTEGER) AS year, max_by(equity, e.idx) / min_by(equity, e.idx) - 1 AS p, max_by(b.close, e.idx) / min_by(b.close, e.idx) - 1 AS m FROM equity e JOIN benchmark_bar b ON b.idx = e.idx GROUP BY 1, 2) SELECT y.run, year, round(p, 8) AS portfolio, round(CASE WHEN whole THEN m END, 8) AS benchmark, round(CASE WHEN whole THEN p - m END, 8) AS excess FROM y JOIN ok ON ok.run = y.run")
+def _(v):
+    rows = _metrics(v).select("run", F.explode("annual").alias("y")).select("run", "y.*")
+    return rounded(rows, "portfolio", "benchmark", "excess")
 
 
 @query("d32_annual_segments", "SELECT run, CAST(year(date) AS INTEGER) AS year, round(min_by(equity, idx), 8) AS first, round(max_by(equity, idx), 8) AS last, round(max_by(equity, idx) / min_by(equity, idx) - 1, 8) AS annual FROM equity GROUP BY 1, 2")

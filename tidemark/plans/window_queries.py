@@ -61,12 +61,24 @@ def _(v):
 _U = "u AS (SELECT s.symbol, c.idx FROM (SELECT DISTINCT symbol FROM bar) s CROSS JOIN calendar c)"
 
 
-@query("e08_factor_rows", f"WITH {_U}, x AS (SELECT symbol, idx, CASE WHEN idx - lag(idx, 6) OVER w = 6 THEN close * adj / lag(close * adj, 6) OVER w - 1 END AS mom_6, CASE WHEN idx - lag(idx, 3) OVER w = 3 THEN close * adj / lag(close * adj, 3) OVER w - 1 END AS mom_3, true AS bar FROM bar WINDOW w AS (PARTITION BY symbol ORDER BY idx)), l AS (SELECT u.symbol, u.idx, x.bar, 'mom_6' AS feature_id, mom_6 AS value FROM u LEFT JOIN x USING (symbol, idx) UNION ALL SELECT u.symbol, u.idx, x.bar, 'mom_3', mom_3 FROM u LEFT JOIN x USING (symbol, idx)) SELECT symbol, idx, feature_id, round(value, 8) AS value, CASE WHEN bar IS NULL THEN 'MISSING_TRADING_SESSION' WHEN value IS NULL THEN 'INSUFFICIENT_HISTORY' END AS null_reason FROM l")
+def _why(n):
+    """Why a factor of n sessions is null: its window has a gap, its history is too short, or its value isn't valid."""
+    return f"CASE WHEN sessions >= {n} AND p{n} < {n} THEN 'MISSING_TRADING_SESSION' WHEN p{n} < {n} THEN 'INSUFFICIENT_HISTORY' ELSE 'SOURCE_VALUE_INVALID' END"
+
+
+@query("e08_factor_rows", f"WITH {_U}, x AS (SELECT symbol, idx, idx + 1 AS sessions, count(*) OVER (PARTITION BY symbol ORDER BY idx RANGE 3 PRECEDING) AS p4, count(*) OVER (PARTITION BY symbol ORDER BY idx RANGE 6 PRECEDING) AS p7, CASE WHEN idx - lag(idx, 6) OVER w = 6 THEN close * adj / lag(close * adj, 6) OVER w - 1 END AS mom_6, CASE WHEN idx - lag(idx, 3) OVER w = 3 THEN close * adj / lag(close * adj, 3) OVER w - 1 END AS mom_3, true AS bar FROM bar WINDOW w AS (PARTITION BY symbol ORDER BY idx)), l AS (SELECT u.symbol, u.idx, x.bar, 'mom_6' AS feature_id, mom_6 AS value, {_why(7)} AS why FROM u LEFT JOIN x USING (symbol, idx) UNION ALL SELECT u.symbol, u.idx, x.bar, 'mom_3', mom_3, {_why(4)} FROM u LEFT JOIN x USING (symbol, idx)) SELECT symbol, idx, feature_id, round(value, 8) AS value, CASE WHEN bar IS NULL THEN 'MISSING_TRADING_SESSION' WHEN value IS NULL THEN why END AS null_reason FROM l")
 def _(v):
+    from tidemark.operators.pit import null_reasons
+
     bars = v("bar")
     universe = bars.select("symbol").distinct().join(v("calendar").select("idx"))
-    wide = W.momentum(bars, 6).withColumnRenamed("value", "mom_6").join(W.momentum(bars, 3).withColumnRenamed("value", "mom_3"), ["symbol", "idx"])
-    return rounded(W.factor_rows(universe, wide, ["mom_6", "mom_3"]), "value")
+    rows, reasons = W.adjusted(bars).withColumn("calendar_sessions", F.col("idx") + 1), {}
+    for n in (6, 3):  # one window serves both
+        name = f"mom_{n}"
+        rows = rows.withColumn(name, F.when(W.complete(n + 1), F.col("p") / F.lag("p", n).over(W.own()) - 1)).withColumn("present", F.count("*").over(W.own().rangeBetween(-n, 0)))
+        reasons[name] = f"why_{name}"
+        rows = rows.withColumn(reasons[name], null_reasons(rows, n + 1, F.col(name)))
+    return rounded(W.factor_rows(universe, rows.select("symbol", "idx", *reasons, *reasons.values()), reasons), "value")
 
 
 @query("e09_incremental_window", f"WITH {_ADJ}, m AS (SELECT symbol, idx, {_GAP.format(k=6, x='p / lag(p, 6) OVER w - 1')} AS value FROM a WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT symbol, idx, round(value, 8) AS value FROM m WHERE idx >= 60")
