@@ -474,3 +474,28 @@ def test_null_reasons_have_an_order(spark, rule, want):
     wide = df.withColumn("why", pit.null_reasons(df, 3, F.col("f"), F.col("source"), rule))
     got = windows.factor_rows(df.select("symbol", "idx"), wide, ["f"], {"f": "why"})
     assert values(got, "null_reason") == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 40])
+def test_rolling_drawdown_and_median_of_every_window(spark, n, monkeypatch):
+    monkeypatch.setattr(windows, "SLICE", 30)
+    rng = np.random.default_rng(n)
+    rows = []
+    for symbol, size in ((1, 130), (2, n), (3, 3)):
+        idx = np.cumsum(rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 2], size)) if symbol == 1 else np.arange(size)
+        rows += [(symbol, int(i), float(p), 1.0, None if symbol == 1 and k % 50 == 49 else int(rng.integers(1, 9))) for k, (i, p) in enumerate(zip(idx, np.exp(rng.normal(size=size)), strict=True))]
+    df = spark.createDataFrame(rows, "symbol int, idx int, close double, adj double, amount bigint")
+    fall = {(r.symbol, r.idx): r.value for r in windows.rolling_drawdown(df, n).collect()}
+    median = {(r.symbol, r.idx): r.value for r in windows.log_rolling_median(df, "amount", n).collect()}
+    assert len(fall) == len(median) == len(rows)
+    for symbol in (1, 2, 3):
+        own = [r for r in rows if r[0] == symbol]
+        for k, r in enumerate(own):
+            part = own[k - n + 1 : k + 1] if k >= n - 1 else []
+            if not part or part[-1][1] - part[0][1] != n - 1:
+                assert fall[r[:2]] is None and median[r[:2]] is None
+                continue
+            p = np.array([x[2] for x in part])
+            assert fall[r[:2]] == pytest.approx((p / np.maximum.accumulate(p) - 1).min())
+            amounts = [x[4] for x in part]
+            assert median[r[:2]] == (None if None in amounts else pytest.approx(np.log1p(np.median(amounts))))

@@ -5,8 +5,10 @@ idx is the number of a session; lookbacks count sessions. A window with a gap gi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.sources.scratch import written
@@ -50,15 +52,20 @@ def volatility(bars: DataFrame, n: int) -> DataFrame:
 
 
 def rolling_drawdown(bars: DataFrame, n: int) -> DataFrame:
-    """Worst fall below the peak, the peak starting anew in every window."""
-    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
+    """Worst fall below the peak, the peak starting anew in every window.
 
-    def step(acc: Column, p: Column) -> Column:
-        peak = F.greatest(acc["peak"], p)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], p / peak - 1).alias("worst"))
-
-    fall = F.aggregate(F.collect_list("p").over(frame(n)), start, step, lambda a: a["worst"])
-    return adjusted(bars).select("symbol", "idx", F.when(complete(n), fall).alias("value"))
+    Rows of a symbol are cut in blocks of n, so a window is the end of one block and the start of the next. Falls
+    compose: the worst of both parts, or from the peak of the first to the lowest of the second. Starts and ends of
+    blocks are running aggregates, so a row costs the same whatever n is.
+    """
+    rows = adjusted(bars).withColumn("_n", F.row_number().over(own()) - 1).withColumn("_block", F.floor(F.col("_n") / n))
+    start, end = (Window.partitionBy("symbol", "_block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_n"), F.desc("_n")))
+    rows = rows.withColumn("_fall", F.col("p") / F.max("p").over(start) - 1).withColumn("_rise", F.min("p").over(end) / F.col("p") - 1)
+    rows = rows.withColumns({"_first_worst": F.min("_fall").over(start), "_first_low": F.min("p").over(start)})
+    rows = rows.withColumns({"_last_worst": F.min("_rise").over(end), "_last_peak": F.max("p").over(end)})
+    before = [F.lag(c, n - 1).over(own()) for c in ("_last_worst", "_last_peak")] if n > 1 else [F.lit(0.0), F.lit(None)]
+    across = F.when(F.col("_n") % n < n - 1, F.least(before[0], F.col("_first_low") / before[1] - 1))
+    return rows.select("symbol", "idx", F.when(complete(n), F.least(F.lit(0.0), "_first_worst", across)).alias("value"))
 
 
 def rolling_mean(rows: DataFrame, column: str, n: int) -> DataFrame:
@@ -66,11 +73,30 @@ def rolling_mean(rows: DataFrame, column: str, n: int) -> DataFrame:
     return rows.select("symbol", "idx", F.when(complete(n) & (F.count(column).over(frame(n)) == n), F.avg(column).over(frame(n))).alias("value"))
 
 
+SLICE = 4096
+"""Rows of a symbol that one call for its medians takes, besides those before that its windows reach."""
+
+
 def log_rolling_median(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """log1p of the median of n sessions."""
-    s = F.sort_array(F.collect_list(column).over(frame(n)))
-    median = (s[(n - 1) // 2] + s[n // 2]) / 2
-    return rows.select("symbol", "idx", F.when(complete(n) & (F.count(column).over(frame(n)) == n), F.log1p(median)).alias("value"))
+    """log1p of the median of n sessions; null if any is null or missing.
+
+    A symbol's rows are cut in slices, each with the n - 1 rows before it, so a long history is spread over tasks.
+    Inside a slice the window is a sorted list that one row enters and one leaves.
+    """
+    size = max(SLICE, 4 * n)
+    placed = rows.select("symbol", "idx", F.col(column).cast("double").alias("x"), complete(n).alias("whole"), (F.row_number().over(own()) - 1).alias("n"))
+    k = F.floor(F.col("n") / size)
+    near = F.array_compact(F.array(k, F.when(F.col("n") % size > size - n, k + 1)))
+    kinds = rows.select("symbol", "idx").schema
+    out = T.StructType([*kinds.fields, T.StructField("value", T.DoubleType())])
+
+    def medians(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        part["value"] = part["x"].rolling(n, min_periods=n).median().where(part["whole"].fillna(False).astype(bool))
+        return part.loc[part["n"] // size == key[1], out.names]
+
+    found = placed.withColumn("slice", F.explode(near)).groupBy("symbol", "slice").applyInPandas(medians, out)
+    return found.select("symbol", "idx", F.log1p("value").alias("value"))
 
 
 def amihud(bars: DataFrame, n: int) -> DataFrame:
