@@ -182,6 +182,7 @@ def test_cached_ids_are_the_tokenizers_ids(name, byte_level):
     texts += ["", " ", "  ", " a", "a ", "a  b", "\n", "a\n", "\na", "a\n\nb", "Hello, world! don't\tx y", "foo \n bar", "x y", "it's, 's 'S", "É́ áb", "<|endoftext|> x", "\x1c a\x1cb", "a\r\nb", "ΑΣ Σ İ ß", "日本 語。テ", "…. a…"]
     rng = random.Random(5)
     texts += ["".join(rng.choices("aB'.,! \n\t ́é1_", k=rng.randint(1, 40))) for _ in range(300)]
+    texts += [" " + t for t in texts]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 

@@ -24,7 +24,7 @@ JOIN = "\0"
 
 def pieces_of(text: str, keep_space: bool) -> list[str]:
     """Pieces of a text: words, marks and line breaks that follow them. A text must not hold JOIN."""
-    text = JOIN + text + " "
+    text = (text[1:] if keep_space and text[:1] == " " else JOIN + text) + " "
     text = text.replace("\n", f" {JOIN}\n {JOIN}" if keep_space else " ")
     if not any(m + m + " " in text for m in MARKS):  # a run of marks is one token
         for m in MARKS:
