@@ -176,3 +176,29 @@ def test_pipeline_stages(spark):
 def test_random_texts_have_finite_statistics():
     rng = random.Random(8)
     assert np.isfinite(quality.statistics([b"", b" ", prose(rng, 50).encode(), b"x" * 100_000, "é\n".encode() * 50])).all()
+
+
+@pytest.mark.parametrize("bad", ["<b", "<a ", '<a "', '<p title="', "<b<", "</script", "<!--", '<a x="><a x="y'])
+def test_pages_with_unclosed_tags_are_scanned_once(bad):
+    """1 MB of each, with and without a > at the end."""
+    import time
+
+    for page in (bad * (10**6 // len(bad)), bad * (10**6 // len(bad)) + ">"):
+        start = time.perf_counter()
+        blocks(page)
+        assert time.perf_counter() - start < 3
+
+
+def test_unclosed_quotes_and_late_brackets_are_text():
+    assert [b.text for b in blocks('<p>one<p title="two>three')] == ["one", "three"]
+    assert [b.text for b in blocks("<p>a < b and c <d")] == ["a < b and c <d"]
+    assert [b.text for b in blocks("<p>x<!-- never closed <p>y")] == ["x"]
+    assert [(b.text, b.linked) for b in blocks("<p><a href=/x/>link</a> rest")] == [("link rest", 4)]
+    many = "".join(f'<i t="{i}>w{i} ' for i in range(41))  # the last quote has no partner, so scans fail again and again
+    assert blocks("<p>" + many + "<b>end</b>")[-1].text.endswith("end")
+
+
+def test_deep_nesting_has_a_bound():
+    page = "<div>" * 3000 + "text" + "</div>" * 3000 + "<p>after"
+    found = blocks(page)
+    assert [b.text for b in found] == ["text", "after"] and len(found[0].path) == 512 and found[1].path == ("p",)
