@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,12 @@ def test_contaminations_run_no_python(spark):
 def test_digest_column(spark):
     got = substring_dedup.remove_repeats(frame(spark, [(1, " a  b\n")])).select(F.sha2("kept", 256).alias("d")).first().d
     assert got == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_ids_with_a_common_factor_are_dealt_evenly():
+    """Parts of places are chosen by a mix of the id: all ids are multiples of 1,000, and of the number of parts."""
+    from tidemark.llm.substring_dedup import _deal
+
+    docs = np.arange(64_000, dtype=np.int64) * 1000
+    sizes = [n for _, _, n, _ in _deal(docs, np.zeros(len(docs)), np.zeros(len(docs)), 40)]
+    assert len(sizes) == 40 and sum(sizes) == len(docs) and max(sizes) < 1.2 * len(docs) / 40

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, keep, small_batches, table, tasks_for, text_bytes
 from .packed import opened, squeeze, squeezed_texts, unsqueeze
-from .words import NULL, Words, longs, slices
+from .words import NULL, Words, longs, mix, slices
 from .workers import lean
 
 WINDOW = 50
@@ -59,7 +59,7 @@ def _packs(rows: list[tuple[int, int | None, int, bytes]]) -> pa.RecordBatch:
 
 def _deal(doc: np.ndarray, key: np.ndarray, place: np.ndarray, n_parts: int) -> list[tuple[int, bool, int, bytes]]:
     """Places of documents as one pack for each part of the documents, however many documents they are of."""
-    part = np.mod(doc, n_parts)
+    part = (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)  # ids may share factors with n_parts
     order = np.lexsort((place, key, doc, part))
     part, doc, key, place = (x[order] for x in (part, doc.astype(np.int64), key.astype(np.int32), place.astype(np.int32)))
     if len(doc):  # many windows of one block
