@@ -152,14 +152,17 @@ def quintile(rows: DataFrame, value: str, by: list[str], name: str = "quintile")
 
 
 def bucket_turnover(rows: DataFrame, bucket: str = "quintile", top: int = 5) -> DataFrame:
-    """Share of a date's top bucket that wasn't there on the date before, by feature."""
-    held = rows.filter(F.col(bucket) == top).select("feature_id", "idx", "symbol")
-    dates = rows.select("feature_id", "idx").distinct()
-    w = Window.partitionBy("feature_id").orderBy("idx")
-    order = dates.withColumn("previous", F.lag("idx").over(w))
-    now = held.groupBy("feature_id", "idx").agg(F.count("*").alias("n"))
-    stays = held.join(order.filter("previous is not null"), ["feature_id", "idx"]).join(held.select("feature_id", F.col("idx").alias("previous"), "symbol"), ["feature_id", "previous", "symbol"]).groupBy("feature_id", "idx").agg(F.count("*").alias("stay"))
-    return order.filter("previous is not null").join(now, ["feature_id", "idx"]).join(stays, ["feature_id", "idx"], "left").select("feature_id", "idx", (1 - F.coalesce("stay", F.lit(0)) / F.col("n")).alias("turnover"))
+    """Share of a date's top bucket that wasn't there on the date before, by feature.
+
+    A member was there if its own last date in the bucket is the feature's date before: one window, no self join.
+    """
+    dates = rows.groupBy("feature_id", "idx").agg(F.count("*").alias("_all")).withColumn("previous", F.lag("idx").over(Window.partitionBy("feature_id").orderBy("idx")))  # a row a date
+    own_last = F.lag("idx").over(Window.partitionBy("feature_id", "symbol").orderBy("idx"))
+    held = rows.filter(F.col(bucket) == top).select("feature_id", "idx", "symbol").withColumn("_last", own_last)
+    counted = held.groupBy("feature_id", "idx", "_last").agg(F.count("*").alias("_n"))  # few last dates a date
+    met = counted.join(dates.filter("previous is not null").select("feature_id", "idx", "previous"), ["feature_id", "idx"])
+    stay = F.coalesce(F.sum(F.when(F.col("_last") == F.col("previous"), F.col("_n"))), F.lit(0))
+    return met.groupBy("feature_id", "idx").agg((1 - stay / F.sum("_n")).alias("turnover"))
 
 
 def drawdown(equity: DataFrame, run: str = "run", order: str = "idx") -> DataFrame:

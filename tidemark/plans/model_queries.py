@@ -63,8 +63,13 @@ def _(v):
     return rounded(rounded(M.score_frame(v("bar").filter("not suspended"), v("feature"), v("label"), v("fold")), "z", n=6), "label")
 
 
+def _rows(v):
+    """The rows of the training matrix from the table that has features as columns already."""
+    return v("wide").join(v("bar0").filter("not suspended").select("symbol", "idx"), ["symbol", "idx"], "left_semi")
+
+
 def _complete(v):
-    return _matrix(v).filter("mom_3 is not null and mom_6 is not null and label is not null")
+    return _rows(v).filter("mom_3 is not null and mom_6 is not null and label is not null")
 
 
 @query("d28_ridge")
@@ -96,12 +101,12 @@ _RIDGE = _MATRIX + """, c AS (SELECT * FROM x WHERE mom_3 IS NOT NULL AND mom_6
 
 
 def _trained(v):
-    return M.train(_matrix(v), v("fold"), PAIR)
+    return M.train(_rows(v), v("fold"), PAIR)
 
 
 @query("d28_ridge_pair", f"WITH {_RIDGE} SELECT fold, alpha, round(w1, 8) AS mom_3, round(w2, 8) AS mom_6, round(b, 8) AS intercept FROM rf")
 def _(v):
-    wide = M.ridge(_matrix(v), v("fold"), PAIR).groupBy("fold", "alpha").pivot("feature_id", ["intercept", *PAIR]).agg(F.first("coefficient"))
+    wide = M.ridge(_rows(v), v("fold"), PAIR).groupBy("fold", "alpha").pivot("feature_id", ["intercept", *PAIR]).agg(F.first("coefficient"))
     return rounded(wide, *PAIR, "intercept")
 
 

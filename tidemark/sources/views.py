@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
     "panel": """
       SELECT w.symbol, w.idx, $stack(mom_6 mom_3 log_amount range), w.label, CASE WHEN s.s_acctbal > 0 THEN ln(s.s_acctbal * w.close) END AS size, s.s_nationkey AS industry,
         CASE WHEN w.idx % 2 = 0 THEN 'BULL' ELSE 'BEAR' END AS regime FROM wide w JOIN $supplier s ON s.s_suppkey = w.symbol""",
-    "score": "SELECT symbol, idx, value AS score FROM feature WHERE feature_id = 'log_amount'",
+    "score": "SELECT symbol, idx, ln(amount / 1e2) AS score FROM bar0",
     "equity": "SELECT symbol AS run, idx, CAST($date(idx * 28) AS DATE) AS date, close AS equity, amount / 1e2 AS notional FROM bar0",
     "run_trade": """
       SELECT symbol AS run, idx, seq, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, (price - lag(price) OVER (PARTITION BY symbol ORDER BY seq)) * qty AS realized, cents / 1e2 AS notional,
