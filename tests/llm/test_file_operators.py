@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import frame, odd_documents
@@ -292,3 +293,13 @@ def test_added_tokens_have_their_ids(spark, tmp_path, name):
     else:
         rows = packing.pack_documents(frame(spark, MARKED), path, end_id=2, with_ids=True)
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows.collect()} == want
+
+
+@pytest.mark.parametrize("length", ["", "x", "-3", "1e3", "９", "99999999999999999999", "7"])
+def test_a_malformed_length_takes_the_whole_body(tmp_path, length):
+    """Such a record is read as far as its member goes; the one after it is read too."""
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:row:1>\r\nContent-Length: {length}\r\n\r\n".encode()
+    data = gzip.compress(head + b"payload\r\n\r\n") + warc.member("response", "2", "u", "d", b"next", 4)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz")) as f:
+        assert [c for _, _, c in warc.records_in(f, 0, f.size())] == [b"payload" if length == "7" else b"payload\r\n\r\n", b"next"]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keep, scratch_path, small_batches, table
+from .common import drop, keep, scratch_path, small_batches, table, tasks_for
 from .files import new_file, reader
 from .workers import lean
 
@@ -129,6 +129,12 @@ def records_in(file, lo: int, hi: int, chunk: int = 1 << 18) -> Iterator[tuple[i
         at = start + used
 
 
+def _length(header: dict[str, str], name: str) -> int | None:
+    """A length that a header states; None where it states none or no number."""
+    n = header.get(name, "").strip()
+    return int(n) if n.isascii() and n.isdigit() and len(n) < 19 else None
+
+
 def _member(window: _Window, start: int, piece: int = 1 << 14) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose gzip member starts at a place, or None if there is none."""
     z, parts, place = zlib.decompressobj(wbits=31), [], start
@@ -148,10 +154,14 @@ def _member(window: _Window, start: int, piece: int = 1 << 14) -> tuple[dict[str
     if not mark or not head.startswith(b"WARC/"):
         return None
     header = _header(head)
-    n = int(header.get("content-length", len(body)))
+    n = _length(header, "content-length")
     return header, body[:n], place - len(z.unused_data) - start
 
 
+SPLITS_A_TASK = 8
+"""Byte ranges that a reading task takes, about, so that tasks grow in number with the archives."""
+
+
 def read_archives(archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """(path, place, type, record_id, refers_to, uri, digest, payload_length, content) of every record.
 
@@ -172,15 +182,15 @@ def read_archives(archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
                 rows, held = [], 0
                 with reader(path) as file:
                     for place, h, content in records_in(file, lo, hi):
-                        n = h.get("x-payload-length")
-                        rows.append((path, place, h.get("warc-type"), inner(h.get("warc-record-id")), inner(h.get("warc-refers-to")), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:"), None if n is None else int(n), content))
+                        rows.append((path, place, h.get("warc-type"), inner(h.get("warc-record-id")), inner(h.get("warc-refers-to")), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:"), _length(h, "x-payload-length"), content))
                         held += len(content)
                         if held > 8 << 20:
                             yield _table(rows, types, names)
                             rows, held = [], 0
                 yield _table(rows, types, names)
 
-    n = 4 * archives.sparkSession.sparkContext.defaultParallelism
+    n_bytes = archives.agg(F.sum("n_bytes")).first()[0] or 0
+    n = tasks_for(archives.sparkSession, n_bytes, SPLITS_A_TASK * split_bytes)
     return splits.repartition(n, "path", "lo").mapInArrow(lean(read), schema)
 
 
