@@ -118,7 +118,6 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, width
                     places.append(at)
                     at += len(data)
                     n_tokens += len(ids)
-        own.shrink()
         with new_file(uri.removesuffix(".bin") + ".idx") as out:
             out.write(np.array(places, "<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [uri], "n_records": pa.array([len(places)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()), "n_bytes": pa.array([at], pa.int64())})
@@ -129,7 +128,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, width
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every record of the shards: start counts the ids of all records before."""
+    """(doc_id, start, ids) of every record of the shards, a task a shard: start counts the ids of all records before."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))  # one row a shard
 
@@ -148,8 +147,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield _ids(rows)
 
-    n = 4 * manifest.sparkSession.sparkContext.defaultParallelism
-    return shards.repartition(n, "shard").mapInArrow(lean(read), "doc_id long, start long, ids binary")
+    last = manifest.agg(F.max("shard")).first()[0]
+    return shards.repartitionById(1 + (last or 0), "shard").mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def _ids(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
