@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .commits import Files
-from .scratch import written
+from .scratch import discard, written
 
 
 def _row_hash(columns: list[str]) -> Column:
@@ -174,6 +174,12 @@ class KeyedTable:
     def append(self, new: DataFrame) -> int:
         """Appends one row for each key that the table doesn't hold; returns how many."""
         rows = written(new.dropDuplicates([self.key]), "arrivals")
+        try:
+            return self._append(rows, new.schema)
+        finally:
+            discard(rows)
+
+    def _append(self, rows: DataFrame, schema: T.StructType) -> int:
         while True:
             before = self.appends()
             held = self.may_hold(rows, before)
@@ -189,7 +195,7 @@ class KeyedTable:
                 self.files.remove(f"data/_append={name}")
                 return 0
             words = 1 << max(0, (-(-n * BITS_A_KEY // (64 * BUCKETS)) - 1).bit_length())
-            self._index(name, self._data([f"data/_append={name}"], new.schema), words)
+            self._index(name, self._data([f"data/_append={name}"], schema), words)
             if self.files.put_if_absent(f"log/{len(before) + 1:012d}.json", json.dumps(Append(name, words)._asdict())):
                 return n
             self.files.remove(f"data/_append={name}", f"index/{name}")
