@@ -113,6 +113,41 @@ def test_spread_pays_for_turnover_of_oriented_values(spark):
     assert r.spread == pytest.approx(r.gross - 0.01)
 
 
+def test_diagnostics_equal_each_operator_alone(spark):
+    """Ties, nulls, NaN, infinities, missing sessions, industries of one symbol and of none."""
+    rng = np.random.default_rng(5)
+
+    def odd(x):
+        return [None, float("nan"), float("inf")][int(rng.integers(3))] if rng.random() < 0.1 else float(x)
+
+    rows = [
+        (s, d, f, odd(rng.integers(0, 9)), odd(rng.integers(-4, 5) / 8), odd(rng.random()), None if s == 3 else s % 4, ["A", "B", None][d % 3])
+        for f in ("f", "g", "h") for s in range(40) for d in range(9) if rng.random() < 0.8 and (f, d) != ("g", 4)
+    ]
+    p = spark.createDataFrame(rows, "symbol int, idx int, feature_id string, value double, label double, size double, industry int, regime string")
+    got = {r.feature_id: r for r in factors.diagnostics(p, F.floor(F.col("idx") / 3), {"f": -1.0}, 3).collect()}
+    turned = factors.oriented(p, {"f": -1.0})
+    valid = turned.filter(factors.finite("value", "label"))
+    daily = factors.daily_rank_ic(turned, least=3)
+    prior = factors.prior_rank_correlation(valid).groupBy("feature_id").agg(F.avg("autocorrelation").alias("autocorrelation"))
+    alone = [factors.ic_summary(daily).drop("mean_ic", "icir", "z"), factors.coverage(turned), factors.quintile_report(turned), prior, factors.size_exposure(valid)]
+    for part in alone:
+        for r in part.collect():
+            for name, x in r.asDict().items():
+                assert got[r.feature_id][name] == (pytest.approx(x, rel=1e-12, abs=1e-12) if isinstance(x, float) else x), name
+    regimes = daily.join(valid.select("feature_id", "idx", "regime").distinct(), ["feature_id", "idx"])
+    segments = {"years": factors.ic_segments(daily, F.floor(F.col("idx") / 3), "k"), "regimes": factors.ic_segments(regimes, F.col("regime"), "k"), "industrys": factors.industry_segments(turned.filter("industry is not null"), 3).withColumnRenamed("industry", "k")}
+    for name, part in segments.items():
+        want = {(r.feature_id, None if r.k is None else str(r.k)): (r.observations, pytest.approx(r.mean_ic, abs=1e-12)) for r in part.collect()}
+        assert {(f, x.segment): (x.observations, x.mean_ic) for f, r in got.items() for x in r[name]} == want
+
+
+def test_diagnostics_read_the_panel_once(spark):
+    p = spark.range(40).selectExpr("id as symbol", "id % 3 as idx", "'f' as feature_id", "1d * id as value", "1d * id as label", "1d * id as size", "id % 2 as industry", "'A' as regime")
+    plan = factors.session_statistics(factors.ranked_panel(p))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 40") == 1 and plan.count("Exchange") == 3
+
+
 def test_diagnostics_and_decision(spark):
     t = spark.createDataFrame([("f", "m", 1, 1)], "feature_id string, family string, simplicity int, place int")
     r = factors.factor_report(panel(spark), t, F.floor(F.col("idx") / 2), {"f": -1.0}).first()

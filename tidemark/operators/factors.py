@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import average_rank, bucket_turnover, quintile
+from tidemark.sources.scratch import discard, written
+
+from .windows import average_rank, bucket_turnover, fifth, quintile
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -168,28 +170,87 @@ def _worst(segments: DataFrame, name: str) -> DataFrame:
     return g.select("feature_id", f"{name}s", F.col("w.segment").alias(f"worst_{name}"), F.col("w.mean_ic").alias(f"worst_{name}_ic"))
 
 
+DATE, INDUSTRY, REGIME, LAST = 7, 3, 5, 6
+"""grouping_id() of the levels of session_statistics: by session, and further by industry, regime and last session."""
+
+
+def ranked_panel(panel: DataFrame, directions: dict[str, float] | None = None) -> DataFrame:
+    """The panel with all ranks that its diagnostics need, from one scan and two shuffles of the rows.
+
+    ok marks rows with a finite value and label; ranks, quintile, and the symbol's session, rank and quintile
+    before (last, rp, before) are among them only. The panel has one row for each factor, symbol and session.
+    """
+    rows = oriented(panel, directions).select("feature_id", "symbol", "idx", "value", "label", "size", "industry", "regime").withColumn("ok", finite("value", "label"))
+    day = ["feature_id", "idx", "ok"]
+    for by, suffix in ((day, ""), ([*day, "industry"], "_in")):  # the second lies in the partitions of the first
+        rows = average_rank(average_rank(rows, "value", by, f"rv{suffix}"), "label", by, f"rl{suffix}")
+    rows = rows.withColumn("quintile", fifth(F.col("rv"), F.count("*").over(Window.partitionBy(*day))))
+    own = Window.partitionBy("feature_id", "symbol", "ok").orderBy("idx")
+    return rows.withColumns({"last": F.lag("idx").over(own), "rp": F.lag("rv").over(own), "before": F.lag("quintile").over(own)})
+
+
+def session_statistics(ranked: DataFrame, least: int = 5) -> DataFrame:
+    """Every statistic of a factor's sessions, by session, industry, regime and the symbols' last session.
+
+    One pass of grouping sets; gid tells the level. ic is null below `least` valid rows.
+    """
+    ok, sized, top = F.col("ok"), F.col("ok") & finite("size"), F.col("ok") & (F.col("quintile") == 5)
+    ranks = {c: F.when(ok, F.col(c)).alias(c) for c in ("rv", "rl", "rv_in", "rl_in", "rp")}
+    rows = ranked.select(
+        "feature_id", "idx", "industry", "regime", "last", "value", "label", "ok", "quintile", "before", *ranks.values(),
+        F.when(sized, F.col("value")).alias("exposed"), F.when(sized, F.col("size")).alias("size"), (top & (F.col("before") == 5)).alias("stayed"),
+    )
+    by = ["feature_id", "idx"]
+    n, ic = F.count_if(ok), F.when(F.grouping("industry") == 0, rank_corr("rv_in", "rl_in")).otherwise(rank_corr("rv", "rl"))
+    labels = [F.when(ok & (F.col("quintile") == k), F.col("label")) for k in range(1, 6)]
+    return rows.groupingSets([by, [*by, "industry"], [*by, "regime"], [*by, "last"]], *by, "industry", "regime", "last").agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("total"), n.alias("n"),
+        F.count_if(~finite("value")).alias("missing_feature"), F.count_if(~finite("label")).alias("missing_label"),
+        F.when(n >= least, ic).alias("ic"), rank_corr("rv", "rp").alias("autocorrelation"), guarded_corr("exposed", "size").alias("exposure"),
+        F.count_if(top).alias("top"), F.count_if("stayed").alias("stayed"),
+        *[F.sum(x).alias(f"s{k}") for k, x in enumerate(labels, 1)], *[F.count(x).alias(f"n{k}") for k, x in enumerate(labels, 1)],
+    )
+
+
 def diagnostics(panel: DataFrame, year: Column, directions: dict[str, float] | None = None, least: int = 5) -> DataFrame:
     """D14, first part: one row for each factor with every diagnostic, all factors in one long table.
 
     Counts and coverage, raw and oriented mean correlation, its ratio, consistency and p, quintiles and
     spreads, turnover, rank autocorrelation, size exposure, and year, regime and industry segments
-    (arrays) with the worst year and industry.
+    (arrays) with the worst year and industry. The panel is read once; its statistics by session, a small
+    table, are written to the scratch folder.
     """
-    rows = oriented(panel, directions)
-    valid = rows.filter(finite("value", "label"))
-    daily = daily_rank_ic(rows, least=least)
+    return summarized(written(session_statistics(ranked_panel(panel, directions), least), "session-statistics"), year, directions)
+
+
+def summarized(statistics: DataFrame, year: Column, directions: dict[str, float] | None = None, cost: float = 0.0015) -> DataFrame:
+    """The diagnostics of each factor from the statistics of its sessions."""
+    dates = statistics.filter(F.col("gid") == DATE)
+    daily = dates.filter("ic is not null").select("feature_id", "idx", "n", "ic")
     sign = F.create_map(*[F.lit(x) for kv in (directions or {"": 1.0}).items() for x in kv])[F.col("feature_id")]
-    regimes = valid.select("feature_id", "idx", "regime").distinct()
-    autocorrelation = prior_rank_correlation(valid).filter("autocorrelation is not null").groupBy("feature_id").agg(F.avg("autocorrelation").alias("autocorrelation"))
-    out = with_p(ic_summary(daily)).withColumn("mean_ic", F.col("oriented_ic") * F.coalesce(sign, F.lit(1.0)))
-    out = out.withColumns({"icir": F.coalesce("icir", F.lit(0.0))}).join(coverage(rows), "feature_id").withColumn("coverage", F.col("valid") / F.col("total"))
-    for part in (quintile_report(rows), autocorrelation, size_exposure(valid)):
-        out = out.join(part, "feature_id", "left")
+    out = with_p(ic_summary(daily)).withColumns({"mean_ic": F.col("oriented_ic") * F.coalesce(sign, F.lit(1.0)), "icir": F.coalesce("icir", F.lit(0.0))})
+    means = [F.try_divide(F.sum(f"s{k}"), F.sum(f"n{k}")).alias(f"q{k}") for k in range(1, 6)]
+    whole = dates.groupBy("feature_id").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("valid"), F.sum("missing_feature").alias("missing_feature"), F.sum("missing_label").alias("missing_label"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg("exposure"))).alias("exposure"), *means,
+    )
+    w = Window.partitionBy("feature_id").orderBy("idx")  # a row a session
+    previous = dates.filter("n > 0").select("feature_id", "idx", "top", F.lag("idx").over(w).alias("last")).filter("last is not null")
+    kept = statistics.filter(F.col("gid") == LAST).select("feature_id", "idx", "last", "stayed", "autocorrelation")
+    pace = previous.join(kept, ["feature_id", "idx", "last"], "left").groupBy("feature_id").agg(
+        F.avg(F.when(F.col("top") > 0, 1 - F.coalesce("stayed", F.lit(0)) / F.col("top"))).alias("turnover"), F.avg("autocorrelation").alias("autocorrelation")
+    )
+    out = out.join(whole, "feature_id").join(pace, "feature_id", "left").withColumn("coverage", F.col("valid") / F.col("total"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("autocorrelation", "exposure", "turnover")})
+    steps = sum((F.col(f"q{k + 1}") >= F.col(f"q{k}")).cast("int") for k in range(1, 5))
+    out = out.withColumns({"monotone": steps / 4, "gross": F.col("q5") - F.col("q1")}).withColumn("spread", F.col("gross") - F.col("turnover") * cost)
     years = ic_segments(daily.withColumn("year", year), F.col("year"), "year")
+    regimes = statistics.filter((F.col("gid") == REGIME) & (F.col("n") > 0)).select("feature_id", "idx", "regime")
     by_regime = ic_segments(daily.join(regimes, ["feature_id", "idx"]), F.col("regime"), "regime")
-    for segments, name in ((years, "year"), (by_regime, "regime"), (industry_segments(rows.filter("industry is not null"), least), "industry")):
+    industries = ic_segments(statistics.filter((F.col("gid") == INDUSTRY) & F.col("industry").isNotNull() & F.col("ic").isNotNull()), F.col("industry"), "industry")
+    for segments, name in ((years, "year"), (by_regime, "regime"), (industries, "industry")):
         out = out.join(_worst(segments, name), "feature_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("autocorrelation", "exposure")}).drop("worst_regime", "worst_regime_ic")
+    return out.drop("worst_regime", "worst_regime_ic")
 
 
 def factor_report(panel: DataFrame, trials: DataFrame, year: Column, directions: dict[str, float] | None = None, q: float = 0.1, limit: float = 0.8, least: int = 5, **gates: float) -> DataFrame:
@@ -197,10 +258,14 @@ def factor_report(panel: DataFrame, trials: DataFrame, year: Column, directions:
 
     trials: feature_id, family, simplicity, place. A trial is REJECTED for its coverage, significance,
     direction or as redundant beside a simpler one of its family, else CANDIDATE; none is left out.
+    The panel is read once, its ranked rows are written once and deleted when statistics and pairs are written.
     """
-    rows = diagnostics(panel, year, directions, least).withColumn("trial_id", F.col("feature_id"))
+    ranked = written(ranked_panel(panel, directions), "ranked-panel")
+    statistics = written(session_statistics(ranked, least), "session-statistics")
+    pairs = written(pair_correlations(ranked, trials.select("feature_id", "family")), "pair-correlations")
+    discard(ranked)
+    rows = summarized(statistics, year, directions).withColumn("trial_id", F.col("feature_id"))
     rows = select_factors(false_discovery(rows), q=q, **gates).join(trials, "feature_id")
-    pairs = pair_correlations(oriented(panel, directions), trials.select("feature_id", "family"))
     dropped = drop_redundant(pairs, rows.withColumn("rejected", ~F.col("selected")), limit)
     each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("feature_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("feature_id"), F.col("a").alias("other")))).alias("e"), "correlation")
     near = each.groupBy("e.feature_id").agg(F.array_sort(F.collect_list(F.struct("e.other", "correlation"))).alias("pairs"))

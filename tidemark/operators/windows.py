@@ -144,11 +144,16 @@ def percentile_rank(rows: DataFrame, value: str, by: list[str], name: str = "tar
     return ranked.withColumn(name, F.when(n > 1, F.try_divide(F.col("_r") - 1, n - 1)).otherwise(0.5)).drop("_r")
 
 
+def fifth(rank: Column, n: Column) -> Column:
+    """Bucket 1 to 5 of an average rank among n."""
+    return F.least(F.lit(5), F.greatest(F.lit(1), (F.floor((rank - 1) * 5 / n) + 1).cast("int")))
+
+
 def quintile(rows: DataFrame, value: str, by: list[str], name: str = "quintile") -> DataFrame:
     """Bucket 1 to 5 from the average rank."""
     n = F.count("*").over(Window.partitionBy(*by))
     ranked = average_rank(rows, value, by, "_r")
-    return ranked.withColumn(name, F.least(F.lit(5), F.greatest(F.lit(1), (F.floor((F.col("_r") - 1) * 5 / n) + 1).cast("int")))).drop("_r")
+    return ranked.withColumn(name, fifth(F.col("_r"), n)).drop("_r")
 
 
 def bucket_turnover(rows: DataFrame, bucket: str = "quintile", top: int = 5) -> DataFrame:
