@@ -157,6 +157,105 @@ def test_an_append_that_loses_a_race_is_tried_again(spark, tmp_path):
     assert store.version() == 3 and sorted(r.doc_id for r in store.read().collect()) == [1, 2, 3]
 
 
+def compactable(spark, root, n=6):
+    store = sharding.ShardTable(spark, root, target=1 << 20, fan_in=3, least=1 << 20)
+    for k in range(n):
+        store.append(spark.range(k * 50, k * 50 + 50).selectExpr("id as doc_id").coalesce(1))
+    return store
+
+
+def ids_of(store):
+    return sorted(r.doc_id for r in store.read().collect())
+
+
+def test_a_compaction_that_loses_a_race_to_an_append_is_kept(spark, tmp_path):
+    store = compactable(spark, str(tmp_path / "r"))
+    rival, commit = sharding.ShardTable(spark, store.root), store.commit
+
+    def late(shards, base):
+        store.commit = commit
+        rival.append(spark.range(300, 350).selectExpr("id as doc_id").coalesce(1))
+        return commit(shards, base)
+
+    store.commit = late
+    store.compact("doc_id")
+    assert ids_of(store) == list(range(350)) and len(store.shards()) == 2
+    assert sum("merged" in s.path for s in store._written(f"{store.root}/data")) == 1
+
+
+def test_of_two_compactions_one_leaves_files(spark, tmp_path):
+    store = compactable(spark, str(tmp_path / "r"))
+    rival, commit = sharding.ShardTable(spark, store.root, target=1 << 20, fan_in=3, least=1 << 20), store.commit
+
+    def late(shards, base):
+        store.commit = commit
+        rival.compact("doc_id")
+        return commit(shards, base)
+
+    store.commit = late
+    store.compact("doc_id")
+    assert ids_of(store) == list(range(300)) and len(store.shards()) == 1
+    assert [s.path for s in store._written(f"{store.root}/data") if "merged" in s.path] == [store.shards()[0].path]
+
+
+def test_a_commit_whose_answer_is_lost_counts_once(spark, tmp_path):
+    store = compactable(spark, str(tmp_path / "r"))
+    commit = store.commit
+
+    def lost(shards, base):
+        store.commit = commit
+        commit(shards, base)
+        raise OSError("connection reset")
+
+    store.commit = lost
+    store.append(spark.range(300, 350).selectExpr("id as doc_id").coalesce(1))
+    assert ids_of(store) == list(range(350))
+    store.commit = lost
+    store.compact("doc_id")
+    assert ids_of(store) == list(range(350)) and len(store.shards()) == 1
+
+
+def test_files_of_a_merge_that_fails_go(spark, tmp_path):
+    store = compactable(spark, str(tmp_path / "r"))
+    with pytest.raises(Exception, match="nothing"):
+        store.compact("nothing")  # no such column
+    assert not any("merged" in s.path for s in store._written(f"{store.root}/data"))
+
+    def failed(shards, base):
+        raise OSError("no space")
+
+    commit, store.commit = store.commit, failed
+    with pytest.raises(OSError, match="no space"):
+        store.compact("doc_id")
+    assert ids_of(store) == list(range(300)) and store.expire(age=0) == 1  # the merged file
+    store.commit = commit
+    store.compact("doc_id")
+    assert ids_of(store) == list(range(300)) and len(store.shards()) == 1
+
+
+def test_expiry_keeps_what_the_last_versions_name(spark, tmp_path):
+    store = compactable(spark, str(tmp_path / "r"))
+    first = store.shards(5)
+    store.compact("doc_id")
+    assert store.expire() == 0 and len(store.read(5).collect()) == 250  # all files are young
+    assert store.expire(versions=3, age=0) == 0 and store.shards(5) == first
+    assert store.expire(age=0) == 6 and ids_of(store) == list(range(300))
+    assert [s.path for s in store._written(f"{store.root}/data")] == [s.path for s in store.shards()] and store.version() == 7
+    store.append(spark.range(300, 310).selectExpr("id as doc_id"))
+    assert store.version() == 8 and ids_of(store) == list(range(310))
+
+
+def test_arrivals_of_other_columns(spark, tmp_path):
+    store = sharding.ShardTable(spark, str(tmp_path / "r"), fan_in=2)
+    store.append(spark.sql("select 1L as doc_id, 'a' as text").coalesce(1))
+    store.append(spark.sql("select 2L as doc_id").coalesce(1))
+    for odd in ("select 3L as doc_id, 'c' as other", "select 'x' as doc_id, 'c' as text"):
+        with pytest.raises(ValueError, match="other|doc_id"):
+            store.append(spark.sql(odd))
+    store.compact("doc_id")
+    assert len(store.shards()) == 1 and sorted(map(tuple, store.read().collect())) == [(1, "a"), (2, None)]
+
+
 def test_a_clashing_name_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="_arrival"):
         sharding.shard_documents(frame(spark, []).withColumnRenamed("score", "_arrival"), str(tmp_path / "c"))
