@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, near_dedup, packing, quality, substring_dedup
-from tidemark.llm.common import keep, table
+from tidemark.llm.common import drop, keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,7 +29,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates, that with the smallest id.
 
     Null and empty texts are like nothing and stay, as do rows with a null id. Rows of one id are one
-    document and stay or go together; of equal rows of an id one stays. An empty table stays empty.
+    document and stay or go together; of rows equal in all columns one stays. An empty table stays empty.
     """
     groups = near_dedup.near_duplicates(docs, size=5, percent=80)
     others = groups.filter("not kept").select("doc_id").distinct()
@@ -37,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if repeated.filter("doc_id is not null").isEmpty():
         return rest
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates())
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +78,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's table is deleted when that of the next is complete; the last stage's input stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
