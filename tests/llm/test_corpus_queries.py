@@ -180,3 +180,6 @@ def test_equal_rows_of_an_id_are_one(spark):
     rows = [(1, "a b c d e f", "en", "s", 11)] * 3 + [(1, "g h i j k l m", "en", "s", 13), (2, "n o p q r s", "en", "s", 11)]
     got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, COLUMNS), SF).collect()
     assert sorted((r.doc_id, r.text[0]) for r in got) == [(1, "a"), (1, "g"), (2, "n")]
+    other = [*rows, (1, "a b c d e f", "de", "s", 11), (1, "a b c d e f", "en", None, 11)]  # not equal: lang, source
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(other, COLUMNS), SF).collect()
+    assert sorted((r.doc_id, r.text[0], r.lang, r.source or "") for r in got) == [(1, "a", "de", "s"), (1, "a", "en", ""), (1, "a", "en", "s"), (1, "g", "en", "s"), (2, "n", "en", "s")]
