@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import frame, odd_documents, prose
@@ -132,18 +133,42 @@ def test_nearest_of_few_and_odd_vectors(spark):
     assert nearest.search(vectors(spark, []), vectors(spark, [])).count() == 0
 
 
-def test_recall_with_cells(spark):
+def test_each_length_is_searched_for_itself(spark):
+    rng = np.random.default_rng(4)
+    lengths = [8, 5, 5, 8, 5, 8, 3]
+    rows = [(i, rng.normal(size=lengths[i % 7]).tolist()) for i in range(105)] + [(200, [1.0, 2.0]), (210, [3.0] * 9)]
+    df = vectors(spark, rows)
+    got: dict[int, list] = {}
+    asked = df.filter("vec_id % 10 = 0").unionByName(vectors(spark, [(300, [1.0] * 4)]))  # of this length no vector is indexed
+    for r in nearest.search(df, asked, k=4, cells=3, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    want = {q: [i for _, i in sorted((float(np.linalg.norm(x[q] - v)), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:4]] for q in x if q % 10 == 0}
+    assert got == {q: w for q, w in want.items() if w}
+
+
+def test_cells_are_in_order():
+    rng = np.random.default_rng(5)
+    x, centers = rng.normal(size=(50, 6)), rng.normal(size=(30, 6))
+    full = nearest._order(x, centers, 30)
+    assert all((nearest._order(x, centers, n) == full[:, :n]).all() for n in (1, 2, 7, 29))
+
+
+@pytest.mark.parametrize(("n", "every"), [(3000, 50), (20_000, 200)])
+def test_recall_with_cells(spark, n, every):
     rng = np.random.default_rng(2)
-    x = (rng.normal(size=(3000, 32)) + 2 * rng.normal(size=(20, 32))[rng.integers(0, 20, 3000)]).astype(np.float32)
-    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
-    got = nearest.search(df, df.filter("vec_id % 50 = 0"), block=500).collect()
+    x = (rng.normal(size=(n, 32)) + 2 * rng.normal(size=(20, 32))[rng.integers(0, 20, n)]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float32()))}))
+    got: dict[int, set] = {}
+    for r in nearest.search(df, df.filter(f"vec_id % {every} = 0"), block=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
     d = x.astype(float)
     hit = 0
-    for q in range(0, 3000, 50):
-        a = np.sqrt(((d - d[q]) ** 2).sum(1))
+    for q in range(0, n, every):
+        a = ((d - d[q]) ** 2).sum(1)
         a[q] = np.inf
-        hit += len(set(np.argsort(a)[:10]) & {r.vec_id for r in got if r.query_id == q})
-    assert hit / 600 >= 0.9
+        hit += len(set(np.argsort(a)[:10].tolist()) & got[q])
+    assert hit >= 0.9 * 10 * len(got) and len(got) == n // every
 
 
 def test_pipeline_stages(spark):

@@ -15,18 +15,21 @@ block hands on its k best for each query before they meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import BROADCAST_ROWS, keep, keep_counted, small_batches, table
 from .workers import lean
 
 EPSILON = 3.0
 SAMPLE = 40_000
 """Vectors that centroids are fitted on, at most."""
+DISTANCES = 4_000_000
+"""Distances between vectors and centroids that a task holds at once."""
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -52,7 +55,10 @@ def _order(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     d = (centers**2).sum(1)[None] - 2 * x @ centers.T
     if n == 1:
         return d.argmin(axis=1)[:, None]
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+    if n >= len(centers):
+        return np.argsort(d, axis=1, kind="stable")
+    some = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def calibrate(sample: np.ndarray, centers: np.ndarray, k: int, recall: float, asked: int = 200, seed: int = 13) -> int:
@@ -71,6 +77,7 @@ def calibrate(sample: np.ndarray, centers: np.ndarray, k: int, recall: float, as
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
 
+@lru_cache(maxsize=4)
 def rotation(d: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
     return q * np.sign(np.diag(r))
@@ -101,10 +108,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.
     distance in double precision, ties to the smaller vec_id; a query's own vec_id is no candidate.
 
     index and queries have columns vec_id and embedding. Vectors that are null, zero or hold null or
-    non-finite components, null ids and vectors of another length than most take no part. With fewer
-    than k candidates all are returned. Rows of one id are candidates each. Searches as many of the cells
-    as held the share `recall` of true neighbours in the sample, at every size, and more until they hold
-    k candidates. Other columns are ignored. An empty table gives no rows.
+    non-finite components, and null ids, take no part. Vectors of different lengths have no distance: each
+    length is a search for itself, and all lengths are searched in the same jobs. With fewer than k
+    candidates all are returned. Rows of one id are candidates each. Searches as many of the cells as held
+    the share `recall` of true neighbours in the sample, at every size, and more until they hold k
+    candidates. A task holds the centroids: at most SAMPLE / 20, and one for each length. Other columns are
+    ignored. An empty table gives no rows.
     """
     spark = index.sparkSession
 
@@ -113,53 +122,81 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.
         fine = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).filter(fine)
 
+    small_batches(spark)
     index, queries = clean(index), clean(queries)
-    widths = index.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if widths is None:
-        return spark.createDataFrame([], out)
-    d, total = widths
-    index, queries = (x.filter(F.size("embedding") == d) for x in (index, queries))
-    share = min(1.0, SAMPLE / total)
-    sample = index.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE).select("embedding").toArrow()
-    sample = _matrix(sample["embedding"].combine_chunks(), d)
-    centers = fit_centroids(sample, cells or int(min(SAMPLE / 20, max(1, total**0.5 / 4))))
-    probes = calibrate(sample, centers, k, recall)
-    rotate = rotation(d)
+    lengths = keep(index.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")), "lengths")
+    totals = dict(lengths.orderBy("d").toPandas().itertuples(index=False, name=None))  # a row for each length
+    if not totals:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    part = SAMPLE / len(totals)
+    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.floor(F.least(F.lit(1.0), part / F.col("n")) * (1 << 20)) + 1
+    sample = index.withColumn("d", F.size("embedding")).join(lengths, "d").filter(drawn).limit(2 * SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    widths = sample.value_lengths().to_numpy() if len(sample) else np.zeros(0, int)
+    fitted: dict[int, tuple[int, np.ndarray, int]] = {}  # by length: the first cell's number, centers, cells to search
+    centers: list[np.ndarray] = []
+    for d, n in totals.items():
+        own = _matrix(sample.filter(pa.array(widths == d)), d) if (widths == d).any() else np.zeros((1, d))
+        found = fit_centroids(own, cells or int(max(1, min(part / 20, n**0.5 / 4))))
+        fitted[d] = len(centers), found, calibrate(own, found, k, recall)
+        centers.extend(found)
     place = F.pmod(F.xxhash64("vec_id", F.col("embedding")), F.lit(1 << 20))
 
-    def assign(n: int, counts: np.ndarray | None = None):
-        """Each vector with its n nearest cells; with counts, with more until these hold over k vectors."""
+    def cells_of(x: np.ndarray, middles: np.ndarray, n: int, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of arrays (row of x, number of a cell): the n nearest cells, and more until these hold over k vectors."""
+        near = _order(x, middles, n)
+        lacking = counts[near].sum(axis=1) <= k
+        rows = np.flatnonzero(~lacking)
+        out = [(np.repeat(rows, near.shape[1]), near[rows].ravel())]
+        if lacking.any():
+            rows = np.flatnonzero(lacking)
+            near = _order(x[rows], middles, len(middles))
+            most = np.clip((np.cumsum(counts[near], axis=1) <= k).sum(axis=1) + 1, min(n, len(middles)), len(middles))
+            out.append((np.repeat(rows, most), near[np.arange(len(middles))[None] < most[:, None]]))
+        return out
+
+    def assign(counts: np.ndarray | None = None):
+        """Each vector with its nearest cell; with counts, with the cells that are searched for it."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = _order(_matrix(batch.column("embedding"), d), centers, n if counts is None else len(centers)).astype(np.int32)
-                most = np.full(len(near), n)
-                if counts is not None:
-                    most = np.clip((np.cumsum(counts[near], axis=1) <= k).sum(axis=1) + 1, n, len(centers))
-                taken = np.arange(near.shape[1])[None] < most[:, None]
-                rows = pa.array(np.repeat(np.arange(len(near)), most))
-                yield pa.RecordBatch.from_arrays([pa.array(near[taken]), *[c.take(rows) for c in batch.columns]], names=["cell", *batch.schema.names])
+                widths = batch.column("embedding").value_lengths().to_numpy()
+                for d in np.unique(widths).tolist():
+                    if d not in fitted:  # queries of a length that no vector has
+                        continue
+                    first, middles, probes = fitted[d]
+                    same = batch.filter(pa.array(widths == d))
+                    step = max(1, DISTANCES // len(middles))
+                    for lo in range(0, same.num_rows, step):
+                        some = same.slice(lo, step)
+                        x = _matrix(some.column("embedding"), d)
+                        if counts is None:
+                            dealt = [(np.arange(len(x)), _order(x, middles, 1)[:, 0])]
+                        else:
+                            dealt = cells_of(x, middles, probes, counts[first : first + len(middles)])
+                        for rows, cell in dealt:
+                            yield pa.RecordBatch.from_arrays([pa.array((first + cell).astype(np.int32)), *[c.take(pa.array(rows)) for c in some.columns]], names=["cell", *batch.schema.names])
 
         return lean(run)
 
-    indexed = index.withColumn("place", place.cast("int")).mapInArrow(assign(1), "cell int, vec_id long, embedding array<double>, place int")
+    indexed = index.withColumn("place", place.cast("int")).mapInArrow(assign(), "cell int, vec_id long, embedding array<double>, place int")
     indexed = keep(indexed, "cells")
-    sizes = indexed.groupBy("cell").count().collect()  # at most `cells` rows
+    sizes = indexed.groupBy("cell").count().collect()  # a row for each cell
     counts = np.zeros(len(centers), np.int64)
     counts[[r[0] for r in sizes]] = [r[1] for r in sizes]
-    asked = keep(queries.mapInArrow(assign(probes, counts), "cell int, vec_id long, embedding array<double>"), "asked")
+    asked = keep(queries.mapInArrow(assign(counts), "cell int, vec_id long, embedding array<double>"), "asked")
     blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     slots = asked.groupBy("cell").agg(F.ceil(F.count("*") / slot).cast("int").alias("slots"))
-    sizes = keep(blocks.join(slots, "cell"), "cell-sizes")  # at most `cells` rows
+    sizes, n_sizes = keep_counted(blocks.join(slots, "cell"), "cell-sizes")
+    sizes = F.broadcast(sizes) if n_sizes <= BROADCAST_ROWS else sizes
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    coded = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.col("place"), "blocks")).select("cell", "block", each("slots").alias("slot"), "vec_id", "embedding")
-    asked = asked.join(F.broadcast(sizes), "cell").select("cell", each("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), "slots").cast("int").alias("slot"), "vec_id", "embedding")
+    coded = indexed.join(sizes, "cell").withColumn("block", F.pmod(F.col("place"), "blocks")).select("cell", "block", each("slots").alias("slot"), "vec_id", "embedding")
+    asked = asked.join(sizes, "cell").select("cell", each("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), "slots").cast("int").alias("slot"), "vec_id", "embedding")
 
     def best(key, vectors: pa.Table, wanted: pa.Table) -> pa.Table:
         rows: tuple[list, ...] = ([], [], [])
         if vectors.num_rows and wanted.num_rows:
             center = centers[key[0].as_py()]
+            d, rotate = len(center), rotation(len(center))
             x, ids = _matrix(vectors["embedding"].combine_chunks(), d), vectors["vec_id"].to_numpy()
             codes, length, inner = encode(x, center, rotate)
             all_q, all_ids = _matrix(wanted["embedding"].combine_chunks(), d), wanted["vec_id"].to_numpy()
