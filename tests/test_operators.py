@@ -534,3 +534,9 @@ def test_rolling_drawdown_and_median_of_every_window(spark, n, monkeypatch):
             assert fall[r[:2]] == pytest.approx((p / np.maximum.accumulate(p) - 1).min())
             amounts = [x[4] for x in part]
             assert median[r[:2]] == (None if None in amounts else pytest.approx(np.log1p(np.median(amounts))))
+
+
+def test_rank_correlation_of_ranks_whose_products_overflow_64_bits(spark):
+    a, b = [1e9, 1e9 - 0.5, 5e8, 1.0, 9e8], [9e8, 1e9, 1.5, 2.0, 7e8]
+    got = spark.createDataFrame(list(zip(a, b, strict=True)), "a double, b double").agg(factors.rank_corr("a", "b").alias("c"), factors.rank_corr("a", "a").alias("one")).first()
+    assert got.c == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-12) and got.one == pytest.approx(1, rel=1e-15)

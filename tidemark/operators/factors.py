@@ -23,13 +23,18 @@ def rank_corr(a: str, b: str) -> Column:
     """Correlation of average ranks; null where a side is constant.
 
     Twice a rank is a whole number, so the sums are exact in any order of rows and no correlation of 0 turns
-    into a tiny positive one. For groups of up to a million rows.
+    into a tiny positive one. Products are summed in two halves of 32 bits, so groups of up to a billion rows
+    fit into whole numbers of 64 bits.
     """
     x, y = ((2 * F.col(c)).cast("bigint") for c in (a, b))
     n = F.count(x * y).cast("decimal(18,0)")
 
+    def whole(u: Column) -> Column:
+        return F.sum(u).cast("decimal(19,0)")
+
     def spread(u: Column, v: Column) -> Column:
-        return (n * F.sum(u * v).cast("decimal(20,0)") - F.sum(u).cast("decimal(19,0)") * F.sum(v).cast("decimal(19,0)")).cast("double")
+        products = whole(F.shiftright(u * v, 32)) * F.lit(1 << 32).cast("decimal(10,0)") + whole((u * v).bitwiseAND(F.lit((1 << 32) - 1)))
+        return (n * products - whole(u) * whole(v)).cast("double")
 
     return F.when((spread(x, x) > 0) & (spread(y, y) > 0), F.try_divide(spread(x, y), F.sqrt(spread(x, x)) * F.sqrt(spread(y, y))))
 
