@@ -97,3 +97,12 @@ def test_ridge_of_three_features(spark):
         w = np.linalg.solve(c.T @ c + alpha * np.eye(3), c.T @ (y - y.mean()))
         assert r[names].to_numpy().astype(float) == pytest.approx(w, rel=1e-4, abs=1e-6)
         assert r.intercept == pytest.approx(y.mean() - x.mean(0) @ w, rel=1e-4, abs=1e-5)
+
+
+def test_copies_of_a_computed_mean_do_not_conflict(spark):
+    """Each evaluation of the view gives other last bits, as sums of doubles in another order do."""
+    import random
+
+    noise = F.udf(lambda i: i + random.random() * 1e-9, "double").asNondeterministic()
+    rows = PARTS["a09_benchmark_opens"][0](lambda n: spark.range(50).select(F.col("id").alias("idx"), noise("id").alias("open"))).collect()
+    assert sorted((r.idx, round(r.open, 6)) for r in rows) == [(i, float(i)) for i in range(10, 41)]
