@@ -540,3 +540,12 @@ def test_rank_correlation_of_ranks_whose_products_overflow_64_bits(spark):
     a, b = [1e9, 1e9 - 0.5, 5e8, 1.0, 9e8], [9e8, 1e9, 1.5, 2.0, 7e8]
     got = spark.createDataFrame(list(zip(a, b, strict=True)), "a double, b double").agg(factors.rank_corr("a", "b").alias("c"), factors.rank_corr("a", "a").alias("one")).first()
     assert got.c == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-12) and got.one == pytest.approx(1, rel=1e-15)
+
+
+def test_ranks_are_dealt_by_group(spark):
+    """Groups of ranks stay apart: as many tasks as are asked for, none joined by adaptive execution."""
+    p = spark.range(40).selectExpr("id as symbol", "id % 3 as idx", "'f' as feature_id", "1d * id as value", "1d * id as label", "1d * id as size", "id % 2 as industry", "'A' as regime")
+    family = spark.createDataFrame([("f", "m"), ("g", "m")], "feature_id string, family string")
+    for rows in (factors.ranked_panel(p), factors.pair_correlations(p, family)):
+        found = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x]
+        assert len(found) == 1 and "hashpartitioning(group#" in found[0] and ", 16)" in found[0]

@@ -39,6 +39,16 @@ def rank_corr(a: str, b: str) -> Column:
     return F.when((spread(x, x) > 0) & (spread(y, y) > 0), F.try_divide(spread(x, y), F.sqrt(spread(x, x)) * F.sqrt(spread(y, y))))
 
 
+def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows by their group, the columns `by` as one struct: a few groups a task.
+
+    Ranks of one shuffle keep a sort for each rank in the memory of a task. Adaptive execution would join groups up to
+    its advised bytes, so the number is set, at four times the session's partitions.
+    """
+    grouped = rows.select(F.struct(*by).alias("group"), *[c for c in rows.columns if c not in by])
+    return grouped.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
+
+
 def finite(*columns: str) -> Column:
     """Neither null, NaN nor infinite (NaN counts as the largest number)."""
     c = F.lit(True)
@@ -122,10 +132,10 @@ def pair_correlations(features: DataFrame, family: DataFrame) -> DataFrame:
     asked = x.join(y, "family").filter("a < b")  # a row for each two factors of a family
     a = rows.withColumnsRenamed({"feature_id": "a", "value": "va"}).join(F.broadcast(asked), "a")
     b = rows.withColumnsRenamed({"feature_id": "b", "value": "vb"})
-    both = a.join(b, ["symbol", "idx", "b"])
-    ranked = average_rank(average_rank(both, "va", ["a", "b", "idx"], "ra"), "vb", ["a", "b", "idx"], "rb")
-    daily = ranked.groupBy("family", "a", "b", "idx").agg(rank_corr("ra", "rb").alias("c")).filter("c is not null")
-    return daily.groupBy("family", "a", "b").agg(F.avg("c").alias("correlation"), F.count("*").alias("dates"))
+    both = dealt(a.join(b, ["symbol", "idx", "b"]), ["a", "b", "idx"])
+    ranked = average_rank(average_rank(both, "va", ["group"], "ra"), "vb", ["group"], "rb")
+    daily = ranked.groupBy("family", "group").agg(rank_corr("ra", "rb").alias("c")).filter("c is not null")
+    return daily.groupBy("family", "group.a", "group.b").agg(F.avg("c").alias("correlation"), F.count("*").alias("dates"))
 
 
 def false_discovery(trials: DataFrame) -> DataFrame:
@@ -186,10 +196,11 @@ def ranked_panel(panel: DataFrame, directions: dict[str, float] | None = None) -
     before (last, rp, before) are among them only. The panel has one row for each factor, symbol and session.
     """
     rows = oriented(panel, directions).select("feature_id", "symbol", "idx", "value", "label", "size", "industry", "regime").withColumn("ok", finite("value", "label"))
-    day = ["feature_id", "idx", "ok"]
-    for by, suffix in ((day, ""), ([*day, "industry"], "_in")):  # the second lies in the partitions of the first
+    rows = dealt(rows, ["feature_id", "idx", "ok"])
+    for by, suffix in ((["group"], ""), (["group", "industry"], "_in")):  # the second lies in the partitions of the first
         rows = average_rank(average_rank(rows, "value", by, f"rv{suffix}"), "label", by, f"rl{suffix}")
-    rows = rows.withColumn("quintile", fifth(F.col("rv"), F.count("*").over(Window.partitionBy(*day))))
+    rows = rows.withColumn("quintile", fifth(F.col("rv"), F.count("*").over(Window.partitionBy("group"))))
+    rows = rows.select("group.*", *[c for c in rows.columns if c != "group"])
     own = Window.partitionBy("feature_id", "symbol", "ok").orderBy("idx")
     return rows.withColumns({"last": F.lag("idx").over(own), "rp": F.lag("rv").over(own), "before": F.lag("quintile").over(own)})
 
