@@ -93,6 +93,8 @@ BUCKETS = 64
 BITS_A_KEY = 24
 PROBES = 5
 """Bits that a key sets: with BITS_A_KEY a key that isn't there passes about once in 4,000."""
+CROWDED = 16_000
+"""Rows asked of a bucket from which on its filters aren't asked: of so many some key passes any filter."""
 
 
 class Append(NamedTuple):
@@ -146,22 +148,24 @@ class KeyedTable:
             return []
         known = self.spark.createDataFrame(appends, "name string, words long")
         root = f"{self.files.root}/index"
-        asked = self._placed(keys.select(self.key).distinct())
+        asked = self._placed(keys.select(self.key))
         ranges = self.spark.read.parquet(*[f"{root}/{a.name}/ranges" for a in appends])
-        own = asked.groupBy("_bucket").agg(F.min(self.key).alias("_lo"), F.max(self.key).alias("_hi"), F.max(F.col(self.key).isNull()).alias("_null"))
+        own = asked.groupBy("_bucket").agg(F.min(self.key).alias("_lo"), F.max(self.key).alias("_hi"), F.max(F.col(self.key).isNull()).alias("_null"), (F.count("*") >= CROWDED).alias("crowded"))
         near = ranges.join(own, ranges["bucket"] == own["_bucket"]).filter(((F.col("_lo") <= F.col("greatest")) & (F.col("_hi") >= F.col("least"))) | (F.col("_null") & F.col("has_null")))
-        near = near.select("name", "bucket", "least", "greatest", "has_null").join(known, "name")
-        near = [r.asDict() for r in near.collect()]  # a row a file at most
+        near = near.select("name", "bucket", "least", "greatest", "has_null", "crowded").join(known, "name")
+        found = [r.asDict() for r in near.collect()]  # a row a file at most
+        held = [f"data/_append={r['name']}/_bucket={r['bucket']}" for r in found if r["crowded"]]
+        near = [{k: x for k, x in r.items() if k != "crowded"} for r in found if not r["crowded"]]
         if not near:
-            return []
+            return sorted(held)
         near_rows = self.spark.createDataFrame(near, ranges.select("name", "bucket", "least", "greatest", "has_null").schema.add("words", T.LongType()))
         k = F.col(self.key)
-        tried = asked.join(near_rows, asked["_bucket"] == near_rows["bucket"]).filter(k.between(F.col("least"), F.col("greatest")) | (k.isNull() & F.col("has_null")))
+        tried = asked.distinct().join(near_rows, asked["_bucket"] == near_rows["bucket"]).filter(k.between(F.col("least"), F.col("greatest")) | (k.isNull() & F.col("has_null")))
         tried = tried.select("name", "bucket", "_h", F.explode(F.array_distinct(self._bits(F.col("words")))).alias("b")).select("name", "bucket", "_h", "b.*")
         blooms = self.spark.read.parquet(*[f"{root}/{n}/bloom" for n in sorted({r["name"] for r in near})])
         lit = F.expr("shiftright(bits, bit) & 1") == 1
         passed = tried.join(blooms, ["name", "bucket", "word"], "left").groupBy("name", "bucket", "_h").agg(F.bool_and(F.coalesce(lit, F.lit(False))).alias("hit")).filter("hit")
-        return sorted(f"data/_append={r.name}/_bucket={r.bucket}" for r in passed.select(F.col("name"), "bucket").distinct().collect())  # a row a file at most
+        return sorted(held + [f"data/_append={r.name}/_bucket={r.bucket}" for r in passed.select(F.col("name"), "bucket").distinct().collect()])  # a row a file at most
 
     def _index(self, name: str, rows: DataFrame, words: int) -> None:
         placed = self._placed(rows.select(self.key))
