@@ -549,3 +549,28 @@ def test_ranks_are_dealt_by_group(spark):
     for rows in (factors.ranked_panel(p), factors.pair_correlations(p, family)):
         found = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x]
         assert len(found) == 1 and "hashpartitioning(group#" in found[0] and ", 16)" in found[0]
+
+
+def test_crowded_buckets_ask_no_filter(spark, tmp_path, monkeypatch):
+    """Many new keys would be tried bit by bit only for some of them to pass every filter: files are taken by their range."""
+    monkeypatch.setattr(stores, "CROWDED", 5, raising=False)
+    table = stores.KeyedTable(spark, str(tmp_path / "t"), "k")
+    assert table.append(spark.range(2000).selectExpr("id * 30 as k", "'v' as v")) == 2000
+    own = table.appends()
+    assert len(table.may_hold(spark.range(1900).selectExpr("id * 30 + 17 as k"), own)) == stores.BUCKETS
+    assert len(table.may_hold(spark.range(30).selectExpr("id * 30 + 17 as k"), own)) <= 1
+    assert table.append(spark.range(3000).selectExpr("id * 20 as k", "'v' as v")) == 2000 and table.read().distinct().count() == 4000
+
+
+def test_addresses_are_found_in_linear_time(spark):
+    """A run of letters without an address was tried from each of its letters."""
+    from time import monotonic
+
+    from tidemark.plans.registry import PARTS
+
+    texts = ["a" * 400_000 + ". Mail to:\nb@c. de!", "a@b.c" * 3, "x@y z@u.v", "1@b.c", "a@b.c9d@e.f", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    start = monotonic()
+    got = {r.doc_id: (r.value, r.state) for r in PARTS["b30_disclosures"][0](lambda n: df).collect()}
+    assert monotonic() - start < 15
+    assert got == {0: ("b@c.de", "FOUND"), 1: (None, "CONFLICTING"), 2: ("yz@u.v", "FOUND"), 3: (None, "MISSING"), 4: (None, "CONFLICTING"), 5: (None, "MISSING")}
